@@ -36,6 +36,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with the given quantiles (name -> probability) of ``value``.
 
+    A callable in place of a probability picks the order statistic at that 0-based rank,
+    as a function of the count column.
     Nulls and NaN are ignored; a group with no value gives no row. ``count`` names an optional
     column with the number of values.
     """
@@ -52,7 +54,9 @@ def exact_quantiles(
         .withColumn("__before", F.sum("__c").over(wk.orderBy("__b")) - F.col("__c"))
     )
 
-    def rank(q: float, up: bool) -> Column:
+    def rank(q, up: bool) -> Column:
+        if callable(q):
+            return q(F.col("__n")).cast("bigint")
         h = (F.col("__n") - 1) * F.lit(float(q))
         return (F.ceil(h) if up else F.floor(h)).cast("bigint")
 
@@ -82,6 +86,9 @@ def exact_quantiles(
     out = ranked.groupBy(*keys).agg(*aggs)
     cols = []
     for name, q in probs.items():
+        if callable(q):
+            cols.append(F.col(f"__lo_{name}").alias(name))
+            continue
         h = (F.col("__n") - 1) * F.lit(float(q))
         lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
         cols.append((lo + (hi - lo) * (h - F.floor(h))).alias(name))
@@ -134,3 +141,49 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "ra
         )
     )
     return df.withColumn("__v", v).join(ranks, [*keys, "__v"], "left").drop("__v")
+
+
+def loo_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    count: str = "n_others",
+) -> DataFrame:
+    """Quantiles of the *other* rows of the group, for every row, without pairing rows.
+
+    With the sorted group ``v`` and the own value ``x`` taken out, the rest has ``v[i]`` at place
+    ``i`` when ``x > v[i]`` and ``v[i + 1]`` otherwise, so four order statistics per quantile are
+    enough. Rows whose own value is null see the whole group.
+    """
+    keys = list(keys)
+
+    def at(q: float, up: bool, step: int):
+        def rank(n: Column) -> Column:
+            h = (n - 2) * F.lit(float(q))
+            r = (F.ceil(h) if up else F.floor(h)) + step
+            return F.greatest(F.least(r, n - 1), F.lit(0))
+
+        return rank
+
+    stats, whole = {}, {}
+    for name, q in probs.items():
+        for up in (False, True):
+            for step in (0, 1):
+                stats[f"__{name}_{int(up)}{step}"] = at(q, up, step)
+        whole[f"__{name}_all"] = q
+    g = exact_quantiles(df, keys, value, {**stats, **whole}, count="__cnt")
+    out = join_on(df, g, keys, "left")
+    x = F.col(value)
+    own = _finite(x.cast("double"))
+    cols = []
+    for name, q in probs.items():
+        lo = F.when(x > F.col(f"__{name}_00"), F.col(f"__{name}_00")).otherwise(
+            F.col(f"__{name}_01"))
+        hi = F.when(x > F.col(f"__{name}_10"), F.col(f"__{name}_10")).otherwise(
+            F.col(f"__{name}_11"))
+        h = (F.col("__cnt") - 2) * F.lit(float(q))
+        loo = F.when(F.col("__cnt") >= 2, lo + (hi - lo) * (h - F.floor(h)))
+        cols.append(F.when(own, loo).otherwise(F.col(f"__{name}_all")).alias(name))
+    n = F.coalesce(F.col("__cnt") - own.cast("int"), F.lit(0)).cast("bigint")
+    return out.select(*df.columns, *cols, n.alias(count))

@@ -286,13 +286,13 @@ m AS (SELECT a.performance_id, a.pos, a.ioi, a.db,
   FROM g a LEFT JOIN g b ON a.performance_id = b.performance_id AND a.pos <> b.pos
     AND b.mid2 BETWEEN a.mid2 - 1200 AND a.mid2 + 1200
   GROUP BY 1, 2, 3, 4)
-SELECT performance_id, pos, ioi, round(med * db, 3) AS expected,
+SELECT performance_id, pos, ioi, round(med * db, 6) AS expected,
   coalesce(ioi >= 2.5 * med * db AND ioi - med * db >= 300000, false) AS pause FROM m"""))
 def detect_pauses(spark, sf):
     b = notes(spark, sf).select("performance_id", F.col("note_id").alias("pos"),
                                 F.col("onset_us").alias("time"))
     out = S.detect_pauses(b, P, win=600, width=4096)
-    return out.withColumn("expected", F.round("expected", 3))
+    return out.withColumn("expected", F.round("expected", 6))
 
 
 @query("metric_profile", sql("notes", """
@@ -444,7 +444,7 @@ s AS (SELECT *, coalesce((lead(kv) OVER w - kv) / (lead(kp) OVER w - kp),
 f AS (SELECT * FROM s WHERE rn = 1),
 pt AS (SELECT performance_id, note_id, 2 * onset_us - 3000000 AS pos FROM notes)
 SELECT pt.performance_id, pt.note_id, round(coalesce(s.kv + (pt.pos - s.kp) * s.slope,
-  f.kv + (pt.pos - f.kp) * f.slope), 3) AS expected_us
+  f.kv + (pt.pos - f.kp) * f.slope), 0) AS expected_us
 FROM pt ASOF LEFT JOIN s ON pt.performance_id = s.performance_id AND pt.pos >= s.kp
 JOIN f ON f.performance_id = pt.performance_id"""))
 def interpolated_time_map(spark, sf):
@@ -452,7 +452,7 @@ def interpolated_time_map(spark, sf):
     pts = notes(spark, sf).select("performance_id", "note_id",
                                   (F.col("onset_us") * 2 - 3_000_000).alias("pos"))
     out = S.interpolate(pts, k, P, "pos", "pos_uq", "knot_us", NOTE_CHUNK, "expected_us")
-    return out.select("performance_id", "note_id", F.round("expected_us", 3).alias("expected_us"))
+    return out.select("performance_id", "note_id", F.round("expected_us", 0).alias("expected_us"))
 
 
 @query("bar_labels", sql("bars", """

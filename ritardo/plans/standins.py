@@ -37,7 +37,7 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_id").alias("note_id"),
         us.alias("onset_us"),
         (F.lit(50000) + F.floor(F.col("value") * 10000)).cast("bigint").alias("duration_us"),
-        (F.lit(40) + k % 24).cast("bigint").alias("pitch"),
+        (F.lit(38) + k % 24).cast("bigint").alias("pitch"),
         (F.floor(F.col("value")) % 127 + 1).cast("bigint").alias("velocity"),
         F.col("value"),
         k.cast("bigint").alias("k"),
@@ -54,7 +54,7 @@ NOTES_SQL = """notes AS (
   SELECT user_id AS performance_id, event_id AS note_id,
     (epoch_us(ts) - 1704067200000000) // 86400 AS onset_us,
     CAST(50000 + floor(value * 10000) AS BIGINT) AS duration_us,
-    CAST(40 + CAST(json_extract_string(props, '$.k') AS INT) % 24 AS BIGINT) AS pitch,
+    CAST(38 + CAST(json_extract_string(props, '$.k') AS INT) % 24 AS BIGINT) AS pitch,
     CAST(CAST(floor(value) AS BIGINT) % 127 + 1 AS BIGINT) AS velocity,
     value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type,
     CASE WHEN event_type IN ('view', 'click') THEN 'match'
@@ -128,10 +128,13 @@ def curves(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(
         F.col("label").cast("bigint").alias("piece_id"),
         F.col("vec_id").alias("performance_id"),
+        F.when(F.element_at("embedding", 1) >= 0, "sensor").otherwise("transcribed").alias(
+            "provenance"),
         F.posexplode("embedding").alias("beat", "x"),
     ).select(
         "piece_id",
         "performance_id",
+        "provenance",
         F.col("beat").cast("bigint").alias("beat"),
         F.col("x").cast("double").alias("x"),
     )
@@ -139,6 +142,7 @@ def curves(spark: SparkSession, sf: str) -> DataFrame:
 
 CURVES_SQL = """curves AS (
   SELECT CAST(label AS BIGINT) AS piece_id, vec_id AS performance_id,
+    CASE WHEN embedding[1] >= 0 THEN 'sensor' ELSE 'transcribed' END AS provenance,
     CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS beat,
     CAST(unnest(embedding) AS DOUBLE) AS x
   FROM embeddings)"""
