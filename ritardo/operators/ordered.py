@@ -209,14 +209,14 @@ def asof(
         *keys,
         F.col(left_pos).alias("__pos"),
         F.lit(1 - side_right).alias("__side"),
-        F.lit(None).cast("string").alias("__tie"),
+        F.lit(None).cast("bigint").alias("__tie"),
         F.struct(*payload).alias("__left"),
     )
     r2 = right.select(
         *keys,
         F.col(right_pos).alias("__pos"),
         F.lit(side_right).alias("__side"),
-        (F.col(right_tie).cast("string") if right_tie else F.lit(None).cast("string")).alias(
+        (F.col(right_tie).cast("bigint") if right_tie else F.lit(None).cast("bigint")).alias(
             "__tie"
         ),
         packed.alias("__right"),

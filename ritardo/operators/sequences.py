@@ -179,7 +179,7 @@ def interpolate(
     segs = scan(
         knots.select(*keys, F.col(knot_pos).alias("__kp"), F.col(knot_val).alias("__kv")),
         keys,
-        ["__kp"],
+        ["__kp", "__kv"],
         chunk_of("__kp", width),
         __np=("lead", "__kp"),
         __nv=("lead", "__kv"),
@@ -197,9 +197,9 @@ def interpolate(
         F.coalesce(fwd, end_slope, F.lit(0.0)).alias("__slope"),
     )
     first = segs.groupBy(*keys).agg(
-        F.min_by(F.struct("__kp", "__kv", "__slope"), "__kp").alias("__first")
+        F.min_by(F.struct("__kp", "__kv", "__slope"), F.struct("__kp", "__kv")).alias("__first")
     )
-    hit = asof(points, segs, keys, pos, "__kp", ["__kv", "__slope"], width)
+    hit = asof(points, segs, keys, pos, "__kp", ["__kv", "__slope"], width, right_tie="__kv")
     lead_slope = F.col("__first.__slope") if extrapolate else F.lit(0.0)
     return (
         hit.join(first, keys, "left")

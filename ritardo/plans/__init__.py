@@ -6,7 +6,7 @@ from importlib import import_module
 
 from ritardo.plans.registry import ORACLES, QUERIES
 
-MODULES = ("ordering", "consensus")
+MODULES = ("ordering", "consensus", "matching")
 
 
 def _load() -> None:
