@@ -1,11 +1,294 @@
-"""Key and label expressions."""
+"""Key, label and small music expressions. All are column functions (no Python per row)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# fixed values: note names and pitch split
+PITCH_NAMES = ("C", "C#", "D", "Eb", "E", "F", "F#", "G", "Ab", "A", "Bb", "B")
+MIDDLE_C = 60
+
+# fixed values: catalogue patterns and prefixes by composer surname
+COMPOSER_CATALOGUE = (
+    ("Bach", r"BWV[\s_.]*(\d+[a-z]?)", "bwv"),
+    ("Mozart", r"(?<![A-Za-z])K\.[\s_]*(\d+[a-z]?)", "k"),
+    ("Schubert", r"(?<![A-Za-z])D\.[\s_]*(\d+)", "d"),
+    ("Liszt", r"(?<![A-Za-z])S\.[\s_]*(\d+)", "s"),
+    ("Debussy", r"(?<![A-Za-z])L\.[\s_]*(\d+)", "l"),
+    ("Scarlatti", r"(?<![A-Za-z])K\.[\s_]*(\d+)", "k"),
+)
+HAYDN = r"Hob\.[\s_]*(XVI+)[:.]?(\d+)"
+OPUS = r"(?i)(?<![A-Za-z])Op\.[\s_]*(\d+[a-z]?)(?:[\s_,]*No\.[\s_]*(\d+))?"
+WOO = r"(?i)(?<![A-Za-z])WoO[\s_.]*(\d+)"
+MULTI_MOVEMENT = r"(?i)Sonat|Concert|Suite|Partita|Symphon|Fantasie_in"
+CATALOGUE_RANGE = (
+    r"(?i)(?<![A-Za-z])(op|bwv|k|d|s|l|woo)\.?[\s_.]*\d+[a-z]?[\s_]*-[\s_]*\d+"
+)
+CATALOGUE_TOKEN = (
+    r"(?<![A-Za-z])(op|bwv|k|d|s|l|woo|hob)\.?[\s_.]*((?:[ivxlc]+[:.]?[\s_]*)?\d+[a-z]?)"
+)
+NUMBER_TOKEN = r"(?<![A-Za-z])no\.?[\s_]*(\d+)"
+CANON_SUFFIX = r"_(mv\d+(?:to\d+)?|prelude|fugue)$"
+# fixed values: genres without a validated phrase source, in this order
+UNTESTED_GENRES = (("nocturne", "nocturne"), ("waltz", "waltz"), ("valse", "waltz"))
+
+
+def _accent_map() -> tuple[str, str]:
+    """Every BMP letter whose compatibility decomposition is one ASCII character."""
+    src, dst = [], []
+    for cp in range(0xA0, 0x2000):
+        c = chr(cp)
+        base = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode("ascii")
+        if len(base) == 1:
+            src.append(c)
+            dst.append(base)
+    return "".join(src), "".join(dst)
+
+
+_FROM, _TO = _accent_map()
+
+
+def fold_accents(s: Column) -> Column:
+    """ASCII folding: accented letters lose their accents, other non-ASCII characters go."""
+    return F.regexp_replace(F.translate(s, _FROM, _TO), r"[^\x00-\x7F]", "")
+
+
+def slug(s: Column) -> Column:
+    return F.regexp_replace(F.lower(fold_accents(s)), "[^a-z0-9]+", "")
+
+
+def make_piece_id(
+    composer: Column, catalogue: Column, number: Column | None = None,
+    movement: Column | None = None,
+) -> Column:
+    """``composer_catalogue[_no<n>][_mv<k>]``; a movement word (``fugue``) is kept as it is."""
+    none = F.lit(None).cast("string")
+    n = none if number is None else F.when(number != "", F.concat(F.lit("no"), slug(number)))
+    mv = none
+    if movement is not None:
+        mv = F.when(
+            movement.rlike(r"^\d+$"),
+            F.concat(F.lit("mv"), F.regexp_replace(movement, r"^0+(?=\d)", "")),
+        ).when(movement != "", slug(movement))
+    ok = (slug(composer) != "") & (slug(catalogue) != "")
+    return F.when(ok, F.concat_ws("_", slug(composer), slug(catalogue), n, mv))
+
+
+def prefixed_piece_id(dataset: str, *parts: Column) -> Column:
+    """Fallback id: data set and the non-empty local parts."""
+    p = F.concat_ws("/", *[F.when(c != "", c) for c in parts])
+    return F.concat(F.lit(f"{dataset}:"), p)
+
+
+def _first(s: Column, pattern: str, group: int = 1) -> Column:
+    x = F.regexp_extract(s, pattern, group)
+    return F.when(x != "", x)
+
+
+def with_catalogue_piece_id(
+    df: DataFrame, dataset: str, composer: str, composition: str, movement: str,
+    name: str = "piece_id",
+) -> DataFrame:
+    """Add the canonical id when a catalogue number is found, else the prefixed id.
+
+    Numbers of a multi-movement form become ``mv``, numbers of a set ``no``; a movement that
+    cannot be numbered, or a merged pair, falls back. Written in steps so that each pattern is
+    evaluated once.
+    """
+    comp, mov = F.col(composition), F.col(movement)
+    c = F.col
+    own = [
+        F.when(c("__sn") == who, F.concat(F.lit(prefix), _first(comp, pattern)))
+        for who, pattern, prefix in COMPOSER_CATALOGUE
+    ]
+    own.append(F.when(c("__sn") == "Haydn", F.concat(
+        F.lit("hob"), _first(comp, HAYDN, 1), _first(comp, HAYDN, 2))))
+    d = df.withColumns({
+        "__sn": F.trim(fold_accents(F.split(c(composer), ",")[0]), F.lit("_ ")),
+        "__op": _first(comp, OPUS, 1), "__opno": _first(comp, OPUS, 2),
+        "__multi": comp.rlike(MULTI_MOVEMENT), "__lead": _first(mov, r"^(\d+)\."),
+        "__bare": _first(mov, r"^No\.[\s_]*(\d+)"),
+        "__bwv": _first(mov, COMPOSER_CATALOGUE[0][1]),
+    })
+    d = d.withColumn("__own", F.coalesce(*own))
+    d = d.withColumns({
+        "__cat": F.coalesce("__own", F.concat(F.lit("op"), "__op"),
+                            F.concat(F.lit("woo"), _first(comp, WOO, 1))),
+        "__num": F.when(c("__own").isNull(), c("__opno")),
+    })
+    has_lead, has_num = c("__lead").isNotNull(), c("__num").isNotNull()
+    fits = (
+        (mov == "") | (has_lead & (c("__multi") | ~has_num))
+        | (~has_lead & c("__bare").isNotNull() & ~has_num))
+    part = F.lower(_first(F.regexp_replace(mov, r"^.*BWV[\s_.]*\d+[a-z]?", ""),
+                          r"(?i)(Prelude|Fugue)"))
+    is_bach = (c("__sn") == "Bach") & c("__bwv").isNotNull()
+    no = F.when(has_num, c("__num")).when(~c("__multi") & has_lead, c("__lead")).when(
+        ~has_lead, c("__bare"))
+    d = d.withColumns({
+        "__cat": F.when(is_bach, F.concat(F.lit("bwv"), "__bwv")).otherwise(c("__cat")),
+        "__no": F.when(~is_bach, no),
+        "__mv": F.when(is_bach, part).otherwise(F.when(c("__multi"), c("__lead"))),
+        "__ok": is_bach | ((c("__sn") != "") & c("__cat").isNotNull()
+                           & ~mov.rlike(r"_-_\d+\.") & fits),
+    })
+    d = d.withColumn(name, F.coalesce(
+        F.when(c("__ok"), make_piece_id(c("__sn"), c("__cat"), c("__no"), c("__mv"))),
+        prefixed_piece_id(dataset, c(composer), comp, mov)))
+    return d.select(*df.columns, name)
+
+
+def performer_id(dataset: str, name: Column, row_id: Column) -> Column:
+    """Known performer, else one id per performance, so that unknowns are never pooled."""
+    n = F.when(F.trim(name) != "", F.regexp_replace(F.trim(name), r"\s+", "_"))
+    return F.coalesce(F.concat(F.lit(f"{dataset}:"), n),
+                      F.concat(F.lit(f"{dataset}:unknown/"), row_id.cast("string")))
+
+
+def work_key(piece_id: Column, composition: Column | None = None) -> Column:
+    """Work a piece belongs to: canonical ids lose a movement suffix, prefixed ids keep
+    ``composer/composition`` only for multi-movement forms."""
+    parts = F.split(F.regexp_replace(piece_id, "^[a-z]+:", ""), "/")
+    comp = composition if composition is not None else F.coalesce(F.get(parts, 1), F.lit(""))
+    prefix = F.regexp_extract(piece_id, "^([a-z]+:)", 1)
+    return (
+        F.when(
+            (prefix != "") & (F.size(parts) >= 3) & comp.rlike(MULTI_MOVEMENT),
+            F.concat(prefix, F.concat_ws("/", F.slice(parts, 1, 2))))
+        .when(prefix != "", piece_id)
+        .otherwise(F.regexp_replace(piece_id, CANON_SUFFIX, ""))
+    )
+
+
+def composer_surname(composer: Column) -> Column:
+    """``Chopin,_Frédéric`` / ``Frederic_Chopin`` -> ``chopin``."""
+    c = F.trim(F.regexp_replace(F.lower(fold_accents(composer)), "_", " "))
+    head = F.when(c.contains(","), F.trim(F.split(c, ",")[0])).otherwise(c)
+    return F.element_at(F.split(head, r"\s+"), -1)
+
+
+def catalogue_tokens(text: Column) -> Column:
+    """Catalogue numbers (``op10``, ``bwv846``) and ``no<n>`` tokens of a title, as a sorted set.
+
+    Ranges such as ``BWV_846-869`` name a collection and are removed first.
+    """
+    t = F.regexp_replace(F.lower(fold_accents(text)), CATALOGUE_RANGE, " ")
+    cat = F.transform(
+        F.regexp_extract_all(t, F.lit(CATALOGUE_TOKEN), F.lit(0)),
+        lambda x: F.regexp_replace(x, r"[\s_.:]", ""))
+    no = F.transform(
+        F.regexp_extract_all(t, F.lit(NUMBER_TOKEN), F.lit(1)),
+        lambda x: F.concat(F.lit("no"), x))
+    return F.array_sort(F.array_distinct(F.concat(cat, no)))
+
+
+def piece_slug(piece_id: Column, keep: int = 80) -> Column:
+    """File-system-safe unique name: a lossy slug gets 8 hex digits of the id's SHA-1."""
+    base = F.regexp_replace(F.lower(fold_accents(piece_id)), "[^a-z0-9]+", "_")
+    base = F.substring(F.trim(base, F.lit("_")), 1, keep)
+    return F.when(piece_id.rlike("^[a-z0-9_]+$"), piece_id).otherwise(
+        F.concat(base, F.lit("_"), F.substring(F.sha1(piece_id), 1, 8)))
+
+
+def pitch_name(midi: Column) -> Column:
+    """Scientific pitch name, 60 = C4; null is ``?``."""
+    names = F.array(*[F.lit(n) for n in PITCH_NAMES])
+    octave = F.floor(midi / 12) - 1
+    return F.when(midi.isNull(), "?").otherwise(F.concat(
+        F.element_at(names, (F.pmod(midi, F.lit(12)) + 1).cast("int")), octave.cast("string")))
+
+
+def staff_hand(staff: Column) -> Column:
+    return F.when(staff == 1, "R").when(staff == 2, "L").otherwise("")
+
+
+def pitch_split_hand(pitch: Column, split: int = MIDDLE_C) -> Column:
+    return F.when(pitch >= split, "R").otherwise("L")
+
+
+def metrical_strength(pos: Column, beats: Column, beat_type: Column) -> Column:
+    """1 / .75 / .5 / .25 / 0 from the place in the bar (micro-beats) and the meter.
+
+    6, 9 and 12 beats of eighths or shorter group in threes.
+    """
+    unit = 1_000_000
+    compound = beats.isin(6, 9, 12) & (beat_type >= 8)
+
+    def on(grid: Column) -> Column:
+        return F.pmod(pos, grid.cast("bigint")) == 0
+
+    strong = (compound & (beats == 12) & on(F.lit(6 * unit))) | (
+        ~compound & (beats == 4) & on(F.lit(2 * unit)))
+    beat = F.when(compound, 3 * unit).otherwise(unit)
+    sub = F.when(compound, unit).otherwise(unit // 2)
+    return (F.when(pos == 0, 1.0).when(strong, 0.75).when(on(beat), 0.5).when(on(sub), 0.25)
+            .otherwise(0.0))
+
+
+def base_note_id(note_id: Column) -> tuple[Column, Column]:
+    """Unfolded id ``n12-2`` as (``n12``, 2); 0 without a pass suffix."""
+    n = F.regexp_extract(note_id, r"-(\d+)$", 1)
+    return F.regexp_replace(note_id, r"-\d+$", ""), F.when(n != "", n.cast("bigint")).otherwise(0)
+
+
+def ramp(pos: Column, start: Column, end: Column) -> Column:
+    """0 at the start of a span rising to 1 at its end; 0 outside."""
+    inside = (end > start) & (pos >= start) & (pos <= end)
+    return F.when(inside, (pos - start) / (end - start)).otherwise(0.0)
+
 
 def pass_label(name: Column, n: Column) -> Column:
     """Printed bar label: the second and later pass gets a suffix, ``12 (2)``."""
     return F.when(n == 1, name).otherwise(F.concat(name, F.lit(" ("), n.cast("string"), F.lit(")")))
+
+
+def span_label(first: Column, last: Column) -> Column:
+    return F.when(first == last, F.concat(F.lit("bar "), first)).otherwise(
+        F.concat(F.lit("bars "), first, F.lit("-"), last))
+
+
+def quick_decision(
+    ratio: Column, partial: Column, whole: Column, n_performed: Column, *, stop: float,
+    partial_stop: float, min_notes: int, short_mode: str = "all",
+) -> Column:
+    """stop / confirm / pass of the quick check; a missing ratio counts as 0."""
+    r = F.coalesce(F.nanvl(ratio, F.lit(0.0)), F.lit(0.0))
+    short = n_performed < min_notes
+    if short_mode == "high":
+        short = short & (r >= partial_stop)
+    return (
+        F.when(~partial | whole, F.when(r < stop, "stop").otherwise("pass"))
+        .when(short, "confirm").when(r < partial_stop, "stop").otherwise("pass"))
+
+
+def clean_text(s: Column) -> Column:
+    """Text without tags, entities, private-use and control characters; tempo words spelled out;
+    empty when no letter or digit is left."""
+    t = F.regexp_replace(s, r"<[^>]*>", "")
+    # fixed values: named entities, the ampersand last so that nothing is decoded twice
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+                         ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
+                         ("&middot;", "·"), ("&amp;", "&")):
+        t = F.replace(t, F.lit(entity), F.lit(char))
+    t = F.regexp_replace(t, r"[\p{Co}\p{Cc}\p{Cf}]", "")
+    t = F.regexp_replace(t, "space", "")
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    t = F.regexp_replace(t, r"\b[Tt]emp(?:o|\.)\s*I\b\.?°?", "Tempo primo")
+    t = F.regexp_replace(t, r"(?i)\b(una|tre|tres)\s+chord([ae])\b", "$1 cord$2")
+    return F.when(t.rlike(r"[\p{L}\p{N}]"), t).otherwise("")
+
+
+def untested_genre(piece_id: Column) -> Column:
+    low = F.lower(piece_id)
+    out = F.when(F.lit(False), "")
+    for key, name in UNTESTED_GENRES:
+        out = out.when(low.contains(key), name)
+    return out.otherwise("")
+
+
+def capture_class(provenance: Column) -> Column:
+    """Sensor-captured or transcribed; synthetic and unknown stand alone."""
+    return F.when(provenance.isin("disklavier", "sensor"), "sensor").otherwise(provenance)

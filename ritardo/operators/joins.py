@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ritardo.operators.matching import range_join
@@ -47,26 +47,42 @@ def restrict_to_score(pairs: DataFrame, keep: DataFrame, keys: Sequence[str]) ->
     return p.where(ok).join(out, [*keys, "p_id"], "left_anti").drop("__in", "__lo", "__hi")
 
 
-def alias_conflicts(held: DataFrame, cand: DataFrame, is_catalogue: Column | None = None
+def alias_conflicts(held: DataFrame, cand: DataFrame, is_catalogue: str | None = None
                     ) -> DataFrame:
     """Candidate pieces that may be held-out music under another id.
 
-    Same surname, a shared catalogue token, and one token set inside the other. Containment is
-    read from counts: the shared tokens are all tokens of one side. ``is_catalogue`` says which
-    ``token`` counts as the shared one (default: not a bare ``no<n>``).
+    Same surname, a shared catalogue token, and one token set inside the other. The inner set is
+    found through its rarest token only, so common tokens never pair up whole corpora.
+    ``is_catalogue`` is the pattern one shared token must match (default: no bare ``no<n>``).
     """
-    cat = is_catalogue if is_catalogue is not None else ~F.col("token").startswith("no")
-
-    def tokens(df: DataFrame, side: str) -> DataFrame:
-        return df.select(
-            "surname", F.col("piece_id").alias(f"{side}_id"), F.size("tokens").alias(f"{side}_n"),
-            F.explode("tokens").alias("token"))
-
-    h, c = tokens(held, "h"), tokens(cand, "c")
-    shared = h.join(c, ["surname", "token"]).where("h_id <> c_id").groupBy(
-        "h_id", "c_id", "h_n", "c_n").agg(
-        F.count("*").alias("n"), F.bool_or(cat).alias("cat"))
-    return shared.where("cat and (n = h_n or n = c_n)").select(
+    both = held.select("surname", F.explode("tokens").alias("token")).unionByName(
+        cand.select("surname", F.explode("tokens").alias("token")))
+    freq = both.groupBy("surname", "token").agg(F.count("*").alias("__f"))
+
+    def rarest(df: DataFrame, side: str) -> DataFrame:
+        t = df.select("surname", F.col("piece_id").alias(f"{side}_id"), "tokens",
+                      F.explode("tokens").alias("token")).join(freq, ["surname", "token"])
+        return t.groupBy("surname", f"{side}_id").agg(
+            F.min_by("token", F.struct("__f", "token")).alias("token"),
+            F.first("tokens").alias(f"{side}_tokens"))
+
+    def all_tokens(df: DataFrame, side: str) -> DataFrame:
+        return df.select("surname", F.col("piece_id").alias(f"{side}_id"),
+                         F.col("tokens").alias(f"{side}_tokens"),
+                         F.explode("tokens").alias("token"))
+
+    def inside(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
+        j = rarest(inner, i).join(all_tokens(outer, o), ["surname", "token"])
+        return j.where(F.size(F.array_except(f"{i}_tokens", f"{o}_tokens")) == 0)
+
+    pairs = inside(held, "h", cand, "c").select("c_id", "h_id", "c_tokens", "h_tokens").unionByName(
+        inside(cand, "c", held, "h").select("c_id", "h_id", "c_tokens", "h_tokens"))
+    shared = F.array_intersect("c_tokens", "h_tokens")
+    if is_catalogue is None:
+        ok = F.size(F.filter(shared, lambda t: ~t.startswith("no"))) > 0
+    else:
+        ok = F.size(F.filter(shared, lambda t: t.rlike(is_catalogue))) > 0
+    return pairs.where((F.col("c_id") != F.col("h_id")) & ok).select(
         F.col("c_id").alias("piece_id"), F.col("h_id").alias("held_piece_id")).distinct()
 
 

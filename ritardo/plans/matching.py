@@ -253,17 +253,19 @@ def restrict_to_score(spark, sf):
 
 
 @query("alias_conflicts", sql("notes", """
-, d AS (SELECT doc_id, source, lang, list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}')) AS toks
+, d AS (SELECT doc_id, source, lang, list_distinct(regexp_extract_all(lower(text), '[a-z]{11,}')) AS toks
   FROM documents),
-h AS (SELECT * FROM d WHERE lang = 'en' AND len(toks) > 0),
-c AS (SELECT * FROM d WHERE lang <> 'en' AND len(toks) > 0)
+h AS (SELECT * FROM d WHERE doc_id IN (SELECT doc_id FROM labels) AND len(toks) > 0),
+c AS (SELECT * FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND len(toks) > 0)
 SELECT DISTINCT c.doc_id AS piece_id, h.doc_id AS held_piece_id FROM h JOIN c ON h.source = c.source
 WHERE list_has_any(h.toks, c.toks) AND (list_has_all(h.toks, c.toks) OR list_has_all(c.toks, h.toks))"""))
 def alias_conflicts(spark, sf):
     d = table(spark, sf, "documents").select(
         F.col("doc_id").alias("piece_id"), F.col("source").alias("surname"), "lang",
-        F.array_distinct(F.expr("regexp_extract_all(lower(text), '[a-z]{9,}', 0)")).alias("tokens"))
-    return J.alias_conflicts(d.where("lang = 'en'"), d.where("lang <> 'en'"), F.lit(True))
+        F.array_distinct(F.expr("regexp_extract_all(lower(text), '[a-z]{11,}', 0)")).alias("tokens"))
+    rated = table(spark, sf, "labels").select(F.col("doc_id").alias("piece_id"))
+    return J.alias_conflicts(d.join(rated, "piece_id", "left_semi"),
+                             d.join(rated, "piece_id", "left_anti"), "^[a-z]+$")
 
 
 @query("best_window", sql("notes", """
@@ -377,8 +379,8 @@ def detection_counts(spark, sf):
 
 
 @query("annotator_agreement", sql("notes", """
-, a AS (SELECT performance_id, k, CAST(value AS INT) % 4 AS c FROM notes WHERE event_type = 'view'),
-b AS (SELECT performance_id, k, CAST(value AS INT) % 4 AS c FROM notes WHERE event_type = 'click'),
+, a AS (SELECT performance_id, k, CAST(floor(value) AS INT) % 4 AS c FROM notes WHERE event_type = 'view'),
+b AS (SELECT performance_id, k, CAST(floor(value) AS INT) % 4 AS c FROM notes WHERE event_type = 'click'),
 m AS (SELECT a.c AS ca, b.c AS cb FROM a JOIN b USING (performance_id, k)),
 n AS (SELECT count(*) AS n, avg((ca = cb)::INT) AS po, avg(abs(ca - cb)) AS wo FROM m),
 fa AS (SELECT ca AS c, count(*) AS f FROM m GROUP BY 1), fb AS (SELECT cb AS c, count(*) AS f FROM m GROUP BY 1),
@@ -388,7 +390,7 @@ SELECT n.n, round((po - pe / (n * n)) / (1 - pe / (n * n)), 9) AS kappa,
   round(1 - wo / (we / (n * n)), 9) AS weighted_kappa FROM n CROSS JOIN e"""))
 def annotator_agreement(spark, sf):
     n = notes(spark, sf).select("performance_id", "k", "event_type",
-                                (F.round("value").cast("int") % 4).alias("c"))
+                                (F.floor("value").cast("int") % 4).alias("c"))
     a = n.where("event_type = 'view'").select("performance_id", "k", F.col("c").alias("ca"))
     b = n.where("event_type = 'click'").select("performance_id", "k", F.col("c").alias("cb"))
     return rnd(J.kappa(a.join(b, ["performance_id", "k"]), "ca", "cb"), 9, "kappa",
