@@ -135,3 +135,51 @@ def rater_parity(
     for c in ("r_rater", "r_model")[: 2 if model else 1]:
         out = out.withColumn(c, F.when(ok, F.col(c)))
     return out
+
+
+def leakage(used: DataFrame, known: DataFrame, held_ids: DataFrame, held_works: DataFrame
+            ) -> DataFrame:
+    """Unknown ids, held-out ids and held-out works among the rows used for training."""
+    a = used.join(known, "id", "left_anti").agg(F.count("*").alias("n_unknown"))
+    b = used.join(held_ids, "id", "left_semi").agg(F.count("*").alias("n_held_out_ids"))
+    c = used.join(held_works, "work", "left_semi").agg(
+        F.countDistinct("work").alias("n_held_out_works"))
+    return a.crossJoin(b).crossJoin(c)
+
+
+def scale_reliability(df: DataFrame, items: Sequence[str]) -> DataFrame:
+    """Cronbach's alpha and the mean absolute inter-item correlation."""
+    k = len(items)
+    total = sum((F.col(c) for c in items[1:]), F.col(items[0]))
+    var = sum((F.var_samp(c) for c in items[1:]), F.var_samp(items[0]))
+    rs = [F.abs(F.corr(a, b)) for i, a in enumerate(items) for b in items[i + 1:]]
+    mean_r = sum(rs[1:], rs[0]) / len(rs)
+    return df.agg(F.count("*").alias("n"),
+                  (F.lit(k / (k - 1)) * (1 - var / F.var_samp(total))).alias("alpha"),
+                  mean_r.alias("mean_abs_r"))
+
+
+def velocity_agreement(df: DataFrame, keys: Sequence[str], ref: str, est: str) -> DataFrame:
+    """Least-squares slope of the estimate on the reference and robust SD of the residual."""
+    from ritardo.operators.quantiles import robust_sd
+
+    fit = df.groupBy(*keys).agg(F.regr_slope(est, ref).alias("slope"),
+                                F.regr_intercept(est, ref).alias("__a"))
+    r = df.join(fit, list(keys)).withColumn(
+        "__r", F.col(est) - F.col("__a") - F.col("slope") * F.col(ref))
+    sd = robust_sd(r, keys, "__r", "resid_rsd").select(*keys, "resid_rsd")
+    return fit.drop("__a").join(sd, list(keys))
+
+
+def rollup_summary(df: DataFrame, key: str, value: str, num: str, other: str) -> DataFrame:
+    """Per group and overall (``ALL``): count, mean, exact median, pooled 2a / (a + b)."""
+    from ritardo.operators.quantiles import exact_quantiles
+
+    cols = [F.col(value).alias("__v"), F.col(num).alias("__a"), F.col(other).alias("__b")]
+    both = df.select(key, *cols).unionByName(df.select(F.lit("ALL").alias(key), *cols))
+    value, num, other = "__v", "__a", "__b"
+    med = exact_quantiles(both, [key], value, {"median_f1": 0.5})
+    s = both.groupBy(key).agg(
+        F.count("*").alias("n"), F.avg(value).alias("mean_f1"),
+        (2 * F.sum(num) / (F.sum(num) + F.sum(other))).alias("pooled"))
+    return s.join(med, key)
