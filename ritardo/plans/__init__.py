@@ -6,7 +6,7 @@ from importlib import import_module
 
 from ritardo.plans.registry import ORACLES, QUERIES
 
-MODULES = ("ordering", "consensus", "matching", "catalog", "evaluation")
+MODULES = ("ordering", "consensus", "matching", "catalog", "evaluation", "music")
 
 
 def _load() -> None:
