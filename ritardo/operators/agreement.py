@@ -17,6 +17,7 @@ from ritardo.functions.stats import pearson
 from ritardo.operators.consensus import loo_mean
 from ritardo.operators.ordered import chunk_of, scan
 from ritardo.operators.quantiles import average_rank, join_on, value_bucket
+from ritardo.session import cut_lineage
 
 RANK_CHUNK = 65536
 
@@ -53,7 +54,7 @@ def pair_counts(df: DataFrame, keys: Sequence[str], t: str, p: str) -> DataFrame
     keys = list(keys)
     d = df.where(F.col(t).isNotNull() & F.col(p).isNotNull()).select(*keys, t, p)
     d = dense_rank_by_value(dense_rank_by_value(d, keys, t, "__rt"), keys, p, "__rp")
-    cells = d.groupBy(*keys, "__rt", "__rp").agg(F.count("*").alias("__c"))
+    cells = cut_lineage(d.groupBy(*keys, "__rt", "__rp").agg(F.count("*").alias("__c")))
     tot = cells.groupBy(*keys).agg(
         F.sum("__c").alias("n"), F.sum(_choose2(F.col("__c"))).alias("__tb"),
         F.max("__rp").alias("__top"))

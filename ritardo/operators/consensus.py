@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ritardo.functions.stats import pearson, tier, tier_rank, tier_name
 from ritardo.operators.quantiles import exact_quantiles, join_on, loo_quantiles, robust_sd
+from ritardo.session import cut_lineage
 
 # fixed values: limits of a bar's errors on clean expert playing
 WRONG_Q95, WRONG_Q99 = 1.0, 2.0
@@ -310,7 +311,7 @@ def mean_curve_share(df: DataFrame, piece: str, pos: str, value: str) -> DataFra
 def shape_distance(df: DataFrame, piece: str, performance: str, pos: str, value: str) -> DataFrame:
     """Distance of each curve to the column median, in units of the median column MAD."""
     c = center(df, [piece, performance], value, "__c")
-    sd = robust_sd(c, [piece, pos], "__c", "__mad")
+    sd = cut_lineage(robust_sd(c, [piece, pos], "__c", "__mad"))
     scale = exact_quantiles(sd, [piece], "__mad", {"__scale": 0.5})
     j = c.join(sd.select(piece, pos, "__mad", "__mad_median"), [piece, pos]).join(scale, piece)
     s = F.when(F.col("__scale") > 1e-12, F.col("__scale")).otherwise(1.0)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ritardo.operators.matching import range_join
 from ritardo.operators.ordered import CHUNK, asof, chunk_of, scan, with_halo
 from ritardo.operators.quantiles import exact_quantiles, robust_sd
+from ritardo.session import cut_lineage
 
 # fixed values: semitone distances of a note above a harmonic source
 HARMONIC_STEPS = (12, 19, 24, 28, 31, 34, 36)
@@ -192,7 +193,7 @@ def hand_synchrony(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
     g = matched.groupBy(*keys, "onset_uq").agg(
         (1000 * (mean("onset_sec", 1) - mean("onset_sec", 2))).alias("async_ms"),
         (mean("velocity", 1) - mean("velocity", 2)).alias("dv"))
-    g = g.where("async_ms is not null and dv is not null")
+    g = cut_lineage(g.where("async_ms is not null and dv is not null"))
     sd = robust_sd(g, keys, "async_ms", "__sd")
     g = g.join(sd, keys)
     inl = (F.col("__sd") <= 0) | (
@@ -213,6 +214,7 @@ def synchrony_summary(onsets: DataFrame, keys: Sequence[str], equal_velocity: fl
                       ) -> DataFrame:
     """Mean, median and robust SD of the asynchrony, slope, and the equal-velocity mean."""
     keys = list(keys)
+    onsets = cut_lineage(onsets)
     eq = F.abs(F.col("dv")) <= equal_velocity
     a = onsets.groupBy(*keys).agg(
         F.count("*").alias("n_onsets"), F.avg("async_ms").alias("mean_ms"),

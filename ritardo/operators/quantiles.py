@@ -27,29 +27,42 @@ def _finite(v: Column) -> Column:
     return v.isNotNull() & ~F.isnan(v)
 
 
+def _value_counts(
+    df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None
+) -> DataFrame:
+    """Distinct values of each group with their counts, bucketed."""
+    v = F.col(value).cast("double")
+    n = F.sum(weight) if weight else F.count("*")
+    return (
+        df.where(_finite(v))
+        .select(*keys, v.alias("__v"), *([weight] if weight else []))
+        .groupBy(*keys, value_bucket(F.col("__v")).alias("__b"), "__v")
+        .agg(n.alias("__m"))
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: Mapping[str, float],
     count: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group with the given quantiles (name -> probability) of ``value``.
 
     A callable in place of a probability picks the order statistic at that 0-based rank,
     as a function of the count column.
     Nulls and NaN are ignored; a group with no value gives no row. ``count`` names an optional
-    column with the number of values.
+    column with the number of values; ``weight`` an optional column of whole-number weights.
     """
     keys = list(keys)
-    v = F.col(value).cast("double")
-    vals = df.where(_finite(v)).select(*keys, v.alias("__v")).withColumn(
-        "__b", value_bucket(F.col("__v"))
-    )
+    # both branches below read this one shuffle, so the input is computed once
+    vals = _value_counts(df, keys, value, weight)
     wk = W.partitionBy(*keys)
     hist = (
         vals.groupBy(*keys, "__b")
-        .agg(F.count("*").alias("__c"))
+        .agg(F.sum("__m").alias("__c"))
         .withColumn("__n", F.sum("__c").over(wk))
         .withColumn("__before", F.sum("__c").over(wk.orderBy("__b")) - F.col("__c"))
     )
@@ -68,11 +81,7 @@ def exact_quantiles(
     for h in holds[1:]:
         any_hold = any_hold | h
     need = hist.where(any_hold).select(*keys, "__b", "__before", "__n")
-    distinct = (
-        vals.join(need, [*keys, "__b"])
-        .groupBy(*keys, "__b", "__v", "__before", "__n")
-        .agg(F.count("*").alias("__m"))
-    )
+    distinct = vals.join(need, [*keys, "__b"])
     wb = W.partitionBy(*keys, "__b").orderBy("__v")
     ranked = distinct.withColumn(
         "__at", F.col("__before") + F.sum("__m").over(wb) - F.col("__m")
@@ -105,13 +114,18 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 def robust_sd(
     df: DataFrame, keys: Sequence[str], value: str, name: str = "robust_sd", scale: float = 1.4826
 ) -> DataFrame:
-    """``1.4826 * median(|x - median(x)|)`` per group, plus the median and the count."""
+    """``1.4826 * median(|x - median(x)|)`` per group, plus the median and the count.
+
+    Works on the distinct values and their counts, so the input is read and shuffled once.
+    """
     keys = list(keys)
-    med = exact_quantiles(df, keys, value, {"__med": 0.5}, count="__n0")
-    dev = join_on(df, med.select(*keys, "__med"), keys, "inner").withColumn(
-        "__dev", F.abs(F.col(value) - F.col("__med"))
+    d = _value_counts(df, keys, value).select(*keys, F.col("__v").alias("__x"), F.col(
+        "__m").alias("__w"))
+    med = exact_quantiles(d, keys, "__x", {"__med": 0.5}, count="__n0", weight="__w")
+    dev = join_on(d, med.select(*keys, "__med"), keys, "inner").withColumn(
+        "__dev", F.abs(F.col("__x") - F.col("__med"))
     )
-    mad = exact_quantiles(dev, keys, "__dev", {"__mad": 0.5})
+    mad = exact_quantiles(dev, keys, "__dev", {"__mad": 0.5}, weight="__w")
     return join_on(med, mad, keys, "inner").select(
         *keys,
         (F.col("__mad") * scale).alias(name),

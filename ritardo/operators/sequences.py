@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ritardo.operators.ordered import CHUNK, asof, chunk_of, islands, scan, with_halo
 from ritardo.operators.quantiles import exact_quantiles
+from ritardo.session import cut_lineage
 
 INDEX_WIDTH = 4096
 """Rows per chunk when a stream is cut by its running row number."""
@@ -338,6 +339,7 @@ def strict_runs(
     ``max_period`` = equal to the pitch set that many onsets before) run as one long table.
     """
     k = [*keys, "staff", "voice", "run_start_uq"]
+    runs = cut_lineage(runs.select(*k, "pos", "pitches"))
     tests = runs.select(*k, "pos", "pitches").withColumn(
         "period", F.explode(F.sequence(F.lit(0), F.lit(max_period)))
     )
@@ -361,7 +363,7 @@ def strict_runs(
         F.col("hi") - F.col("lo") + 1 >= F.greatest(F.lit(min_notes), F.col("period") * 2)
     )
     # union of covered onsets, then runs of covered onsets
-    cover = spans.select(
+    cover = cut_lineage(spans).select(
         *k, (F.col("period") == 0).alias("mono"), F.explode(F.sequence("lo", "hi")).alias("pos")
     ).groupBy(*k, "pos").agg(
         F.bool_or("mono").alias("mono"), F.bool_or(~F.col("mono")).alias("figure")
