@@ -34,7 +34,7 @@ def dense_rank_by_value(df: DataFrame, keys: Sequence[str], value: str, name: st
     """0-based dense rank inside the group, from the distinct values cut into value buckets."""
     keys = list(keys)
     v = F.col(value).cast("double")
-    d = df.select(*keys, v.alias("__v")).distinct().withColumn("__b", value_bucket(F.col("__v")))
+    d = df.select(*keys, v.alias("__v")).distinct().withColumn("__b", value_bucket("__v"))
     n = d.groupBy(*keys, "__b").agg(F.count("*").alias("__c"))
     n = n.withColumn("__base", F.sum("__c").over(W.partitionBy(*keys).orderBy("__b")) - F.col(
         "__c"))

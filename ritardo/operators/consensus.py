@@ -119,9 +119,7 @@ def expert_limits_order_statistic(
     def need(n: Column) -> Column:
         return F.ceil(F.lit(q99) * (n + 1) - 1e-9)
 
-    def rank(n: Column) -> Column:
-        return F.least(need(n), n) - 1
-
+    rank = f"least(ceil({q99!r}D * (__n + 1) - 1e-9D), __n) - 1"
     w = exact_quantiles(b, keys, "n_wrong_pitch", {"wrong_q95": q95, "wrong_q99": rank},
                         count="n_experts")
     m = exact_quantiles(b, keys, "__me", {"me_q95": q95, "me_q99": rank})

@@ -53,7 +53,7 @@ def count_at_or_below(
     r = refs.groupBy(*keys, F.col(value).alias("__v")).agg(
         F.count("*").alias("__r")).withColumn("__s", F.lit(side))
     u = t.unionByName(r, allowMissingColumns=True)
-    u = scan(u, keys, ["__v", "__s"], value_bucket(F.col("__v")), __cum=("sum", "__r"))
+    u = scan(u, keys, ["__v", "__s"], value_bucket("__v"), __cum=("sum", "__r"))
     # rows of equal value and side: the running sum of targets adds nothing, so order is free
     return u.where(F.col("__t").isNotNull()).select(
         *keys, *[F.col(f"__t.{c}").alias(c) for c in cols], F.col("__cum").alias(name))

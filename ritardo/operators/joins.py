@@ -229,3 +229,41 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return n.crossJoin(same).crossJoin(we).select(
         "n", ((F.col("po") - F.col("pe") / nn) / (1 - F.col("pe") / nn)).alias("kappa"),
         (1 - F.col("wo") / (F.col("we") / nn)).alias("weighted_kappa"))
+
+
+def event_note_rows(
+    score: DataFrame, played: DataFrame, keys: Sequence[str], event: str
+) -> DataFrame:
+    """Note rows of paired events: equal pitches match one to one, the rest are deletions and
+    insertions. The n-th note of a pitch on one side meets the n-th on the other."""
+    from pyspark.sql import Window as W
+
+    k = [*keys, event, "pitch"]
+
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        w = W.partitionBy(*k).orderBy("note_id")  # one pitch of one event
+        return df.select(*k, F.col("note_id").alias(name), F.row_number().over(w).alias("__r"))
+
+    j = numbered(score, "s_id").join(numbered(played, "p_id"), [*k, "__r"], "full")
+    lab = F.when(F.col("p_id").isNull(), "deletion").when(
+        F.col("s_id").isNull(), "insertion").otherwise("match")
+    return j.select(*keys, event, lab.alias("label"), "s_id", "p_id")
+
+
+def choose_reading(
+    readings: DataFrame, matches: DataFrame, keys: Sequence[str], top: int = 6
+) -> DataFrame:
+    """Best reading by Dice ratio 2m / (s + p) among the ``top`` nearest in note count.
+
+    ``readings``: keys, ``reading``, ``n_score``, ``n_played``; ``matches``: keys, ``reading``,
+    ``n_match``. A performance has few readings, so the top list stays small.
+    """
+    keys = list(keys)
+    gap = F.abs(F.col("n_score") - F.col("n_played"))
+    near = readings.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct(
+        gap.alias("gap"), "reading", "n_score", "n_played"))), 1, top).alias("r"))
+    c = near.select(*keys, F.inline("r")).join(matches, [*keys, "reading"], "left")
+    dice = 2 * F.coalesce("n_match", F.lit(0)) / (F.col("n_score") + F.col("n_played"))
+    best = c.withColumn("dice", dice).groupBy(*keys).agg(
+        F.min(F.struct((-F.col("dice")).alias("d"), "reading")).alias("b"))
+    return best.select(*keys, F.col("b.reading").alias("reading"), (-F.col("b.d")).alias("dice"))

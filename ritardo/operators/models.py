@@ -58,3 +58,48 @@ def bradley_terry(
     mean = s.agg(F.avg("s").alias("m"))
     return s.crossJoin(F.broadcast(mean)).select(
         F.col("i").alias("item"), (F.col("s") - F.col("m")).alias("strength"))
+
+
+def logistic_fit(
+    df: DataFrame, xs: list[str], y: str, cluster: str, *, ridge: float = 1e-6, tol: float = 1e-9,
+    max_iter: int = 50,
+) -> DataFrame:
+    """Binomial logit by iteratively reweighted least squares with cluster-robust errors (CR1).
+
+    Every iteration is one aggregation of the score and information sums (a p x p matrix);
+    only those sums reach the driver. The meat of the covariance sums scores per cluster first.
+    """
+    import numpy as np
+
+    cols = ["1D", *[f"`{x}`" for x in xs]]
+    p = len(cols)
+    beta = np.zeros(p)
+
+    def eta() -> str:
+        return " + ".join(f"({float(b)!r}D) * {c}" for b, c in zip(beta, cols, strict=True))
+
+    for _ in range(max_iter):
+        mu = f"(1D / (1D + exp(-({eta()}))))"
+        d = df.selectExpr(*[f"{c} as x{i}" for i, c in enumerate(cols)], f"`{y}` - {mu} as r",
+                          f"{mu} * (1D - {mu}) as w")
+        row = d.agg(
+            *[F.expr(f"sum(r * x{i}) as g{i}") for i in range(p)],
+            *[F.expr(f"sum(w * x{i} * x{j}) as h{i}_{j}") for i in range(p) for j in range(i, p)],
+        ).first()
+        g = np.array([row[f"g{i}"] for i in range(p)]) - ridge * beta
+        h = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+        step = np.linalg.solve(h + ridge * np.eye(p), g)
+        beta = beta + step
+        if np.abs(step).max() < tol:
+            break
+    mu = f"(1D / (1D + exp(-({eta()}))))"
+    sc = df.groupBy(cluster).agg(*[F.expr(f"sum((`{y}` - {mu}) * {c}) as s{i}")
+                                   for i, c in enumerate(cols)])
+    m = sc.agg(F.count("*").alias("k"), *[
+        F.expr(f"sum(s{i} * s{j}) as m{i}_{j}") for i in range(p) for j in range(i, p)]).first()
+    meat = np.array([[m[f"m{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+    inv = np.linalg.inv(h + ridge * np.eye(p))
+    cov = inv @ meat @ inv * m["k"] / max(m["k"] - 1, 1)
+    rows = [(n, float(b), float(s)) for n, b, s in zip(
+        ["intercept", *xs], beta, np.sqrt(np.diag(cov)), strict=True)]
+    return df.sparkSession.createDataFrame(rows, "term string, coef double, se double")

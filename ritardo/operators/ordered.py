@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
@@ -24,22 +23,42 @@ CHUNK = "__chunk"
 
 def chunk_of(pos: Column | str, width: int) -> Column:
     """Chunk number of an integer position."""
-    c = F.col(pos) if isinstance(pos, str) else pos
-    return F.floor(c / F.lit(float(width))).cast("bigint")
+    if isinstance(pos, str):
+        return F.expr(f"cast(floor(`{pos}` / {float(width)!r}D) as bigint)")
+    return F.floor(pos / F.lit(float(width))).cast("bigint")
 
 
 def _parts(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
     return df.withColumn(CHUNK, chunk).repartition(*keys, CHUNK)
 
 
-def _order(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order])
+def _list(cols: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in cols)
 
 
 def _join_carry(left: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(carry, [*keys, CHUNK], "left")
 
 
+# kind -> (chunk summary, carry over the summaries, value inside the chunk, combination); {v} the
+# column, {o} the order struct, {s} summary, {c} carry, {x} inside, {w} windows by name
+_FOLD = ("{f}({v})", "{f}({s}) over {before}", "{f}({v}) over {up}")
+_KINDS = {
+    "sum": (*(t.replace("{f}", "sum") for t in _FOLD), "coalesce({x} + {c}, {x}, {c})"),
+    "max": (*(t.replace("{f}", "max") for t in _FOLD), "greatest({x}, {c})"),
+    "min": (*(t.replace("{f}", "min") for t in _FOLD), "least({x}, {c})"),
+    "last": ("max_by({v}, case when {v} is not null then {o} end)",
+             "last({s}, true) over {before}", "last({v}, true) over {up}", "coalesce({x}, {c})"),
+    "next": ("min_by({v}, case when {v} is not null then {o} end)",
+             "first({s}, true) over {after}", "first({v}, true) over {down}",
+             "coalesce({x}, {c})"),
+    "prev": ("max_by(struct({v} as v), {o})", "lag({s}) over {chunks}",
+             "lag(struct({v} as v)) over {rows}", "coalesce({x}, {c}).v"),
+    "lead": ("min_by(struct({v} as v), {o})", "lead({s}) over {chunks}",
+             "lead(struct({v} as v)) over {rows}", "coalesce({x}, {c}).v"),
+}
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -56,54 +75,34 @@ def scan(
     """
     keys, order = list(keys), list(order)
     parts = _parts(df, keys, chunk)
-    wk = W.partitionBy(*keys, CHUNK).orderBy(*order)
-    up = wk.rowsBetween(W.unboundedPreceding, W.currentRow)
-    down = wk.rowsBetween(W.currentRow, W.unboundedFollowing)
-    wc = W.partitionBy(*keys).orderBy(CHUNK)
-    before = wc.rowsBetween(W.unboundedPreceding, -1)
-    after = wc.rowsBetween(1, W.unboundedFollowing)
-    o = _order(order)
-
+    rows = f"partition by {_list([*keys, CHUNK])} order by {_list(order)}"
+    chunks = f"partition by {_list(keys)} order by `{CHUNK}`"
+    names = {
+        "o": f"struct({_list(order)})", "rows": f"({rows})", "chunks": f"({chunks})",
+        "up": f"({rows} rows between unbounded preceding and current row)",
+        "down": f"({rows} rows between current row and unbounded following)",
+        "before": f"({chunks} rows between unbounded preceding and 1 preceding)",
+        "after": f"({chunks} rows between 1 following and unbounded following)",
+    }
     summary, carry, local, final = [], [], [], []
     for name, (kind, col) in outputs.items():
-        s, c, x = f"__s_{name}", f"__c_{name}", f"__l_{name}"
-        v = F.col(col)
-        if kind in ("sum", "max", "min"):
-            f = {"sum": F.sum, "max": F.max, "min": F.min}[kind]
-            summary.append(f(v).alias(s))
-            carry.append(f(s).over(before).alias(c))
-            local.append((x, f(v).over(up)))
-            if kind == "sum":
-                both = F.coalesce(F.col(x) + F.col(c), F.col(x), F.col(c))
-            else:
-                both = (F.greatest if kind == "max" else F.least)(x, c)
-            final.append((name, both))
-        elif kind == "last":
-            summary.append(F.max_by(v, F.when(v.isNotNull(), o)).alias(s))
-            carry.append(F.last(s, ignorenulls=True).over(before).alias(c))
-            local.append((x, F.last(v, ignorenulls=True).over(up)))
-            final.append((name, F.coalesce(x, c)))
-        elif kind == "next":
-            summary.append(F.min_by(v, F.when(v.isNotNull(), o)).alias(s))
-            carry.append(F.first(s, ignorenulls=True).over(after).alias(c))
-            local.append((x, F.first(v, ignorenulls=True).over(down)))
-            final.append((name, F.coalesce(x, c)))
-        elif kind in ("prev", "lead"):
-            pick = F.max_by if kind == "prev" else F.min_by
-            step = F.lag if kind == "prev" else F.lead
-            boxed = F.struct(v.alias("v"))
-            summary.append(pick(boxed, o).alias(s))
-            carry.append(step(s).over(wc).alias(c))
-            local.append((x, step(boxed).over(wk)))
-            final.append((name, F.coalesce(F.col(x), F.col(c))["v"]))
-        else:
+        if kind not in _KINDS:
             raise ValueError(f"unknown scan kind {kind!r}")
-
-    carries = parts.groupBy(*keys, CHUNK).agg(*summary).select(*keys, CHUNK, *carry)
-    rows = parts.withColumns(dict(local))
-    out = _join_carry(rows, carries, keys).withColumns(dict(final))
-    drop = [x for x, _ in local] + [f"__c_{n}" for n in outputs] + [CHUNK]
-    return out.drop(*drop)
+        s, c, x = f"`__s_{name}`", f"`__c_{name}`", f"`__l_{name}`"
+        fill = {**names, "v": f"`{col}`", "s": s, "c": c, "x": x}
+        one, over, inside, both = (t.format(**fill) for t in _KINDS[kind])
+        summary.append(f"{one} as {s}")
+        carry.append(f"{over} as {c}")
+        local.append(f"{inside} as {x}")
+        final.append(f"{both} as `{name}`")
+    key_list = [f"`{k}`" for k in [*keys, CHUNK]]
+    carries = (
+        parts.groupBy(*keys, CHUNK).agg(*[F.expr(e) for e in summary])
+        .selectExpr(*key_list, *carry)
+    )
+    joined = _join_carry(parts.selectExpr("*", *local), carries, keys)
+    keep = [f"`{c}`" for c in df.columns if c not in outputs]
+    return joined.selectExpr(*keep, *final)
 
 
 def islands(
@@ -120,46 +119,35 @@ def islands(
     ``breaks(prev, cur)`` says whether a row starts a new run, given accessors for the columns
     named in ``uses`` of the row before and of this row. The first row of a key starts run 1.
     """
-    keys, order, uses = list(keys), list(order), list(uses)
+    keys, order = list(keys), list(order)
     parts = _parts(df, keys, chunk)
-    wk = W.partitionBy(*keys, CHUNK).orderBy(*order)
-    up = wk.rowsBetween(W.unboundedPreceding, W.currentRow)
-    wc = W.partitionBy(*keys).orderBy(CHUNK)
-    box = F.struct(*[F.col(c).alias(c) for c in uses])
+    rows_w = f"partition by {_list([*keys, CHUNK])} order by {_list(order)}"
+    chunks_w = f"partition by {_list(keys)} order by `{CHUNK}`"
+    o, box = f"struct({_list(order)})", f"struct({_list(uses)})"
 
-    def acc(name_: str) -> Callable[[str], Column]:
-        return lambda c: F.col(f"{name_}.{c}")
+    def acc(side: str) -> Callable[[str], Column]:
+        return lambda c: F.col(f"{side}.{c}")
 
-    rows = parts.withColumns({"__cur": box, "__prev": F.lag(box).over(wk)})
-    start = F.when(F.col("__prev").isNull(), F.lit(0)).otherwise(
-        F.when(breaks(acc("__prev"), acc("__cur")), 1).otherwise(0)
-    )
+    is_break = F.when(breaks(acc("__prev"), acc("__cur")), 1).otherwise(0)
+    start = F.when(F.col("__prev").isNull(), 0).otherwise(is_break)
+    opens = F.when(F.col("__prev").isNull(), 1).otherwise(is_break)
+    rows = parts.selectExpr("*", f"{box} as __cur", f"lag({box}) over ({rows_w}) as __prev")
     rows = rows.withColumn("__start", start)
     ends = (
         rows.groupBy(*keys, CHUNK)
-        .agg(
-            F.min_by("__cur", _order(order)).alias("__cur"),
-            F.max_by("__cur", _order(order)).alias("__last"),
-            F.sum("__start").alias("__inside"),
-        )
-        .withColumn("__prev", F.lag("__last").over(wc))
-        .withColumn(
-            "__open",
-            F.when(F.col("__prev").isNull(), 1).otherwise(
-                F.when(breaks(acc("__prev"), acc("__cur")), 1).otherwise(0)
-            ),
-        )
-        .withColumn(
-            "__base",
-            F.sum(F.col("__open") + F.col("__inside")).over(wc) - F.col("__inside"),
-        )
-        .select(*keys, CHUNK, "__base")
-    )
-    rows = rows.withColumn("__local", F.sum("__start").over(up))
-    out = _join_carry(rows, ends, keys).withColumn(
-        name, (F.col("__base") + F.col("__local")).cast("bigint")
+        .agg(F.expr(f"min_by(__cur, {o}) as __cur"), F.expr(f"max_by(__cur, {o}) as __last"),
+             F.expr("sum(__start) as __inside"))
+        .selectExpr("*", f"lag(__last) over ({chunks_w}) as __prev")
+        .withColumn("__open", opens)
+        .selectExpr(
+            *[f"`{k}`" for k in [*keys, CHUNK]],
+            f"sum(__open + __inside) over ({chunks_w}) - __inside as __base")
     )
-    return out.drop("__cur", "__prev", "__start", "__local", "__base", CHUNK)
+    rows = rows.selectExpr("*", f"sum(__start) over ({rows_w} rows between unbounded preceding"
+                           " and current row) as __local")
+    keep = [f"`{c}`" for c in df.columns if c != name]
+    return _join_carry(rows, ends, keys).selectExpr(
+        *keep, f"cast(__base + __local as bigint) as `{name}`")
 
 
 def with_halo(
@@ -203,24 +191,15 @@ def asof(
     """
     keys, values = list(keys), list(values)
     side_right = 0 if (direction == "backward") != strict else 1
-    packed = F.struct(F.col(right_pos).alias(right_pos), *[F.col(v).alias(v) for v in values])
     payload = [c for c in left.columns if c not in keys]
-    l2 = left.select(
-        *keys,
-        F.col(left_pos).alias("__pos"),
-        F.lit(1 - side_right).alias("__side"),
-        F.lit(None).cast("bigint").alias("__tie"),
-        F.struct(*payload).alias("__left"),
-    )
-    r2 = right.select(
-        *keys,
-        F.col(right_pos).alias("__pos"),
-        F.lit(side_right).alias("__side"),
-        (F.col(right_tie).cast("bigint") if right_tie else F.lit(None).cast("bigint")).alias(
-            "__tie"
-        ),
-        packed.alias("__right"),
-    )
+    key_list = [f"`{k}`" for k in keys]
+    l2 = left.selectExpr(
+        *key_list, f"`{left_pos}` as __pos", f"{1 - side_right} as __side",
+        "cast(null as bigint) as __tie", f"struct({_list(payload)}) as __left")
+    tie = f"cast(`{right_tie}` as bigint)" if right_tie else "cast(null as bigint)"
+    r2 = right.selectExpr(
+        *key_list, f"`{right_pos}` as __pos", f"{side_right} as __side", f"{tie} as __tie",
+        f"struct({_list([right_pos, *values])}) as __right")
     both = l2.unionByName(r2, allowMissingColumns=True)
     kind = "last" if direction == "backward" else "next"
     hit = scan(
@@ -229,10 +208,10 @@ def asof(
         ["__pos", "__side", "__tie"],
         chunk_of("__pos", width),
         __hit=(kind, "__right"),
-    ).where(F.col("__left").isNotNull())
-    return hit.select(
-        *keys,
-        *[F.col(f"__left.{c}").alias(c) for c in payload],
-        F.col(f"__hit.{right_pos}").alias(f"hit_{right_pos}"),
-        *[F.col(f"__hit.{v}").alias(v) for v in values],
+    ).where("__left is not null")
+    return hit.selectExpr(
+        *key_list,
+        *[f"__left.`{c}` as `{c}`" for c in payload],
+        f"__hit.`{right_pos}` as `hit_{right_pos}`",
+        *[f"__hit.`{v}` as `{v}`" for v in values],
     )

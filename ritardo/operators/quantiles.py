@@ -4,6 +4,8 @@
 first counted per ``(group, value bucket)`` with map-side combine; the bucket counts show which
 buckets hold the wanted ranks and only those rows are ranked. Results are exact (linear
 interpolation between order statistics).
+
+Expressions are written as SQL text: a column object costs a round trip to the JVM per operator.
 """
 
 from __future__ import annotations
@@ -11,33 +13,41 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKETS_PER_E = 512.0
 
 
-def value_bucket(v: Column) -> Column:
+def value_bucket_sql(v: str) -> str:
     """A non-decreasing integer function of a double: log-spaced on both sides of zero."""
-    mag = F.floor(F.ln(F.abs(v)) * BUCKETS_PER_E).cast("bigint") + F.lit(1 << 20)
-    return F.when(v == 0, F.lit(0)).when(v > 0, mag).otherwise(-mag).cast("bigint")
+    mag = f"(cast(floor(ln(abs({v})) * {BUCKETS_PER_E}D) as bigint) + 1048576L)"
+    return f"(case when {v} = 0 then 0L when {v} > 0 then {mag} else -{mag} end)"
+
+
+def value_bucket(v: str) -> Column:
+    return F.expr(value_bucket_sql(f"`{v}`"))
+
+
+def _list(cols: Sequence[str]) -> list[str]:
+    return [f"`{c}`" for c in cols]
 
 
-def _finite(v: Column) -> Column:
-    return v.isNotNull() & ~F.isnan(v)
+def _over(keys: Sequence[str], order: str | None = None) -> str:
+    part = f"partition by {', '.join(_list(keys))}" if keys else ""
+    return f"over ({part}{f' order by {order}' if order else ''})"
 
 
 def _value_counts(
     df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None
 ) -> DataFrame:
     """Distinct values of each group with their counts, bucketed."""
-    v = F.col(value).cast("double")
-    n = F.sum(weight) if weight else F.count("*")
+    keep = [f"`{weight}`"] if weight else []
+    n = f"sum(`{weight}`) as __m" if weight else "count(*) as __m"
     return (
-        df.where(_finite(v))
-        .select(*keys, v.alias("__v"), *([weight] if weight else []))
-        .groupBy(*keys, value_bucket(F.col("__v")).alias("__b"), "__v")
-        .agg(n.alias("__m"))
+        df.selectExpr(*_list(keys), f"cast(`{value}` as double) as __v", *keep)
+        .where("__v is not null and not isnan(__v)")
+        .groupBy(*keys, value_bucket("__v").alias("__b"), "__v")
+        .agg(F.expr(n))
     )
 
 
@@ -45,65 +55,55 @@ def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    probs: Mapping[str, float],
+    probs: Mapping[str, float | str],
     count: str | None = None,
     weight: str | None = None,
 ) -> DataFrame:
     """One row per group with the given quantiles (name -> probability) of ``value``.
 
-    A callable in place of a probability picks the order statistic at that 0-based rank,
-    as a function of the count column.
-    Nulls and NaN are ignored; a group with no value gives no row. ``count`` names an optional
-    column with the number of values; ``weight`` an optional column of whole-number weights.
+    A text in place of a probability picks the order statistic at that 0-based rank, as SQL over
+    the count ``__n``. Nulls and NaN are ignored; a group with no value gives no row. ``count``
+    names an optional column with the number of values; ``weight`` an optional column of
+    whole-number weights.
     """
     keys = list(keys)
     # both branches below read this one shuffle, so the input is computed once
     vals = _value_counts(df, keys, value, weight)
-    wk = W.partitionBy(*keys)
     hist = (
-        vals.groupBy(*keys, "__b")
-        .agg(F.sum("__m").alias("__c"))
-        .withColumn("__n", F.sum("__c").over(wk))
-        .withColumn("__before", F.sum("__c").over(wk.orderBy("__b")) - F.col("__c"))
-    )
-
-    def rank(q, up: bool) -> Column:
-        if callable(q):
-            return q(F.col("__n")).cast("bigint")
-        h = (F.col("__n") - 1) * F.lit(float(q))
-        return (F.ceil(h) if up else F.floor(h)).cast("bigint")
-
-    wanted = [rank(q, up) for q in probs.values() for up in (False, True)]
-    holds = [
-        (F.col("__before") <= r) & (r < F.col("__before") + F.col("__c")) for r in wanted
-    ]
-    any_hold = holds[0]
-    for h in holds[1:]:
-        any_hold = any_hold | h
-    need = hist.where(any_hold).select(*keys, "__b", "__before", "__n")
-    distinct = vals.join(need, [*keys, "__b"])
-    wb = W.partitionBy(*keys, "__b").orderBy("__v")
-    ranked = distinct.withColumn(
-        "__at", F.col("__before") + F.sum("__m").over(wb) - F.col("__m")
+        vals.groupBy(*keys, "__b").agg(F.expr("sum(__m) as __c"))
+        .selectExpr(
+            "*", f"sum(__c) {_over(keys)} as __n",
+            f"sum(__c) {_over(keys, '__b')} - __c as __before")
     )
-    aggs = [F.max("__n").alias("__n")]
-    for name, q in probs.items():
-        for side, up in (("lo", False), ("hi", True)):
-            r = rank(q, up)
-            here = (F.col("__at") <= r) & (r < F.col("__at") + F.col("__m"))
-            aggs.append(F.max(F.when(here, F.col("__v"))).alias(f"__{side}_{name}"))
-    out = ranked.groupBy(*keys).agg(*aggs)
-    cols = []
+    ranks: dict[str, tuple[str, str]] = {}
     for name, q in probs.items():
-        if callable(q):
-            cols.append(F.col(f"__lo_{name}").alias(name))
-            continue
-        h = (F.col("__n") - 1) * F.lit(float(q))
-        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        cols.append((lo + (hi - lo) * (h - F.floor(h))).alias(name))
+        if isinstance(q, str):
+            ranks[name] = (f"cast({q} as bigint)",) * 2
+        else:
+            h = f"(__n - 1) * {float(q)!r}D"
+            ranks[name] = (f"cast(floor({h}) as bigint)", f"cast(ceil({h}) as bigint)")
+    wanted = ", ".join(dict.fromkeys(r for pair in ranks.values() for r in pair))
+    need = hist.where(
+        f"exists(array({wanted}), r -> r >= __before and r < __before + __c)"
+    ).selectExpr(*_list(keys), "__b", "__before", "__n")
+    ranked = vals.join(need, [*keys, "__b"]).selectExpr(
+        *_list(keys), "__v", "__n", "__m",
+        f"__before + sum(__m) {_over([*keys, '__b'], '__v')} - __m as __at")
+    aggs, cols = ["max(__n) as __n"], []
+    for name, (lo, hi) in ranks.items():
+        for side, r in (("lo", lo), ("hi", hi)):
+            aggs.append(f"max(case when {r} >= __at and {r} < __at + __m then __v end)"
+                        f" as `__{side}_{name}`")
+        if isinstance(probs[name], str):
+            cols.append(f"`__lo_{name}` as `{name}`")
+        else:
+            h = f"(__n - 1) * {float(probs[name])!r}D"
+            cols.append(f"`__lo_{name}` + (`__hi_{name}` - `__lo_{name}`) * ({h} - floor({h}))"
+                        f" as `{name}`")
     if count:
-        cols.append(F.col("__n").cast("bigint").alias(count))
-    return out.select(*keys, *cols)
+        cols.append(f"cast(__n as bigint) as `{count}`")
+    out = ranked.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+    return out.selectExpr(*_list(keys), *cols)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -119,42 +119,28 @@ def robust_sd(
     Works on the distinct values and their counts, so the input is read and shuffled once.
     """
     keys = list(keys)
-    d = _value_counts(df, keys, value).select(*keys, F.col("__v").alias("__x"), F.col(
-        "__m").alias("__w"))
+    d = _value_counts(df, keys, value).selectExpr(*_list(keys), "__v as __x", "__m as __w")
     med = exact_quantiles(d, keys, "__x", {"__med": 0.5}, count="__n0", weight="__w")
-    dev = join_on(d, med.select(*keys, "__med"), keys, "inner").withColumn(
-        "__dev", F.abs(F.col("__x") - F.col("__med"))
-    )
+    dev = join_on(d, med.select(*keys, "__med"), keys, "inner").selectExpr(
+        *_list(keys), "__w", "abs(__x - __med) as __dev")
     mad = exact_quantiles(dev, keys, "__dev", {"__mad": 0.5}, weight="__w")
-    return join_on(med, mad, keys, "inner").select(
-        *keys,
-        (F.col("__mad") * scale).alias(name),
-        F.col("__med").alias(f"{name}_median"),
-        F.col("__n0").alias(f"{name}_n"),
-    )
+    return join_on(med, mad, keys, "inner").selectExpr(
+        *_list(keys), f"__mad * {scale!r}D as `{name}`", f"__med as `{name}_median`",
+        f"__n0 as `{name}_n`")
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
     """Mid-rank of each row inside its group (ties share the mean rank), from counts per value."""
     keys = list(keys)
-    v = F.col(value).cast("double")
-    by_value = df.where(_finite(v)).groupBy(*keys, v.alias("__v")).agg(F.count("*").alias("__m"))
-    by_value = by_value.withColumn("__b", value_bucket(F.col("__v")))
-    wk = W.partitionBy(*keys).orderBy("__b")
-    base = by_value.groupBy(*keys, "__b").agg(F.sum("__m").alias("__c")).withColumn(
-        "__before", F.sum("__c").over(wk) - F.col("__c")
-    )
-    wb = W.partitionBy(*keys, "__b").orderBy("__v")
-    ranks = (
-        by_value.withColumn("__in", F.sum("__m").over(wb) - F.col("__m"))
-        .join(base.select(*keys, "__b", "__before"), [*keys, "__b"])
-        .select(
-            *keys,
-            "__v",
-            (F.col("__before") + F.col("__in") + (F.col("__m") + 1) / 2.0).alias(name),
-        )
-    )
-    return df.withColumn("__v", v).join(ranks, [*keys, "__v"], "left").drop("__v")
+    by_value = _value_counts(df, keys, value)
+    base = by_value.groupBy(*keys, "__b").agg(F.expr("sum(__m) as __c")).selectExpr(
+        *_list(keys), "__b", f"sum(__c) {_over(keys, '__b')} - __c as __before")
+    ranks = by_value.join(base, [*keys, "__b"]).selectExpr(
+        *_list(keys), "__v",
+        f"__before + sum(__m) {_over([*keys, '__b'], '__v')} - __m + (__m + 1) / 2.0D"
+        f" as `{name}`")
+    return df.withColumn("__v", F.expr(f"cast(`{value}` as double)")).join(
+        ranks, [*keys, "__v"], "left").drop("__v")
 
 
 def loo_quantiles(
@@ -171,33 +157,23 @@ def loo_quantiles(
     enough. Rows whose own value is null see the whole group.
     """
     keys = list(keys)
-
-    def at(q: float, up: bool, step: int):
-        def rank(n: Column) -> Column:
-            h = (n - 2) * F.lit(float(q))
-            r = (F.ceil(h) if up else F.floor(h)) + step
-            return F.greatest(F.least(r, n - 1), F.lit(0))
-
-        return rank
-
-    stats, whole = {}, {}
-    for name, q in probs.items():
-        for up in (False, True):
-            for step in (0, 1):
-                stats[f"__{name}_{int(up)}{step}"] = at(q, up, step)
-        whole[f"__{name}_all"] = q
-    g = exact_quantiles(df, keys, value, {**stats, **whole}, count="__cnt")
-    out = join_on(df, g, keys, "left")
-    x = F.col(value)
-    own = _finite(x.cast("double"))
+    stats: dict[str, float | str] = {}
     cols = []
+    x = f"`{value}`"
+    own = f"({x} is not null and not isnan(cast({x} as double)))"
     for name, q in probs.items():
-        lo = F.when(x > F.col(f"__{name}_00"), F.col(f"__{name}_00")).otherwise(
-            F.col(f"__{name}_01"))
-        hi = F.when(x > F.col(f"__{name}_10"), F.col(f"__{name}_10")).otherwise(
-            F.col(f"__{name}_11"))
-        h = (F.col("__cnt") - 2) * F.lit(float(q))
-        loo = F.when(F.col("__cnt") >= 2, lo + (hi - lo) * (h - F.floor(h)))
-        cols.append(F.when(own, loo).otherwise(F.col(f"__{name}_all")).alias(name))
-    n = F.coalesce(F.col("__cnt") - own.cast("int"), F.lit(0)).cast("bigint")
-    return out.select(*df.columns, *cols, n.alias(count))
+        h = f"(__n - 2) * {float(q)!r}D"
+        for side, r in (("0", f"floor({h})"), ("1", f"ceil({h})")):
+            for step in (0, 1):
+                stats[f"__{name}_{side}{step}"] = f"greatest(least({r} + {step}, __n - 1), 0)"
+        stats[f"__{name}_all"] = q
+        lo, hi = (f"(case when {x} > `__{name}_{s}0` then `__{name}_{s}0`"
+                  f" else `__{name}_{s}1` end)" for s in "01")
+        hc = f"(__cnt - 2) * {float(q)!r}D"
+        cols.append(
+            f"case when not {own} then `__{name}_all` when __cnt >= 2 then"
+            f" {lo} + ({hi} - {lo}) * ({hc} - floor({hc})) end as `{name}`")
+    g = exact_quantiles(df, keys, value, stats, count="__cnt")
+    return join_on(df, g, keys, "left").selectExpr(
+        *_list(df.columns), *cols,
+        f"cast(coalesce(__cnt - cast({own} as int), 0) as bigint) as `{count}`")

@@ -43,5 +43,47 @@ def rank_in_group(df: DataFrame, keys: Sequence[str], value: str, tie: str) -> D
     from ritardo.operators.quantiles import value_bucket
 
     d = df.withColumn("__one", F.lit(1).cast("bigint"))
-    return scan(d, keys, [value, tie], value_bucket(F.col(value)), rank=("sum", "__one")).drop(
+    return scan(d, keys, [value, tie], value_bucket(value), rank=("sum", "__one")).drop(
         "__one")
+
+
+def recurring_errors(
+    errors: DataFrame, place: Sequence[str], key: str, take: str, *, min_takes: int = 2,
+    experts: DataFrame | None = None, min_experts: int = 2,
+) -> DataFrame:
+    """Error keys seen in at least ``min_takes`` takes, minus keys that experts show as well."""
+    k = [*place, key]
+    n = errors.groupBy(*k).agg(F.countDistinct(take).alias("n_takes")).where(
+        F.col("n_takes") >= min_takes)
+    if experts is None:
+        return n
+    e = experts.groupBy(*k).agg(F.countDistinct(take).alias("__n")).where(
+        F.col("__n") >= min_experts)
+    return n.join(e.select(*k), k, "left_anti")
+
+
+def check_status(
+    before: Column, after: Column, n_experts: Column, not_heard: Column, min_refs: int = 5
+) -> Column:
+    """Outcome of the expert check of a bar."""
+    b, a = tier_rank(before), tier_rank(after)
+    return (
+        F.when(not_heard, "not_heard").when(b == 0, "none")
+        .when(n_experts < min_refs, "unchecked").when(a == b, "confirmed")
+        .when(a == 0, "suppressed").otherwise("down_tiered"))
+
+
+def recall_by_bin(
+    df: DataFrame, keys: Sequence[str], value: str, edges: Sequence[float], hit: str
+) -> DataFrame:
+    """Recall per bin of a gap, with the drop to the reference bin (null gap or past the last
+    edge)."""
+    keys = list(keys)
+    b = F.when(F.col(value).isNull() | (F.col(value) >= edges[-1]), len(edges))
+    for i, e in enumerate(edges):
+        b = b.when(F.col(value) < e, i)
+    g = df.groupBy(*keys, b.cast("bigint").alias("bin")).agg(
+        F.count("*").alias("n"), F.avg(F.col(hit).cast("int")).alias("recall"))
+    ref = g.where(F.col("bin") == len(edges)).select(*keys, F.col("recall").alias("__ref"))
+    return g.join(ref, keys, "left").withColumn(
+        "drop", F.col("__ref") - F.col("recall")).drop("__ref")

@@ -155,6 +155,7 @@ def local_ioi(
 def expected_onsets(matched: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     """Monotone score-position -> time knots: median onset per position, then running maximum."""
     med = exact_quantiles(matched, [*keys, "pos_uq"], "onset_us", {"median_us": 0.5})
+    med = cut_lineage(med)
     return scan(
         med, keys, ["pos_uq"], chunk_of("pos_uq", width), knot_us=("max", "median_us")
     )
@@ -197,6 +198,7 @@ def interpolate(
         F.col("__kv").cast("double").alias("__kv"),
         F.coalesce(fwd, end_slope, F.lit(0.0)).alias("__slope"),
     )
+    segs = cut_lineage(segs)
     first = segs.groupBy(*keys).agg(
         F.min_by(F.struct("__kp", "__kv", "__slope"), F.struct("__kp", "__kv")).alias("__first")
     )

@@ -6,7 +6,9 @@ from importlib import import_module
 
 from ritardo.plans.registry import ORACLES, QUERIES
 
-MODULES = ("ordering", "consensus", "matching", "catalog", "evaluation", "music")
+MODULES = (
+    "ordering", "consensus", "matching", "catalog", "evaluation", "music", "shaping",
+)
 
 
 def _load() -> None:
