@@ -353,7 +353,7 @@ def datasets_by_piece(spark, sf):
 
 
 @query("crosswalk_union", """
-SELECT dataset, piece_id, sum(n) AS n_performances FROM (
+SELECT dataset, piece_id, CAST(sum(n) AS BIGINT) AS n_performances FROM (
   SELECT 'docs' AS dataset, lang AS piece_id, count(*) AS n FROM documents GROUP BY 2
   UNION ALL SELECT 'pages', substr(split_part(url, '/', 4), 1, 2), count(*) FROM pages GROUP BY 2
   UNION ALL SELECT 'chat', role, count(*) FROM conversations GROUP BY 2) GROUP BY 1, 2""")
