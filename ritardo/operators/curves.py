@@ -161,3 +161,54 @@ def exclude_references(refs: DataFrame, held: DataFrame) -> DataFrame:
     """Leave out references that are a held performance by either of their ids."""
     a = refs.join(held.select(F.col("id").alias("performance_id")), "performance_id", "left_anti")
     return a.join(held.select(F.col("id").alias("source_id")), "source_id", "left_anti")
+
+
+def heldout_r2_curve(
+    df: DataFrame, group: str, item: str, curve: str, dim: int, ks: Sequence[int], *,
+    n_splits: int = 5, test_share: float = 0.2, seed: int = 0,
+) -> DataFrame:
+    """Share of held-out curves' variance that the first k training components rebuild.
+
+    Every curve falls in one cell: the set of splits that hold it out. One Gram matrix per (group,
+    cell) is enough for all splits, because reconstruction only needs sums of cross products.
+    """
+    from ritardo.functions.draws import uniform
+
+    cell = sum(
+        (F.when(uniform(seed + s, F.col(item)) < test_share, 1 << s).otherwise(0)
+         for s in range(n_splits)), F.lit(0))
+    d = df.select(F.struct(F.col(group).alias("g"), cell.alias("c")).alias("gc"), curve)
+    d = d.select(F.concat_ws("|", F.col("gc.g").cast("string"), F.col("gc.c").cast("string")).alias(
+        "gc"), curve)
+    cells = gram_matrices(d, "gc", curve, dim).select(
+        F.substring_index("gc", "|", 1).alias(group),
+        F.substring_index("gc", "|", -1).cast("int").alias("cell"), "m")
+    # at most 2 ** n_splits cells per group
+    per = cells.groupBy(group).agg(F.collect_list(F.struct("cell", "m")).alias("cells"))
+
+    @F.pandas_udf("array<struct<k:int,r2:double>>")
+    def solve(cells: pd.Series) -> pd.Series:
+        out = []
+        for cs in cells:
+            parts = [(c["cell"], np.asarray(c["m"], float)) for c in cs]
+            acc = np.zeros(len(ks))
+            used = 0
+            for s in range(n_splits):
+                tr = sum((m for c, m in parts if not c >> s & 1), np.zeros(1 + dim + dim * dim))
+                te = sum((m for c, m in parts if c >> s & 1), np.zeros(1 + dim + dim * dim))
+                if tr[0] < 2 or te[0] < 1:
+                    continue
+                mu = tr[1: dim + 1] / tr[0]
+                cov = tr[dim + 1:].reshape(dim, dim) - tr[0] * np.outer(mu, mu)
+                t = te[1: dim + 1]
+                g = te[dim + 1:].reshape(dim, dim) - np.outer(mu, t) - np.outer(
+                    t, mu) + te[0] * np.outer(mu, mu)
+                vec = np.linalg.eigh(cov)[1][:, ::-1]
+                got = np.cumsum(np.einsum("ij,ik,kj->j", vec, g, vec))
+                acc += np.array([got[k - 1] if k else 0.0 for k in ks]) / np.trace(g)
+                used += 1
+            out.append([{"k": int(k), "r2": float(v / used) if used else None}
+                        for k, v in zip(ks, acc, strict=True)])
+        return pd.Series(out)
+
+    return per.select(group, F.inline(solve("cells")))

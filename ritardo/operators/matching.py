@@ -215,7 +215,7 @@ def loo_expected_onsets(
     """
     keys = list(keys)
     at = [*keys, "pos_uq"]
-    med = exact_quantiles(matched, at, "onset_us", {"__m": 0.5})
+    med = cut_lineage(exact_quantiles(matched, at, "onset_us", {"__m": 0.5}))
     knots = scan(med, keys, ["pos_uq"], chunk_of("pos_uq", width), __k=("max", "__m")).select(
         *keys, F.col("pos_uq").alias("__kp"), "__k")
     own = matched.select(*keys, note, F.col("onset_us").cast("double").alias("__own"))
@@ -225,7 +225,7 @@ def loo_expected_onsets(
     grp = matched.select(*keys, note, "pos_uq", F.col("onset_us").cast("double").alias("__own"))
     mates = loo_quantiles(grp, at, "__own", {"__mate": 0.5}).select(*keys, note, "__mate")
     whole = others.join(med, at, "left").select(*keys, note, F.col("__m").alias("__mate"))
-    pts = pts.join(mates.unionByName(whole), [*keys, note], "left")
+    pts = cut_lineage(pts.join(mates.unionByName(whole), [*keys, note], "left"))
     lo = asof(pts, knots, keys, "pos_uq", "__kp", ["__k"], width, strict=True)
     lo = lo.withColumnsRenamed({"hit___kp": "__p0", "__k": "__k0"})
     hi = asof(lo, knots, keys, "pos_uq", "__kp", ["__k"], width, direction="forward",

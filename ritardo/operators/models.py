@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +71,6 @@ def logistic_fit(
     Every iteration is one aggregation of the score and information sums (a p x p matrix);
     only those sums reach the driver. The meat of the covariance sums scores per cluster first.
     """
-    import numpy as np
-
     cols = ["1D", *[f"`{x}`" for x in xs]]
     p = len(cols)
     beta = np.zeros(p)
@@ -103,3 +103,79 @@ def logistic_fit(
     rows = [(n, float(b), float(s)) for n, b, s in zip(
         ["intercept", *xs], beta, np.sqrt(np.diag(cov)), strict=True)]
     return df.sparkSession.createDataFrame(rows, "term string, coef double, se double")
+
+
+def coherence(
+    df: DataFrame, keys: list[str], block: str, xs: list[str], y: str, *, n_folds: int = 5,
+    alphas: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0), min_blocks: int = 3, min_rows: int = 12,
+) -> DataFrame:
+    """Out-of-fold R2 of a ridge of ``y`` on ``xs`` per key, blocks dealt to folds in turn.
+
+    Cross products are summed per (key, fold) by Spark; every fit, the inner choice of the penalty
+    and the held-out error then follow from a few small matrices per key. Undefined (with a
+    reason) below ``min_blocks`` blocks or ``min_rows`` rows.
+    """
+    from ritardo.operators.ordered import chunk_of
+    from ritardo.operators.sequences import running_index
+
+    p = len(xs) + 1
+    blocks = running_index(df.select(*keys, block).distinct(), keys, [block], chunk_of(block, 4096),
+                           "__b")
+    d = df.join(blocks, [*keys, block]).selectExpr(
+        *[f"`{k}`" for k in keys], f"__b % {n_folds} as __f", f"`{block}` as __blk", "1D as v0",
+        *[f"cast(`{x}` as double) as v{i + 1}" for i, x in enumerate(xs)],
+        f"cast(`{y}` as double) as v{p}")
+    cells = ", ".join(f"sum(v{i} * v{j})" for i in range(p + 1) for j in range(p + 1))
+    g = d.groupBy(*keys, "__f").agg(F.expr(f"array({cells}) as m"),
+                                    F.countDistinct("__blk").alias("nb"))
+    per = g.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__f", "m"))).alias("folds"),
+                               F.sum("nb").alias("n_blocks"))
+
+    def fit(m: np.ndarray, alpha: float) -> np.ndarray | None:
+        """Ridge on standardised columns with a free intercept, in original units."""
+        n = m[0, 0]
+        if n < p + 1:
+            return None
+        mu = m[0, 1:p] / n
+        cov = m[1:p, 1:p] / n - np.outer(mu, mu)
+        sd = np.sqrt(np.clip(np.diag(cov), 1e-12, None))
+        cy = (m[1:p, p] / n - mu * m[0, p] / n) / sd
+        b = np.linalg.solve(cov / np.outer(sd, sd) + alpha / n * np.eye(p - 1), cy) / sd
+        return np.concatenate([[m[0, p] / n - mu @ b], b])
+
+    def sse(m: np.ndarray, b: np.ndarray) -> float:
+        return float(m[p, p] - 2 * b @ m[:p, p] + b @ m[:p, :p] @ b)
+
+    @F.pandas_udf("r2 double, n bigint")
+    def solve(folds: pd.Series) -> pd.DataFrame:
+        rows = []
+        for fs in folds:
+            ms = [np.asarray(f["m"], float).reshape(p + 1, p + 1) for f in fs]
+            tot = sum(ms)
+            n, err, ok = tot[0, 0], 0.0, len(ms) >= 2
+            for i in range(len(ms)):
+                rest = [m for j, m in enumerate(ms) if j != i]
+                train, best = sum(rest), None
+                for a in alphas:
+                    inner = 0.0
+                    for h in rest:
+                        b = fit(train - h, a)
+                        inner += sse(h, b) if b is not None else np.inf
+                    if best is None or inner < best[0]:
+                        best = (inner, a)
+                b = fit(train, best[1]) if ok else None
+                ok = b is not None
+                if not ok:
+                    break
+                err += sse(ms[i], b)
+            sst = tot[p, p] - tot[0, p] ** 2 / n
+            rows.append((1 - err / sst if ok and sst > 0 else None, int(n)))
+        return pd.DataFrame(rows, columns=["r2", "n"])
+
+    out = per.select(*keys, "n_blocks", solve("folds").alias("s")).select(
+        *keys, "n_blocks", "s.n", "s.r2")
+    few_b, few_n = F.col("n_blocks") < min_blocks, F.col("n") < min_rows
+    reason = F.when(few_b, "too_few_blocks").when(few_n, "too_few_rows").when(
+        F.col("r2").isNull(), "no_fit")
+    return out.select(*keys, "n_blocks", "n", F.when(~few_b & ~few_n, F.col("r2")).alias("r2"),
+                      reason.alias("reason"))

@@ -563,3 +563,62 @@ def place_in_bars(
     return hit.withColumn("measure_idx", F.when(inside, F.col("measure_idx"))).drop(
         "end_uq", "hit_start_uq"
     )
+
+
+_SLOPES = (
+    "flatten(transform({a}, (p, i) -> transform(slice({a}, i + 2, size({a})),"
+    " q -> (q.t - p.t) / (q.b - p.b))))"
+)
+
+
+def _median_sql(a: str) -> str:
+    """Median of an array; null when it is empty."""
+    s = f"array_sort({a})"
+    n = f"size({a})"
+    return (f"case when {n} > 0 then (element_at({s}, cast(floor(({n} + 1) / 2) as int))"
+            f" + element_at({s}, cast(floor(({n} + 2) / 2) as int))) / 2 end")
+
+
+def gross_outliers(
+    beats: DataFrame, keys: Sequence[str], win: int, width: int, *, gross_us: float = 150_000.0,
+    gross_beats: float = 0.5,
+) -> DataFrame:
+    """Positions that miss both one-sided Theil-Sen predictions by a wide margin.
+
+    ``beats``: keys, ``pos`` and ``time`` (micro-units). Each side uses the positions within
+    ``win``, or the nearest three; with one side only the tolerance doubles. The neighbours come
+    from windows around the position, so no pair outside them is formed.
+    """
+    keys = list(keys)
+    d = beats.selectExpr("*", "struct(pos / 1e6D as b, time / 1e6D as t) as __i")
+    d = running_index(d, keys, ["pos"], chunk_of("pos", width))
+    n = d.groupBy(*keys).agg(F.count("*").alias("__n"))
+    near = with_halo(d, "pos", width, win, win)
+    wr = W.partitionBy(*keys, CHUNK).orderBy("pos").rangeBetween(-win, win)
+    near = near.withColumn("__r", F.collect_list("__i").over(wr)).where("__home").drop(
+        "__home", CHUNK)
+    halo, wi = frame_halo(near, keys, "idx", 3, 3)
+    d = halo.withColumn("__k", F.collect_list("__i").over(wi)).where("__home").drop(
+        "__home", CHUNK).join(n, keys)
+    b = "(pos / 1e6D)"
+    steps = {}
+    for s, op in (("l", "<"), ("g", ">")):
+        steps[f"__{s}"] = (
+            f"case when size(filter(__r, x -> x.b {op} {b})) >= 3 then filter(__r, x -> x.b {op} {b})"
+            f" else filter(__k, x -> x.b {op} {b}) end")
+    d = d.selectExpr("*", *[f"{e} as {k}" for k, e in steps.items()])
+    for s in "lg":
+        a = f"__{s}"
+        d = d.withColumn(f"__s{s}", F.expr(f"case when size({a}) >= 3 then "
+                                           f"{_median_sql(_SLOPES.format(a=a))} end"))
+        d = d.withColumn(f"__p{s}", F.expr(
+            f"case when __s{s} > 0 then "
+            f"({_median_sql(f'transform({a}, x -> x.t - __s{s} * x.b)')}) + __s{s} * {b} end"))
+    sl = "filter(array(case when __sl > 0 then __sl end, case when __sg > 0 then __sg end), x -> x is not null)"
+    d = d.withColumn("__tol", F.expr(
+        f"greatest({gross_us / 1e6!r}D, {gross_beats!r}D * ({_median_sql(sl)}))"
+        f" * case when size({sl}) = 1 then 2 else 1 end"))
+    miss = ("(__pl is null or abs(time / 1e6D - __pl) > __tol) and (__pg is null or"
+            " abs(time / 1e6D - __pg) > __tol) and (__pl is not null or __pg is not null)")
+    return d.withColumn("gross", F.expr(f"coalesce(__n >= 6 and {miss}, false)")).select(
+        *keys, "pos", "time", "gross")

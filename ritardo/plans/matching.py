@@ -492,3 +492,54 @@ def label_summary(spark, sf):
     s = n.where("label <> 'insertion'").select("performance_id", lab.alias("label"))
     p = n.where("label <> 'deletion'").select("performance_id", lab.alias("label"))
     return rnd(K.summary(s, p, P), 9, "accuracy", "error_rate", "match_ratio")
+
+
+LOO = """
+, g AS (SELECT performance_id, note_id, pitch, (onset_us // 500000) * 1000000 AS pos_uq, onset_us FROM notes WHERE event_type <> 'signup'),
+mate AS (SELECT a.performance_id, a.note_id, quantile_cont(CAST(b.onset_us AS DOUBLE), 0.5) AS mate
+  FROM g a JOIN g b ON a.performance_id = b.performance_id AND a.pos_uq = b.pos_uq AND a.note_id <> b.note_id GROUP BY 1, 2),
+q AS (SELECT performance_id, pos_uq, quantile_cont(CAST(onset_us AS DOUBLE), 0.5) AS med FROM g GROUP BY 1, 2),
+kk AS (SELECT *, max(med) OVER (PARTITION BY performance_id ORDER BY pos_uq) AS kt FROM q),
+nb AS (SELECT performance_id, pos_uq, lag(pos_uq) OVER w AS p0, lag(kt) OVER w AS k0, lead(pos_uq) OVER w AS p1, lead(kt) OVER w AS k1 FROM kk
+  WINDOW w AS (PARTITION BY performance_id ORDER BY pos_uq)),
+ex AS (SELECT g.*, coalesce(mate, k0 + (k1 - k0) * (g.pos_uq - p0) / (p1 - p0), k0, k1) AS e
+  FROM g JOIN nb USING (performance_id, pos_uq) LEFT JOIN mate USING (performance_id, note_id))"""
+
+
+@query("same_pitch_reassignment", sql("notes", LOO + """
+, fr AS (SELECT performance_id, note_id AS new_id, pitch, onset_us AS nu FROM notes WHERE event_type = 'signup'),
+op AS (SELECT ex.performance_id, note_id, new_id, abs(nu - e) - abs(onset_us - e) AS loss FROM ex JOIN fr ON fr.performance_id = ex.performance_id
+  AND fr.pitch = ex.pitch WHERE note_id % 7 <> 0 AND abs(nu - e) <= 2000000 AND abs(nu - e) - abs(onset_us - e) < -30000),
+ord AS (SELECT *, row_number() OVER (PARTITION BY performance_id ORDER BY loss, note_id, new_id) AS i FROM op),
+w AS (
+  WITH RECURSIVE walk AS (
+    SELECT DISTINCT performance_id, 0::BIGINT AS i, []::BIGINT[] AS us, []::BIGINT[] AS up, NULL::BIGINT AS s_id, NULL::BIGINT AS new_id FROM ord
+    UNION ALL
+    SELECT w.performance_id, o.i, CASE WHEN b THEN w.us ELSE list_append(w.us, o.note_id) END,
+      CASE WHEN b THEN w.up ELSE list_concat(w.up, [o.note_id, o.new_id]) END, CASE WHEN b THEN NULL ELSE o.note_id END, CASE WHEN b THEN NULL ELSE o.new_id END
+    FROM (SELECT w.*, list_contains(w.us, o.note_id) OR list_contains(w.up, o.note_id) OR list_contains(w.up, o.new_id) AS b
+      FROM walk w JOIN ord o ON o.performance_id = w.performance_id AND o.i = w.i + 1) w
+    JOIN ord o ON o.performance_id = w.performance_id AND o.i = w.i + 1)
+  SELECT performance_id, s_id, new_id FROM walk WHERE s_id IS NOT NULL)
+SELECT performance_id, s_id, s_id AS p_id, new_id FROM w"""))
+def same_pitch_reassignment(spark, sf):
+    n = notes(spark, sf)
+    m = n.where("event_type <> 'signup'").select(
+        "performance_id", F.col("note_id").alias("s_id"), F.col("note_id").alias("p_id"),
+        F.expr("(onset_us div 500000) * 1000000").alias("pos_uq"), "pitch", "onset_us",
+        (F.col("note_id") % 7 == 0).alias("frozen"))
+    free = n.where("event_type = 'signup'").select(
+        "performance_id", F.col("note_id").alias("p_id"), "pitch", "onset_us")
+    return M.reassign_same_pitch(m, free, P, NOTE_CHUNK, window_us=2_000_000)
+
+
+@query("error_pairing_windows", sql("notes", LOO + """
+, r AS (SELECT performance_id, pos_uq, max(abs(onset_us - e)) AS r FROM ex GROUP BY 1, 2),
+p AS (SELECT DISTINCT performance_id, (onset_us // 500000) * 1000000 AS pos_uq FROM notes),
+w AS (SELECT p.*, coalesce(2.0 * max(r) OVER (PARTITION BY performance_id ORDER BY pos_uq ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 0) AS w
+  FROM p LEFT JOIN r USING (performance_id, pos_uq))
+SELECT performance_id, pos_uq, round(least(greatest(w, 100000), 300000), 3) AS window_us FROM w"""))
+def error_pairing_windows(spark, sf):
+    n = notes(spark, sf).withColumn("pos_uq", F.expr("(onset_us div 500000) * 1000000"))
+    w = K.error_windows(n, n.where("event_type <> 'signup'"), P, "note_id", NOTE_CHUNK)
+    return rnd(w, 3, "window_us")

@@ -393,3 +393,42 @@ def logistic_detection(spark, sf):
         "performance_id", (F.col("k") / 100).alias("level"), (F.col("velocity") / 127).alias(
             "loudness"), (F.col("value") > 50).cast("double").alias("y"))
     return rnd(logistic_fit(n, ["level", "loudness"], "y", "performance_id"), 6, "coef", "se")
+
+
+@query("heldout_reconstruction")
+def heldout_reconstruction(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("label").alias("piece_id"), "vec_id",
+                                              "embedding")
+    return rnd(V.heldout_r2_curve(e, "piece_id", "vec_id", "embedding", 64, [0, 1, 2, 4, 8], seed=3
+                                  ), 6, "r2")
+
+
+@query("structural_coherence")
+def structural_coherence(spark, sf):
+    from ritardo.operators.models import coherence
+
+    n = notes(spark, sf).withColumns({
+        "block": F.expr("onset_us div 1000000"), "ln_value": F.ln(F.col("value") + 1)})
+    return rnd(coherence(n, P, "block", ["velocity", "k", "ln_value"], "value"), 6, "r2")
+
+
+@query("gross_outliers", sql("notes", """
+, b AS (SELECT performance_id, note_id AS pos, onset_us AS t FROM notes),
+i AS (SELECT *, row_number() OVER (PARTITION BY performance_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY performance_id) AS n FROM b),
+s AS (SELECT unnest([-1, 1]) AS side),
+c AS (SELECT a.performance_id, a.pos, a.t, a.n, s.side, x.pos AS xp, x.t AS xt, abs(x.pos - a.pos) <= 400 AS near, abs(x.i - a.i) <= 3 AS close
+  FROM i a CROSS JOIN s JOIN i x ON x.performance_id = a.performance_id AND sign(x.pos - a.pos) = s.side AND (abs(x.pos - a.pos) <= 400 OR abs(x.i - a.i) <= 3)),
+u AS (SELECT *, count(*) FILTER (near) OVER w >= 3 AS many FROM c WINDOW w AS (PARTITION BY performance_id, pos, side)),
+m AS (SELECT * FROM u WHERE CASE WHEN many THEN near ELSE close END),
+k AS (SELECT performance_id, pos, side FROM m GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+sl AS (SELECT p.performance_id, p.pos, p.side, quantile_cont((q.xt - p.xt) / (q.xp - p.xp), 0.5) AS s FROM m p JOIN k USING (performance_id, pos, side)
+  JOIN m q ON q.performance_id = p.performance_id AND q.pos = p.pos AND q.side = p.side AND q.xp > p.xp GROUP BY 1, 2, 3),
+pr AS (SELECT m.performance_id, m.pos, any_value(m.t) AS t, m.side, any_value(s) AS s, quantile_cont(xt - s * xp, 0.5) + any_value(s) * m.pos AS p FROM m
+  JOIN sl ON sl.performance_id = m.performance_id AND sl.pos = m.pos AND sl.side = m.side WHERE s > 0 GROUP BY m.performance_id, m.pos, m.side),
+o AS (SELECT performance_id, pos, bool_and(abs(t - p) > tol) AS out FROM (SELECT *, greatest(150000.0, 500000.0 * median(s) OVER w)
+  * CASE WHEN count(*) OVER w = 1 THEN 2 ELSE 1 END AS tol FROM pr WINDOW w AS (PARTITION BY performance_id, pos)) GROUP BY 1, 2)
+SELECT i.performance_id, i.pos, i.n >= 6 AND coalesce(out, false) AS gross FROM i LEFT JOIN o USING (performance_id, pos)"""))
+def gross_outliers(spark, sf):
+    b = notes(spark, sf).select("performance_id", F.col("note_id").alias("pos"), F.col(
+        "onset_us").alias("time"))
+    return Q.gross_outliers(b, P, 400, 4096).select("performance_id", "pos", "gross")

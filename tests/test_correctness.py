@@ -1,7 +1,9 @@
-"""Known answers on the two-note chord grid: 16 quarters, 4/4, a chord of two notes each."""
+"""Known answers on the two-note chord grid: 16 quarters, 4/4, a chord of two notes each.
+
+Every scenario is one performance; all of them are labelled in one run.
+"""
 
 import pytest
-from pyspark.sql import functions as F
 
 from ritardo.operators import correctness as K
 
@@ -11,101 +13,123 @@ A = "k string, seq bigint, label string, s_id bigint, p_id bigint"
 Q = 1_000_000
 
 
-def grid(spark, edit=None):
+def grid(key):
     s, p, a = [], [], []
     for q in range(16):
         for v, iv in enumerate((0, 4)):
             i = 2 * q + v
-            s.append(["x", i, q * Q, Q, 60 + q % 5 + iv, False, False])
-            p.append(["x", i, 500_000 * q + 3_000 * iv, 60 + q % 5 + iv])
-            a.append(["x", i, "match", i, i])
-    if edit:
-        edit(s, p, a)
-    bars = [("x", b, b * 4 * Q, (b + 1) * 4 * Q) for b in range(4)]
-    return (spark.createDataFrame(s, S), spark.createDataFrame(p, P), spark.createDataFrame(a, A),
-            spark.createDataFrame(bars, "k string, measure_idx bigint, start_uq bigint, end_uq bigint"))
+            s.append([key, i, q * Q, Q, 60 + q % 5 + iv, False, False])
+            p.append([key, i, 500_000 * q + 3_000 * iv, 60 + q % 5 + iv])
+            a.append([key, i, "match", i, i])
+    return s, p, a
 
 
-def run(spark, edit=None, **kw):
-    s, p, a, bars = grid(spark, edit)
-    res = K.add_bars(K.correctness(s, p, a, ["k"], 4 * Q, **kw), bars, ["k"], 4 * Q)
-    return res, K.summary(res.score, res.played, ["k"]).first(), K.bar_table(res, bars, ["k"])
+def unmatched(delta):
+    def edit(key, s, p, a):
+        p[10][3] += delta
+        a[10] = [key, 10, "deletion", 10, None]
+        a.append([key, 99, "insertion", None, 10])
 
+    return edit
 
-def test_all_correct(spark):
-    _, s, bars = run(spark)
-    assert (s["accuracy"], s["error_rate"], s["match_ratio"]) == (1.0, 0.0, 1.0)
-    rows = bars.collect()
-    assert len(rows) == 4 and all(r["n_score_notes"] == 8 and r["n_errors"] == 0 for r in rows)
 
+def dissolved(key, s, p, a):
+    p[4][3] += 7
 
-@pytest.mark.parametrize("delta,label", [(1, "wrong_pitch"), (-2, "wrong_pitch"),
-                                         (12, "wrong_pitch"), (5, "missed")])
-def test_unmatched_pair(spark, delta, label):
-    def edit(s, p, a):
-        p[10][3] += delta
-        a[10] = ["x", 10, "deletion", 10, None]
-        a.append(["x", 99, "insertion", None, 10])
 
-    res, s, bars = run(spark, edit)
-    got = {r["s_id"]: r["label"] for r in res.score.collect()}
-    assert got[10] == label
-    assert sum(v == "correct" for v in got.values()) == 31
-    assert bars.where("measure_idx = 1").first()["n_errors"] == (1 if label == "wrong_pitch" else 2)
+def grace(key, s, p, a):
+    s.append([key, 50, 4 * Q, 0, 72, True, False])
+    p.append([key, 60, 1_900_000, 73])
+    a.append([key, 200, "insertion", None, 60])
 
 
-def test_dissolved_match_of_another_pitch_is_a_wrong_pitch(spark):
-    def edit(s, p, a):
-        p[4][3] += 7
+def duplicate(key, s, p, a):
+    a.append([key, 77, "match", 8, 9])  # another pitch: dissolved
+    a.append([key, 78, "match", 20, 10])  # the same pitch, later in the score
 
-    res, s, _ = run(spark, edit)
-    assert s["n_wrong_pitch"] == 1 and s["n_extra"] == 0
-    assert res.steps.first()["n_pitch_dissolved"] == 1
+
+def unknown(key, s, p, a):
+    a.append([key, 300, "match", 999, 3])
 
 
-def test_grace_note_is_no_mistake(spark):
-    def edit(s, p, a):
-        s.append(["x", 50, 4 * Q, 0, 72, True, False])
-        p.append(["x", 60, 1_900_000, 73])
-        a.append(["x", 200, "insertion", None, 60])
+def far_mate(key, s, p, a):
+    p[11][2] += 260_000  # a large alignment error next to the wrong note
+    p[10][3] += 1
+    p[10][2] += 180_000
+    a[10] = [key, 10, "deletion", 10, None]
+    a.append([key, 99, "insertion", None, 10])
 
-    res, s, _ = run(spark, edit)
-    assert s["n_ornament_skipped"] == 1 and s["n_ornament"] == 1 and s["accuracy"] == 1.0
 
+EDITS = {
+    "plain": None, "up": unmatched(1), "down": unmatched(-2), "octave": unmatched(12),
+    "far": unmatched(5), "dissolved": dissolved, "grace": grace, "duplicate": duplicate,
+    "unknown": unknown, "far_mate": far_mate,
+}
 
-def test_duplicate_match_is_resolved(spark):
-    def edit(s, p, a):
-        a.append(["x", 77, "match", 8, 9])  # other pitch: dissolved
-        a.append(["x", 78, "match", 20, 10])  # same pitch class 60 + 0, later in the score
 
-    res, s, _ = run(spark, edit)
-    assert s["n_correct"] == 32
+def label_all(spark, rule):
+    s, p, a = [], [], []
+    for key, edit in EDITS.items():
+        x = grid(key)
+        if edit:
+            edit(key, *x)
+        s, p, a = s + x[0], p + x[1], a + x[2]
+    bars = spark.createDataFrame(
+        [(k, b, b * 4 * Q, (b + 1) * 4 * Q) for k in EDITS for b in range(4)],
+        "k string, measure_idx bigint, start_uq bigint, end_uq bigint")
+    res = K.correctness(spark.createDataFrame(s, S), spark.createDataFrame(p, P),
+                        spark.createDataFrame(a, A), ["k"], 4 * Q, window_rule=rule)
+    res = K.add_bars(res, bars, ["k"], 4 * Q)
+    return {
+        "score": {(r["k"], r["s_id"]): r["label"] for r in res.score.collect()},
+        "summary": {r["k"]: r for r in K.summary(res.score, res.played, ["k"]).collect()},
+        "steps": {r["k"]: r for r in res.steps.collect()},
+        "bars": {(r["k"], r["measure_idx"]): r for r in K.bar_table(res, bars, ["k"]).collect()},
+    }
+
+
+@pytest.fixture(scope="module")
+def fixed(spark):
+    return label_all(spark, "fixed")
+
+
+def test_all_correct(fixed):
+    s = fixed["summary"]["plain"]
+    assert (s["accuracy"], s["error_rate"], s["match_ratio"]) == (1.0, 0.0, 1.0)
+    for b in range(4):
+        r = fixed["bars"][("plain", b)]
+        assert r["n_score_notes"] == 8 and r["n_errors"] == 0
+
 
+@pytest.mark.parametrize("key,label,errors", [
+    ("up", "wrong_pitch", 1), ("down", "wrong_pitch", 1), ("octave", "wrong_pitch", 1),
+    ("far", "missed", 2)])
+def test_unmatched_pair(fixed, key, label, errors):
+    assert fixed["score"][(key, 10)] == label
+    assert fixed["summary"][key]["n_correct"] == 31
+    assert fixed["bars"][(key, 1)]["n_errors"] == errors
+
+
+def test_dissolved_match_of_another_pitch_is_a_wrong_pitch(fixed):
+    s = fixed["summary"]["dissolved"]
+    assert s["n_wrong_pitch"] == 1 and s["n_extra"] == 0
+    assert fixed["steps"]["dissolved"]["n_pitch_dissolved"] == 1
 
-def test_unknown_ids_are_counted(spark):
-    def edit(s, p, a):
-        a.append(["x", 300, "match", 999, 3])
 
-    res, s, _ = run(spark, edit)
-    assert res.steps.first()["n_unknown_ids"] == 1 and s["n_correct"] == 32
+def test_grace_note_is_no_mistake(fixed):
+    s = fixed["summary"]["grace"]
+    assert (s["n_ornament_skipped"], s["n_ornament"], s["accuracy"]) == (1, 1, 1.0)
 
 
-def test_error_window_widens_the_search(spark):
-    def edit(s, p, a):
-        p[11][2] += 260_000  # chord mate far off: a large alignment error nearby
-        p[10][3] += 1
-        p[10][2] += 180_000
-        a[10] = ["x", 10, "deletion", 10, None]
-        a.append(["x", 99, "insertion", None, 10])
+def test_duplicate_match_is_resolved(fixed):
+    assert fixed["summary"]["duplicate"]["n_correct"] == 32
 
-    def labels(res):
-        return {r["s_id"]: r["label"] for r in res.score.collect()}
 
-    assert labels(run(spark, edit, window_rule="error")[0])[10] == "wrong_pitch"
+def test_unknown_ids_are_counted(fixed):
+    assert fixed["steps"]["unknown"]["n_unknown_ids"] == 1
+    assert fixed["summary"]["unknown"]["n_correct"] == 32
 
 
-def test_two_performances_do_not_mix(spark):
-    s, p, a, _ = grid(spark)
-    two = [x.unionByName(x.withColumn("k", F.lit("y"))) for x in (s, p, a)]
-    res = K.correctness(*two, ["k"], 4 * Q)
-    assert {r["n_correct"] for r in K.summary(res.score, res.played, ["k"]).collect()} == {32}
+def test_error_window_widens_the_search(spark, fixed):
+    assert fixed["score"][("far_mate", 10)] == "missed"
+    assert label_all(spark, "error")["score"][("far_mate", 10)] == "wrong_pitch"

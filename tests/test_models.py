@@ -116,3 +116,47 @@ def test_harmony_change_needs_bass_and_chord(spark):
 
 def test_chord_masks_cover_all_transpositions():
     assert len(M.chord_masks("triads")) == 12 + 12 + 12 + 4
+
+
+def test_heldout_reconstruction_from_gram_matrices(spark):
+    from ritardo.functions.draws import uniform
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 2)) @ rng.normal(size=(2, 9)) + 0.2 * rng.normal(size=(60, 9))
+    df = spark.createDataFrame([("p", i, [float(v) for v in r]) for i, r in enumerate(x)],
+                               "g string, i int, c array<double>")
+    out = {r["k"]: r["r2"] for r in V.heldout_r2_curve(df, "g", "i", "c", 9, [0, 1, 2], n_splits=3,
+                                                       seed=5).collect()}
+    want = np.zeros(3)
+    for s in range(3):
+        u = {r["i"]: r["u"] for r in df.select("i", uniform(5 + s, F.col("i")).alias("u")).collect()}
+        te = np.array([u[i] < 0.2 for i in range(60)])
+        mu = x[~te].mean(0)
+        v = np.linalg.svd(x[~te] - mu, full_matrices=False)[2]
+        d = x[te] - mu
+        want += [1 - ((d - d @ v[:k].T @ v[:k]) ** 2).sum() / (d ** 2).sum() for k in (0, 1, 2)]
+    np.testing.assert_allclose([out[k] for k in (0, 1, 2)], want / 3, atol=1e-9)
+
+
+def test_coherence_finds_planted_structure(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for key, noise in (("clean", 0.01), ("noise", 50.0)):
+        for i in range(200):
+            a, b = rng.normal(size=2)
+            rows.append((key, i // 8, float(a), float(b), float(2 * a - b + 3 + noise * rng.normal())))
+    rows += [("short", 0, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "k string, blk int, a double, b double, y double")
+    out = {r["k"]: r for r in L.coherence(df, ["k"], "blk", ["a", "b"], "y").collect()}
+    assert out["clean"]["r2"] > 0.999 and out["noise"]["r2"] < 0.2
+    assert out["short"]["r2"] is None and out["short"]["reason"] == "too_few_blocks"
+
+
+def test_gross_outlier(spark):
+    from ritardo.operators.sequences import gross_outliers
+
+    q = 1_000_000
+    rows = [("x", i * q, i * 500_000 + (400_000 if i == 9 else 0)) for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, pos bigint, time bigint")
+    out = gross_outliers(df, ["k"], 4 * q, 5 * q).where("gross").collect()
+    assert [r["pos"] for r in out] == [9 * q]
