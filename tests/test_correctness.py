@@ -55,7 +55,7 @@ def unknown(key, s, p, a):
 def far_mate(key, s, p, a):
     p[11][2] += 260_000  # a large alignment error next to the wrong note
     p[10][3] += 1
-    p[10][2] += 180_000
+    p[10][2] += 60_000
     a[10] = [key, 10, "deletion", 10, None]
     a.append([key, 99, "insertion", None, 10])
 
