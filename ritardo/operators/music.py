@@ -114,26 +114,29 @@ def spurious_rule(
 def harmony_windows(
     score: DataFrame, keys: Sequence[str], window: int, min_weight: float = 0.15
 ) -> DataFrame:
-    """Pitch content of fixed windows: bass, pitch-class mask, first onset in the window."""
+    """Pitch content of fixed windows: bass, pitch-class mask, first onset in the window.
+
+    Twelve conditional sums per window: one shuffle with map-side combine.
+    """
     keys = list(keys)
-    s = score.where("duration_uq > 0").withColumn("__off", F.col("onset_uq") + F.col(
-        "duration_uq"))
-    s = s.withColumn("w", F.explode(F.sequence(
-        chunk_of("onset_uq", window), chunk_of(F.col("__off") - 1, window))))
-    lo, hi = F.col("w") * window, (F.col("w") + 1) * window
-    ov = F.least("__off", hi) - F.greatest("onset_uq", lo)
-    k = [*keys, "w"]
-    pc = s.groupBy(*k, (F.col("pitch") % 12).alias("pc")).agg(
-        F.sum(ov).alias("__wt"), F.min("pitch").alias("__low"),
-        F.min(F.when(F.col("onset_uq") >= lo, F.col("onset_uq"))).alias("__first"))
-    tot = pc.groupBy(*k).agg(F.sum("__wt").alias("__tot"), F.min("__low").alias("__bass"),
-                             F.min("__first").alias("first_onset"))
-    heavy = F.col("__wt") / F.col("__tot") >= min_weight
-    is_bass = F.col("pc") == F.col("__bass") % 12
-    bit = F.expr("shiftleft(1L, cast(pc as int))")
-    return pc.join(tot, k).groupBy(*k).agg(
-        F.bit_or(F.when(heavy | is_bass, bit).otherwise(F.lit(0).cast("bigint"))).alias("pcs"),
-        (F.min("__bass") % 12).alias("bass"), F.min("first_onset").alias("first_onset"))
+    s = score.where("duration_uq > 0").selectExpr(
+        *[f"`{k}`" for k in keys], "onset_uq", "onset_uq + duration_uq as off",
+        "cast(pitch as int) as pitch", f"explode(sequence(cast(floor(onset_uq / {float(window)!r}D)"
+        f" as bigint), cast(floor((onset_uq + duration_uq - 1) / {float(window)!r}D) as bigint)))"
+        " as w")
+    s = s.selectExpr(
+        *[f"`{k}`" for k in keys], "w", "pitch", "pitch % 12 as pc",
+        f"least(off, (w + 1) * {window}L) - greatest(onset_uq, w * {window}L) as ov",
+        f"case when onset_uq >= w * {window}L then onset_uq end as first")
+    g = s.groupBy(*keys, "w").agg(
+        *[F.expr(f"sum(case when pc = {i} then ov else 0 end) as s{i}") for i in range(12)],
+        F.expr("sum(ov) as tot"), F.expr("min(pitch) % 12 as bass"),
+        F.expr("min(first) as first_onset"))
+    heavy = " | ".join(
+        f"case when s{i} > 0 and s{i} / tot >= {min_weight!r}D or bass = {i} then {1 << i}L else 0L"
+        " end" for i in range(12))
+    return g.selectExpr(*[f"`{k}`" for k in keys], "w", f"({heavy}) as pcs",
+                        "cast(bass as bigint) as bass", "first_onset")
 
 
 def harmony_changes(
