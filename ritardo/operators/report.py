@@ -87,3 +87,12 @@ def recall_by_bin(
     ref = g.where(F.col("bin") == len(edges)).select(*keys, F.col("recall").alias("__ref"))
     return g.join(ref, keys, "left").withColumn(
         "drop", F.col("__ref") - F.col("recall")).drop("__ref")
+
+
+def take_rows(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Graded notes, accuracy and bars with errors of each take, from its bar counts."""
+    n, w, m = (F.sum(c) for c in ("n_score_notes", "n_wrong_pitch", "n_missed"))
+    err = F.col("n_wrong_pitch") + F.col("n_missed") + F.col("n_extra") > 0
+    return bars.groupBy(*keys).agg(
+        n.alias("n_score_notes"), F.when(n > 0, (n - w - m) / n).alias("accuracy"),
+        F.count(F.when(err, 1)).alias("n_bars_with_errors"))

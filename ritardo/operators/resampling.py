@@ -257,3 +257,9 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return g.select(*keys, "__r.*")
 
 
+
+
+def shared_levels(df: DataFrame, piece: str, level: str, at_least: int) -> DataFrame:
+    """Rows of pieces that are played at enough different levels."""
+    ok = df.groupBy(piece).agg(F.countDistinct(level).alias("__n")).where(F.col("__n") >= at_least)
+    return df.join(ok.select(piece), piece, "left_semi")

@@ -622,3 +622,14 @@ def gross_outliers(
             " abs(time / 1e6D - __pg) > __tol) and (__pl is not null or __pg is not null)")
     return d.withColumn("gross", F.expr(f"coalesce(__n >= 6 and {miss}, false)")).select(
         *keys, "pos", "time", "gross")
+
+
+def tempo_summary(beats: DataFrame, keys: Sequence[str], period: str) -> DataFrame:
+    """Geometric-mean tempo, population SD and p90 - p10 of the log tempo ratio."""
+    keys = list(keys)
+    d = beats.withColumn("__l", F.ln(period))
+    q = exact_quantiles(d, keys, "__l", {"__a": 0.1, "__z": 0.9})
+    return d.groupBy(*keys).agg(
+        F.count("__l").alias("n_beats"), (60.0 / F.exp(F.avg("__l"))).alias("tempo_bpm"),
+        F.stddev_pop("__l").alias("log_sd")).join(q, keys).withColumn(
+        "log_range", F.col("__z") - F.col("__a")).drop("__a", "__z")

@@ -13,11 +13,11 @@ from ritardo.operators import phrases as H
 from ritardo.operators import renditions as G
 from ritardo.operators import report as R
 from ritardo.operators import sequences as Q
-from ritardo.plans.consensus import LOO_LIMITS, checked_bars, rnd
+from ritardo.plans.consensus import LOO_LIMITS, NOTE_BARS, checked_bars, note_bars, rnd
 from ritardo.plans.matching import REF_EST, estimated_notes, reference_notes
 from ritardo.plans.registry import query
 from ritardo.plans.standins import (
-    MICRO, NOTE_CHUNK, SCORE_CHUNK, notes, score, sql, table, takes,
+    MICRO, NOTE_CHUNK, SCORE_CHUNK, curves, notes, score, sql, table, takes,
 )
 
 P = ["performance_id"]
@@ -432,3 +432,80 @@ def gross_outliers(spark, sf):
     b = notes(spark, sf).select("performance_id", F.col("note_id").alias("pos"), F.col(
         "onset_us").alias("time"))
     return Q.gross_outliers(b, P, 400, 4096).select("performance_id", "pos", "gross")
+
+
+# ------------------------------------------------------------------ summaries
+
+@query("mismatch_bootstrap", sql("score", """
+, st AS (SELECT score_id, count(*) FILTER ((staff = 1) <> (pitch >= 60)) AS num, count(*) AS den FROM score GROUP BY 1),
+ix AS (SELECT *, row_number() OVER (ORDER BY """ + uniform_sql(0, "score_id") + """, score_id) - 1 AS idx, count(*) OVER () AS kk FROM st),
+b AS (SELECT unnest(range(200)) AS b),
+d AS (SELECT b.b, CAST(floor(""" + uniform_sql(31, "b.b", "ix.idx") + """ * kk) AS BIGINT) AS idx FROM b CROSS JOIN ix),
+r AS (SELECT d.b, sum(num) / sum(den) AS v FROM d JOIN ix USING (idx) GROUP BY 1)
+SELECT 'mismatch' AS metric, round((SELECT sum(num) / sum(den) FROM st), 9) AS estimate, round(quantile_cont(v, 0.025), 9) AS low,
+  round(quantile_cont(v, 0.975), 9) AS high, CAST(0 AS BIGINT) AS n_failed FROM r"""))
+def mismatch_bootstrap(spark, sf):
+    from ritardo.functions.keys import pitch_split_hand, staff_hand
+    from ritardo.operators.resampling import bootstrap_ci
+
+    bad = staff_hand(F.col("staff")) != pitch_split_hand(F.col("pitch"))
+    st = score(spark, sf).groupBy("score_id").agg(
+        F.count(F.when(bad, 1)).alias("num"), F.count("*").alias("den"))
+    out = bootstrap_ci(st, "score_id", ["num", "den"], {"mismatch": F.col("num") / F.col("den")},
+                       n_boot=200, seed=31)
+    return rnd(out, 9, "estimate", "low", "high")
+
+
+@query("take_rows", sql("notes", NOTE_BARS + """
+SELECT piece_id, performance_id, sum(n_score_notes)::BIGINT AS n_score_notes,
+  round((sum(n_score_notes) - sum(n_wrong_pitch) - sum(n_missed)) / nullif(sum(n_score_notes), 0), 9) AS accuracy,
+  count(*) FILTER (n_wrong_pitch + n_missed + n_extra > 0) AS n_bars_with_errors FROM nb GROUP BY 1, 2"""))
+def take_rows(spark, sf):
+    return rnd(R.take_rows(note_bars(spark, sf), ["piece_id", "performance_id"]), 9, "accuracy")
+
+
+@query("takes_with_errors_per_bar", sql("notes", NOTE_BARS + """
+SELECT piece_id, measure_idx, count(*) AS n_takes, count(*) FILTER (n_wrong_pitch + n_missed + n_extra > 0) AS n_with_errors
+FROM nb GROUP BY 1, 2"""))
+def takes_with_errors_per_bar(spark, sf):
+    err = F.col("n_wrong_pitch") + F.col("n_missed") + F.col("n_extra") > 0
+    return note_bars(spark, sf).groupBy("piece_id", "measure_idx").agg(
+        F.count("*").alias("n_takes"), F.count(F.when(err, 1)).alias("n_with_errors"))
+
+
+@query("shape_and_amplitude", sql("curves", """
+, s AS (SELECT piece_id, beat, sum(x) AS s, count(*) AS n FROM curves GROUP BY 1, 2),
+l AS (SELECT c.*, (s - x) / (n - 1) AS loo FROM curves c JOIN s USING (piece_id, beat) WHERE n > 1)
+SELECT piece_id, performance_id, round(corr(x, loo), 9) AS shape_r, round(stddev_pop(x) / stddev_pop(loo), 9) AS amplitude,
+  round(1 - sum((x - loo) * (x - loo)) / (var_pop(x) * count(*)), 6) AS r2 FROM l GROUP BY 1, 2"""))
+def shape_and_amplitude(spark, sf):
+    d = C.loo_mean(curves(spark, sf), ["piece_id", "beat"], "x").where("loo_mean is not null")
+    x, m = F.col("x"), F.col("loo_mean")
+    return d.groupBy("piece_id", "performance_id").agg(
+        F.round(S.pearson(x, m), 9).alias("shape_r"),
+        F.round(F.stddev_pop(x) / F.stddev_pop(m), 9).alias("amplitude"),
+        F.round(S.r2(x, m), 6).alias("r2"))
+
+
+@query("tempo_summary", sql("curves", """
+, p AS (SELECT piece_id, performance_id, exp(x) AS period FROM curves),
+g AS (SELECT *, ln(period) - avg(ln(period)) OVER (PARTITION BY performance_id) AS lr FROM p)
+SELECT piece_id, performance_id, count(*) AS n_beats, round(60 / exp(avg(ln(period))), 6) AS tempo_bpm,
+  round(stddev_pop(lr), 9) AS log_sd, round(quantile_cont(lr, 0.9) - quantile_cont(lr, 0.1), 9) AS log_range FROM g GROUP BY 1, 2"""))
+def tempo_summary(spark, sf):
+    c = curves(spark, sf).withColumn("period", F.exp("x"))
+    return rnd(rnd(Q.tempo_summary(c, ["piece_id", "performance_id"], "period"), 9, "log_sd",
+                   "log_range"), 6, "tempo_bpm")
+
+
+@query("covered_level_selection", sql("takes", """
+, m AS (SELECT performance_id, performer_id AS piece_id, tier, price / 500000 AS coverage FROM takes),
+k AS (SELECT * FROM m WHERE coverage >= 0.85),
+s AS (SELECT piece_id FROM k GROUP BY 1 HAVING count(DISTINCT tier) >= 2)
+SELECT performance_id, piece_id, tier FROM k WHERE piece_id IN (SELECT piece_id FROM s)"""))
+def covered_level_selection(spark, sf):
+    from ritardo.operators.resampling import shared_levels
+
+    t = takes(spark, sf).select("performance_id", F.col("performer_id").alias("piece_id"), "tier", (
+        F.col("price") / 500000).alias("coverage"))
+    return shared_levels(t.where("coverage >= 0.85"), "piece_id", "tier", 2).drop("coverage")
