@@ -31,7 +31,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def notes(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("int")
-    us = F.expr("(unix_micros(cast(ts as timestamp)) - 1704067200000000) div 86400")
+    us = F.expr(
+        "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 86400")
     return e.select(
         F.col("user_id").alias("performance_id"),
         F.col("event_id").alias("note_id"),
