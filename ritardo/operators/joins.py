@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ritardo.operators.matching import range_join
@@ -267,3 +267,52 @@ def choose_reading(
     best = c.withColumn("dice", dice).groupBy(*keys).agg(
         F.min(F.struct((-F.col("dice")).alias("d"), "reading")).alias("b"))
     return best.select(*keys, F.col("b.reading").alias("reading"), (-F.col("b.d")).alias("dice"))
+
+
+def place_marks(
+    marks: DataFrame, passes: DataFrame, notes: DataFrame, keys: Sequence[str]
+) -> DataFrame:
+    """Put marks given by measure name and offset on every pass of that measure.
+
+    ``marks``: keys, ``mark_id``, ``measure``, ``offset``; ``passes``: keys, ``measure``,
+    ``start``; ``notes``: keys, ``pos``. One row per pass: the position and whether a note starts
+    there; a mark whose measure is never played is one row ``unmapped``.
+    """
+    keys = list(keys)
+    on = notes.select(*keys, "pos").distinct().withColumn("__n", F.lit(True))
+    j = marks.join(passes.select(*keys, "measure", "start"), [*keys, "measure"], "left")
+    j = j.withColumn("pos", F.col("start") + F.col("offset")).join(on, [*keys, "pos"], "left")
+    out = F.when(F.col("start").isNull(), "unmapped").when(F.col("__n"), "on_note").otherwise(
+        "off_onset")
+    return j.select(*keys, "mark_id", "pos", out.alias("outcome"))
+
+
+def commonest_offset(df: DataFrame, keys: Sequence[str], offset: str) -> DataFrame:
+    """Most frequent offset per key; the smallest on ties."""
+    n = df.groupBy(*keys, offset).agg(F.count("*").alias("n"))
+    best = n.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("m"), offset)).alias("b"))
+    return best.select(*keys, F.col(f"b.{offset}").alias(offset), (-F.col("b.m")).alias("n"))
+
+
+def local_onset_error(
+    df: DataFrame, keys: Sequence[str], x: str, order: Sequence[str], resid_ms: str, chunk: Column,
+    *, half: int = 10, min_periods: int = 5,
+) -> DataFrame:
+    """Onset errors after removing a centred running median: robust SD, clipped rms, p90 of the
+    absolute value and the share above 30 ms."""
+    from ritardo.operators.ordered import CHUNK
+    from ritardo.operators.quantiles import exact_quantiles
+    from ritardo.operators.sequences import frame_halo, running_index
+
+    keys = list(keys)
+    halo, w = frame_halo(running_index(df, keys, order, chunk), keys, "idx", half, half)
+    med = F.percentile(resid_ms, 0.5).over(w)
+    d = halo.withColumn("__l", F.when(F.count(resid_ms).over(w) >= min_periods, F.col(
+        resid_ms) - med)).where("__home").drop("__home", CHUNK)
+    d = d.where("__l is not null").withColumn("__a", F.abs("__l"))
+    clipped = F.least(F.greatest("__l", F.lit(-100.0)), F.lit(100.0))
+    a = d.groupBy(*keys).agg(F.sqrt(F.avg(clipped * clipped)).alias("local_rms_ms"), F.avg(
+        (F.col("__a") > 30).cast("int")).alias("share_gt30"))
+    q = exact_quantiles(d, keys, "__a", {"p90_abs_ms": 0.9})
+    sd = robust_sd(d, keys, "__l", "local_rsd_ms").select(*keys, "local_rsd_ms")
+    return a.join(q, keys).join(sd, keys)

@@ -543,3 +543,50 @@ def error_pairing_windows(spark, sf):
     n = notes(spark, sf).withColumn("pos_uq", F.expr("(onset_us div 500000) * 1000000"))
     w = K.error_windows(n, n.where("event_type <> 'signup'"), P, "note_id", NOTE_CHUNK)
     return rnd(w, 3, "window_us")
+
+
+@query("local_onset_error", sql("notes", REF_EST + """
+, j AS (SELECT e.performance_id, note_id, r.onset_us AS x, (e.onset_us - r.onset_us - 250000) / 1000.0::DOUBLE AS d FROM r JOIN e USING (performance_id, note_id)),
+l AS (SELECT performance_id, CASE WHEN count(*) OVER w >= 5 THEN d - quantile_cont(d, 0.5) OVER w END AS l FROM j
+  WINDOW w AS (PARTITION BY performance_id ORDER BY x, note_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
+m AS (SELECT performance_id, median(l) AS med FROM l GROUP BY 1)
+SELECT performance_id, round(sqrt(avg(pow(least(greatest(l, -100), 100), 2))), 6) AS local_rms_ms, round(avg((abs(l) > 30)::INT), 9) AS share_gt30,
+  round(quantile_cont(abs(l), 0.9), 6) AS p90_abs_ms, round(1.4826 * median(abs(l - med)), 6) AS local_rsd_ms
+FROM l JOIN m USING (performance_id) WHERE l IS NOT NULL GROUP BY 1"""))
+def local_onset_error(spark, sf):
+    from ritardo.operators.ordered import chunk_of
+
+    r = reference_notes(spark, sf).select("performance_id", "note_id", F.col("onset_us").alias("x"))
+    e = estimated_notes(spark, sf).select("performance_id", "note_id", F.col("onset_us").alias("y"))
+    d = r.join(e, ["performance_id", "note_id"]).withColumn(
+        "d", (F.col("y") - F.col("x") - 250_000) / 1000.0)
+    out = J.local_onset_error(d, P, "x", ["x", "note_id"], "d", chunk_of("x", NOTE_CHUNK))
+    return rnd(rnd(out, 6, "local_rms_ms", "p90_abs_ms", "local_rsd_ms"), 9, "share_gt30")
+
+
+@query("placed_marks", sql("bars", """
+, mk AS (SELECT score_id, note_id AS mark_id, measure_idx % 12 AS measure, onset_uq - measure_idx * 28000000 AS off FROM score WHERE quantity > 45),
+ps AS (SELECT score_id, measure_idx % 12 AS measure, start_uq FROM bars WHERE measure_idx % 12 < 11),
+n AS (SELECT DISTINCT score_id, onset_uq FROM score)
+SELECT mk.score_id, mk.mark_id, ps.start_uq + mk.off AS pos, CASE WHEN ps.start_uq IS NULL THEN 'unmapped' WHEN n.onset_uq IS NOT NULL THEN 'on_note'
+  ELSE 'off_onset' END AS outcome FROM mk LEFT JOIN ps ON ps.score_id = mk.score_id AND ps.measure = mk.measure
+LEFT JOIN n ON n.score_id = mk.score_id AND n.onset_uq = ps.start_uq + mk.off"""))
+def placed_marks(spark, sf):
+    from ritardo.plans.standins import bars
+
+    s = score(spark, sf)
+    name = F.col("measure_idx") % 12
+    mk = s.where("quantity > 45").select(
+        "score_id", F.col("note_id").alias("mark_id"), name.alias("measure"),
+        (F.col("onset_uq") - F.col("measure_idx") * 28_000_000).alias("offset"))
+    ps = bars(spark, sf).where("measure_idx % 12 < 11").select(
+        "score_id", name.alias("measure"), F.col("start_uq").alias("start"))
+    return J.place_marks(mk, ps, s.select("score_id", F.col("onset_uq").alias("pos")), ["score_id"])
+
+
+@query("commonest_offset", sql("score", """
+, c AS (SELECT score_id, quantity % 16 AS off, count(*) AS n FROM score GROUP BY 1, 2)
+SELECT score_id, off AS offset, n FROM c QUALIFY row_number() OVER (PARTITION BY score_id ORDER BY n DESC, off) = 1"""))
+def commonest_offset(spark, sf):
+    s = score(spark, sf).withColumn("offset", F.col("quantity") % 16)
+    return J.commonest_offset(s, ["score_id"], "offset")
