@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ritardo.llm.common import table
 from ritardo.llm.decontamination import contamination
 from ritardo.llm.sharding import byte_shards
+from ritardo.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +90,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(table(spark, sf_dir, "documents"), 24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents by SimHash of 3-word shingles within 2 bits."""
+    return near_duplicates(table(spark, sf_dir, "documents"), 3, 2).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
