@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ritardo.llm import secrets
 from ritardo.llm.common import table
 from ritardo.llm.decontamination import contamination
 from ritardo.llm.sharding import byte_shards
@@ -97,3 +98,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by SimHash of 3-word shingles within 2 bits."""
     return near_duplicates(table(spark, sf_dir, "documents"), 3, 2).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query()
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, weak ones only beside their complement."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
