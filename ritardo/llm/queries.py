@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ritardo.llm import secrets
+from ritardo.llm import licenses, secrets
 from ritardo.llm.common import table
 from ritardo.llm.decontamination import contamination
 from ritardo.llm.sharding import byte_shards
@@ -104,3 +104,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, weak ones only beside their complement."""
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query(licenses.oracle_sql())
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that the sentences of every document state."""
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.array_join("licenses", ",").alias("licenses"),
+        F.array_join("rules", ",").alias("rules"), "n_sentences")
