@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ritardo.llm import licenses, secrets
+from ritardo.llm import lang_id, licenses, secrets
 from ritardo.llm.common import table
 from ritardo.llm.decontamination import contamination
 from ritardo.llm.sharding import byte_shards
@@ -140,3 +140,12 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest inner products of every 50th vector with all others."""
     return top_k(table(spark, sf_dir, "embeddings"), 50, 5)
+
+
+@query()
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those whose id's checksum is not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs)
+    d = docs.select("doc_id", "text", lang_id.held_out("doc_id").alias("held_out"))
+    return lang_id.predict(d, model).select("doc_id", "held_out", "lang_pred", "score", "fits")
