@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ritardo.llm import lang_id, licenses, secrets
+from ritardo.llm import lang_id, licenses, pii, secrets
 from ritardo.llm.common import table
 from ritardo.llm.decontamination import contamination
 from ritardo.llm.sharding import byte_shards
@@ -149,3 +149,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = lang_id.fit(docs)
     d = docs.select("doc_id", "text", lang_id.held_out("doc_id").alias("held_out"))
     return lang_id.predict(d, model).select("doc_id", "held_out", "lang_pred", "score", "fits")
+
+
+@query()
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: fixed patterns, and what a CRF marks besides."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.scan(docs, pii.train(pii.labelled_table(docs)))
