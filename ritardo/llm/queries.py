@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ritardo.llm import lang_id, licenses, pii, secrets
+from ritardo.llm import lang_id, licenses, pieces, pii, secrets
 from ritardo.llm.common import table
 from ritardo.llm.decontamination import contamination
 from ritardo.llm.sharding import byte_shards
@@ -156,3 +156,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents: fixed patterns, and what a CRF marks besides."""
     docs = table(spark, sf_dir, "documents")
     return pii.scan(docs, pii.train(pii.labelled_table(docs)))
+
+
+@query()
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document by the 32k model, and whether decoding gives the text back."""
+    model = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    out = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    out = pieces.decode(out, model)
+    return out.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias(
+        "n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
