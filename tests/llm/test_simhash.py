@@ -1,42 +1,11 @@
 import random
-import re
 
 import pytest
-import xxhash
+from brute import brute_fp, brute_groups
 from pyspark.sql import functions as F
 
 from ritardo.llm import simhash
-
-
-def brute_fp(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    if not words:
-        return 0
-    sh = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
-    hs = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in sh]
-    fp = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-    return fp - (1 << 64) if fp >> 63 else fp
-
-
-def brute_groups(ids, fps):
-    up = list(range(len(ids)))
-
-    def find(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for i in range(len(ids)):
-        for j in range(i):
-            if bin((fps[i] ^ fps[j]) & (1 << 64) - 1).count("1") <= 2:
-                a, b = sorted((find(i), find(j)))
-                up[b] = a
-    least = {}
-    for i, x in enumerate(ids):
-        r = find(i)
-        if x is not None:
-            least[r] = min(x, least.get(r, x))
-    return [least.get(find(i)) for i in range(len(ids))]
+from ritardo.llm.components import components
 
 
 def test_all_documents_against_brute_force(spark, docs_of, sf_rows):
@@ -65,7 +34,6 @@ def test_links_of_close_fingerprints(spark, small):
         fps.append(fps[i] ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64))
     fps = list(dict.fromkeys(f - (1 << 64) if f >> 63 else f for f in fps))
     df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
-    from ritardo.llm.components import components
     root = {r.node: r.root for r in components(simhash.near_links(df, 2, small), "a", "b").collect()}
     assert [root.get(f, f) for f in fps] == brute_groups(fps, fps)
 
