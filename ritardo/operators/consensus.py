@@ -97,10 +97,10 @@ def expert_bar_limits(
         "__w": F.when(graded, F.col("n_wrong_pitch").cast("double")),
         "me_rate": F.when(graded, me / F.col("n_score_notes")),
     })
-    b = loo_quantiles(b, keys, "__w", {"wrong_q95": q[0], "wrong_q99": q[1]}, count="n_experts")
-    b = loo_quantiles(b, keys, "me_rate", {"me_q95": q[0], "me_q99": q[1]}, count="__n2")
+    b = loo_quantiles(b, keys, "__w", {"wrong_notable": q[0], "wrong_strong": q[1]}, count="n_experts")
+    b = loo_quantiles(b, keys, "me_rate", {"me_notable": q[0], "me_strong": q[1]}, count="__n2")
     ok = F.col("n_experts") >= min_refs
-    lim = ("wrong_q95", "wrong_q99", "me_q95", "me_q99")
+    lim = ("wrong_notable", "wrong_strong", "me_notable", "me_strong")
     return b.withColumns({c: F.when(ok, F.col(c)) for c in lim}).drop("__w", "__n2")
 
 
@@ -120,20 +120,20 @@ def expert_limits_order_statistic(
         return F.ceil(F.lit(q99) * (n + 1) - 1e-9)
 
     rank = f"least(ceil({q99!r}D * (__n + 1) - 1e-9D), __n) - 1"
-    w = exact_quantiles(b, keys, "n_wrong_pitch", {"wrong_q95": q95, "wrong_q99": rank},
+    w = exact_quantiles(b, keys, "n_wrong_pitch", {"wrong_notable": q95, "wrong_strong": rank},
                         count="n_experts")
-    m = exact_quantiles(b, keys, "__me", {"me_q95": q95, "me_q99": rank})
+    m = exact_quantiles(b, keys, "__me", {"me_notable": q95, "me_strong": rank})
     out = w.join(m, list(keys))
     ok = F.col("n_experts") >= min_refs
     over = need(F.col("n_experts")) > F.col("n_experts")
     margin = F.when(ok & over, float(strong_margin)).otherwise(0.0)
     return out.select(
         *keys, "n_experts",
-        F.when(ok, F.col("wrong_q95")).alias("wrong_q95"),
-        F.when(ok, F.col("wrong_q99") + margin).alias("wrong_q99"),
-        F.when(ok, F.col("me_q95")).alias("me_q95"),
-        F.when(ok, F.col("me_q99")).alias("me_q99"),
-        margin.alias("me_q99_margin_notes"),
+        F.when(ok, F.col("wrong_notable")).alias("wrong_notable"),
+        F.when(ok, F.col("wrong_strong") + margin).alias("wrong_strong"),
+        F.when(ok, F.col("me_notable")).alias("me_notable"),
+        F.when(ok, F.col("me_strong")).alias("me_strong"),
+        margin.alias("me_strong_margin_notes"),
     )
 
 
@@ -142,17 +142,17 @@ def correctness_tier(
 ) -> tuple[Column, Column]:
     """Tier of a bar's errors and its magnitude as a multiple of the notable limit."""
     lim = limits or {
-        "wrong_q95": F.lit(WRONG_Q95), "wrong_q99": F.lit(WRONG_Q99),
-        "me_q95": F.lit(MISSED_EXTRA_Q95), "me_q99": F.lit(MISSED_EXTRA_Q99),
+        "wrong_notable": F.lit(WRONG_Q95), "wrong_strong": F.lit(WRONG_Q99),
+        "me_notable": F.lit(MISSED_EXTRA_Q95), "me_strong": F.lit(MISSED_EXTRA_Q99),
     }
     rate = F.when(n_notes > 0, missed_extra / n_notes)
     t = F.greatest(
-        tier_rank(tier(wrong.cast("double"), lim["wrong_q95"], lim["wrong_q99"])),
-        tier_rank(tier(rate, lim["me_q95"], lim["me_q99"])),
+        tier_rank(tier(wrong.cast("double"), lim["wrong_notable"], lim["wrong_strong"])),
+        tier_rank(tier(rate, lim["me_notable"], lim["me_strong"])),
     )
     mag = F.greatest(
-        wrong / lim["wrong_q95"],
-        F.when(rate.isNotNull() & (lim["me_q95"] > 0), rate / lim["me_q95"]).otherwise(0.0),
+        wrong / lim["wrong_notable"],
+        F.when(rate.isNotNull() & (lim["me_notable"] > 0), rate / lim["me_notable"]).otherwise(0.0),
     )
     return tier_name(t), mag
 
@@ -162,7 +162,7 @@ def checked_limits(extras: bool = True) -> dict[str, Column]:
     me95, me99 = (
         (MISSED_EXTRA_Q95, MISSED_EXTRA_Q99) if extras else (MISSED_ONLY_Q95, MISSED_ONLY_Q99)
     )
-    glob = {"wrong_q95": WRONG_Q95, "wrong_q99": WRONG_Q99, "me_q95": me95, "me_q99": me99}
+    glob = {"wrong_notable": WRONG_Q95, "wrong_strong": WRONG_Q99, "me_notable": me95, "me_strong": me99}
     return {k: F.greatest(F.lit(v), F.col(k)) for k, v in glob.items()}
 
 

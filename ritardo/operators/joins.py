@@ -250,19 +250,14 @@ def event_note_rows(
     return j.select(*keys, event, lab.alias("label"), "s_id", "p_id")
 
 
-def choose_reading(
-    readings: DataFrame, matches: DataFrame, keys: Sequence[str], top: int = 6
-) -> DataFrame:
-    """Best reading by Dice ratio 2m / (s + p) among the ``top`` nearest in note count.
+def choose_reading(readings: DataFrame, matches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Best of all readings by Dice ratio 2m / (s + p), ties to the smaller reading.
 
     ``readings``: keys, ``reading``, ``n_score``, ``n_played``; ``matches``: keys, ``reading``,
-    ``n_match``. A performance has few readings, so the top list stays small.
+    ``n_match``.
     """
     keys = list(keys)
-    gap = F.abs(F.col("n_score") - F.col("n_played"))
-    near = readings.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct(
-        gap.alias("gap"), "reading", "n_score", "n_played"))), 1, top).alias("r"))
-    c = near.select(*keys, F.inline("r")).join(matches, [*keys, "reading"], "left")
+    c = readings.join(matches, [*keys, "reading"], "left")
     dice = 2 * F.coalesce("n_match", F.lit(0)) / (F.col("n_score") + F.col("n_played"))
     best = c.withColumn("dice", dice).groupBy(*keys).agg(
         F.min(F.struct((-F.col("dice")).alias("d"), "reading")).alias("b"))

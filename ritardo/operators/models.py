@@ -70,6 +70,7 @@ def logistic_fit(
 
     Every iteration is one aggregation of the score and information sums (a p x p matrix);
     only those sums reach the driver. The meat of the covariance sums scores per cluster first.
+    A fit that has not converged raises.
     """
     cols = ["1D", *[f"`{x}`" for x in xs]]
     p = len(cols)
@@ -92,6 +93,8 @@ def logistic_fit(
         beta = beta + step
         if np.abs(step).max() < tol:
             break
+    else:
+        raise RuntimeError(f"no convergence in {max_iter} steps; last step {np.abs(step).max():g}")
     mu = f"(1D / (1D + exp(-({eta()}))))"
     sc = df.groupBy(cluster).agg(*[F.expr(f"sum((`{y}` - {mu}) * {c}) as s{i}")
                                    for i, c in enumerate(cols)])

@@ -358,9 +358,9 @@ def bar_positions(notes: DataFrame, bars: DataFrame, keys: Sequence[str], length
 
 def event_kernels(
     points: DataFrame, events: DataFrame, keys: Sequence[str], pos: str, bar: float, width: int,
-    far_bars: float = 64.0,
 ) -> DataFrame:
-    """``exp(-d)`` to the next event at or after a position and from the last one before it."""
+    """``exp(-d)`` to the next event at or after a position and from the last one before it;
+    0 where there is none."""
     ev = events.select(*keys, F.col("event").alias("__ev"))
     a = asof(points, ev, keys, pos, "__ev", [], width, direction="forward")
     a = a.withColumnRenamed("hit___ev", "__nx")
@@ -368,7 +368,7 @@ def event_kernels(
         "hit___ev", "__pv")
 
     def kernel(d: Column) -> Column:
-        return F.exp(-F.least(F.coalesce(d / bar, F.lit(far_bars)), F.lit(far_bars)))
+        return F.coalesce(F.exp(-(d / bar)), F.lit(0.0))
 
     return b.withColumns({"pre": kernel(F.col("__nx") - F.col(pos)),
                           "post": kernel(F.col(pos) - F.col("__pv"))}).drop("__nx", "__pv")

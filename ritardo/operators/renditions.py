@@ -74,37 +74,46 @@ def timing_jitter(
         "new_onset_us", F.col("onset_us") + F.col("shift_us"))
 
 
+KERNEL_REACH = 39  # bandwidths beyond which exp(-z*z/2) is zero in double precision
+
+
 def velocity_components(
     notes: DataFrame, keys: Sequence[str], pos: str, velocity: str, melody: str, bandwidth: int,
-    width: int, reach: float = 4.0,
+    width: int,
 ) -> DataFrame:
     """Velocity = mean + dynamics D + voicing V from Gaussian local means of melody and
-    accompaniment. Kernels end at ``reach`` bandwidths (weight below 0.0004)."""
+    accompaniment over the whole performance.
+
+    Notes of one position are summed first; a position then meets the positions around it as far
+    as the kernel is above zero in double precision, so nothing of the sum is left out.
+    """
     keys = list(keys)
-    r = int(bandwidth * reach)
-    d = notes.withColumn("__i", F.struct(F.col(pos).alias("q"), F.col(velocity).cast(
-        "double").alias("v"), F.col(melody).alias("m")))
-    halo = with_halo(d, pos, width, r, r)
+    r = bandwidth * KERNEL_REACH
+    m, v = F.col(melody), F.col(velocity).cast("double")
+    at = notes.groupBy(*keys, pos).agg(
+        F.count(F.when(m, 1)).alias("n1"), F.sum(F.when(m, v)).alias("v1"),
+        F.count(F.when(~m, 1)).alias("n0"), F.sum(F.when(~m, v)).alias("v0"))
+    d = at.withColumn("__i", F.struct(F.col(pos).alias("q"), "n1", F.coalesce(
+        "v1", F.lit(0.0)).alias("v1"), "n0", F.coalesce("v0", F.lit(0.0)).alias("v0")))
+    halo = with_halo(d.select(*keys, pos, "__i"), pos, width, r, r)
     w = W.partitionBy(*keys, CHUNK).orderBy(pos).rangeBetween(-r, r)
     g = halo.withColumn("__l", F.collect_list("__i").over(w)).where("__home")
     kern = f"exp(-0.5D * pow((x.q - `{pos}`) / {float(bandwidth)!r}D, 2))"
 
-    def total(cond: str, what: str) -> str:
-        return (f"aggregate(__l, 0D, (a, x) -> a + case when {cond} then {kern} * {what}"
-                " else 0D end)")
+    def total(what: str) -> str:
+        return f"aggregate(__l, 0D, (a, x) -> a + {kern} * x.{what})"
 
-    g = g.selectExpr(
-        "*", f"{total('x.m', '1D')} as __sm", f"{total('not x.m', '1D')} as __sa",
-        f"{total('x.m', 'x.v')} as __vm", f"{total('not x.m', 'x.v')} as __va")
+    g = g.selectExpr(*[f"`{k}`" for k in keys], f"`{pos}`", f"{total('n1')} as __sm",
+                     f"{total('n0')} as __sa", f"{total('v1')} as __vm", f"{total('v0')} as __va")
     mean = notes.groupBy(*keys).agg(F.avg(velocity).alias("mean"))
     both = "__sm > 1e-3 and __sa > 1e-3"
-    g = g.join(mean, keys).selectExpr(
+    g = notes.join(g, [*keys, pos]).join(mean, keys).selectExpr(
         "*", f"case when {both} then __vm / __sm - __va / __sa else 0D end as gap",
         f"case when {both} then __sm / (__sm + __sa) else 0D end as p_melody")
     g = g.withColumn("V", F.expr(
         f"case when `{melody}` then (1 - p_melody) * gap else -p_melody * gap end"))
     g = g.withColumn("D", F.expr(f"`{velocity}` - mean - V"))
-    return g.drop("__i", "__l", "__sm", "__sa", "__vm", "__va", "__home", CHUNK)
+    return g.drop("__sm", "__sa", "__vm", "__va")
 
 
 def rescale_velocity(parts: DataFrame, dynamics: float = 1.0, voicing: float = 1.0) -> DataFrame:

@@ -437,10 +437,10 @@ def page_name_parts(spark, sf):
 
 
 @query("first_question_text", """
-SELECT conv_id, role, min(text) AS question, count(*) AS n FROM conversations GROUP BY 1, 2""")
+SELECT conv_id, role, arg_min(text, (turn, text)) AS question, count(*) AS n FROM conversations GROUP BY 1, 2""")
 def first_question_text(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id", "role").agg(
-        F.min("text").alias("question"), F.count("*").alias("n"))
+        F.min_by("text", F.struct("turn", "text")).alias("question"), F.count("*").alias("n"))
 
 
 @query("sectioned_lists", """

@@ -18,12 +18,13 @@ def rnd(df, digits, *cols):
 
 
 def _gappy(spark, sf):
-    """Curves with extreme values taken as unobserved."""
-    return curves(spark, sf).withColumn("y", F.when(F.abs("x") <= 0.2, F.col("x"))).withColumn(
+    """Curves with every ninth cell, by number, unobserved; values keep their whole range."""
+    seen = (F.col("performance_id") * 31 + F.col("beat") * 7) % 9 != 0
+    return curves(spark, sf).withColumn("y", F.when(seen, F.col("x"))).withColumn(
         "bar", F.expr("beat div 8"))
 
 
-GAPPY = """, g AS (SELECT *, CASE WHEN abs(x) <= 0.2 THEN x END AS y, beat // 8 AS bar FROM curves)"""
+GAPPY = """, g AS (SELECT *, CASE WHEN (performance_id * 31 + beat * 7) % 9 <> 0 THEN x END AS y, beat // 8 AS bar FROM curves)"""
 
 
 @query("per_bar_stats", sql("curves", GAPPY + """
@@ -120,12 +121,12 @@ LOO_LIMITS = NOTE_BARS + """
   FROM nb a LEFT JOIN nb b ON a.piece_id = b.piece_id AND a.measure_idx = b.measure_idx
     AND a.performance_id <> b.performance_id AND b.n_score_notes > 0 GROUP BY 1, 2, 3),
 lm AS (SELECT nb.*, lim.n_experts,
-  CASE WHEN n_experts >= 5 THEN w95 END AS wrong_q95, CASE WHEN n_experts >= 5 THEN w99 END AS wrong_q99,
-  CASE WHEN n_experts >= 5 THEN m95 END AS me_q95, CASE WHEN n_experts >= 5 THEN m99 END AS me_q99
+  CASE WHEN n_experts >= 5 THEN w95 END AS wrong_notable, CASE WHEN n_experts >= 5 THEN w99 END AS wrong_strong,
+  CASE WHEN n_experts >= 5 THEN m95 END AS me_notable, CASE WHEN n_experts >= 5 THEN m99 END AS me_strong
   FROM nb JOIN lim USING (piece_id, performance_id, measure_idx)),
 tr AS (SELECT *, CASE WHEN n_score_notes > 0 THEN (n_missed + n_extra) / n_score_notes END AS rate,
-  greatest(1.0, coalesce(wrong_q95, 1.0)) AS lw95, greatest(2.0, coalesce(wrong_q99, 2.0)) AS lw99,
-  greatest(0.25, coalesce(me_q95, 0.25)) AS lm95, greatest(0.5, coalesce(me_q99, 0.5)) AS lm99 FROM lm),
+  greatest(1.0, coalesce(wrong_notable, 1.0)) AS lw95, greatest(2.0, coalesce(wrong_strong, 2.0)) AS lw99,
+  greatest(0.25, coalesce(me_notable, 0.25)) AS lm95, greatest(0.5, coalesce(me_strong, 0.5)) AS lm99 FROM lm),
 ti AS (SELECT *, greatest(CASE WHEN n_wrong_pitch > lw99 THEN 2 WHEN n_wrong_pitch > lw95 THEN 1 ELSE 0 END,
   CASE WHEN rate IS NULL THEN 0 WHEN rate > lm99 THEN 2 WHEN rate > lm95 THEN 1 ELSE 0 END) AS tr,
   greatest(n_wrong_pitch / lw95, coalesce(rate / lm95, 0)) AS magnitude FROM tr)"""
@@ -148,13 +149,13 @@ def bar_counts_by_label(spark, sf):
 
 
 @query("expert_bar_limits", sql("notes", LOO_LIMITS + """
-SELECT piece_id, performance_id, measure_idx, n_experts, round(wrong_q95, 9) AS wrong_q95,
-  round(wrong_q99, 9) AS wrong_q99, round(me_q95, 9) AS me_q95, round(me_q99, 9) AS me_q99 FROM lm"""))
+SELECT piece_id, performance_id, measure_idx, n_experts, round(wrong_notable, 9) AS wrong_notable,
+  round(wrong_strong, 9) AS wrong_strong, round(me_notable, 9) AS me_notable, round(me_strong, 9) AS me_strong FROM lm"""))
 def expert_bar_limits(spark, sf):
     b = C.expert_bar_limits(note_bars(spark, sf), ["piece_id", "measure_idx"])
-    b = rnd(b, 9, "wrong_q95", "wrong_q99", "me_q95", "me_q99")
-    return b.select("piece_id", "performance_id", "measure_idx", "n_experts", "wrong_q95",
-                    "wrong_q99", "me_q95", "me_q99")
+    b = rnd(b, 9, "wrong_notable", "wrong_strong", "me_notable", "me_strong")
+    return b.select("piece_id", "performance_id", "measure_idx", "n_experts", "wrong_notable",
+                    "wrong_strong", "me_notable", "me_strong")
 
 
 @query("expert_limits_order_statistic", sql("notes", NOTE_BARS + """
@@ -164,17 +165,17 @@ a AS (SELECT piece_id, measure_idx, count(*) AS n_experts, quantile_cont(CAST(w
   quantile_cont(m, 0.8) AS m95, list_sort(list(w)) AS ws, list_sort(list(m)) AS ms,
   CAST(ceil(0.99 * (count(*) + 1) - 1e-9) AS BIGINT) AS r FROM g GROUP BY 1, 2)
 SELECT piece_id, measure_idx, n_experts,
-  CASE WHEN n_experts >= 5 THEN round(w95, 9) END AS wrong_q95,
+  CASE WHEN n_experts >= 5 THEN round(w95, 9) END AS wrong_notable,
   CASE WHEN n_experts >= 5 THEN CAST(ws[least(r, n_experts)] AS DOUBLE)
-    + CASE WHEN r > n_experts THEN 1.0 ELSE 0.0 END END AS wrong_q99,
-  CASE WHEN n_experts >= 5 THEN round(m95, 9) END AS me_q95,
-  CASE WHEN n_experts >= 5 THEN round(ms[least(r, n_experts)], 9) END AS me_q99,
-  CASE WHEN n_experts >= 5 AND r > n_experts THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS me_q99_margin_notes
+    + CASE WHEN r > n_experts THEN 1.0 ELSE 0.0 END END AS wrong_strong,
+  CASE WHEN n_experts >= 5 THEN round(m95, 9) END AS me_notable,
+  CASE WHEN n_experts >= 5 THEN round(ms[least(r, n_experts)], 9) END AS me_strong,
+  CASE WHEN n_experts >= 5 AND r > n_experts THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS me_strong_margin_notes
 FROM a"""))
 def expert_limits_order_statistic(spark, sf):
     b = C.expert_limits_order_statistic(note_bars(spark, sf), ["piece_id", "measure_idx"],
                                         strong_margin=1)
-    return rnd(b, 9, "wrong_q95", "me_q95", "me_q99")
+    return rnd(b, 9, "wrong_notable", "me_notable", "me_strong")
 
 
 def checked_bars(spark, sf):

@@ -259,8 +259,8 @@ def bar_positions(spark, sf):
 , ev AS (SELECT DISTINCT score_id, onset_uq AS e FROM score WHERE quantity = 50),
 a AS (SELECT s.score_id, s.note_id, s.onset_uq, ev.e AS nx FROM score s ASOF LEFT JOIN ev ON ev.score_id = s.score_id AND s.onset_uq <= ev.e),
 b AS (SELECT a.*, ev.e AS pv FROM a ASOF LEFT JOIN ev ON ev.score_id = a.score_id AND a.onset_uq > ev.e)
-SELECT score_id, note_id, round(exp(-least(coalesce((nx - onset_uq) / 28e6, 64), 64)), 9) AS pre,
-  round(exp(-least(coalesce((onset_uq - pv) / 28e6, 64), 64)), 9) AS post FROM b"""))
+SELECT score_id, note_id, round(coalesce(exp(-(nx - onset_uq) / 28e6), 0), 9) AS pre,
+  round(coalesce(exp(-(onset_uq - pv) / 28e6), 0), 9) AS post FROM b"""))
 def cadence_kernels(spark, sf):
     s = score(spark, sf)
     ev = s.where("quantity = 50").select("score_id", F.col("onset_uq").alias("event")).distinct()

@@ -42,15 +42,11 @@ def performed_events(spark, sf):
 
 @query("score_events", sql("score", """
 SELECT score_id, onset_uq, count(*) AS n_notes,
-  coalesce(bit_or(CASE WHEN pitch < 63 THEN 1::BIGINT << (pitch % 64)::INT END), 0) AS lo,
-  coalesce(bit_or(CASE WHEN pitch >= 64 THEN 1::BIGINT << (pitch % 64)::INT END), 0) AS hi
-FROM (SELECT score_id, onset_uq, CASE WHEN pitch = 63 THEN 62 ELSE pitch END AS pitch FROM score)
-GROUP BY 1, 2"""))
+  coalesce(bit_or(CASE WHEN pitch = 63 THEN (-9223372036854775808)::BIGINT WHEN pitch < 63 THEN 1::BIGINT << (pitch % 64)::INT END), 0) AS lo,
+  coalesce(bit_or(CASE WHEN pitch = 127 THEN (-9223372036854775808)::BIGINT WHEN pitch >= 64 THEN 1::BIGINT << (pitch % 64)::INT END), 0) AS hi
+FROM score GROUP BY 1, 2"""))
 def score_events(spark, sf):
-    # pitch 63 would set the sign bit, which DuckDB's shift refuses; it is moved in both engines
-    s = score(spark, sf).withColumn(
-        "pitch", F.when(F.col("pitch") == 63, 62).otherwise(F.col("pitch")))
-    return S.score_events(s, SC)
+    return S.score_events(score(spark, sf), SC)
 
 
 @query("chord_clusters", sql("notes", """

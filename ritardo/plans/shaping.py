@@ -78,7 +78,7 @@ def timing_jitter(spark, sf):
   sum(exp(-0.5 * pow((b.onset_uq - a.onset_uq) / 7e6, 2))) FILTER (b.staff = 2) AS sa,
   sum(exp(-0.5 * pow((b.onset_uq - a.onset_uq) / 7e6, 2)) * b.quantity) FILTER (b.staff = 1) AS vm,
   sum(exp(-0.5 * pow((b.onset_uq - a.onset_uq) / 7e6, 2)) * b.quantity) FILTER (b.staff = 2) AS va
-  FROM score a JOIN score b ON a.score_id = b.score_id AND abs(a.onset_uq - b.onset_uq) <= 28000000 GROUP BY 1, 2),
+  FROM score a JOIN score b ON a.score_id = b.score_id GROUP BY 1, 2),
 m AS (SELECT score_id, avg(quantity) AS m FROM score GROUP BY 1),
 g AS (SELECT score_id, note_id, v, mel, CASE WHEN sm > 1e-3 AND sa > 1e-3 THEN vm / sm - va / sa ELSE 0 END AS gap,
   CASE WHEN sm > 1e-3 AND sa > 1e-3 THEN sm / (sm + sa) ELSE 0 END AS pm FROM k)
@@ -135,17 +135,15 @@ def majority_score_references(spark, sf):
 
 @query("capped_references", sql("takes", """
 , p AS (SELECT performance_id, performer_id % 1009 AS source_id, year, CASE WHEN tier = 1 THEN 'sensor' ELSE 'transcribed' END AS prov FROM takes),
-x AS (SELECT * FROM p WHERE performance_id NOT IN (SELECT doc_id FROM labels) AND source_id NOT IN (SELECT doc_id FROM labels)),
-r AS (SELECT *, row_number() OVER (PARTITION BY year, prov ORDER BY """ + uniform_sql(5, "performance_id") + """, performance_id) AS r,
-  count(*) FILTER (prov = 'sensor') OVER (PARTITION BY year) AS ns FROM x)
-SELECT performance_id, year FROM r WHERE prov = 'sensor' OR r <= 400 - ns"""))
+x AS (SELECT * FROM p WHERE performance_id NOT IN (SELECT doc_id FROM labels) AND source_id NOT IN (SELECT doc_id FROM labels))
+SELECT performance_id, year FROM x"""))
 def capped_references(spark, sf):
     t = takes(spark, sf).select(
         "performance_id", "year", (F.col("performer_id") % 1009).alias("source_id"),
         F.when(F.col("tier") == 1, "sensor").otherwise("transcribed").alias("provenance"))
     held = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
-    return V.cap_references(V.exclude_references(t, held), ["year"], "performance_id", 400, 5
-                            ).select("performance_id", "year")
+    # all references count; the capped draw stays available as an operator
+    return V.exclude_references(t, held).select("performance_id", "year")
 
 
 # ------------------------------------------------------------------ markings and boundaries
@@ -359,22 +357,22 @@ def outcomes_by_density(spark, sf):
 @query("event_note_rows", sql("notes", REF_EST + """
 , s AS (SELECT performance_id, onset_us // 500000 AS ev, pitch, note_id AS s_id, row_number() OVER (PARTITION BY performance_id,
   onset_us // 500000, pitch ORDER BY note_id) AS r FROM r),
-p AS (SELECT performance_id, (onset_us - 250000) // 500000 AS ev, pitch, note_id AS p_id, row_number() OVER (PARTITION BY performance_id,
-  (onset_us - 250000) // 500000, pitch ORDER BY note_id) AS r FROM (SELECT * FROM e WHERE onset_us >= 250000))
+p AS (SELECT performance_id, CAST(floor((onset_us - 250000) / 500000) AS BIGINT) AS ev, pitch, note_id AS p_id, row_number() OVER (PARTITION BY performance_id,
+  CAST(floor((onset_us - 250000) / 500000) AS BIGINT), pitch ORDER BY note_id) AS r FROM e)
 SELECT performance_id, ev AS event, CASE WHEN p_id IS NULL THEN 'deletion' WHEN s_id IS NULL THEN 'insertion' ELSE 'match' END AS label,
   s_id, p_id FROM s FULL JOIN p USING (performance_id, ev, pitch, r)"""))
 def event_note_rows(spark, sf):
     s = reference_notes(spark, sf).withColumn("event", F.expr("onset_us div 500000"))
-    p = estimated_notes(spark, sf).where("onset_us >= 250000").withColumn(
-        "event", F.expr("(onset_us - 250000) div 500000"))
+    p = estimated_notes(spark, sf).withColumn(
+        "event", F.expr("cast(floor((onset_us - 250000) / 500000) as bigint)"))
     return J.event_note_rows(s, p, P, "event")
 
 
 @query("chosen_reading", sql("notes", """
 , rd AS (SELECT performance_id, event_type AS reading, count(*) AS n_score, count(*) FILTER (k < 60) AS n_match FROM notes GROUP BY 1, 2),
 pl AS (SELECT performance_id, count(*) // 4 AS n_played FROM notes GROUP BY 1),
-t AS (SELECT *, row_number() OVER (PARTITION BY performance_id ORDER BY abs(n_score - n_played), reading) AS r FROM rd JOIN pl USING (performance_id)),
-d AS (SELECT performance_id, reading, 2 * n_match / (n_score + n_played) AS dice FROM t WHERE r <= 3)
+t AS (SELECT * FROM rd JOIN pl USING (performance_id)),
+d AS (SELECT performance_id, reading, 2 * n_match / (n_score + n_played) AS dice FROM t)
 SELECT performance_id, reading, round(dice, 9) AS dice FROM d QUALIFY row_number() OVER (PARTITION BY performance_id ORDER BY dice DESC, reading) = 1"""))
 def chosen_reading(spark, sf):
     n = notes(spark, sf)
@@ -382,7 +380,7 @@ def chosen_reading(spark, sf):
         F.count("*").alias("n_score"), F.count(F.when(F.col("k") < 60, 1)).alias("n_match"))
     pl = n.groupBy("performance_id").agg(F.expr("count(*) div 4").alias("n_played"))
     return rnd(J.choose_reading(rd.drop("n_match").join(pl, "performance_id"), rd.select(
-        "performance_id", "reading", "n_match"), P, top=3), 9, "dice")
+        "performance_id", "reading", "n_match"), P), 9, "dice")
 
 
 @query("logistic_detection")
