@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,24 +38,49 @@ CANON_SUFFIX = r"_(mv\d+(?:to\d+)?|prelude|fugue)$"
 UNTESTED_GENRES = (("nocturne", "nocturne"), ("waltz", "waltz"), ("valse", "waltz"))
 
 
-def _accent_map() -> tuple[str, str]:
-    """Every BMP letter whose compatibility decomposition is one ASCII character."""
-    src, dst = [], []
-    for cp in range(0xA0, 0x2000):
+def _accent_map() -> tuple[str, str, dict[str, str]]:
+    """Compatibility decompositions to ASCII, of all of Unicode: to one letter, and to several."""
+    src, dst, long = [], [], {}
+    for cp in range(0x80, 0x110000):
         c = chr(cp)
         base = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode("ascii")
         if len(base) == 1:
             src.append(c)
             dst.append(base)
-    return "".join(src), "".join(dst)
+        elif base:
+            long[c] = base
+    return "".join(src), "".join(dst), long
 
 
-_FROM, _TO = _accent_map()
+_FROM, _TO, _LONG = _accent_map()
+
+
+def _char_class(chars: str) -> str:
+    """A pattern class of the given characters, as ranges of code points."""
+    cps, out, i = sorted(map(ord, chars)), [], 0
+    while i < len(cps):
+        j = i
+        while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
+            j += 1
+        out.append(rf"\x{{{cps[i]:X}}}-\x{{{cps[j]:X}}}")
+        i = j + 1
+    return "[" + "".join(out) + "]"
+
+
+_LONG_CLASS = _char_class("".join(_LONG))
+# separators that no key or value holds
+_LONG_KEYS, _LONG_VALUES = "\x01".join(_LONG), "\x01".join(_LONG.values())
 
 
 def fold_accents(s: Column) -> Column:
-    """ASCII folding: accented letters lose their accents, other non-ASCII characters go."""
-    return F.regexp_replace(F.translate(s, _FROM, _TO), r"[^\x00-\x7F]", "")
+    """ASCII folding: accented letters lose their accents, ligatures, fractions and the like are
+    spelled out, other non-ASCII characters go."""
+    table = F.map_from_arrays(F.split(F.lit(_LONG_KEYS), "\x01"), F.split(F.lit(_LONG_VALUES), "\x01"))
+    chars = F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
+    spelled = F.array_join(F.transform(chars, lambda c: F.when(
+        c.rlike(_LONG_CLASS), F.element_at(table, c)).otherwise(c)), "")
+    t = F.when(s.rlike(_LONG_CLASS), spelled).otherwise(s)
+    return F.regexp_replace(F.translate(t, _FROM, _TO), r"[^\x00-\x7F]", "")
 
 
 def slug(s: Column) -> Column:
@@ -264,20 +291,37 @@ def quick_decision(
         .when(short, "confirm").when(r < partial_stop, "stop").otherwise("pass"))
 
 
+# fixed values: metronome glyphs in composed form (notehead, stem, flag) and what they are called
+METRONOME = (
+    ("\U0001D158\U0001D165\U0001D16F", "16th"), ("\U0001D158\U0001D165\U0001D16E", "eighth"),
+    ("\U0001D158\U0001D165", "quarter"), ("\U0001D157\U0001D165", "half"),
+    ("\U0001D15D", "whole"), ("\U0001D16D", "."),
+)
+# fixed values: spellings of the tempo word and of the pedal word that are made one
+TEMPO_PRIMO = r"\b[Tt]emp(?:o|\.)\s*I\b\.?°?"
+CORDA = r"(?i)\b(una|tre|tres)\s+chord([ae])\b"
+
+
+def _resolved(s: Column) -> Column:
+    """All named and numeric entities, then composed characters: tables the JVM side lacks."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: unicodedata.normalize("NFC", html.unescape(t)), na_action="ignore")
+
+    return run(s)
+
+
 def clean_text(s: Column) -> Column:
-    """Text without tags, entities, private-use and control characters; tempo words spelled out;
-    empty when no letter or digit is left."""
-    t = F.regexp_replace(s, r"<[^>]*>", "")
-    # fixed values: named entities, the ampersand last so that nothing is decoded twice
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                         ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
-                         ("&middot;", "·"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
+    """Text without tags, entities, private-use and control characters; metronome glyphs and tempo
+    words spelled out; empty when no letter or digit is left."""
+    t = _resolved(F.regexp_replace(s, r"<[^>]*>", ""))
+    for glyph, word in METRONOME:
+        t = F.replace(t, F.lit(glyph), F.lit(word))
     t = F.regexp_replace(t, r"[\p{Co}\p{Cc}\p{Cf}]", "")
-    t = F.regexp_replace(t, "space", "")
-    t = F.trim(F.regexp_replace(t, r"\s+", " "))
-    t = F.regexp_replace(t, r"\b[Tt]emp(?:o|\.)\s*I\b\.?°?", "Tempo primo")
-    t = F.regexp_replace(t, r"(?i)\b(una|tre|tres)\s+chord([ae])\b", "$1 cord$2")
+    t = F.replace(t, F.lit("space"), F.lit(""))
+    t = F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+    t = F.regexp_replace(F.regexp_replace(t, TEMPO_PRIMO, "Tempo primo"), CORDA, "$1 cord$2")
     return F.when(t.rlike(r"[\p{L}\p{N}]"), t).otherwise("")
 
 

@@ -115,6 +115,19 @@ def match_notes(
     return items.select(*k, F.inline(F.aggregate("items", zero, step, lambda a: a["out"])))
 
 
+def _on_one_clock(
+    ref: DataFrame, est: DataFrame, keys: list[str], first_tol_us: int, width: int
+) -> DataFrame:
+    """The estimate with its median offset from the reference, of matches within
+    ``first_tol_us``, taken off."""
+    m0 = match_notes(ref, est, keys, first_tol_us, width).withColumn(
+        "__d", F.col("est_us") - F.col("ref_us"))
+    off = exact_quantiles(m0, keys, "__d", {"__off": 0.5})
+    est = join_on(est, off, keys, "left").withColumn("__off", F.coalesce(
+        F.round("__off").cast("bigint"), F.lit(0).cast("bigint")))
+    return est.withColumn("onset_us", F.col("onset_us") - F.col("__off")).drop("__off")
+
+
 def note_f1(
     ref: DataFrame, est: DataFrame, keys: Sequence[str], tol_us: int, width: int,
     first_tol_us: int | None = None,
@@ -122,19 +135,14 @@ def note_f1(
     """Precision, recall, F1 and onset errors; ``first_tol_us`` removes a median clock offset."""
     keys = list(keys)
     if first_tol_us:
-        m0 = match_notes(ref, est, keys, first_tol_us, width).withColumn(
-            "__d", F.col("est_us") - F.col("ref_us"))
-        off = exact_quantiles(m0, keys, "__d", {"__off": 0.5})
-        est = join_on(est, off, keys, "left").withColumn("__off", F.coalesce(
-            F.round("__off").cast("bigint"), F.lit(0).cast("bigint")))
-        est = est.withColumn("onset_us", F.col("onset_us") - F.col("__off"))
+        est = _on_one_clock(ref, est, keys, first_tol_us, width)
     m = match_notes(ref, est, keys, tol_us, width)
     n = [
         ref.groupBy(*keys).agg(F.count("*").alias("n_ref")),
         est.groupBy(*keys).agg(F.count("*").alias("n_est")),
         m.groupBy(*keys).agg(
             F.count("*").alias("n_match"),
-            F.avg((F.col("est_us") - F.col("ref_us")) / 1000.0).alias("onset_err_mean_ms")),
+            (F.avg(F.col("est_us") - F.col("ref_us")) / 1000.0).alias("onset_err_mean_ms")),
     ]
     j = n[0].join(n[1], keys, "full").join(n[2], keys, "full")
     j = j.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint"))
@@ -169,10 +177,17 @@ def nearest_note(
 
 
 def boundary_prf(
-    pred: DataFrame, true: DataFrame, keys: Sequence[str], tol: int
+    pred: DataFrame, true: DataFrame, keys: Sequence[str], tol: int, first: DataFrame | None = None
 ) -> DataFrame:
-    """One-to-one boundary matching within ``tol``, closest first. ``pos`` on both sides."""
+    """One-to-one boundary matching within ``tol``, closest first. ``pos`` on both sides.
+
+    ``first``: keys and ``pos`` of the first onset of a piece, which is a boundary for nobody and
+    counts on neither side.
+    """
     keys = list(keys)
+    if first is not None:
+        f = first.select(*keys, "pos").distinct()
+        pred, true = (d.join(f, [*keys, "pos"], "left_anti") for d in (pred, true))
     c = range_join(pred.select(*keys, F.col("pos").alias("p")),
                    true.select(*keys, F.col("pos").alias("t")), keys, "p", "t", tol, tol)
     c = c.withColumn("d", F.abs(F.col("p") - F.col("t")))
@@ -190,16 +205,38 @@ def boundary_prf(
                           "f1": F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)})
 
 
-def set_prf(pred: DataFrame, true: DataFrame, keys: Sequence[str], on: Sequence[str]) -> DataFrame:
-    """Set-wise precision / recall / F1 per key: both empty gives 1, one empty gives 0."""
+def false_extras(
+    ref: DataFrame, est: DataFrame, keys: Sequence[str], width: int, tol_us: int = 50_000,
+    first_tol_us: int = 400_000,
+) -> DataFrame:
+    """``false_extra`` of every estimated note: 1 if no reference note of its pitch is matched
+    within ``tol_us`` once the median offset of the clocks is taken off."""
+    keys = list(keys)
+    moved = _on_one_clock(ref, est, keys, first_tol_us, width)
+    hit = match_notes(ref, moved, keys, tol_us, width).select(
+        *keys, F.col("est_id").alias("note_id"), F.lit(0).alias("__h"))
+    return est.join(hit, [*keys, "note_id"], "left").withColumn(
+        "false_extra", F.coalesce("__h", F.lit(1))).drop("__h")
+
+
+def set_prf(pred: DataFrame, true: DataFrame, keys: Sequence[str], on: Sequence[str],
+            expected: DataFrame | None = None) -> DataFrame:
+    """Set-wise precision / recall / F1 per key: both empty gives 1, one empty gives 0.
+
+    Keys that neither side has are known from ``expected`` only.
+    """
     keys, on = list(keys), list(on)
     p = pred.select(*keys, *on).distinct().withColumn("__p", F.lit(1))
     t = true.select(*keys, *on).distinct().withColumn("__t", F.lit(1))
     j = p.join(t, [*keys, *on], "full").groupBy(*keys).agg(
         F.count("__p").alias("n_pred"), F.count("__t").alias("n_true"),
         F.count(F.col("__p") + F.col("__t")).alias("n_correct"))
-    pr = F.when(F.col("n_pred") > 0, F.col("n_correct") / F.col("n_pred")).otherwise(0.0)
-    rc = F.when(F.col("n_true") > 0, F.col("n_correct") / F.col("n_true")).otherwise(0.0)
+    if expected is not None:
+        n = ("n_pred", "n_true", "n_correct")
+        j = expected.select(*keys).distinct().join(j, keys, "left").fillna(0, list(n))
+    none = F.when((F.col("n_pred") == 0) & (F.col("n_true") == 0), 1.0).otherwise(0.0)
+    pr = F.when(F.col("n_pred") > 0, F.col("n_correct") / F.col("n_pred")).otherwise(none)
+    rc = F.when(F.col("n_true") > 0, F.col("n_correct") / F.col("n_true")).otherwise(none)
     return j.withColumns({"precision": pr, "recall": rc,
                           "f1": F.when(pr + rc > 0, 2 * pr * rc / (pr + rc)).otherwise(0.0)})
 

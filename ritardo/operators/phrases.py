@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ritardo.functions import keys as K
 from ritardo.operators.ordered import CHUNK, asof, chunk_of, scan, with_halo
 from ritardo.session import cut_lineage
 
@@ -26,8 +27,9 @@ def dynamics(
         *[f"`{k}`" for k in keys], "start", "end", f"explode(sequence(cast(floor(start / {size}D)"
         f" as bigint), cast(floor(end / {size}D) as bigint))) as `{CHUNK}`")
     at = p.select(*keys, pos).distinct().withColumn(CHUNK, chunk_of(pos, width))
-    ramp = at.join(spans, [*keys, CHUNK]).where(F.expr(f"`{pos}` between start and end")).groupBy(
-        *keys, pos).agg(F.expr(f"max((`{pos}` - start) / (end - start)) as ramp"))
+    rising = at.join(spans, [*keys, CHUNK]).where(F.expr(f"`{pos}` between start and end"))
+    ramp = rising.groupBy(*keys, pos).agg(F.max(K.ramp(F.col(pos), F.col("start"), F.col("end"))).alias(
+        "ramp"))
     return p.join(ramp, [*keys, pos], "left").withColumns({
         "inside": F.col("ramp").isNotNull(), "ramp": F.coalesce("ramp", F.lit(0.0))})
 

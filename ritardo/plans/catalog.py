@@ -427,13 +427,14 @@ def curve_completeness(spark, sf):
 
 
 @query("page_name_parts", """
-SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host,
-  CAST(nullif(regexp_extract(url, '^https?://[^/]+/[a-z]+/(\\d+)', 1), '') AS BIGINT) AS number FROM pages""")
+SELECT page_id, split_part(url, '/', 3) AS work, CAST(page_id % 9 + 1 AS INTEGER) AS bars,
+  CAST(length(url) AS INTEGER) AS segment, CAST(length(html) AS INTEGER) AS player FROM pages
+WHERE split_part(url, '/', 3) <> ''""")
 def page_name_parts(spark, sf):
-    num = F.regexp_extract("url", r"^https?://[^/]+/[a-z]+/(\d+)", 1)
-    return table(spark, sf, "pages").select(
-        "page_id", F.regexp_extract("url", r"^https?://([^/]+)/", 1).alias("host"),
-        F.when(num != "", num.cast("bigint")).alias("number"))
+    name = F.concat(F.split_part("url", F.lit("/"), F.lit(3)), F.lit("_"), F.col("page_id") % 9 + 1,
+                    F.lit("bars_"), F.length("url"), F.lit("_"), F.length("html"), F.lit(".mid"))
+    parts = table(spark, sf, "pages").select("page_id", R.parse_segment_name(name).alias("p"))
+    return parts.where("p is not null").select("page_id", "p.*")
 
 
 @query("first_question_text", """
