@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ritardo.operators.folds import blocks_of, carried_fold
 from ritardo.operators.ordered import asof, chunk_of, islands, scan
 from ritardo.operators.quantiles import exact_quantiles, join_on, loo_quantiles
 from ritardo.session import cut_lineage
@@ -74,7 +75,8 @@ def match_notes(
     """Same-pitch one-to-one matches within ``tol_us``: earliest unused estimate, in time order.
 
     ``ref`` / ``est``: keys, ``note_id``, ``onset_us``, ``pitch``. Notes of one pitch separated by
-    more than the tolerance cannot influence each other, so the fold runs inside such clusters.
+    more than the tolerance cannot influence each other, so the fold runs inside such clusters, in
+    blocks that hand on the notes still open.
     """
     k = [*keys, "pitch"]
 
@@ -84,19 +86,16 @@ def match_notes(
     both = side(ref, 0).unionByName(side(est, 1))
     cl = islands(both, k, ["onset_us", "side", "note_id"], chunk_of("onset_us", width),
                  lambda p, c: c("onset_us") - p("onset_us") > tol_us, ["onset_us"], "cluster")
-    items = cl.groupBy(*k, "cluster").agg(
-        F.array_sort(F.collect_list(F.struct("onset_us", "side", "note_id"))).alias("items"),
-        F.countDistinct("side").alias("sides"),
-    ).where("sides = 2")
+    blocks = blocks_of(cl, [*k, "cluster"], ["onset_us", "side", "note_id"], chunk_of(
+        "onset_us", width))
     item = "struct<onset_us:bigint,side:int,note_id:bigint>"
     pair = "struct<ref_id:bigint,est_id:bigint,ref_us:bigint,est_us:bigint>"
-    zero = F.expr(
-        f"named_struct('open', cast(array() as array<{item}>),"
-        f" 'out', cast(array() as array<{pair}>))")
+    none = F.expr(f"cast(array() as array<{item}>)")
+    zero = F.expr(f"cast(array() as array<{pair}>)")
 
     def step(acc: Column, x: Column) -> Column:
         # open notes are all of one side (a possible match is taken at once)
-        live = F.filter(acc["open"], lambda o: x["onset_us"] - o["onset_us"] <= tol_us)
+        live = F.filter(acc["carry"], lambda o: x["onset_us"] - o["onset_us"] <= tol_us)
         hit = (F.size(live) > 0) & (F.get(live, F.lit(0))["side"] != x["side"])
         h = F.get(live, F.lit(0))
         ref_first = h["side"] == 0
@@ -108,11 +107,14 @@ def match_notes(
         )
         return F.struct(
             F.when(hit, F.slice(live, 2, F.greatest(F.size(live) - 1, F.lit(0))))
-            .otherwise(F.concat(live, F.array(x))).alias("open"),
+            .otherwise(F.concat(live, F.array(x))).alias("carry"),
             F.when(hit, F.concat(acc["out"], F.array(new))).otherwise(acc["out"]).alias("out"),
         )
 
-    return items.select(*k, F.inline(F.aggregate("items", zero, step, lambda a: a["out"])))
+    def fold(carry: Column) -> Column:
+        return F.aggregate("items", F.struct(carry.alias("carry"), zero.alias("out")), step)
+
+    return carried_fold(blocks, [*k, "cluster"], fold, none).drop("cluster")
 
 
 def _on_one_clock(

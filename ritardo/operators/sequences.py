@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ritardo.operators.folds import blocks_of, carried_fold
 from ritardo.operators.ordered import CHUNK, asof, chunk_of, islands, scan, with_halo
 from ritardo.operators.quantiles import exact_quantiles
 from ritardo.session import cut_lineage
@@ -75,8 +76,8 @@ def chord_clusters(onsets: DataFrame, keys: Sequence[str], window_us: int, width
     """Anchor-rule chords: an onset joins while within ``window_us`` of the chord's first onset.
 
     A gap wider than the window always starts a chord, so the fold runs only inside such
-    stretches, over their distinct onsets. Returns one row per distinct onset with its
-    ``chord_us`` (first onset of the chord).
+    stretches, over their distinct onsets, in blocks that hand on the open chord. Returns one row
+    per distinct onset with its ``chord_us`` (first onset of the chord).
     """
     keys = list(keys)
     distinct = onsets.select(*keys, "onset_us").distinct()
@@ -89,27 +90,19 @@ def chord_clusters(onsets: DataFrame, keys: Sequence[str], window_us: int, width
         ["onset_us"],
         "stretch",
     )
-    fold = F.aggregate(
-        F.array_sort(F.collect_list("onset_us")),
-        F.expr("cast(array() as array<struct<onset_us:bigint,chord_us:bigint>>)"),
-        lambda acc, t: F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    t.alias("onset_us"),
-                    F.when(
-                        (F.size(acc) > 0)
-                        & (t - F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["chord_us"]
-                           <= window_us),
-                        F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["chord_us"],
-                    ).otherwise(t).alias("chord_us"),
-                )
-            ),
-        ),
-    )
-    # a stretch of one onset is its own chord: no array is built for it
-    sized = st.groupBy(*keys, "stretch").agg(fold.alias("__f"))
-    return sized.select(*keys, F.inline("__f"))
+    blocks = blocks_of(st, [*keys, "stretch"], ["onset_us"], chunk_of("onset_us", width))
+    none = F.expr("cast(array() as array<struct<onset_us:bigint,chord_us:bigint>>)")
+
+    def step(acc: Column, x: Column) -> Column:
+        t = x["onset_us"]
+        chord = F.when(t - acc["carry"] <= window_us, acc["carry"]).otherwise(t)
+        return F.struct(chord.alias("carry"), F.concat(acc["out"], F.array(F.struct(
+            t.alias("onset_us"), chord.alias("chord_us")))).alias("out"))
+
+    def fold(carry: Column) -> Column:
+        return F.aggregate("items", F.struct(carry.alias("carry"), none.alias("out")), step)
+
+    return carried_fold(blocks, [*keys, "stretch"], fold, F.lit(None).cast("bigint")).drop("stretch")
 
 
 def running_index(
