@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ritardo.functions.distributions import f_quantile_col
 from ritardo.functions.stats import pearson, tier, tier_rank, tier_name
 from ritardo.operators.quantiles import exact_quantiles, join_on, loo_quantiles, robust_sd
 from ritardo.session import cut_lineage
@@ -252,9 +253,21 @@ def share_at_or_below(
     ).drop("__r", "__m", "__n")
 
 
+def icc_interval(components: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Adds ``icc_low`` and ``icc_high``, the F interval of the single-take consistency; null
+    without error variance."""
+    n, k = F.col("n"), F.col("k")
+    d1, d2 = n - 1, (n - 1) * (k - 1)
+    f = F.when(F.col("ms_error") > 0, F.col("ms_rows") / F.col("ms_error"))
+    p = F.lit(1 - alpha / 2)
+    low, high = f / f_quantile_col(p, d1, d2), f * f_quantile_col(p, d2, d1)
+    return components.withColumns({"icc_low": (low - 1) / (low + k - 1),
+                                   "icc_high": (high - 1) / (high + k - 1)})
+
+
 def variance_components(df: DataFrame, keys: Sequence[str], obs: str, take: str, value: str
                         ) -> DataFrame:
-    """Two-way consistency variance components from grouped sums.
+    """Two-way consistency variance components from grouped sums; see ``icc_interval``.
 
     ``df`` holds a full ``obs x take`` table per key. Null results for n < 3 or k < 2.
     """

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ritardo.functions.distributions import t_quantile_col
 from ritardo.functions.draws import uniform
 from ritardo.operators.ordered import scan
 from ritardo.operators.quantiles import exact_quantiles
@@ -175,6 +176,14 @@ def bootstrap_ci(
     return est.join(q, "metric", "left").join(bad, "metric", "left")
 
 
+def t_interval(df: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.05) -> DataFrame:
+    """Mean of each key's values with Student's interval; null below two values."""
+    m = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"),
+                              F.stddev_samp(value).alias("__s"))
+    half = t_quantile_col(F.lit(1 - alpha / 2), F.col("n") - 1) * F.col("__s") / F.sqrt("n")
+    return m.withColumns({"low": F.col("mean") - half, "high": F.col("mean") + half}).drop("__s")
+
+
 def two_way_bootstrap(
     cells: DataFrame, first: str, second: str, num: str, den: str, *, n_boot: int, seed: int,
     alpha: float = 0.05,
@@ -198,27 +207,41 @@ def two_way_bootstrap(
     return est.crossJoin(q)
 
 
+def _least_neighbour(pairs: DataFrame) -> DataFrame:
+    """Rows (u, v) with ``m``, the least of u and all its neighbours (minima combine map side)."""
+    low = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return pairs.join(low, "u")
+
+
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """Smallest node id of each node's component, by label propagation with pointer jumping.
+    """Smallest node id of each node's component.
 
-    Rounds go on until no label changes; each is checkpointed so that the plan stays flat and a
-    lost executor costs one round.
+    Star contraction: all larger neighbours of a node are linked to its least neighbour, then all
+    smaller ones, until every component is one star. Labels are no join keys, so a component of
+    most nodes is no hot key; a hub is split by the adaptive join. Each round is checkpointed, so
+    the plan stays flat and a lost executor costs one round.
     """
-    e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    both = cut_lineage(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    lab = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")))
+    e = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
+    nodes = e.select(F.col("x").alias("node")).union(e.select("y")).distinct()
+    e = cut_lineage(e.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where(
+        "u > v").distinct())
+    seen = None
     while True:
-        near = both.join(lab.select(F.col("u").alias("v"), F.col("label").alias("l")), "v").groupBy(
-            "u").agg(F.min("l").alias("l"))
-        low = lab.join(near, "u").select("u", "label", F.least("label", "l").alias("new"))
-        # jump: the label of my label is a node of the same component
-        jump = low.join(lab.select(F.col("u").alias("new"), F.col("label").alias("l2")), "new",
-                        "left")
-        nxt = cut_lineage(jump.select("u", "label", F.least(
-            F.col("new"), F.coalesce("l2", "new")).alias("new")))
-        if nxt.where("new < label").isEmpty():
-            return nxt.select(F.col("u").alias("node"), F.col("new").alias("component"))
-        lab = nxt.select("u", F.col("new").alias("label"))
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias(
+            "v")).distinct()
+        star = _least_neighbour(large)
+        small = star.select(F.inline(F.array(
+            F.struct("u", F.col("m").alias("v")),
+            F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).where("u > v").distinct()
+        e = cut_lineage(small)
+        mark = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if mark == seen:
+            break
+        seen = mark
+    root = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.join(root, "node", "left").select("node", F.coalesce("component", "node").alias(
+        "component"))
 
 
 def split_half(

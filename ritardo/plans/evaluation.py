@@ -433,3 +433,33 @@ def split_half_curves(spark, sf):
     r = F.corr("a", "b")
     return rnd(h.groupBy("piece_id").agg(r.alias("r"), (2 * r / (1 + r)).alias("reliability")), 9,
                "r", "reliability")
+
+
+@query("icc_intervals", sql("ratings", """
+, s AS (SELECT dimension, rater_id % 3 AS take, segment_id % 3 AS obs, avg(value) AS v FROM ratings GROUP BY 1, 2, 3),
+r AS (SELECT *, avg(v) OVER (PARTITION BY dimension, obs) AS rm, avg(v) OVER (PARTITION BY dimension, take) AS cm,
+  avg(v) OVER (PARTITION BY dimension) AS gm FROM s),
+a AS (SELECT dimension, sum((rm - gm) * (rm - gm)) / 2 AS msr, sum((v - rm - cm + gm) * (v - rm - cm + gm)) / 4 AS mse FROM r GROUP BY 1),
+f AS (SELECT dimension, msr / mse / (2 * (pow(0.025, -0.5) - 1)) AS lo, msr / mse * 39.24842 AS hi FROM a)
+SELECT dimension, round((lo - 1) / (lo + 2), 5) AS icc_low, round((hi - 1) / (hi + 2), 5) AS icc_high FROM f"""))
+def icc_intervals(spark, sf):
+    """Three observations and takes: F with 2 and 4 degrees of freedom has a closed form, its
+    reverse (4 and 2) the tabled 39.24842."""
+    from ritardo.operators.consensus import icc_interval, variance_components
+
+    s = ratings(spark, sf).groupBy("dimension", (F.col("rater_id") % 3).alias("take"), (
+        F.col("segment_id") % 3).alias("obs")).agg(F.avg("value").alias("v"))
+    v = icc_interval(variance_components(s, ["dimension"], "obs", "take", "v"))
+    return rnd(v.select("dimension", "icc_low", "icc_high"), 5, "icc_low", "icc_high")
+
+
+@query("t_intervals", sql("ratings", """
+, s AS (SELECT dimension, rater_id % 3 AS part, avg(value) AS v FROM ratings GROUP BY 1, 2),
+a AS (SELECT dimension, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd FROM s GROUP BY 1)
+SELECT dimension, n, round(mean, 6) AS mean, round(mean - 0.95 / sqrt(2 * 0.975 * 0.025) * sd / sqrt(n), 6) AS low,
+  round(mean + 0.95 / sqrt(2 * 0.975 * 0.025) * sd / sqrt(n), 6) AS high FROM a"""))
+def t_intervals(spark, sf):
+    """Three parts: the quantile with 2 degrees of freedom has a closed form."""
+    s = ratings(spark, sf).groupBy("dimension", (F.col("rater_id") % 3).alias("part")).agg(
+        F.avg("value").alias("v"))
+    return rnd(R.t_interval(s, ["dimension"], "v"), 6, "mean", "low", "high")
