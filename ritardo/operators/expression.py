@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ritardo.operators.matching import set_prf
 from ritardo.operators.ordered import chunk_of, scan
+from ritardo.operators.sequences import interpolate
 
 
 def matched_pairs(
@@ -135,3 +136,68 @@ def pedal_depth(
     span = F.col("end_us") - F.col("start_us")
     return spans.join(s, keys, "left").withColumn("depth_mean", F.when(
         span > 0, F.coalesce("__a", F.lit(0)) / (span * full))).drop("__a")
+
+
+def matched_onsets(
+    score: DataFrame, played: DataFrame, pairs: DataFrame, keys: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs usable for timing, and what was left out, counted per key.
+
+    Only ``match`` pairs count; the first row (smallest position) stands for an id that a side has
+    twice; pairs whose ids are missing and grace notes go. ``score``: keys, ``s_id``, ``onset_uq``,
+    ``is_grace``; ``played``: keys, ``p_id``, ``onset_us``, ``pitch``, ``velocity``; ``pairs``:
+    keys, ``s_id``, ``p_id``, ``label``.
+    """
+    keys = list(keys)
+    s = score.groupBy(*keys, "s_id").agg(F.min(F.struct("onset_uq", "is_grace")).alias("s"))
+    p = played.groupBy(*keys, "p_id").agg(F.min(F.struct("onset_us", "pitch", "velocity")).alias("p"))
+    j = pairs.where("label = 'match'").join(s, [*keys, "s_id"], "left").join(
+        p, [*keys, "p_id"], "left")
+    ok = F.col("s").isNotNull() & F.col("p").isNotNull()
+    kept = j.where(ok & ~F.col("s.is_grace")).select(
+        *keys, "s_id", "p_id", "s.onset_uq", "p.onset_us", "p.pitch", "p.velocity")
+    left_out = j.groupBy(*keys).agg(
+        F.count(F.when(~ok, 1)).alias("n_missing_ids_skipped"),
+        F.count(F.when(ok & F.col("s.is_grace"), 1)).alias("n_grace_skipped"))
+    by_label = pairs.groupBy(*keys).agg(*[
+        F.count(F.when(F.col("label") == label, 1)).alias(name) for label, name in (
+            ("match", "n_match"), ("interpolated", "n_interpolated_skipped"),
+            ("insertion", "n_insertion"), ("deletion", "n_deletion"))])
+    counts = by_label.join(left_out, keys, "left").join(score.groupBy(*keys).agg(
+        F.count("*").alias("n_score_notes")), keys, "left").join(played.groupBy(*keys).agg(
+            F.count("*").alias("n_perf_notes")), keys, "left").fillna(0)
+    return kept, counts
+
+
+def steady_edges(
+    points: DataFrame, knots: DataFrame, keys: Sequence[str], pos: str, knot_pos: str,
+    knot_val: str, width: int, k: int, name: str = "value",
+) -> DataFrame:
+    """Piecewise-linear value at ``pos``; beyond the end knots the slope is the median of the
+    first (last) ``k`` segments, so one odd segment at the edge does not carry on."""
+    keys = list(keys)
+    inner = interpolate(points, knots, keys, pos, knot_pos, knot_val, width, name, extrapolate=False)
+    seg = scan(knots.select(*keys, knot_pos, knot_val), keys, [knot_pos, knot_val], chunk_of(
+        knot_pos, width), __np=("lead", knot_pos), __nv=("lead", knot_val))
+    seg = seg.withColumn("__slope", (F.col("__nv") - F.col(knot_val)) / (
+        F.col("__np") - F.col(knot_pos)))
+
+    def edge(order, end: str) -> DataFrame:
+        w = W.partitionBy(*keys).orderBy(order)  # the limit is applied before the shuffle
+        near = seg.where("__slope is not null").withColumn("__r", F.row_number().over(w)).where(
+            F.col("__r") <= k)
+        return near.groupBy(*keys).agg(F.median("__slope").alias(f"__{end}_slope"))
+
+    ends = knots.groupBy(*keys).agg(
+        F.min(F.struct(knot_pos, knot_val)).alias("__lo"), F.max(F.struct(knot_pos, knot_val)).alias("__hi"))
+    ends = ends.join(edge(F.asc(knot_pos), "lo"), keys, "left").join(edge(
+        F.desc(knot_pos), "hi"), keys, "left")
+    j = inner.join(ends, keys, "left")
+
+    def beyond(end: str):
+        return F.col(f"__{end}.{knot_val}") + (F.col(pos) - F.col(f"__{end}.{knot_pos}")) * F.coalesce(
+            f"__{end}_slope", F.lit(0.0))
+
+    return j.withColumn(name, F.when(F.col(pos) < F.col(f"__lo.{knot_pos}"), beyond("lo")).when(
+        F.col(pos) > F.col(f"__hi.{knot_pos}"), beyond("hi")).otherwise(F.col(name))).drop(
+        "__lo", "__hi", "__lo_slope", "__hi_slope")

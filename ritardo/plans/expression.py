@@ -151,3 +151,78 @@ def pedal_depth(spark, sf):
     e = n.where("event_type in ('view', 'click')").groupBy("performance_id", F.col(
         "onset_us").alias("time_us")).agg(F.max("velocity").alias("pedal_value"))
     return rnd(X.pedal_depth(e, spans, P, NOTE_CHUNK).select("performance_id", "depth_mean"), 9, "depth_mean")
+
+
+ONSETS = """
+, s0 AS (SELECT performance_id, note_id // 2 * 2 AS s_id, onset_us AS onset_uq, k % 10 = 0 AS is_grace FROM notes WHERE label <> 'insertion'),
+p0 AS (SELECT performance_id, note_id // 3 * 3 AS p_id, onset_us, pitch, velocity FROM notes WHERE label <> 'deletion'),
+pr AS (SELECT performance_id, note_id // 2 * 2 AS s_id, note_id // 3 * 3 AS p_id, label FROM notes),
+s1 AS (SELECT performance_id, s_id, min((onset_uq, is_grace)) AS s FROM s0 GROUP BY 1, 2),
+p1 AS (SELECT performance_id, p_id, min((onset_us, pitch, velocity)) AS p FROM p0 GROUP BY 1, 2),
+j AS (SELECT pr.*, s[1] AS onset_uq, s[2] AS is_grace, p[1] AS onset_us, p[2] AS pitch, p[3] AS velocity, s IS NOT NULL AND p IS NOT NULL AS ok
+  FROM pr LEFT JOIN s1 USING (performance_id, s_id) LEFT JOIN p1 USING (performance_id, p_id) WHERE label = 'match')"""
+
+
+def _onsets(spark, sf):
+    n = notes(spark, sf)
+    sid, pid = F.expr("note_id div 2 * 2").alias("s_id"), F.expr("note_id div 3 * 3").alias("p_id")
+    s = n.where("label <> 'insertion'").select("performance_id", sid, F.col("onset_us").alias(
+        "onset_uq"), (F.col("k") % 10 == 0).alias("is_grace"))
+    p = n.where("label <> 'deletion'").select("performance_id", pid, "onset_us", "pitch", "velocity")
+    return X.matched_onsets(s, p, n.select("performance_id", sid, pid, "label"), P)
+
+
+@query("matched_onsets", sql("notes", ONSETS + """
+SELECT performance_id, s_id, p_id, onset_uq, onset_us, pitch, velocity FROM j WHERE ok AND NOT is_grace"""))
+def matched_onsets(spark, sf):
+    return _onsets(spark, sf)[0]
+
+
+@query("matched_onset_counts", sql("notes", ONSETS + """
+, c AS (SELECT performance_id, count(*) FILTER (label = 'match') AS n_match, count(*) FILTER (label = 'interpolated') AS n_interpolated_skipped,
+  count(*) FILTER (label = 'insertion') AS n_insertion, count(*) FILTER (label = 'deletion') AS n_deletion FROM pr GROUP BY 1),
+o AS (SELECT performance_id, count(*) FILTER (NOT ok) AS n_missing_ids_skipped, count(*) FILTER (ok AND is_grace) AS n_grace_skipped FROM j GROUP BY 1),
+a AS (SELECT performance_id, count(*) AS n_score_notes FROM s0 GROUP BY 1), b AS (SELECT performance_id, count(*) AS n_perf_notes FROM p0 GROUP BY 1)
+SELECT performance_id, n_match, n_interpolated_skipped, n_insertion, n_deletion, coalesce(n_missing_ids_skipped, 0) AS n_missing_ids_skipped,
+  coalesce(n_grace_skipped, 0) AS n_grace_skipped, coalesce(n_score_notes, 0) AS n_score_notes, coalesce(n_perf_notes, 0) AS n_perf_notes
+FROM c LEFT JOIN o USING (performance_id) LEFT JOIN a USING (performance_id) LEFT JOIN b USING (performance_id)"""))
+def matched_onset_counts(spark, sf):
+    return _onsets(spark, sf)[1]
+
+
+@query("steady_edge_time_map", sql("notes", """
+, k AS (SELECT performance_id, onset_us // 500000 * 1000000 AS kp, max(onset_us)::DOUBLE AS kv FROM notes GROUP BY 1, 2),
+g AS (SELECT *, (lead(kv) OVER w - kv) / (lead(kp) OVER w - kp) AS slope FROM k WINDOW w AS (PARTITION BY performance_id ORDER BY kp)),
+r AS (SELECT *, row_number() OVER (PARTITION BY performance_id ORDER BY kp) AS a, row_number() OVER (PARTITION BY performance_id ORDER BY kp DESC) AS z
+  FROM g WHERE slope IS NOT NULL),
+e AS (SELECT performance_id, median(slope) FILTER (a <= 5) AS lo_s, median(slope) FILTER (z <= 5) AS hi_s FROM r GROUP BY 1),
+m AS (SELECT performance_id, min(kp) AS lo, max(kp) AS hi, arg_min(kv, kp) AS lov, arg_max(kv, kp) AS hiv FROM k GROUP BY 1),
+pt AS (SELECT performance_id, note_id, 3 * onset_us - 9000000 AS pos FROM notes),
+h AS (SELECT pt.*, g.kp, g.kv, g.slope FROM pt ASOF LEFT JOIN g ON pt.performance_id = g.performance_id AND pt.pos >= g.kp)
+SELECT performance_id, note_id, round(CASE WHEN pos < lo THEN lov + (pos - lo) * coalesce(lo_s, 0) WHEN pos > hi THEN hiv + (pos - hi) * coalesce(hi_s, 0)
+  ELSE kv + (pos - kp) * coalesce(slope, 0) END, 0) AS expected_us FROM h JOIN m USING (performance_id) LEFT JOIN e USING (performance_id)"""))
+def steady_edge_time_map(spark, sf):
+    n = notes(spark, sf)
+    k = n.groupBy("performance_id", F.expr("onset_us div 500000 * 1000000").alias("kp")).agg(
+        F.max("onset_us").cast("double").alias("kv"))
+    pts = n.select("performance_id", "note_id", (F.col("onset_us") * 3 - 9_000_000).alias("pos"))
+    out = X.steady_edges(pts, k, P, "pos", "kp", "kv", NOTE_CHUNK, 5, "expected_us")
+    return out.select("performance_id", "note_id", F.round("expected_us", 0).alias("expected_us"))
+
+
+@query("beat_table", sql("notes", """
+, w AS (SELECT performance_id, onset_us // 1000000 AS beat, max(onset_us) FILTER (event_type = 'view') AS a, max(onset_us) FILTER (event_type = 'click') AS b,
+  max(velocity) FILTER (event_type = 'view' AND k > 20) AS la FROM notes GROUP BY 1, 2)
+SELECT performance_id, beat, 'pid7-view' AS recording, a AS time, la AS loudness, 7 AS performer FROM w WHERE a IS NOT NULL
+UNION ALL SELECT performance_id, beat, 'pid12b-click', b, NULL, 12 FROM w WHERE b IS NOT NULL"""))
+def beat_table(spark, sf):
+    from ritardo.sources.readers import beat_table as table_of
+
+    def cell(cond: str, col: str, name: str):
+        return F.max(F.when(F.expr(cond), F.col(col))).alias(name)
+
+    n = notes(spark, sf).groupBy("performance_id", F.expr("onset_us div 1000000").alias("beat"))
+    t = n.agg(cell("event_type = 'view'", "onset_us", "pid7-view"),
+              cell("event_type = 'click'", "onset_us", "pid12b-click"))
+    v = n.agg(cell("event_type = 'view' and k > 20", "velocity", "pid7-view"))
+    return table_of(t, v, ["performance_id", "beat"], ["pid7-view", "pid12b-click"])

@@ -107,3 +107,18 @@ def json_report(df: DataFrame, keys: Sequence[str], name: str = "report") -> Dat
             c = F.when(~bad, c)
         cols.append(c.alias(f.name))
     return df.select(*keys, F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias(name))
+
+
+def beat_table(
+    times: DataFrame, loudness: DataFrame, ids: Sequence[str], recordings: Sequence[str]
+) -> DataFrame:
+    """Beat times and loudness of recordings, one column each, as one long table.
+
+    Every timed beat stays; loudness is null where its table lacks the beat or the recording. The
+    performer's number is read from the recording's name.
+    """
+    both = [c for c in recordings if c in loudness.columns]
+    t = wide_to_long(times, ids, recordings, "recording", "time")
+    v = wide_to_long(loudness, ids, both, "recording", "loudness")
+    return t.join(v, [*ids, "recording"], "left").withColumn("performer", performer_number(F.col(
+        "recording")))
