@@ -135,29 +135,30 @@ def staff_from_tracks(notes: DataFrame, tracks: DataFrame, keys: Sequence[str])
 
 
 def opening_match(
-    notes: DataFrame, keys: Sequence[str], openings: DataFrame, n: int
+    notes: DataFrame, keys: Sequence[str], openings: DataFrame, segment: str, n: int
 ) -> DataFrame:
-    """Places in full scores where a segment's first ``n`` pitches occur in a row.
+    """Places in a segment's own full score where its first ``n`` pitches occur in a row.
 
-    ``notes``: keys, ``idx``, ``pitch``. Every note is sent to the ``n`` windows that contain it,
-    so the n-grams are grouped without ordering a whole score.
+    ``notes``: keys (of the score), ``idx``, ``pitch``; ``openings``: keys, ``segment``, ``idx``
+    from 1, ``pitch``. Every note is sent to the ``n`` windows that contain it, so the n-grams are
+    grouped without ordering a whole score; a segment meets its own score only.
     """
     keys = list(keys)
 
-    def grams(df: DataFrame) -> DataFrame:
-        w = df.select(*keys, F.explode(F.sequence(F.col("idx") - (n - 1), F.col("idx"))).alias(
+    def grams(df: DataFrame, *more: str) -> DataFrame:
+        own = [*keys, *more]
+        w = df.select(*own, F.explode(F.sequence(F.col("idx") - (n - 1), F.col("idx"))).alias(
             "start"), "idx", "pitch")
-        return w.groupBy(*keys, "start").agg(
+        return w.groupBy(*own, "start").agg(
             F.count("*").alias("c"),
             F.array_sort(F.collect_list(F.struct("idx", "pitch"))).alias("g"),
         ).where(F.col("c") == n).select(
-            *keys, "start", F.concat_ws(",", F.transform("g", lambda x: x["pitch"].cast(
+            *own, "start", F.concat_ws(",", F.transform("g", lambda x: x["pitch"].cast(
                 "string"))).alias("gram"))
 
     full = grams(notes)
-    seg = grams(openings).where("start = 1").select(
-        F.col(keys[0]).alias("segment_id"), "gram")
-    return full.join(seg, "gram").groupBy("segment_id", *keys).agg(
+    seg = grams(openings, segment).where("start = 1").select(*keys, segment, "gram")
+    return full.join(seg, [*keys, "gram"]).groupBy(segment, *keys).agg(
         F.min("start").alias("start_idx"), F.count("*").alias("n_places"))
 
 

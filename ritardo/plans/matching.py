@@ -346,8 +346,8 @@ def track_staff_lookup(spark, sf):
 g AS (SELECT a.performance_id, a.i, a.pitch AS p0, b.pitch AS p1, c.pitch AS p2 FROM o a
   JOIN o b ON b.performance_id = a.performance_id AND b.i = a.i + 1
   JOIN o c ON c.performance_id = a.performance_id AND c.i = a.i + 2)
-SELECT q.performance_id AS segment_id, f.performance_id, min(f.i) AS start_idx, count(*) AS n_places
-FROM g q JOIN g f ON q.i = 1 AND f.p0 = q.p0 AND f.p1 = q.p1 AND f.p2 = q.p2 GROUP BY 1, 2"""))
+SELECT q.performance_id * 1000 + q.i // 10 AS segment_id, f.performance_id, min(f.i) AS start_idx, count(*) AS n_places
+FROM g q JOIN g f ON q.i % 10 = 1 AND f.performance_id = q.performance_id AND f.p0 = q.p0 AND f.p1 = q.p1 AND f.p2 = q.p2 GROUP BY 1, 2"""))
 def opening_match(spark, sf):
     from ritardo.operators.ordered import chunk_of
     from ritardo.operators.sequences import running_index
@@ -355,7 +355,10 @@ def opening_match(spark, sf):
     n = running_index(notes(spark, sf), P, ["onset_us", "note_id"],
                       chunk_of("onset_us", NOTE_CHUNK), "idx")
     n = n.select("performance_id", (F.col("idx") + 1).alias("idx"), "pitch")
-    return J.opening_match(n, P, n.where("idx <= 3"), 3)
+    # every tenth note of a score begins a segment of it
+    s = n.select("performance_id", (F.col("performance_id") * 1000 + F.expr(
+        "(idx - 1) div 10")).alias("segment_id"), ((F.col("idx") - 1) % 10 + 1).alias("idx"), "pitch")
+    return J.opening_match(n, P, s.where("idx <= 3"), "segment_id", 3)
 
 
 @query("clock_line", sql("notes", REF_EST + """
