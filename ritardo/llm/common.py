@@ -36,7 +36,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """Key of a row by id and whole text. Only equal rows share one, and they share all results."""
+    """Key of a row by id and whole text: equal rows share one, and all results. 64 bits tell
+    different rows apart but for one pair in 2**64."""
     return F.xxhash64(F.col(id_col), F.length(text_col), F.col(text_col))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ritardo.llm.common import ascii_lower, row_key, stored
@@ -48,7 +48,7 @@ def build_index(docs: DataFrame, terms: DataFrame, small: bool, id_col: str = "d
         (F.element_at("w", -1) == blank) & (F.size("w") > 1)).cast("int")
     rows = d.select("doc_id", "key", n.alias("n_words"), F.posexplode(
         F.concat(F.array(F.lit(DOC)), F.col("w"))).alias("pos", "word"))
-    own = terms.sparkSession.createDataFrame([(DOC, -1)], "word string, term int")
+    own = terms.sparkSession.createDataFrame([(DOC, -1)], "word string, term bigint")
     t = terms.select("word", "term").unionByName(own)
     hit = rows.join(F.broadcast(t) if small else t, "word")
     every = stored(hit.select("doc_id", "key", "n_words", "term", "pos"), "postings")
@@ -56,12 +56,6 @@ def build_index(docs: DataFrame, terms: DataFrame, small: bool, id_col: str = "d
                            every.where("term < 0").select("doc_id", "key", "n_words"))
 
 
-def _numbered(items: DataFrame) -> DataFrame:
-    """Test terms get whole numbers, so that postings are small."""
-    w = items.select("word").distinct()
-    return w.select("word", (F.row_number().over(Window.orderBy("word")) - 1).alias("term"))
-
-
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 13, gap: int = 0,
                    id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
                    item_text: str = "text", small_limit: int = SMALL) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +80,9 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 13, gap: int
     n_test = test.count()
     small = n_test <= small_limit
     hint = F.broadcast if small else (lambda x: x)
-    terms = stored(_numbered(test), "terms")
+    # numbers in place of words keep the postings small; stored, they no longer change
+    terms = stored(test.select("word").distinct().withColumn(
+        "term", F.monotonically_increasing_id()), "terms")
     test = test.join(hint(terms), "word")
     index = build_index(docs, terms, small, id_col, text_col)
     df = index.postings.groupBy("term").agg(F.count("*").alias("df"))
