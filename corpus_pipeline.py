@@ -40,8 +40,8 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of the texts, and how many there are."""
-    out = pieces.encode(docs, pieces.load(public_tokenizers.path(MODEL)))
+    """Piece ids in place of the texts, how many there are, and whether they decode to the text."""
+    out = pieces.encode(docs, pieces.load(public_tokenizers.path(MODEL)), keep_text=False)
     return out.withColumn("n_pieces", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint"))
 
 

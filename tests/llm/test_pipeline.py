@@ -40,7 +40,7 @@ def test_stages_against_brute_force(spark):
                 text += [r[1][at:s], "[SECRET]"]
             at = max(at, e)
         text = "".join(text) + r[1][at:]
-        want[r[0]] = (text, r[2], r[3], len(text), p.encode(text))
+        want[r[0]] = (text, r[2], r[3], len(text), p.encode(text), True)
     df = docs
     for name, stage in cp.STAGES:
         out = stage(spark, df, SF)
@@ -48,7 +48,7 @@ def test_stages_against_brute_force(spark):
             assert out.columns == list(cp.COLUMNS), name
             out = cp.stored(out, name)
         df = out
-    got = {r.doc_id: (r.text, r.lang, r.source, r.n_chars, r.ids) for r in df.collect()}
+    got = {r.doc_id: (p.decode(r.ids), r.lang, r.source, r.n_chars, r.ids, r.round_trip) for r in df.collect()}
     assert got.keys() == want.keys()
     for i in want:
         assert got[i] == want[i], i
