@@ -261,6 +261,51 @@ def voicing(notes: DataFrame, keys: Sequence[str]) -> DataFrame:
         (1000 * (F.avg("onset_sec") - F.first("__m.onset_sec"))).alias("lead_ms"))
 
 
+def voicing_bars(onsets: DataFrame, keys: Sequence[str], bar: str) -> DataFrame:
+    """Means of ``voicing`` per bar."""
+    return onsets.groupBy(*keys, bar).agg(
+        F.count("*").alias("n"), F.avg("vel_diff").alias("vel_diff"), F.avg("lead_ms").alias("lead_ms"))
+
+
+def voicing_summary(onsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Means, medians, share of louder melodies, and correlation of lead and loudness per key."""
+    keys = list(keys)
+    s = onsets.groupBy(*keys).agg(
+        F.count("*").alias("n_onsets"), F.avg("vel_diff").alias("vel_diff_mean"),
+        F.avg((F.col("vel_diff") > 0).cast("double")).alias("share_louder"),
+        F.avg("lead_ms").alias("lead_mean_ms"), F.corr("lead_ms", "vel_diff").alias("lead_vel_corr"))
+    for col, name in (("vel_diff", "vel_diff_median"), ("lead_ms", "lead_median_ms")):
+        s = s.join(exact_quantiles(onsets, keys, col, {name: 0.5}), keys)
+    return s
+
+
+def legato_overlap(
+    notes: DataFrame, keys: Sequence[str], width: int, tol_uq: int = 1
+) -> DataFrame:
+    """Share of melody notes, followed at once by the next, that are held into it.
+
+    ``notes``: keys, ``note_id``, ``onset_uq``, ``duration_uq``, ``pitch``, ``onset_sec``,
+    ``release_sec``; the melody is the top note of every onset. Null below three melody notes, or
+    where none meets the next.
+    """
+    keys = list(keys)
+    top = notes.groupBy(*keys, "onset_uq").agg(F.max_by(F.struct(
+        "duration_uq", "onset_sec", "release_sec"), F.struct("pitch", "note_id")).alias("__m"))
+    top = top.select(*keys, "onset_uq", "__m.*")
+    nxt = scan(top, keys, ["onset_uq"], chunk_of("onset_uq", width), __nq=("lead", "onset_uq"),
+               __ns=("lead", "onset_sec"))
+    meets = F.abs(F.col("onset_uq") + F.col("duration_uq") - F.col("__nq")) <= tol_uq
+    over = F.avg(F.when(meets, (F.col("release_sec") > F.col("__ns")).cast("double")))
+    return nxt.groupBy(*keys).agg(F.when(F.count("*") >= 3, over).alias("legato_overlap"))
+
+
+def chord_spread(notes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Median time from the first to the last note of score onsets with several notes, in ms."""
+    c = notes.groupBy(*keys, "onset_uq").agg(
+        (1000 * (F.max("onset_sec") - F.min("onset_sec"))).alias("__s"), F.count("*").alias("__n"))
+    return exact_quantiles(c.where("__n >= 2"), keys, "__s", {"chord_spread_ms": 0.5})
+
+
 def quadratic_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, min_points: int = 3
                   ) -> DataFrame:
     """Parabola per group on x scaled to [-1, 1], from power sums: c0, c1, c2, r2."""
@@ -423,13 +468,14 @@ def bar_window_span(matched: DataFrame, keys: Sequence[str], first: int, last: i
 
 
 def global_descriptors(notes: DataFrame, keys: Sequence[str], bar: str) -> DataFrame:
-    """Velocity mean / SD / p95 - p5, SD of bar means, duration median and IQR, notes per second."""
+    """Velocity mean / SD / p95 - p5, SD of bar means, duration median and IQR, and notes per second
+    from the first onset to the last release."""
     keys = list(keys)
     q = exact_quantiles(notes, keys, "velocity", {"__p5": 0.05, "__p95": 0.95})
     d = exact_quantiles(notes, keys, "duration_us", {"art_median": 0.5, "__q1": 0.25, "__q3": 0.75})
     b = notes.groupBy(*keys, bar).agg(F.avg("velocity").alias("__m")).groupBy(*keys).agg(
-        F.stddev_pop("__m").alias("bar_vel_sd"))
-    span = (F.max("onset_us") - F.min("onset_us")) / 1e6
+        F.stddev_samp("__m").alias("bar_vel_sd"))
+    span = (F.max(F.col("onset_us") + F.col("duration_us")) - F.min("onset_us")) / 1e6
     a = notes.groupBy(*keys).agg(
         F.avg("velocity").alias("vel_mean"), F.stddev_pop("velocity").alias("vel_sd"),
         F.when(span > 0, F.count("*") / span).alias("notes_per_sec"))

@@ -161,12 +161,52 @@ def onset_table(spark, sf):
     return M.onset_table(score(spark, sf), SC, 8 * MICRO)
 
 
-@query("voicing", sql("score", PLAYED + """
+VOICED = PLAYED + """
 , m AS (SELECT score_id, onset_uq, max_by(note_id, (pitch, note_id)) AS mid FROM pl GROUP BY 1, 2),
 t AS (SELECT m.*, pl.pitch AS mp, pl.velocity AS mv, pl.onset_sec AS ms FROM m JOIN pl ON pl.score_id = m.score_id AND pl.note_id = m.mid)
-SELECT pl.score_id, pl.onset_uq, any_value(mid) AS melody_id, count(*) AS n_accomp, round(any_value(mv) - avg(velocity), 6) AS vel_diff,
-  round(1000 * (avg(onset_sec) - any_value(ms)), 6) AS lead_ms
-FROM pl JOIN t ON t.score_id = pl.score_id AND t.onset_uq = pl.onset_uq AND pl.pitch < mp GROUP BY 1, 2"""))
+, v AS (SELECT pl.score_id, pl.onset_uq, any_value(mid) AS melody_id, count(*) AS n_accomp, any_value(mv) - avg(velocity) AS vel_diff,
+  1000 * (avg(onset_sec) - any_value(ms)) AS lead_ms
+FROM pl JOIN t ON t.score_id = pl.score_id AND t.onset_uq = pl.onset_uq AND pl.pitch < mp GROUP BY 1, 2)"""
+
+
+@query("voicing_bars", sql("score", VOICED + """
+SELECT score_id, onset_uq // 28000000 AS bar, count(*) AS n, round(avg(vel_diff), 6) AS vel_diff, round(avg(lead_ms), 6) AS lead_ms
+FROM v GROUP BY 1, 2"""))
+def voicing_bars(spark, sf):
+    v = M.voicing(_played_score(spark, sf), SC).withColumn("bar", F.expr("onset_uq div 28000000"))
+    return rnd(M.voicing_bars(v, SC, "bar"), 6, "vel_diff", "lead_ms")
+
+
+@query("voicing_summary", sql("score", VOICED + """
+SELECT score_id, count(*) AS n_onsets, round(avg(vel_diff), 6) AS vel_diff_mean, round(avg(CASE WHEN vel_diff > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_louder,
+  round(avg(lead_ms), 6) AS lead_mean_ms, round(corr(lead_ms, vel_diff), 6) AS lead_vel_corr, round(median(vel_diff), 6) AS vel_diff_median,
+  round(median(lead_ms), 6) AS lead_median_ms FROM v GROUP BY 1"""))
+def voicing_summary(spark, sf):
+    s = M.voicing_summary(M.voicing(_played_score(spark, sf), SC), SC)
+    return rnd(s, 6, "vel_diff_mean", "share_louder", "lead_mean_ms", "lead_vel_corr",
+               "vel_diff_median", "lead_median_ms")
+
+
+@query("legato_overlap", sql("score", PLAYED + """
+, m AS (SELECT score_id, onset_uq, arg_max(duration_uq, (pitch, note_id)) AS d, arg_max(onset_sec, (pitch, note_id)) AS t,
+  arg_max(onset_sec + quantity / 40.0, (pitch, note_id)) AS z FROM pl GROUP BY 1, 2),
+n AS (SELECT *, lead(onset_uq) OVER w AS nq, lead(t) OVER w AS ns FROM m WINDOW w AS (PARTITION BY score_id ORDER BY onset_uq))
+SELECT score_id, round(CASE WHEN count(*) >= 3 THEN avg(CASE WHEN abs(onset_uq + d - nq) <= 1 THEN CASE WHEN z > ns THEN 1.0 ELSE 0.0 END END) END, 9) AS legato_overlap
+FROM n GROUP BY 1"""))
+def legato_overlap(spark, sf):
+    s = _played_score(spark, sf).withColumn("release_sec", F.col("onset_sec") + F.col("quantity") / 40.0)
+    return rnd(M.legato_overlap(s, SC, SCORE_CHUNK), 9, "legato_overlap")
+
+
+@query("chord_spread", sql("score", PLAYED + """
+, c AS (SELECT score_id, onset_uq, 1000 * (max(onset_sec) - min(onset_sec)) AS s, count(*) AS n FROM pl GROUP BY 1, 2)
+SELECT score_id, round(median(s), 6) AS chord_spread_ms FROM c WHERE n >= 2 GROUP BY 1"""))
+def chord_spread(spark, sf):
+    return rnd(M.chord_spread(_played_score(spark, sf), SC), 6, "chord_spread_ms")
+
+
+@query("voicing", sql("score", VOICED + """
+SELECT score_id, onset_uq, melody_id, n_accomp, round(vel_diff, 6) AS vel_diff, round(lead_ms, 6) AS lead_ms FROM v"""))
 def voicing(spark, sf):
     return rnd(M.voicing(_played_score(spark, sf), SC), 6, "vel_diff", "lead_ms")
 
@@ -297,13 +337,13 @@ def bar_window_span(spark, sf):
 
 
 @query("global_descriptors", sql("notes", """
-, b AS (SELECT performance_id, stddev_pop(m) AS bar_vel_sd FROM (SELECT performance_id, onset_us // 2000000 AS bar, avg(velocity) AS m
+, b AS (SELECT performance_id, stddev_samp(m) AS bar_vel_sd FROM (SELECT performance_id, onset_us // 2000000 AS bar, avg(velocity) AS m
   FROM notes GROUP BY 1, 2) GROUP BY 1)
 SELECT performance_id, round(avg(velocity), 6) AS vel_mean, round(stddev_pop(velocity), 6) AS vel_sd,
   round(quantile_cont(CAST(velocity AS DOUBLE), 0.95) - quantile_cont(CAST(velocity AS DOUBLE), 0.05), 6) AS vel_range,
   round(any_value(bar_vel_sd), 6) AS bar_vel_sd, round(quantile_cont(CAST(duration_us AS DOUBLE), 0.5), 3) AS art_median,
   round(quantile_cont(CAST(duration_us AS DOUBLE), 0.75) - quantile_cont(CAST(duration_us AS DOUBLE), 0.25), 3) AS art_iqr,
-  round(count(*) / ((max(onset_us) - min(onset_us)) / 1e6), 6) AS notes_per_sec
+  round(count(*) / ((max(onset_us + duration_us) - min(onset_us)) / 1e6), 6) AS notes_per_sec
 FROM notes JOIN b USING (performance_id) GROUP BY 1"""))
 def global_descriptors(spark, sf):
     n = notes(spark, sf).withColumn("bar", F.expr("onset_us div 2000000"))
