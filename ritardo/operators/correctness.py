@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ritardo.operators.matching import (
     greedy_one_to_one, loo_expected_onsets, range_join, reassign_same_pitch, resolve_duplicates,
 )
-from ritardo.operators.ordered import CHUNK, chunk_of, with_halo
+from ritardo.operators.ordered import CHUNK, asof, chunk_of, with_halo
 from ritardo.operators.sequences import (
     expected_onsets, frame_halo, interpolate, place_in_bars, running_index,
 )
@@ -199,6 +199,13 @@ def correctness(
         s = s.withColumn("window_us", F.lit(float(WIDE_WINDOW_US)))
     elif window_rule == "error":
         s = s.join(error_windows(s, matched, keys, "s_id", width), [*keys, "pos_uq"], "left")
+    elif window_rule == "tempo":
+        # the knot at or after the note, else the last one
+        tw = tempo_windows(knots, keys, width).select(*keys, F.col("pos_uq").alias("__kq"), "window_us")
+        last = tw.groupBy(*keys).agg(F.max_by("window_us", "__kq").alias("__last"))
+        s = asof(s, tw, keys, "pos_uq", "__kq", ["window_us"], width, direction="forward")
+        s = s.join(last, keys, "left").withColumn("window_us", F.coalesce(
+            "window_us", "__last", F.lit(float(BASE_WINDOW_US)))).drop("__last", "hit___kq")
     else:
         raise ValueError(f"unknown window rule {window_rule!r}")
     s = cut_lineage(s.withColumn(

@@ -133,3 +133,13 @@ def test_unknown_ids_are_counted(fixed):
 def test_error_window_widens_the_search(spark, fixed):
     assert fixed["score"][("far_mate", 10)] == "missed"
     assert label_all(spark, "error")["score"][("far_mate", 10)] == "wrong_pitch"
+
+
+def test_tempo_window_follows_the_local_tempo(spark, fixed):
+    got = label_all(spark, "tempo")
+    assert got["summary"].keys() == fixed["summary"].keys()
+    assert got["summary"]["plain"]["n_correct"] == fixed["summary"]["plain"]["n_correct"]
+    # a window is never below the fixed one, so no wrong pitch is lost
+    for key, label in fixed["score"].items():
+        if label == "wrong_pitch":
+            assert got["score"][key] == "wrong_pitch"
