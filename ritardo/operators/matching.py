@@ -178,6 +178,34 @@ def nearest_note(
     ).drop("lo_id", "lo_us", "hi_id", "hi_us")
 
 
+def labelled_notes(
+    rows: DataFrame, notes: DataFrame, keys: Sequence[str], tol_us: int, width: int
+) -> tuple[DataFrame, DataFrame]:
+    """Label rows on their notes (see ``nearest_note``), and per key what does not fit.
+
+    ``rows`` and ``notes`` also have ``velocity``. The counts are of rows without a note, of rows
+    that share a note with another, and of rows whose velocity is not the note's.
+    """
+    keys = list(keys)
+    m = nearest_note(rows, notes, keys, tol_us, width)
+    v = notes.groupBy(*keys, "note_id").agg(F.max("velocity").alias("__v"))
+    n = m.where("note_id is not null").groupBy(*keys, "note_id").agg(F.count("*").alias("__n"))
+    j = m.join(v, [*keys, "note_id"], "left").join(n, [*keys, "note_id"], "left")
+    counts = j.groupBy(*keys).agg(
+        F.count("*").alias("n_rows"), F.count(F.when(F.col("note_id").isNull(), 1)).alias("n_unmatched"),
+        F.count(F.when(F.col("__n") > 1, 1)).alias("n_duplicate"),
+        F.count(F.when(F.col("__v") != F.col("velocity"), 1)).alias("n_velocity_differs"))
+    return m, counts
+
+
+def require_fit(counts: DataFrame) -> None:
+    """Raise if any label row is unmatched, shares its note, or differs in velocity."""
+    names = ("n_unmatched", "n_duplicate", "n_velocity_differs")
+    bad = counts.agg(*[F.sum(c).alias(c) for c in names]).first()
+    if any(bad[c] for c in names):
+        raise ValueError("labels do not fit the notes: " + ", ".join(f"{c}={bad[c]}" for c in names))
+
+
 def boundary_prf(
     pred: DataFrame, true: DataFrame, keys: Sequence[str], tol: int, first: DataFrame | None = None
 ) -> DataFrame:

@@ -128,6 +128,24 @@ def nearest_note_labels(spark, sf):
     return out.select("performance_id", "row_id", "note_id")
 
 
+@query("label_integrity", sql("notes", REF_EST + """
+, lo AS (SELECT e.performance_id, e.note_id AS row_id, e.velocity, r.note_id AS lo_id, e.onset_us - r.onset_us AS dl
+  FROM e ASOF LEFT JOIN r ON e.performance_id = r.performance_id AND e.pitch = r.pitch AND e.onset_us >= r.onset_us),
+hi AS (SELECT e.note_id AS row_id, r.note_id AS hi_id, r.onset_us - e.onset_us AS dh
+  FROM e ASOF LEFT JOIN r ON e.performance_id = r.performance_id AND e.pitch = r.pitch AND e.onset_us < r.onset_us),
+m AS (SELECT performance_id, velocity, CASE WHEN dh IS NULL OR dl <= dh THEN CASE WHEN dl <= 600000 THEN lo_id END
+  ELSE CASE WHEN dh <= 600000 THEN hi_id END END AS note_id FROM lo JOIN hi USING (row_id)),
+c AS (SELECT m.*, r.velocity AS v, CASE WHEN m.note_id IS NOT NULL THEN count(*) OVER (PARTITION BY m.performance_id, m.note_id) END AS n
+  FROM m LEFT JOIN r ON r.performance_id = m.performance_id AND r.note_id = m.note_id)
+SELECT performance_id, count(*) AS n_rows, count(*) FILTER (note_id IS NULL) AS n_unmatched, count(*) FILTER (n > 1) AS n_duplicate,
+  count(*) FILTER (v <> velocity) AS n_velocity_differs FROM c GROUP BY 1"""))
+def label_integrity(spark, sf):
+    rows = estimated_notes(spark, sf).select(
+        "performance_id", "pitch", F.col("note_id").alias("row_id"),
+        F.col("onset_us").alias("row_us"), "velocity")
+    return M.labelled_notes(rows, reference_notes(spark, sf), P, 600_000, NOTE_CHUNK)[1]
+
+
 # a bound on the number of steps is not needed: the walk ends with the last candidate
 GREEDY = """
 , ord AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS i FROM cand),
