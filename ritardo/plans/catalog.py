@@ -687,3 +687,18 @@ def gate_counts(spark, sf):
         "year": F.col("year") >= 1995})
 
 
+
+
+@query("listing_index", """
+WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([a-z0-9.-]+)/([a-z0-9-]+)/?(.*)$', ['host', 'section', 'leaf']) AS x FROM pages
+  WHERE regexp_matches(url, '^https?://([a-z0-9.-]+)/([a-z0-9-]+)/?(.*)$')),
+l AS (SELECT regexp_extract(url, '^https?://([a-z0-9.-]+)/', 1) AS host, min(page_id) % 3 AS split FROM pages WHERE page_id % 4 <> 0 GROUP BY 1)
+SELECT page_id, x.host AS host, x.section AS section, lower(x.host || '_' || x.section || '_' || x.leaf) AS item_id, split
+FROM p LEFT JOIN l ON l.host = x.host""")
+def listing_index(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    split = pages.where("page_id % 4 <> 0").groupBy(F.regexp_extract(
+        "url", r"^https?://([a-z0-9.-]+)/", 1).alias("host")).agg((F.min("page_id") % 3).alias("split"))
+    d = C.listing_index(pages, "url", r"^https?://([a-z0-9.-]+)/([a-z0-9-]+)/?(.*)$",
+                        ["host", "section", "leaf"], ["host", "section", "leaf"], lookup=split, on=["host"])
+    return d.select("page_id", "host", "section", "item_id", "split")

@@ -196,3 +196,25 @@ def label_pairs(labels: DataFrame) -> DataFrame:
         .otherwise(F.array(row("match", s, p))))
     keep = [c for c in labels.columns if c not in ("s_id", "p_id", "label")]
     return labels.select(*keep, F.inline(rows))
+
+
+def file_listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Paths of the files below a folder; their contents are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option(
+        "recursiveFileLookup", "true").load(path).select("path", "length")
+
+
+def listing_index(
+    listing: DataFrame, path: str, pattern: str, parts: Sequence[str], id_parts: Sequence[str], *,
+    lookup: DataFrame | None = None, on: Sequence[str] = (),
+) -> DataFrame:
+    """A dimension from a file listing: parts of each path, and an id derived from them.
+
+    ``pattern`` has one group per name in ``parts``; paths that do not match go. The id joins the
+    given parts with underscores, in lower case. ``lookup`` adds columns (a level, a split) by
+    ``on``; paths it does not know keep nulls.
+    """
+    cells = [F.regexp_extract(path, pattern, i + 1).alias(p) for i, p in enumerate(parts)]
+    d = listing.where(F.col(path).rlike(pattern)).select("*", *cells)
+    d = d.withColumn("item_id", F.lower(F.concat_ws("_", *id_parts)))
+    return d if lookup is None else d.join(lookup, list(on), "left")

@@ -103,3 +103,16 @@ def test_small_expressions(spark):
                          partial_stop=0.5, min_notes=40).alias("d"),
         K.ramp(F.lit(3), F.lit(2), F.lit(4)).alias("r")).first()
     assert tuple(r) == ("C#4", "Fur Dvorak ", "chopin", 0.5, "Tempo primo & una corda", "stop", 0.5)
+
+
+def test_listing_of_files(spark, tmp_path):
+    for name in ("train/Anna_Op1.mid", "test/Ben_Op2.mid", "readme.txt"):
+        f = tmp_path / name
+        f.parent.mkdir(exist_ok=True)
+        f.write_text("x")
+    from ritardo.sources import catalog as C
+
+    files = C.file_listing(spark, str(tmp_path), "*.mid")
+    d = C.listing_index(files, "path", r"(train|test)/(\w+)_(Op\d+)\.mid$", ["split", "player", "opus"],
+                        ["player", "opus"])
+    assert {(r.item_id, r.split) for r in d.collect()} == {("anna_op1", "train"), ("ben_op2", "test")}
