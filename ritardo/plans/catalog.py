@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ritardo.functions import keys as K
 from ritardo.operators import quality as Q
+from ritardo.operators import tables as T
 from ritardo.operators.ordered import scan
 from ritardo.plans.consensus import rnd
 from ritardo.plans.registry import query
@@ -358,13 +359,10 @@ SELECT dataset, piece_id, CAST(sum(n) AS BIGINT) AS n_performances FROM (
   UNION ALL SELECT 'pages', substr(split_part(url, '/', 4), 1, 2), count(*) FROM pages GROUP BY 2
   UNION ALL SELECT 'chat', role, count(*) FROM conversations GROUP BY 2) GROUP BY 1, 2""")
 def crosswalk_union(spark, sf):
-    def one(name, df, key):
-        return df.groupBy(key.alias("piece_id")).agg(F.count("*").alias("n_performances")).select(
-            F.lit(name).alias("dataset"), "piece_id", "n_performances")
-
-    return one("docs", table(spark, sf, "documents"), F.col("lang")).unionByName(
-        one("pages", table(spark, sf, "pages"), F.substring(F.split("url", "/")[3], 1, 2))
-    ).unionByName(one("chat", table(spark, sf, "conversations"), F.col("role")))
+    return T.crosswalk({
+        "docs": (table(spark, sf, "documents"), F.col("lang")),
+        "pages": (table(spark, sf, "pages"), F.substring(F.split("url", "/")[3], 1, 2)),
+        "chat": (table(spark, sf, "conversations"), F.col("role"))})
 
 
 @query("corpus_counters", sql("notes", """
@@ -422,8 +420,7 @@ def beat_curves_wide_to_long(spark, sf):
 @query("curve_completeness", sql("notes", """
 SELECT performance_id, count(*) AS n_beats, count(*) = count(DISTINCT k) AS complete FROM notes GROUP BY 1"""))
 def curve_completeness(spark, sf):
-    return notes(spark, sf).groupBy("performance_id").agg(
-        F.count("*").alias("n_beats"), (F.count("*") == F.countDistinct("k")).alias("complete"))
+    return T.curve_completeness(notes(spark, sf), P, "k")
 
 
 @query("page_name_parts", """
@@ -500,13 +497,8 @@ SELECT score_id, count(*) FILTER (staff = 1 AND voice <> 'N') AS n_right,
   count(*) FILTER (staff = 2 AND voice <> 'N') AS n_left, count(*) FILTER (voice = 'N') AS n_none,
   count(DISTINCT order_id) AS n_candidates FROM score GROUP BY 1"""))
 def hand_label_summary(spark, sf):
-    s = score(spark, sf)
-    known = F.col("voice") != "N"
-    return s.groupBy("score_id").agg(
-        F.count(F.when(known & (F.col("staff") == 1), 1)).alias("n_right"),
-        F.count(F.when(known & (F.col("staff") == 2), 1)).alias("n_left"),
-        F.count(F.when(~known, 1)).alias("n_none"),
-        F.countDistinct("order_id").alias("n_candidates"))
+    return T.hand_label_summary(score(spark, sf), ["score_id"], F.col("staff"), F.col("voice") != "N",
+                                "order_id")
 
 
 @query("labels_to_pairs", sql("notes", """

@@ -386,9 +386,10 @@ SELECT piece_id, beat, count(*) AS n_refs, round(quantile_cont(v, 0.1), 9) AS ba
 FROM c WHERE provenance = 'sensor' GROUP BY 1, 2 HAVING count(*) >= 10"""))
 def expert_band_per_beat(spark, sf):
     c = C.center(curves(spark, sf), ["piece_id", "performance_id"], "x", "v")
-    q = exact_quantiles(c.where("provenance = 'sensor'"), ["piece_id", "beat"], "v",
-                        {"band_lo": 0.1, "band_mid": 0.5, "band_hi": 0.9}, count="n_refs")
-    return rnd(q.where("n_refs >= 10"), 9, "band_lo", "band_mid", "band_hi")
+    from ritardo.operators.tables import expert_band
+
+    q = expert_band(c.where("provenance = 'sensor'"), ["piece_id", "beat"], "v", (0.1, 0.5, 0.9), 10)
+    return rnd(q, 9, "band_lo", "band_mid", "band_hi")
 
 
 @query("window_quality", sql("curves", GAPPY + """

@@ -9,6 +9,7 @@ from ritardo.functions.draws import uniform, uniform_sql
 from ritardo.operators import agreement as A
 from ritardo.operators import consensus as C
 from ritardo.operators import resampling as R
+from ritardo.operators import tables as T
 from ritardo.plans.consensus import rnd
 from ritardo.plans.registry import query
 from ritardo.plans.standins import curves, notes, ratings, score, sql, table, takes
@@ -23,8 +24,7 @@ SELECT segment_id, round(avg(value) FILTER (dimension = 'click'), 9) AS click,
 FROM ratings GROUP BY 1"""))
 def ratings_matrix(spark, sf):
     dims = ["click", "error", "purchase", "signup", "view"]
-    m = ratings(spark, sf).groupBy("segment_id").pivot("dimension", dims).agg(F.avg("value"))
-    return rnd(m, 9, *dims)
+    return rnd(T.ratings_matrix(ratings(spark, sf), ["segment_id"], "dimension", "value", dims), 9, *dims)
 
 
 @query("loo_rater_means", sql("ratings", """

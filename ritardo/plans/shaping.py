@@ -13,6 +13,7 @@ from ritardo.operators import phrases as H
 from ritardo.operators import renditions as G
 from ritardo.operators import report as R
 from ritardo.operators import sequences as Q
+from ritardo.operators import tables as T
 from ritardo.plans.consensus import LOO_LIMITS, NOTE_BARS, checked_bars, note_bars, rnd
 from ritardo.plans.matching import REF_EST, estimated_notes, reference_notes
 from ritardo.plans.registry import query
@@ -247,11 +248,8 @@ def split_long_phrases(spark, sf):
 SELECT DISTINCT s.score_id, s.onset_uq FROM score s JOIN a ON a.score_id = s.score_id
   AND a.base = regexp_replace(s.note_id, '-\\d+$', '')"""))
 def phrase_anchors(spark, sf):
-    from ritardo.functions.keys import base_note_id
-
-    s = score(spark, sf).withColumn("base", base_note_id(F.col("note_id"))[0])
-    a = s.where("quantity > 45").select("score_id", "base")
-    return s.join(a, ["score_id", "base"], "left_semi").select("score_id", "onset_uq").distinct()
+    s = score(spark, sf)
+    return T.anchored_onsets(s, SC, s.where("quantity > 45"))
 
 
 @query("channel_observations", sql("score", """
@@ -259,12 +257,10 @@ def phrase_anchors(spark, sf):
 SELECT score_id, note_id, round(least(greatest(ln(quantity / (duration_uq / 1e6 * abs(period))), -3), 3), 6) AS articulation,
   round(CAST(quantity AS DOUBLE), 6) AS velocity FROM score JOIN l USING (score_id)"""))
 def channel_observations(spark, sf):
-    s = score(spark, sf)
-    per = s.groupBy("score_id").agg(F.regr_slope("price", F.col("onset_uq") / 1e6).alias("period"))
-    art = F.ln(F.col("quantity") / (F.col("duration_uq") / 1e6 * F.abs("period")))
-    return s.join(per, "score_id").select(
-        "score_id", "note_id", F.round(F.least(F.greatest(art, F.lit(-3.0)), F.lit(3.0)), 6).alias(
-            "articulation"), F.col("quantity").cast("double").alias("velocity"))
+    s = T.log_articulation(score(spark, sf), SC, "quantity", F.col("onset_uq") / 1e6, "price",
+                           F.col("duration_uq") / 1e6)
+    return s.select("score_id", "note_id", F.round("articulation", 6).alias("articulation"),
+                    F.col("quantity").cast("double").alias("velocity"))
 
 
 # ------------------------------------------------------------------ report sections
@@ -343,15 +339,8 @@ l AS (SELECT performance_id, onset_us, quantile_cont(CAST(gap AS DOUBLE), 0.5) O
 SELECT CASE WHEN ioi IS NULL THEN 'none' WHEN ioi < 150000 THEN 'fast' WHEN ioi < 400000 THEN 'medium' ELSE 'slow' END AS density,
   label, count(*) AS n FROM notes JOIN l USING (performance_id, onset_us) GROUP BY 1, 2"""))
 def outcomes_by_density(spark, sf):
-    n = notes(spark, sf)
-    c = n.select("performance_id", F.col("onset_us").alias("chord_us")).distinct()
-    ioi = Q.local_ioi(c, P, NOTE_CHUNK).select("performance_id", F.col("chord_us").alias(
-        "onset_us"), "local_ioi_us")
-    i = F.col("local_ioi_us")
-    d = F.when(i.isNull(), "none").when(i < 150_000, "fast").when(i < 400_000, "medium").otherwise(
-        "slow")
-    return n.join(ioi, [*P, "onset_us"]).groupBy(d.alias("density"), "label").agg(
-        F.count("*").alias("n"))
+    return T.outcomes_by_density(notes(spark, sf), P, NOTE_CHUNK, [
+        ("fast", 150_000), ("medium", 400_000)], "slow")
 
 
 @query("event_note_rows", sql("notes", REF_EST + """
