@@ -117,6 +117,14 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("rules", ",").alias("rules"), "n_sentences")
 
 
+@query(licenses.oracle_sql(whole=True))
+def op4_licenses_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with rules of which some sentences stand on one line and others run over lines."""
+    return licenses.scan(table(spark, sf_dir, "documents"), whole=True).select(
+        "doc_id", F.array_join("licenses", ",").alias("licenses"),
+        F.array_join("rules", ",").alias("rules"), "n_sentences")
+
+
 @query()
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the byte-level vocabulary of 50k entries."""
