@@ -24,6 +24,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 AT = re.compile(r"@|\b[Aa][Tt]\b")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+DIGITS = np.array([i for i in range(128, 0x110000) if chr(i).isdigit()], np.uint32)
+
 Span = tuple[int, int, int]  # start, kind, end
 
 
@@ -268,8 +270,8 @@ def _codes(text: str) -> np.ndarray:
 def soft_spans(model: Crf, texts: list[str], classes: np.ndarray) -> list[list[Span]]:
     """Stretches of one kind that the CRF marks, for each text.
 
-    Sequences without a digit, an @, or a bracket before two letters, hold none of these kinds, and
-    are not decoded.
+    Sequences without a digit, an @, the word at, or a bracket before two letters, hold nothing that
+    is ``plausible``, and are not decoded.
     """
     out: list[list[Span]] = [[] for _ in texts]
     codes = [_codes(t) for t in texts]
@@ -282,6 +284,11 @@ def soft_spans(model: Crf, texts: list[str], classes: np.ndarray) -> list[list[S
         t.shape == WORD_SHAPES + NUMBER_SHAPES + 1)
     open_ = np.isin(joint[t.start[:-1]], [ord("("), ord("[")])
     mark[:-1] |= open_ & (t.end[1:] - t.start[1:] == 2) & (t.shape[1:] < WORD_SHAPES)
+    two = np.flatnonzero((t.end - t.start == 2) & (t.shape < WORD_SHAPES))
+    mark[two] |= np.isin(joint[t.start[two]], [ord("A"), ord("a")]) & np.isin(
+        joint[t.start[two] + 1], [ord("T"), ord("t")])
+    strange = np.flatnonzero(t.shape == WORD_SHAPES + NUMBER_SHAPES)  # digits of other scripts are there
+    mark[strange] |= np.isin(joint[t.start[strange]], DIGITS)
     live = np.zeros(int(t.seq[-1]) + 1, bool)
     live[t.seq[mark]] = True
     use = np.flatnonzero(live[t.seq])

@@ -65,6 +65,33 @@ def test_training_learns_the_examples_and_keeps_plain_numbers():
     assert [len(x) for x in new] == [1, 0]
 
 
+def test_every_example_span_is_found():
+    m, rows = pii.train(4 * pii.example_rows()), pii.example_rows()
+    got = pii.soft_spans(m, [t for t, _ in rows], pii.char_classes())
+    for (text, want), g in zip(rows, got, strict=True):
+        assert {(s, k + 4, e) for s, k, e in want} <= set(g), text
+
+
+def test_skipped_sequences_hold_nothing_plausible(sf_rows):
+    """With every sequence decoded, the plausible spans are the same."""
+    m, classes = pii.train(4 * pii.example_rows()), pii.char_classes()
+    texts = [r[1] for r in sf_rows if r[1]] + [t for t, _ in pii.example_rows()] + [
+        "Write AT home to anna at example.org. No more of it.", "(\u0663\u0663\u0663) \u0663\u0663\u0663-\u0663\u0663"]
+    for text, spans in zip(texts, pii.soft_spans(m, texts, classes), strict=True):
+        t = pii.tokenise(pii._codes(text), classes, np.zeros(1, np.int64))
+        tags = pii.viterbi(m, pii.features(t), t.seq)
+        want, i = [], 0
+        while i < len(tags):
+            j = i + 1
+            while tags[i] and j < len(tags) and t.seq[j] == t.seq[i] and tags[j] == (tags[i] + 1) // 2 * 2:
+                j += 1
+            if tags[i]:
+                want.append((int(t.start[i]), 4 + (int(tags[i]) + 1) // 2 - 1, int(t.end[j - 1])))
+            i = j
+        assert [x for x in spans if pii.plausible(x[1], text[x[0]:x[2]])] == [
+            x for x in want if pii.plausible(x[1], text[x[0]:x[2]])], text[:80]
+
+
 def test_documents(docs_of, sf_rows):
     rows = [(r[0], r[1]) for r in sf_rows] + [(10**6 + i, t) for i, t in enumerate(CASES)] + [
         (None, CASES[0]), (1, None), (1, None), (3, "w " * 60000 + "ring (020) 555-1234")]
