@@ -145,21 +145,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         ) -> LanguageModel:
     """Learn from labelled rows that are not held out.
 
-    Of each language the ``max_docs`` rows with the least hash of their id are taken, of each of
-    those ``max_letters`` code points, ``max_symbols`` symbols in all: the sample that reaches the
-    driver is bounded by these and the number of languages.
+    Texts count by their first ``max_letters`` code points, and copies as one. Of each language the
+    ``max_docs`` texts with the least hash of id and text are taken, in that order, ``max_symbols``
+    symbols in all: the sample that reaches the driver is bounded by these and the number of
+    languages, however often an id or a text repeats.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"),
-                    F.col(text_col).alias("text"), held_out(id_col).alias("out"))
-    d = d.where("not out and lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    ids = stored(d.select("id", "lang", F.xxhash64("id").alias("h")).withColumn(
-        "n", F.row_number().over(order)).where(F.col("n") <= max_docs).select("id").distinct(),
+                    F.substring(text_col, 1, max_letters).alias("text"), held_out(id_col).alias("out"))
+    d = d.where("not out and lang is not null and text is not null").withColumn(
+        "x", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("h", "x")
+    few = stored(d.groupBy("lang", "x").agg(F.min(F.xxhash64("id", "x")).alias("h")).withColumn(
+        "n", F.row_number().over(order)).where(F.col("n") <= max_docs).select("lang", "x", "h"),
         "sample")
-    rows = d.join(F.broadcast(ids), "id").select(
-        "id", "lang", F.substring("text", 1, max_letters).alias("text"))
+    rows = d.join(F.broadcast(few), ["lang", "x"]).groupBy("lang", "x", "h").agg(
+        F.min("text").alias("text"))
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r.id, r.lang, r.text)):
+    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.h, r.x)):
         samples.setdefault(r.lang, []).append(r.text)
     samples = {lang: t for lang, t in samples.items() if any(c.isalpha() for x in t for c in x)}
     seen = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}

@@ -55,6 +55,21 @@ def test_held_out_accuracy_and_odd_rows(docs_of):
     assert not by[10**6 + 3].fits and by[10**6 + 4].fits and by[10**6 + 5].lang_pred == "en"
 
 
+def test_sample_is_of_distinct_texts_in_order_of_hash(docs_of, monkeypatch):
+    """An id or a text that repeats comes to the driver once, and texts are learned in order of hash."""
+    rows = [(i, f"text number {'abcdefghij'[i % 10] * (1 + i // 10)}", "en") for i in range(60)]
+    df = docs_of(rows + [(1, "one and the same", "en")] * 50 + [(i, "one and the same", "en") for i in range(60)])
+    seen = []
+    monkeypatch.setattr(lang_id, "fit_tables", lambda samples, *_: seen.append(samples))
+    lang_id.fit(df, max_docs=20)
+    d = df.where(~lang_id.held_out("doc_id")).withColumn("x", F.xxhash64("text")).withColumn(
+        "h", F.xxhash64("doc_id", "x"))
+    least = {}
+    for r in d.collect():
+        least[r.text] = min((r.h, r.x), least.get(r.text, (r.h, r.x)))
+    assert seen[0]["en"] == sorted(least, key=least.get)[:20]
+
+
 def test_labels_are_no_inputs(docs_of):
     """A held-out row's label, source and id do not change its prediction."""
     rows = [(i, "the thing and of", "en") for i in range(40)] + [
