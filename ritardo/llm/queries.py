@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ritardo.llm import lang_id, licenses, pieces, pii, secrets
+from ritardo.llm import chat, lang_id, licenses, pieces, pii, resampling, secrets, whitening
 from ritardo.llm.common import table
 from ritardo.llm.decontamination import contamination
 from ritardo.llm.sharding import byte_shards
@@ -174,3 +174,63 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                         keep_text=False)
     return out.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias(
         "n_pieces"), "round_trip")
+
+
+OP12_SQL = f"""
+WITH RECURSIVE crc(i, k, v) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM crc
+  WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM crc WHERE k = 8),
+d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS_SQL} AS w FROM documents),
+b AS (SELECT {WORDS_SQL} AS w FROM benchmark),
+df AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i:
+  w[i] || ' ' || w[i + 1]))) AS f FROM d),
+bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i:
+  w[i] || ' ' || w[i + 1]))) AS f FROM b),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+x AS (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(0, len(h) // 2), lambda i:
+      ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+    lambda a, y: xor(a // 256, tab[(xor(a, y) % 256) + 1]))) % 10000 AS k FROM u, tab),
+s AS (SELECT k, count(*) AS s FROM df JOIN x USING (f) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM bf JOIN x USING (f) GROUP BY k),
+al AS (SELECT (SELECT count(*) FROM df) AS sa, (SELECT count(*) FROM bf) AS ta),
+g AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (sa + 10000.0::DOUBLE) / (
+  (coalesce(s, 0) + 1.0::DOUBLE) * (ta + 10000.0::DOUBLE))))::BIGINT AS g
+  FROM s FULL JOIN t USING (k), al),
+m AS (SELECT r, count(*) AS n, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight
+  FROM df JOIN x USING (f) JOIN g USING (k) GROUP BY r),
+z AS (SELECT doc_id, len(w) AS nw, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+  ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM d LEFT JOIN m USING (r)),
+c AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT
+  AS score FROM z),
+o AS (SELECT *, row_number() OVER (PARTITION BY nw >= 20 ORDER BY score DESC, doc_id NULLS LAST)
+  AS place, count(*) FILTER (nw >= 20) OVER () AS able FROM c)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN nw >= 20 AND place <= 25 * able // 100 THEN place END AS rank FROM o
+"""
+
+
+@query(OP12_SQL)
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn by likeness to the benchmark texts."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(
+        spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the 16 widest directions of the embeddings, scaled to unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
+
+
+@query(chat.oracle_sql())
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted by a compiled template, and read back from what it wrote."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat.digest(chat.format_conversations(turns.unionByName(own), chat.TEMPLATE))
