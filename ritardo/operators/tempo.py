@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ritardo.operators import blocksolve as B
 from ritardo.operators.ordered import asof, chunk_of, scan
 from ritardo.operators.quantiles import exact_quantiles
+from ritardo.operators.sequences import detect_pauses
 from ritardo.session import cut_lineage
 
 MAD = 1.4826  # of a normal sample: deviation over median absolute deviation
@@ -333,3 +334,141 @@ def fit_time_map(pos: DataFrame, keys: Sequence[str], period: float, *, spacing:
         segs, coefs, out = (s, c, p) if segs is None else (
             segs.unionByName(s), coefs.unionByName(c), out.unionByName(p))
     return Maps(tuple(keys), segs, coefs), out
+
+
+MICRO = 1e6
+
+
+def tempo_positions(notes: DataFrame, keys: Sequence[str], pos: str, time: str) -> DataFrame:
+    """One row per score position: median time, number of notes, and their spread."""
+    keys = list(keys)
+    k = [*keys, pos]
+    d = notes.where(F.col(pos).isNotNull() & F.col(time).isNotNull())
+    med = exact_quantiles(d, k, time, {"time": 0.5})
+    n = d.groupBy(*k).agg(F.count("*").alias("n_notes"),
+                          (F.max(time) - F.min(time)).alias("spread"))
+    return n.join(med, k).withColumnRenamed(pos, "pos")
+
+
+def tempo_breaks(pos: DataFrame, keys: Sequence[str], win: int, width: int,
+                 marks: DataFrame | None = None) -> DataFrame:
+    """Where the smooth curve is cut: (keys, pos, kind, type).
+
+    A ``gap`` stands after its position: a pause, or a fermata at or before which it is the last
+    position. A ``kink`` stands at its position: the first at or after a mark of a new tempo. No
+    break stands at the first position, and none after or at the last. ``marks``: keys, pos, kind
+    (``fermata`` or ``tempo_marking``). ``pos`` has whole micro-beats and times in microseconds.
+    """
+    keys = list(keys)
+    p = pos.select(*keys, "pos", F.col("time").cast("double").alias("time"))
+    pauses = detect_pauses(p, keys, win, width).where("pause").select(
+        *keys, "pos", F.lit("pause").alias("kind"), F.lit("gap").alias("type"))
+    if marks is None:
+        return pauses
+    ends = p.groupBy(*keys).agg(F.min("pos").alias("__lo"), F.max("pos").alias("__hi"))
+    m = marks.select(*keys, F.col("pos").alias("mark"), "kind")
+    at = p.select(*keys, F.col("pos").alias("at"))
+    before = asof(m.where("kind = 'fermata'"), at, keys, "mark", "at", [], width)
+    after = asof(m.where("kind <> 'fermata'"), at, keys, "mark", "at", [], width,
+                 direction="forward")
+    found = before.withColumn("type", F.lit("gap")).unionByName(after.withColumn(
+        "type", F.lit("kink"))).where("hit_at is not null").join(ends, keys)
+    inside = (F.col("hit_at") < F.col("__hi")) & (
+        (F.col("type") == "gap") | (F.col("hit_at") > F.col("__lo")))
+    placed = found.where(inside).select(*keys, F.col("hit_at").alias("pos"), "kind", "type")
+    # a fermata names the gap that a pause would
+    return placed.unionByName(pauses).groupBy(*keys, "pos", "type").agg(F.min("kind").alias("kind")
+                                                                        ).select(*keys, "pos", "kind", "type")
+
+
+def tempo_segments(pos: DataFrame, keys: Sequence[str], breaks: DataFrame, width: int) -> DataFrame:
+    """Positions with ``seg``, the number of breaks before or at them, and ``shared``: the copy of
+    a kink's position that the segment before it ends with (not after a gap, where time may jump)."""
+    keys = list(keys)
+    b = breaks.groupBy(*keys, "pos").agg(
+        F.bool_or(F.col("type") == "gap").alias("gap"), F.bool_or(F.col("type") == "kink").alias("kink"))
+    p = pos.join(b, [*keys, "pos"], "left").withColumn("gap", F.coalesce("gap", F.lit(False)))
+    s = scan(p, keys, ["pos"], chunk_of("pos", width), __g=("prev", "gap")).withColumn(
+        "__g", F.coalesce("__g", F.lit(False))).withColumn("kink", F.coalesce("kink", F.lit(False)))
+    s = s.withColumn("__o", (F.col("__g") | F.col("kink")).cast("bigint"))
+    s = scan(s, keys, ["pos"], chunk_of("pos", width), seg=("sum", "__o")).drop("__o")
+    twin = F.when(F.col("kink") & ~F.col("__g"), F.array(F.lit(False), F.lit(True))).otherwise(
+        F.array(F.lit(False)))
+    s = s.withColumn("shared", F.explode(twin))
+    return s.withColumn("seg", F.col("seg") - F.col("shared").cast("bigint")).drop("__g", "kink")
+
+
+def tempo_fit(seg: DataFrame, keys: Sequence[str], period: float, *, spacing: float = 1.0,
+              robust: int = 6) -> tuple[Maps, DataFrame]:
+    """Time maps of segmented positions, and the positions with ``smooth``, ``period``, ``rw`` and
+    what is left: ``dev`` in seconds, ``dev_beats``. Positions with ``gross`` set are not fitted."""
+    keys = list(keys)
+    use = ~F.col("gross") if "gross" in seg.columns else F.lit(True)
+    p = seg.select(*keys, "seg", "shared", (F.col("pos") / MICRO).alias("beat"),
+                   (F.col("time") / MICRO).alias("time"), use.alias("use"))
+    if robust:
+        maps, at = fit_time_map(p.drop("shared"), keys, period, spacing=spacing, robust=robust)
+        at = evaluate(maps, at.drop("smooth", "period", "res")).join(
+            p.select(*keys, "seg", "beat", "shared"), [*keys, "seg", "beat"])
+    else:
+        p = cut_lineage(p.withColumn("rw", F.when(F.col("use"), 1.0).otherwise(0.0)))
+        maps = fit_weighted(p, keys, period, spacing)
+        at = evaluate(maps, p)
+    dev = F.col("time") - F.col("smooth")
+    return maps, at.where("not shared").select(
+        *keys, "seg", "beat", "time", "rw", "smooth", "period", dev.alias("dev"),
+        (dev / F.col("period")).alias("dev_beats"))
+
+
+def pause_excess(at: DataFrame, keys: Sequence[str], breaks: DataFrame) -> DataFrame:
+    """How much longer each gap is than the smooth tempo before it makes it, in seconds."""
+    keys = list(keys)
+    n = scan(at, keys, ["beat"], chunk_of(F.col("beat"), WIDTH), __t=("lead", "time"),
+             __b=("lead", "beat"))
+    n = n.withColumn("pos", F.round(F.col("beat") * MICRO).cast("bigint"))
+    g = breaks.where("type = 'gap'").join(n, [*keys, "pos"])
+    return g.select(*keys, "pos", "kind", (F.col("__t") - F.col("time") - F.col("period") * (
+        F.col("__b") - F.col("beat"))).alias("excess"))
+
+
+def tempo_beats(maps: Maps, at: DataFrame) -> DataFrame:
+    """The smooth curve on whole beats (on positions where there are fewer than two): ``period``,
+    ``bpm``, and the log of the geometric mean period over it."""
+    keys = list(maps.keys)
+    ends = at.groupBy(*keys).agg(F.ceil(F.min("beat") - 1e-9).cast("bigint").alias("a"), F.floor(
+        F.max("beat") + 1e-9).cast("bigint").alias("z"))
+    grid = ends.where("z > a").select(*keys, F.explode(F.sequence("a", "z")).alias("beat")) \
+        .withColumn("beat", F.col("beat").cast("double"))
+    few = at.join(ends.where("z <= a"), keys, "left_semi").select(*keys, "beat")
+    g = asof(grid.unionByName(few), maps.segments.select(*keys, "lo", "seg"), keys, "beat", "lo",
+             ["seg"], WIDTH, right_tie="seg")
+    # before the first segment that has one: the first
+    first = maps.segments.groupBy(*keys).agg(F.min("seg").alias("__f"))
+    g = g.join(first, keys).select(*keys, "beat", F.coalesce("seg", "__f").alias("seg"))
+    g = evaluate(maps, g)
+    mean = g.where("period > 0").groupBy(*keys).agg(F.exp(F.avg(F.ln("period"))).alias("__p"))
+    return g.join(mean, keys, "left").select(
+        *keys, "seg", "beat", "smooth", "period", (60 / F.col("period")).alias("bpm"),
+        F.when(F.col("period") > 0, F.ln(F.col("__p") / F.col("period"))).alias("log_ratio"))
+
+
+def tempo_jitter(maps: Maps, at: DataFrame) -> DataFrame:
+    """Unevenness of performances, in ms and beats, made up for the freedom the fit takes: root mean
+    square over n - edf, and 1.4826 median absolute deviations times the root of n / (n - edf)."""
+    keys = list(maps.keys)
+    ok = at.where("rw > 0")
+    edf = maps.segments.groupBy(*keys).agg(F.sum("edf").alias("edf"))
+    a = ok.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(F.col("dev") ** 2).alias("ss"),
+        F.sum(F.col("dev_beats") ** 2).alias("sb")).join(edf, keys)
+    out, dof = a, F.greatest(F.col("n") - F.col("edf"), F.lit(1.0))
+    for v in ("dev", "dev_beats"):
+        mid = exact_quantiles(ok, keys, v, {"__m": 0.5})
+        d = ok.join(mid, keys).withColumn("__a", F.abs(F.col(v) - F.col("__m")))
+        out = out.join(exact_quantiles(d, keys, "__a", {f"__{v}": 0.5}), keys)
+    k = F.sqrt(F.col("n") / dof)
+    return out.select(
+        *keys, "n", "edf", (1000 * F.sqrt(F.col("ss") / dof)).alias("rms_ms"),
+        (1000 * k * MAD * F.col("__dev")).alias("mad_ms"),
+        F.sqrt(F.col("sb") / dof).alias("rms_beats"), (k * MAD * F.col("__dev_beats")).alias(
+            "mad_beats"))
