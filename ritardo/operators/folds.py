@@ -37,12 +37,19 @@ def carried_fold(
     cur = b.withColumn("__acc", fold(F.col("__in")))
     if not b.where("block > 0").isEmpty():
         cur = cut_lineage(cur)
-        before = W.partitionBy(*keys).orderBy("block")  # one row per block
+        before = W.partitionBy(*keys).orderBy("block")
+        own = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+        at = F.col("block") == F.col("__b")
+        for i, k in enumerate(keys):
+            at = at & F.col(k).eqNullSafe(F.col(f"__k{i}"))
         while True:
-            nxt = cur.withColumn("__new", F.coalesce(F.lag("__acc.carry").over(before), empty))
+            # only (keys, block, carry) go through the task of a key; the rows stay with their block
+            carry = cur.select(*own, F.col("block").alias("__b"), F.coalesce(
+                F.lag("__acc.carry").over(before), empty).alias("__new"))
             same = F.col("__new").eqNullSafe(F.col("__in"))
-            nxt = nxt.select(*keys, "block", "items", F.col("__new").alias("__in"), same.alias(
-                "__same"), F.when(same, F.col("__acc")).otherwise(fold(F.col("__new"))).alias("__acc"))
+            nxt = cur.join(carry, at).select(*keys, "block", "items", F.col("__new").alias(
+                "__in"), same.alias("__same"), F.when(same, F.col("__acc")).otherwise(
+                fold(F.col("__new"))).alias("__acc"))
             cur = cut_lineage(nxt)
             if cur.where("not __same").isEmpty():
                 break

@@ -3,6 +3,7 @@
 import random
 import time
 
+from ritardo.operators import folds
 from ritardo.operators import matching as M
 from ritardo.operators import sequences as S
 
@@ -48,3 +49,29 @@ def test_one_long_stretch_of_onsets(spark):
         chord = chord if chord is not None and t - chord <= 70_000 else t
         want[t] = chord
     assert got == want
+
+
+def test_no_window_over_the_rows_of_a_block(spark, monkeypatch):
+    plans, cut = [], folds.cut_lineage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(folds, "cut_lineage", seen)
+    df = spark.range(5000).selectExpr("1L as performance_id", "id * 25000 as onset_us")
+    got = S.chord_clusters(df, ["performance_id"], 30_000, 8_000_000)
+    assert got.select("chord_us").distinct().count() == 2500
+    rounds = [p for p in plans if "Window" in p and "__acc" in p]
+    assert rounds
+    for p in rounds:
+        below = p[p.index("Window"):].splitlines()[1]
+        assert below.strip().startswith("+- Project") and "items" not in below
+
+
+def test_null_keys_keep_their_chain(spark):
+    rows = [(None, i * 25_000) for i in range(3000)] + [(1, i * 25_000) for i in range(3000)]
+    df = spark.createDataFrame(rows, "performance_id bigint, onset_us bigint")
+    got = S.chord_clusters(df, ["performance_id"], 30_000, 8_000_000).collect()
+    assert len(got) in (3000, 6000)
+    assert len({(r.performance_id, r.chord_us) for r in got}) == len(got) // 2
