@@ -7,7 +7,7 @@ from importlib import import_module
 from ritardo.plans.registry import ORACLES, QUERIES
 
 MODULES = (
-    "ordering", "consensus", "matching", "catalog", "evaluation", "music", "shaping", "expression", "tempo",
+    "ordering", "consensus", "matching", "catalog", "evaluation", "music", "shaping", "expression", "tempo", "mapping",
 )
 
 
