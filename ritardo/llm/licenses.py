@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ritardo.llm.common import row_key
+from ritardo.llm.common import row_key, stored
 
 # Licence notices as their licensors publish them. (rule, licence, text)
 NOTICES = (
@@ -71,9 +71,7 @@ International License."""),
 Attribution-NonCommercial 4.0 International License."""),
     ("unlicense", "Unlicense", """This is free and unencumbered software released into the public
 domain."""),
-)
-# In the whole form besides: the Apache header as published, with its address in a paragraph alone.
-APART = (
+    # the same with its address in a paragraph alone, as it stands in source files
     ("apache-header-lines", "Apache-2.0", """you may not use this file except in compliance with the
 License. You may obtain a copy of the License at
 
@@ -85,7 +83,8 @@ implied. See the License for the specific language governing permissions and lim
 License."""),
 )
 LINE_END = r"\n|[.!?;:]+[ \t\r\n]+"
-WRAPPED_END = r"\n[ \t\r]*\n|[.!?;:]+[ \t\r\n]+"
+# paragraphs also end at lines that hold signs of comments alone
+WRAPPED_END = r"\n[ \t\r#*/;%-]*\n|[.!?;:]+[ \t\r\n]+"
 GAP = 3  # places from one sentence of a rule to its next, at most
 
 
@@ -93,56 +92,58 @@ def normalised(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-def rules(whole: bool = False) -> tuple[dict[str, int], list[tuple[str, str, list[int]]]]:
-    """Known sentences with their numbers, and each rule as (rule, licence, sentence numbers)."""
-    ids: dict[str, int] = {}
-    out = []
-    for rule, licence, text in (*NOTICES, *APART) if whole else NOTICES:
-        s = [x for x in map(normalised, re.split(WRAPPED_END, text)) if x]
-        out.append((rule, licence, [ids.setdefault(x, len(ids)) for x in s]))
-    return ids, out
+def rules() -> list[tuple[str, str, list[str]]]:
+    """Each rule of the notices above as (rule, licence, its known sentences in order)."""
+    return [(rule, licence, [x for x in map(normalised, re.split(WRAPPED_END, text)) if x])
+            for rule, licence, text in NOTICES]
+
+
+def rule_steps(notices: DataFrame) -> DataFrame:
+    """(rule, license, sentence, step, n) from (rule, license, text): sentences by their order."""
+    s = notices.select("rule", "license", F.posexplode(F.split("text", WRAPPED_END)).alias("p", "s"))
+    s = s.select("rule", "license", "p", _clean(F.col("s")).alias("sentence")).where("sentence <> ''")
+    w = Window.partitionBy("rule", "license")
+    return s.select("rule", "license", "sentence", (F.row_number().over(
+        w.orderBy("p")) - 1).alias("step"), F.count("*").over(w).cast("int").alias("n"))
 
 
-def _tables(spark: SparkSession, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    ids, rs = rules(whole)
-    known = spark.createDataFrame(list(ids.items()), "sentence string, sid int")
-    steps = [(r, lic, sid, i, len(s)) for r, lic, s in rs for i, sid in enumerate(s)]
-    return known, spark.createDataFrame(
-        steps, "rule string, license string, sid int, step int, n int")
+def _steps(spark: SparkSession, notices: DataFrame | None) -> DataFrame:
+    """Steps of the given rules, or of those above: few and fixed, so they may be broadcast."""
+    if notices is not None:
+        return rule_steps(notices)
+    steps = [(r, lic, x, i, len(s)) for r, lic, s in rules() for i, x in enumerate(s)]
+    return F.broadcast(spark.createDataFrame(
+        steps, "rule string, license string, sentence string, step int, n int"))
 
 
 def _clean(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
 
 
-def known_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    whole: bool = False) -> DataFrame:
-    """(key, view, pos, sid, counted): known sentences in the texts.
+def known_sentences(docs: DataFrame, steps: DataFrame, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """(key, view, pos, sentence, counted): known sentences in the texts.
 
-    Texts are cut at sentence ends in two views: 0 also at every line end, 1 only at blank lines,
-    for sentences that run over lines. The table of sentences is fixed and broadcast. Of view 1
-    those that run over lines are counted; ``whole`` keeps the others too, for the chains.
+    Texts are cut at sentence ends in two views: 0 also at every line end, 1 only at blank lines
+    and lines of comment signs, for sentences that run over lines. Sentences of view 1 that stand
+    on one line are in the chains, but not counted again.
     """
-    known, _ = _tables(docs.sparkSession, whole)
     t = F.coalesce(F.col(text_col), F.lit(""))
     views = F.array(F.split(t, LINE_END), F.split(t, WRAPPED_END))
     d = docs.select(row_key(id_col, text_col).alias("key"), F.posexplode(views).alias("view", "w"))
     s = d.select("key", "view", F.posexplode("w").alias("pos", "s")).withColumn(
         "counted", (F.col("view") == 0) | F.col("s").contains("\n"))
-    if not whole:
-        s = s.where("counted")
     return s.select("key", "view", "pos", "counted", _clean(F.col("s")).alias("sentence")).join(
-        F.broadcast(known), "sentence").select("key", "view", "pos", "sid", "counted")
+        steps.select("sentence").distinct(), "sentence")
 
 
-def matches(found: DataFrame, gap: int = GAP, whole: bool = False) -> DataFrame:
+def matches(found: DataFrame, steps: DataFrame, gap: int = GAP) -> DataFrame:
     """(key, rule, license): rules whose sentences stand in order, each at most ``gap`` places on.
 
     The fold keeps, for each sentence of the rule, the last place where a chain up to it ends;
     later ends dominate earlier ones, so this finds a chain whenever there is one.
     """
-    _, steps = _tables(found.sparkSession, whole)
-    at = found.join(F.broadcast(steps), "sid").groupBy("key", "view", "rule", "license", "n").agg(
+    at = found.join(steps, "sentence").groupBy("key", "view", "rule", "license", "n").agg(
         F.array_sort(F.collect_set(F.struct("pos", (-F.col("step")).alias("back")))).alias("seq"))
     start = F.array_repeat(F.lit(None).cast("int"), F.col("n"))
 
@@ -156,17 +157,19 @@ def matches(found: DataFrame, gap: int = GAP, whole: bool = False) -> DataFrame:
 
 
 def scan(docs: DataFrame, gap: int = GAP, id_col: str = "doc_id", text_col: str = "text",
-         whole: bool = False) -> DataFrame:
+         notices: DataFrame | None = None) -> DataFrame:
     """Per document row: doc_id, licenses, rules, n_sentences.
 
     ``licenses`` and ``rules`` are sorted lists without repeats; ``n_sentences`` counts places
-    that hold a known sentence. ``whole`` also finds rules of which some sentences stand on one
-    line and others run over lines. Null, empty and unlicensed texts have empty lists and 0; repeated
-    rows get equal results; extra columns are ignored; an empty table gives no rows.
+    that hold a known sentence. ``notices``: a table (rule, license, text) of rules to look for
+    instead of the built-in ones; rows without text are no rules. Null, empty and unlicensed texts
+    have empty lists and 0; repeated rows get equal results; extra columns are ignored; an empty
+    table gives no rows. Texts are split once: what is known in them is a stored table.
     """
-    found = known_sentences(docs, id_col, text_col, whole)
+    steps = _steps(docs.sparkSession, notices)
+    found = stored(known_sentences(docs, steps, id_col, text_col), "sentences")
     count = found.where("counted").groupBy("key").agg(F.countDistinct("view", "pos").alias("n"))
-    lists = matches(found, gap, whole).groupBy("key").agg(
+    lists = matches(found, steps, gap).groupBy("key").agg(
         F.sort_array(F.collect_set("license")).alias("licenses"),
         F.sort_array(F.collect_set("rule")).alias("rules"))
     none = F.array().cast("array<string>")
@@ -177,26 +180,21 @@ def scan(docs: DataFrame, gap: int = GAP, id_col: str = "doc_id", text_col: str
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n_sentences"))
 
 
-def oracle_sql(gap: int = GAP, whole: bool = False) -> str:
+def oracle_sql(gap: int = GAP) -> str:
     """The same as SQL: a recursive chain of the sentences of each rule."""
-    ids, rs = rules(whole)
-    once = "view = 0 OR contains(s, chr(10))"
-    flag, kept, counted = (f", {once} AS counted", "", " WHERE counted") if whole else (
-        "", f"\n  WHERE {once}", "")
-    known = ", ".join(f"('{s}', {i})" for s, i in ids.items())
-    steps = ", ".join(f"('{r}', '{lic}', {sid}, {i}, {len(s)})" for r, lic, s in rs
-                      for i, sid in enumerate(s))
+    steps = ", ".join(f"('{r}', '{lic}', '{x}', {i}, {len(s)})" for r, lic, s in rules()
+                      for i, x in enumerate(s))
     split = "regexp_split_to_array(coalesce(text, ''), '{}')"
     views = [f"SELECT r, {v} AS view, unnest({split.format(e)}) AS s, "
              f"unnest(range(len({split.format(e)}))) AS pos FROM d"
              for v, e in enumerate((LINE_END, WRAPPED_END))]
     return f"""
-WITH RECURSIVE known(sentence, sid) AS (VALUES {known}),
-steps(rule, license, sid, step, n) AS (VALUES {steps}),
+WITH RECURSIVE steps(rule, license, sentence, step, n) AS (VALUES {steps}),
 d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-f AS (SELECT r, view, pos, sid{flag} FROM ({" UNION ALL ".join(views)}) v
-  JOIN known ON sentence = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')){kept}),
-m AS (SELECT r, view, pos, rule, license, step, n FROM f JOIN steps USING (sid)),
+f AS (SELECT r, view, pos, sentence, view = 0 OR contains(s, chr(10)) AS counted
+  FROM ({" UNION ALL ".join(views)}) v JOIN (SELECT DISTINCT sentence FROM steps)
+  ON sentence = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))),
+m AS (SELECT r, view, pos, rule, license, step, n FROM f JOIN steps USING (sentence)),
 chain AS (SELECT r, view, pos, rule, step FROM m WHERE step = 0
   UNION SELECT m.r, m.view, m.pos, m.rule, m.step FROM chain c JOIN m ON m.r = c.r
     AND m.view = c.view AND m.rule = c.rule AND m.step = c.step + 1
@@ -205,6 +203,6 @@ ok AS (SELECT DISTINCT r, rule, license FROM chain JOIN (SELECT DISTINCT rule, l
   USING (rule) WHERE step = n - 1),
 l AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
   string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM ok GROUP BY r),
-c AS (SELECT r, count(DISTINCT (view, pos)) AS n FROM f{counted} GROUP BY r)
+c AS (SELECT r, count(DISTINCT (view, pos)) AS n FROM f WHERE counted GROUP BY r)
 SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(rules, '') AS rules,
   coalesce(n, 0) AS n_sentences FROM d LEFT JOIN l USING (r) LEFT JOIN c USING (r)"""

@@ -117,12 +117,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("rules", ",").alias("rules"), "n_sentences")
 
 
-@query(licenses.oracle_sql(whole=True))
+@query(licenses.oracle_sql())
 def op4_licenses_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with rules of which some sentences stand on one line and others run over lines."""
-    return licenses.scan(table(spark, sf_dir, "documents"), whole=True).select(
-        "doc_id", F.array_join("licenses", ",").alias("licenses"),
-        F.array_join("rules", ",").alias("rules"), "n_sentences")
+    """The name under which wrapped notices were found before op4_licenses found them."""
+    return op4_licenses(spark, sf_dir)
 
 
 @query()

@@ -1,7 +1,6 @@
-import re
-
 import duckdb
-from test_licenses import TEXT, cases
+import pytest
+from test_licenses import TEXT, brute, cases
 
 from ritardo.llm import licenses
 
@@ -42,39 +41,25 @@ limitations under the License.
 }
 
 
-def brute(text):
-    ids, rs = licenses.rules(whole=True)
-    got, n = set(), 0
-    for view, end in enumerate((licenses.LINE_END, licenses.WRAPPED_END)):
-        parts = re.split(end, text or "")
-        seq = {p: ids[licenses.normalised(s)] for p, s in enumerate(parts)
-               if licenses.normalised(s) in ids}
-        n += sum(view == 0 or "\n" in parts[p] for p in seq)
-
-        def chain(need, pos, seq=seq):
-            return not need or any(seq.get(p) == need[0] and chain(need[1:], p)
-                                   for p in range(pos + 1, pos + licenses.GAP + 1))
-
-        for rule, _, s in rs:
-            if any(sid == s[0] and chain(s[1:], p) for p, sid in seq.items()):
-                got.add(rule)
-    return ",".join(sorted(got)), n
-
-
-def test_wrapped_notices_are_found(docs_of):
-    rows = list(enumerate([*PUBLISHED.values(), *TEXT.values(), *cases(), None]))
-    got = {r.doc_id: r for r in licenses.scan(docs_of(rows), whole=True).collect()}
-    for (i, _), rule in zip(rows, [*PUBLISHED, *TEXT], strict=False):
-        assert rule in got[i].rules, rule
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+def test_published_notices_are_found(docs_of, prefix):
+    """As wrapped by their licensors, plain and as comments, whose blank lines hold the sign alone."""
+    texts = [*PUBLISHED.values(), *TEXT.values()]
+    rows = [(i, "int x;\n" + "\n".join((prefix + line).rstrip() for line in t.splitlines()) + "\ny();")
+            for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in licenses.scan(docs_of(rows)).collect()}
+    for (i, t), rule in zip(rows, [*PUBLISHED, *TEXT], strict=False):
+        assert rule in got[i].rules, (prefix, rule)
     for i, t in rows:
         assert (",".join(got[i].rules), got[i].n_sentences) == brute(t), i
 
 
 def test_against_sql(docs_of):
-    rows = list(enumerate([*PUBLISHED.values(), *cases()]))
-    got = licenses.scan(docs_of(rows), whole=True).collect()
+    rows = list(enumerate([*PUBLISHED.values(), *cases(), *[
+        t.replace("\n", "\n# ") for t in PUBLISHED.values()]]))
+    got = licenses.scan(docs_of(rows)).collect()
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     assert sorted((r.doc_id, ",".join(r.licenses), ",".join(r.rules), r.n_sentences)
-                  for r in got) == sorted(con.execute(licenses.oracle_sql(whole=True)).fetchall())
+                  for r in got) == sorted(con.execute(licenses.oracle_sql()).fetchall())
