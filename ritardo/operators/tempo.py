@@ -472,3 +472,72 @@ def tempo_jitter(maps: Maps, at: DataFrame) -> DataFrame:
         (1000 * k * MAD * F.col("__dev")).alias("mad_ms"),
         F.sqrt(F.col("sb") / dof).alias("rms_beats"), (k * MAD * F.col("__dev_beats")).alias(
             "mad_beats"))
+
+
+def covered(points: DataFrame, spans: DataFrame, keys: Sequence[str], pos: str, width: float,
+            out: str = "covered") -> DataFrame:
+    """``points`` with whether a span (keys, ``lo``, ``hi``) has lo <= pos < hi: a sweep that adds one
+    where a span begins and takes it away where it ends, whatever their number or overlap."""
+    keys = list(keys)
+    edge = spans.where("hi > lo").select(*keys, F.explode(F.array(
+        F.struct(F.col("lo").cast("double").alias("__x"), F.lit(1).alias("__d")),
+        F.struct(F.col("hi").cast("double").alias("__x"), F.lit(-1).alias("__d")))).alias("e")).select(
+        *keys, "e.*")
+    # one row for each place, so that the order is strict; points come after what begins or ends there
+    edge = edge.groupBy(*keys, "__x").agg(F.sum("__d").alias("__d")).withColumn("__k", F.lit(0))
+    rows = points.withColumn("__row", F.struct(*points.columns)).select(
+        *keys, F.col(pos).cast("double").alias("__x"), "__row", F.lit(1).alias("__k"))
+    both = rows.withColumn("__d", F.lit(0).cast("bigint")).unionByName(edge, allowMissingColumns=True)
+    s = scan(both, keys, ["__x", "__k"], chunk_of(F.col("__x"), width), __open=("sum", "__d"))
+    return s.where("__row is not null").select("__row.*", (F.col("__open") > 0).alias(out))
+
+
+def tempo_stability(beats: DataFrame, at: DataFrame, keys: Sequence[str], phrase: float, *,
+                    spans: DataFrame | None = None, min_span: float = 16.0, robust: int = 6
+                    ) -> DataFrame:
+    """Wobble of the smooth tempo beyond its phrases, by section (keys, seg).
+
+    ``beats`` and ``at`` come from :func:`tempo_beats` and :func:`tempo_fit`. Each section of at least
+    six positions over ``min_span`` beats gets a curve of its own at phrase level; on the whole
+    beats inside, and outside ``spans`` (keys, lo, hi: marked changes of tempo), the two are
+    compared: n_beats, section_sd and phrase_sd of the log tempo, instability (root mean square
+    of their difference) and drift (of the line through the log tempo, from first to last beat).
+    Sections with fewer than three such beats are left out.
+    """
+    keys = list(keys)
+    ks = [*keys, "seg"]
+    live = at.where("rw > 0")
+    size = live.groupBy(*ks).agg(F.count("*").alias("__n"), F.min("beat").alias("__a"), F.max(
+        "beat").alias("__z")).where((F.col("__n") >= 6) & (F.col("__z") - F.col("__a") >= min_span))
+    size = cut_lineage(size)
+    own = live.join(size, ks).select(*keys, F.col("seg").alias("section"), F.lit(0).cast(
+        "bigint").alias("seg"), "beat", "time", F.lit(True).alias("use"))
+    kp = [*keys, "section"]
+    if robust:
+        maps, _ = fit_time_map(own, kp, phrase, robust=robust)
+    else:
+        maps = fit_weighted(own.withColumn("rw", F.lit(1.0)), kp, phrase)
+    inside = beats.join(size, ks).where(F.col("beat").between(F.col("__a"), F.col("__z")))
+    if spans is not None:
+        inside = covered(inside, spans, keys, "beat", WIDTH).where("not covered")
+    g = inside.select(*keys, F.col("seg").alias("section"), F.lit(0).cast("bigint").alias("seg"), "beat",
+                      "log_ratio", (F.col("log_ratio") + F.ln("period")).alias("__log"))
+    g = evaluate(maps, g).where("period > 0 and log_ratio is not null").withColumn(
+        "__ph", F.col("__log") - F.ln("period"))
+    out = g.groupBy(*kp).agg(
+        F.count("*").alias("n_beats"), F.stddev_pop("log_ratio").alias("section_sd"),
+        F.stddev_pop("__ph").alias("phrase_sd"),
+        F.sqrt(F.avg((F.col("log_ratio") - F.col("__ph")) ** 2)).alias("instability"),
+        (F.regr_slope("log_ratio", "beat") * (F.max("beat") - F.min("beat"))).alias("drift"))
+    return out.where("n_beats >= 3").withColumnRenamed("section", "seg")
+
+
+def stability_summary(sections: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each performance: sections pooled by their beats, mean square for spreads, mean size of
+    the drift."""
+    w = F.col("n_beats")
+    return sections.groupBy(*keys).agg(
+        F.count("*").alias("n_sections"),
+        *[F.sqrt(F.sum(w * F.col(c) ** 2) / F.sum(w)).alias(c) for c in (
+            "instability", "section_sd", "phrase_sd")],
+        (F.sum(w * F.abs("drift")) / F.sum(w)).alias("drift"))

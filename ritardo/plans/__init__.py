@@ -8,6 +8,7 @@ from ritardo.plans.registry import ORACLES, QUERIES
 
 MODULES = (
     "ordering", "consensus", "matching", "catalog", "evaluation", "music", "shaping", "expression", "tempo", "mapping",
+    "prediction",
 )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ritardo.operators import tempo as T
@@ -221,3 +223,107 @@ def tempo_beats(spark, sf):
     g = T.tempo_beats(maps, at)
     return g.select(*P, "seg", "beat", F.round("period", 5).alias("period"),
                     F.round("log_ratio", 4).alias("log_ratio"))
+
+
+JITTER_SQL = FIT_SQL + """
+, zz AS (WITH RECURSIVE g AS (
+  SELECT performance_id, seg, i, 1 / d AS q0, 0.0::DOUBLE AS q1, 0.0::DOUBLE AS q2, 0.0::DOUBLE AS q3,
+    1 / d AS z11, 0.0::DOUBLE AS z12, 0.0::DOUBLE AS z13, 0.0::DOUBLE AS z22, 0.0::DOUBLE AS z23,
+    0.0::DOUBLE AS z33 FROM lb WHERE i = top
+  UNION ALL
+  SELECT performance_id, seg, i, z0, a, b, c, z0, a, b, z11, z12, z22
+  FROM (SELECT *, 1 / d - u1 * a - u2 * b - u3 * c AS z0 FROM (
+    SELECT l.performance_id, l.seg, l.i, l.d, u1, u2, u3, z11, z12, z22,
+      -(u1 * z11 + u2 * z12 + u3 * z13) AS a, -(u1 * z12 + u2 * z22 + u3 * z23) AS b,
+      -(u1 * z13 + u2 * z23 + u3 * z33) AS c
+    FROM g JOIN lb l ON l.performance_id = g.performance_id AND l.seg = g.seg AND l.i = g.i - 1)))
+  SELECT performance_id, seg, i, [q0, q1, q2, q3] AS q FROM g),
+ef AS (SELECT performance_id, seg, sum(CASE WHEN o = 0 THEN 1 ELSE 2 END * v * q[o + 1]) AS edf
+  FROM en JOIN zz USING (performance_id, seg, i) GROUP BY 1, 2
+  UNION ALL SELECT performance_id, seg, CASE WHEN c1 IS NULL THEN 1 ELSE 2 END FROM l2),
+ep AS (SELECT performance_id, sum(edf) AS edf FROM ef GROUP BY 1)""" + _eval(
+    "(SELECT * FROM pt WHERE NOT shared)") + """
+, rs AS (SELECT performance_id, y - smooth AS r, (y - smooth) / period AS rb FROM ev),
+md AS (SELECT performance_id, count(*) AS n, sum(r * r) AS ss, sum(rb * rb) AS sb,
+  quantile_cont(r, 0.5) AS m, quantile_cont(rb, 0.5) AS mb FROM rs GROUP BY 1),
+ma AS (SELECT performance_id, quantile_cont(abs(r - m), 0.5) AS a, quantile_cont(abs(rb - mb), 0.5) AS b
+  FROM rs JOIN md USING (performance_id) GROUP BY 1),
+al AS (SELECT *, greatest(n - edf, 1.0) AS dof FROM md JOIN ma USING (performance_id)
+  JOIN ep USING (performance_id))
+SELECT performance_id, n, round(edf, 5) AS edf, round(1000 * sqrt(ss / dof), 3) AS rms_ms,
+  round(1000 * sqrt(n / dof) * 1.4826 * a, 3) AS mad_ms, round(sqrt(sb / dof), 5) AS rms_beats,
+  round(sqrt(n / dof) * 1.4826 * b, 5) AS mad_beats FROM al"""
+
+
+@query("tempo_jitter", sql("notes", JITTER_SQL))
+def tempo_jitter(spark, sf):
+    """Unevenness about the smooth curve, made up for the degrees of freedom the curve takes."""
+    maps, at, _ = _fit(spark, sf)
+    j = T.tempo_jitter(maps, at)
+    return j.select(*P, "n", F.round("edf", 5).alias("edf"), F.round("rms_ms", 3).alias("rms_ms"),
+                    F.round("mad_ms", 3).alias("mad_ms"), F.round("rms_beats", 5).alias("rms_beats"),
+                    F.round("mad_beats", 5).alias("mad_beats"))
+
+
+CTES = "sg s2 pw pu pc pb bs en rh pe ba bd sy lu lb co li l2 mp m2 m3 maps pt"
+
+
+def _again(points: str, period: float) -> str:
+    """The fit once more over other points, as ``maps_q``."""
+    own = FIT_SQL[FIT_SQL.index("sg AS (SELECT"):].replace("pow(6.0 /", f"pow({period} /")
+    return f"\n, pt_q AS ({points}),\n" + re.sub(
+        rf"\b({'|'.join(CTES.split())})\b", r"\1_q", own)
+
+
+GRID_SQL = """
+, ea AS (SELECT performance_id, ceil(min(x) - 1e-9)::BIGINT AS a, floor(max(x) + 1e-9)::BIGINT AS z
+  FROM p3 GROUP BY 1),
+gd AS (SELECT performance_id, unnest(range(a, z + 1))::DOUBLE AS x FROM ea WHERE z > a
+  UNION ALL SELECT performance_id, x FROM p3 JOIN ea USING (performance_id) WHERE z <= a),
+gs AS (SELECT gd.performance_id, x, max(seg) AS seg FROM gd JOIN maps m
+  ON m.performance_id = gd.performance_id AND m.lo <= x GROUP BY 1, 2)""" + _eval("gs") + """
+, gr2 AS (SELECT performance_id, seg, x, period, avg(CASE WHEN period > 0 THEN ln(period) END) OVER (
+  PARTITION BY performance_id) AS lg FROM ev),
+sz AS (SELECT performance_id, seg, min(x) AS a, max(x) AS z FROM pt WHERE NOT shared GROUP BY 1, 2
+  HAVING count(*) >= 6 AND max(x) - min(x) >= 8),
+ex AS (SELECT performance_id, pos / 1e6 AS lo, pos / 1e6 + 2 AS hi FROM br WHERE kind = 'tempo_marking'),
+gi AS (SELECT g.performance_id, g.seg, x, lg, lg - ln(period) AS lr FROM gr2 g JOIN sz USING (
+    performance_id, seg) WHERE x BETWEEN a AND z AND period > 0 AND NOT EXISTS (SELECT 1 FROM ex e
+    WHERE e.performance_id = g.performance_id AND e.lo <= x AND x < e.hi))"""
+
+STABLE_SQL = FIT_SQL + GRID_SQL + _again(
+    "SELECT p.* FROM pt p JOIN sz USING (performance_id, seg) WHERE NOT p.shared", 12.0) + re.sub(
+    r"\b(e1|e2|e3|ev|maps)\b", r"\1_q", _eval("gi")) + """
+, st AS (SELECT performance_id, seg, count(*) AS n, stddev_pop(lr) AS s, stddev_pop(lg - ln(period)) AS p,
+  sqrt(avg(pow(lr - lg + ln(period), 2))) AS i, regr_slope(lr, x) * (max(x) - min(x)) AS d
+  FROM ev_q WHERE period > 0 GROUP BY 1, 2 HAVING count(*) >= 3)"""
+
+
+@query("tempo_stability", sql("notes", STABLE_SQL + """
+SELECT performance_id, seg::BIGINT AS seg, n AS n_beats, round(s, 4) AS section_sd,
+  round(p, 4) AS phrase_sd, round(i, 4) AS instability, round(d, 4) AS drift FROM st"""))
+def tempo_stability(spark, sf):
+    """Wobble of the tempo of every section beyond its phrases, marked changes left out."""
+    return _stability(spark, sf).select(
+        *P, "seg", "n_beats", *[F.round(c, 4).alias(c) for c in (
+            "section_sd", "phrase_sd", "instability", "drift")])
+
+
+def _stability(spark, sf):
+    maps, at, b = _fit(spark, sf)
+    at = cut_lineage(at)
+    spans = b.where("kind = 'tempo_marking'").select(
+        *P, (F.col("pos") / MICRO).alias("lo"), (F.col("pos") / MICRO + 2).alias("hi"))
+    return T.tempo_stability(cut_lineage(T.tempo_beats(maps, at)), at, P, 12.0, spans=spans,
+                             min_span=8.0, robust=0)
+
+
+@query("stability_summary", sql("notes", STABLE_SQL + """
+SELECT performance_id, count(*) AS n_sections, round(sqrt(sum(n * i * i) / sum(n)), 4) AS instability,
+  round(sqrt(sum(n * s * s) / sum(n)), 4) AS section_sd, round(sqrt(sum(n * p * p) / sum(n)), 4)
+  AS phrase_sd, round(sum(n * abs(d)) / sum(n), 4) AS drift FROM st GROUP BY 1"""))
+def stability_summary(spark, sf):
+    """The same of whole performances, sections weighed by their beats."""
+    return T.stability_summary(_stability(spark, sf), P).select(
+        *P, "n_sections", *[F.round(c, 4).alias(c) for c in (
+            "instability", "section_sd", "phrase_sd", "drift")])

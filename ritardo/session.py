@@ -36,7 +36,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
+    elif sc.master == "local" or sc.master.startswith("local["):
         sc.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoint"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
