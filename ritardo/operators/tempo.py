@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ritardo.operators import blocksolve as B
 from ritardo.operators.ordered import asof, chunk_of, scan
+from ritardo.operators.phrases import beat_map
 from ritardo.operators.quantiles import exact_quantiles
 from ritardo.operators.sequences import detect_pauses
 from ritardo.session import cut_lineage
@@ -541,3 +542,43 @@ def stability_summary(sections: DataFrame, keys: Sequence[str]) -> DataFrame:
         *[F.sqrt(F.sum(w * F.col(c) ** 2) / F.sum(w)).alias(c) for c in (
             "instability", "section_sd", "phrase_sd")],
         (F.sum(w * F.abs("drift")) / F.sum(w)).alias("drift"))
+
+
+def grid_curves(beats: DataFrame, at: DataFrame, notes: DataFrame, grid: DataFrame,
+                keys: Sequence[str], per_bar: float, beat: str = "beat", velocity: str = "velocity"
+                ) -> DataFrame:
+    """keys, beat, ``tempo``, ``velocity`` on a grid of whole beats that performances share.
+
+    ``tempo`` is the smooth log ratio, null outside the performance and where no kept position lies
+    within a bar of the beat; ``velocity`` the mean of the notes that begin in [beat, beat + 1), null
+    where there are none. ``grid``: keys, beat. One long table; arrays can be made of it.
+    """
+    keys = list(keys)
+    good = at.where("rw > 0").select(*keys, F.col("beat").alias("__b"))
+    g = asof(grid.select(*keys, "beat", (F.col("beat") + per_bar + 1e-9).alias("__z")), good, keys,
+             "__z", "__b", [], WIDTH)
+    near = F.coalesce(F.col("hit___b") >= F.col("beat") - per_bar - 1e-9, F.lit(False))
+    t = beats.select(*keys, F.round("beat").alias("beat"), "log_ratio").where(
+        F.col("log_ratio").isNotNull())
+    v = notes.groupBy(*keys, F.floor(F.col(beat) + 1e-6).cast("double").alias("beat")).agg(
+        F.avg(velocity).alias("velocity"))
+    k = [*keys, "beat"]
+    return g.join(t, k, "left").join(v, k, "left").select(
+        *k, F.when(near, F.col("log_ratio")).alias("tempo"), "velocity")
+
+
+def references_on_target(curves: DataFrame, targets: DataFrame, offsets: DataFrame,
+                         keys: Sequence[str], item: str, width: int) -> DataFrame:
+    """Reference values at the target's positions: (keys, item, pos, value).
+
+    ``curves``: keys, item, pos, value at the references' own positions; ``targets``: keys, pos;
+    ``offsets``: keys, pos, offset, how the target's score lies in the references'. A target position
+    between two mapped ones counts only where both have one offset; what is not mapped, or has no
+    reference value, gives no row. Positions are whole micro-beats, so they meet exactly.
+    """
+    keys = list(keys)
+    m = beat_map(targets.select(*keys, "pos").distinct(), offsets, keys, "pos", width).where(
+        "ref_pos is not null")
+    ref = curves.select(*keys, item, F.col("pos").alias("ref_pos"), "value").where(
+        F.col("value").isNotNull())
+    return m.join(ref, [*keys, "ref_pos"]).select(*keys, item, "pos", "value")

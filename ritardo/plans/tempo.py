@@ -327,3 +327,27 @@ def stability_summary(spark, sf):
     return T.stability_summary(_stability(spark, sf), P).select(
         *P, "n_sections", *[F.round(c, 4).alias(c) for c in (
             "instability", "section_sd", "phrase_sd", "drift")])
+
+
+@query("grid_curves", sql("notes", FIT_SQL + GRID_SQL + """
+, pg AS (SELECT performance_id % 7 AS piece, max(x)::BIGINT AS top FROM p3 GROUP BY 1),
+gg AS (SELECT performance_id, unnest(range(0, top + 1))::DOUBLE AS x FROM (SELECT DISTINCT performance_id
+  FROM p3) JOIN pg ON piece = performance_id % 7),
+vl AS (SELECT performance_id, floor(pos / 1e6 + 1e-6) AS x, avg(velocity) AS v FROM n2 GROUP BY 1, 2)
+SELECT performance_id, x AS beat, round(CASE WHEN period > 0 AND EXISTS (SELECT 1 FROM p3 q
+    WHERE q.performance_id = gg.performance_id AND abs(q.x - gg.x) <= 4) THEN lg - ln(period) END, 4)
+  AS tempo, round(v, 6) AS velocity
+FROM gg LEFT JOIN gr2 USING (performance_id, x) LEFT JOIN vl USING (performance_id, x)"""))
+def grid_curves(spark, sf):
+    """Smooth tempo and mean velocity of all performances of a piece on the piece's beats."""
+    maps, at, _ = _fit(spark, sf)
+    at = cut_lineage(at)
+    piece = F.pmod(F.col("performance_id"), F.lit(7)).alias("piece")
+    top = at.groupBy(piece).agg(F.max("beat").cast("bigint").alias("top"))
+    grid = at.select("performance_id", piece).distinct().join(top, "piece").select(*P, F.explode(
+        F.sequence(F.lit(0).cast("bigint"), "top")).alias("beat")).withColumn(
+        "beat", F.col("beat").cast("double"))
+    n = _notes(spark, sf).withColumn("beat", F.col("pos") / MICRO)
+    g = T.grid_curves(T.tempo_beats(maps, at), at, n, grid, P, 4.0)
+    return g.select(*P, "beat", F.round("tempo", 4).alias("tempo"), F.round("velocity", 6).alias(
+        "velocity"))

@@ -177,3 +177,44 @@ def test_robust_fit_rejects_planted_errors(spark):
 def test_empty(spark):
     maps, pos = T.fit_time_map(frame(spark, []), ["perf"], 6.0)
     assert pos.count() == 0 and maps.segments.count() == 0
+
+
+def test_covered_by_any_of_many_spans(spark):
+    rnd = random.Random(3)
+    spans = [(k, a, a + rnd.choice([0, 1, 4, 30])) for k in "ab" for a in (
+        rnd.randrange(100) for _ in range(12))] + [("a", 10, 10), ("c", 1, 2)]
+    points = [(k, i / 2) for k in "abd" for i in range(260)]
+    s = spark.createDataFrame([(k, float(a), float(b)) for k, a, b in spans], "k string, lo double, hi double")
+    p = spark.createDataFrame(points, "k string, beat double")
+    for width in (4096, 16):
+        got = {(r.k, r.beat): r.covered for r in T.covered(p, s, ["k"], "beat", width).collect()}
+        assert got == {(k, x): any(q == k and a <= x < b for q, a, b in spans) for k, x in points}
+    assert not any(r.covered for r in T.covered(p, s.limit(0), ["k"], "beat", 64).collect())
+
+
+def test_steady_tempo_is_stable_and_a_wobble_is_not(spark):
+    rows = []
+    for perf, swing in (("even", 0.0), ("wobble", 0.08)):
+        x = np.arange(80) * 0.5
+        period = 0.5 * np.exp(swing * np.sin(2 * np.pi * x / 8))
+        y = np.concatenate([[0.0], np.cumsum(period[:-1] * 0.5)])
+        rows += [(perf, int(b * 1e6), float(t * 1e6)) for b, t in zip(x, y, strict=True)]
+    pos = spark.createDataFrame(rows, "perf string, pos long, time double")
+    none = spark.createDataFrame([], "perf string, pos long, kind string, type string")
+    seg = T.tempo_segments(pos, ["perf"], none, 10**8)
+    maps, at = T.tempo_fit(seg, ["perf"], 4.0, robust=0)
+    sec = T.tempo_stability(T.tempo_beats(maps, at), at, ["perf"], 24.0, robust=0)
+    got = {r.perf: r for r in T.stability_summary(sec, ["perf"]).collect()}
+    assert got["even"].instability < 1e-3 < 0.02 < got["wobble"].instability
+    assert abs(got["even"].drift) < 1e-3
+
+
+def test_references_only_where_the_map_holds(spark):
+    offs = spark.createDataFrame([("s", 0, 5), ("s", 10, 5), ("s", 20, 9), ("s", 30, None)],
+                                 "k string, pos long, offset long").where("offset is not null")
+    curves = spark.createDataFrame([("s", "r", p, float(p)) for p in (5, 10, 15, 29, 40)] + [
+        ("s", "q", 15, None)], "k string, ref string, pos long, value double")
+    target = spark.createDataFrame([("s", p) for p in (0, 5, 10, 15, 20, 10)], "k string, pos long")
+    got = sorted((r.pos, r.ref, r.value) for r in T.references_on_target(
+        curves, target, offs, ["k"], "ref", 100).collect())
+    assert got == [(0, "r", 5.0), (5, "r", 10.0), (10, "r", 15.0), (20, "r", 29.0)]
