@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ritardo.functions.distributions import f_quantile_col
 from ritardo.functions.stats import pearson, tier, tier_rank, tier_name
+from ritardo.operators.ordered import chunk_of, scan
 from ritardo.operators.quantiles import exact_quantiles, join_on, loo_quantiles, robust_sd
+from ritardo.operators.sequences import running_index
 from ritardo.session import cut_lineage
 
 # fixed values: limits of a bar's errors on clean expert playing
@@ -328,3 +330,21 @@ def shape_distance(df: DataFrame, piece: str, performance: str, pos: str, value:
     s = F.when(F.col("__scale") > 1e-12, F.col("__scale")).otherwise(1.0)
     z = (F.col("__c") - F.col("__mad_median")) / s
     return j.groupBy(piece, performance).agg(F.sqrt(F.avg(z * z)).alias("distance"))
+
+
+def filled_curves(df: DataFrame, piece: str, performance: str, pos: str, value: str, width: int
+                  ) -> DataFrame:
+    """Curves with their missing values filled and each then centred: linear between the observed
+    neighbours, by place in the curve and not by ``pos``, and the nearest beyond them. Curves
+    without any observed value are left out."""
+    keys = [piece, performance]
+    i = running_index(df, keys, [pos], chunk_of(pos, width)).withColumn("__s", F.when(
+        F.col(value).isNotNull(), F.struct(F.col("idx").alias("i"), F.col(value).alias("v"))))
+    s = scan(i, keys, [pos], chunk_of(pos, width), __a=("last", "__s"), __z=("next", "__s"))
+    far = F.col("__z.i") - F.col("__a.i")
+    line = F.when(far > 0, F.col("__a.v") + (F.col("__z.v") - F.col("__a.v")) * (
+        F.col("idx") - F.col("__a.i")) / far)
+    s = s.withColumn("filled", F.coalesce(line, "__a.v", "__z.v")).where("filled is not null")
+    mean = s.groupBy(*keys).agg(F.avg("filled").alias("__m"))
+    return s.join(mean, keys).select(*df.columns, "filled", (F.col("filled") - F.col("__m")).alias(
+        "filled_centred"))

@@ -483,3 +483,30 @@ def global_descriptors(notes: DataFrame, keys: Sequence[str], bar: str) -> DataF
     return j.select(*keys, "vel_mean", "vel_sd", (F.col("__p95") - F.col("__p5")).alias(
         "vel_range"), "bar_vel_sd", "art_median", (F.col("__q3") - F.col("__q1")).alias("art_iqr"),
         "notes_per_sec")
+
+
+def bar_window_notes(notes: DataFrame, span: DataFrame, keys: Sequence[str], first: int, last: int, *,
+                     early_us: int = 30_000, release_us: int = 0, lead_us: int = 0,
+                     least_us: int = 20_000) -> DataFrame:
+    """The notes of a bar range as a performance of their own, which begins at ``lead_us``.
+
+    ``notes``: keys, onset_us, duration_us, measure_idx (null where the note is matched to no bar);
+    ``span``: keys, start_us, end_us from :func:`bar_window_span`, open where end_us is null. Matched
+    notes belong by their bar, others by their time, from ``early_us`` before the start to just
+    before the end. Durations end ``release_us`` after the end and are no shorter than ``least_us``.
+    Returns the kept rows with ``new_onset_us`` and ``new_duration_us``.
+    """
+    keys = list(keys)
+    top = notes.groupBy(*keys).agg(F.max(F.col("onset_us") + F.col("duration_us")).alias("__top"))
+    s = span.select(*keys, "start_us", "end_us").join(top, keys).withColumn(
+        "__end", F.coalesce("end_us", "__top").cast("double"))
+    n = notes.join(s.select(*keys, "start_us", "__end"), keys)
+    by_time = (F.col("onset_us") >= F.col("start_us") - early_us) & (
+        F.col("onset_us") < F.col("__end") - 100)
+    n = n.where(F.when(F.col("measure_idx").isNull(), by_time).otherwise(
+        F.col("measure_idx").between(first, last)))
+    start = n.groupBy(*keys).agg(F.min("onset_us").alias("__first"))
+    off = F.least(F.col("onset_us") + F.col("duration_us"), F.col("__end") + release_us)
+    return n.join(start, keys).select(
+        *notes.columns, (F.col("onset_us") - F.col("__first") + lead_us).alias("new_onset_us"),
+        F.greatest(F.lit(float(least_us)), off - F.col("onset_us")).alias("new_duration_us"))

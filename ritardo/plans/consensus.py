@@ -505,3 +505,26 @@ def overall_tempo_band(spark, sf):
     out = tempo_band(t.where("provenance = 'transcribed'"), t.where("provenance = 'sensor'"),
                      "piece_id", "tempo")
     return rnd(out.drop("provenance"), 9, "tempo", "q10", "median", "q90", "share_slower")
+
+
+@query("curve_qc_filled", sql("curves", GAPPY + """
+, c1 AS (SELECT piece_id, beat FROM g GROUP BY 1, 2 HAVING avg((y IS NOT NULL)::INT) >= 0.88),
+d AS (SELECT g.* FROM g JOIN c1 USING (piece_id, beat)),
+r1 AS (SELECT piece_id, performance_id FROM d GROUP BY 1, 2 HAVING avg((y IS NOT NULL)::INT) >= 0.88),
+i AS (SELECT d.*, row_number() OVER w AS i, CASE WHEN y IS NOT NULL THEN row_number() OVER w END AS oi
+  FROM d JOIN r1 USING (piece_id, performance_id)
+  WINDOW w AS (PARTITION BY piece_id, performance_id ORDER BY beat)),
+b AS (SELECT *, last_value(y IGNORE NULLS) OVER u AS y0, last_value(oi IGNORE NULLS) OVER u AS i0,
+  first_value(y IGNORE NULLS) OVER v AS y1, first_value(oi IGNORE NULLS) OVER v AS i1 FROM i
+  WINDOW u AS (PARTITION BY piece_id, performance_id ORDER BY beat),
+  v AS (PARTITION BY piece_id, performance_id ORDER BY beat ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT piece_id, performance_id, beat, coalesce(CASE WHEN i1 > i0 THEN y0 + (y1 - y0) * (i - i0)
+  / (i1 - i0) END, y0, y1) AS f FROM b)
+SELECT piece_id, performance_id, beat, round(f - avg(f) OVER (PARTITION BY piece_id, performance_id), 9)
+  AS centred FROM f"""))
+def curve_qc_filled(spark, sf):
+    """Curves after quality control, missing beats filled from their neighbours, then centred."""
+    q = C.curve_qc(_gappy(spark, sf), "piece_id", "performance_id", "beat", "y", miss_pos=0.12,
+                   miss_perf=0.12).select("piece_id", "performance_id", "beat", "y")
+    f = C.filled_curves(q, "piece_id", "performance_id", "beat", "y", 4096)
+    return f.select("piece_id", "performance_id", "beat", F.round("filled_centred", 9).alias("centred"))

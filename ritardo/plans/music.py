@@ -350,3 +350,29 @@ def global_descriptors(spark, sf):
     d = M.global_descriptors(n, P, "bar")
     return rnd(rnd(d, 6, "vel_mean", "vel_sd", "vel_range", "bar_vel_sd", "notes_per_sec"), 3,
                "art_median", "art_iqr")
+
+
+@query("bar_window_notes", sql("notes", """
+, w AS (SELECT *, CASE WHEN label = 'match' THEN onset_us // 3000000 END AS bar FROM notes),
+m AS (SELECT performance_id, onset_us, k AS pos, bar FROM w WHERE bar IS NOT NULL),
+s AS (SELECT performance_id, min(onset_us) AS start_us FROM m WHERE bar BETWEEN 2 AND 4 GROUP BY 1),
+p AS (SELECT performance_id, min(pos) AS pos FROM m WHERE bar = 5 GROUP BY 1),
+e AS (SELECT performance_id, quantile_cont(CAST(onset_us AS DOUBLE), 0.5) AS end_us FROM m
+  JOIN p USING (performance_id, pos) WHERE bar = 5 GROUP BY 1),
+t AS (SELECT performance_id, max(onset_us + duration_us) AS top FROM notes GROUP BY 1),
+x AS (SELECT performance_id, start_us, coalesce(end_us, top)::DOUBLE AS z FROM s JOIN t USING (performance_id)
+  LEFT JOIN e USING (performance_id)),
+n AS (SELECT w.*, z FROM w JOIN x USING (performance_id) WHERE CASE WHEN bar IS NULL
+  THEN onset_us >= start_us - 30000 AND onset_us < z - 100 ELSE bar BETWEEN 2 AND 4 END)
+SELECT performance_id, note_id, onset_us - min(onset_us) OVER (PARTITION BY performance_id)
+    AS new_onset_us, round(greatest(20000.0, least(onset_us + duration_us, z + 500000) - onset_us), 3)
+  AS new_duration_us FROM n"""))
+def bar_window_notes(spark, sf):
+    """Bars 2 to 4 of every performance as a performance that begins at 0."""
+    n = notes(spark, sf).withColumn("measure_idx", F.when(F.col("label") == "match", F.expr(
+        "onset_us div 3000000")))
+    m = n.where("measure_idx is not null").select(
+        "performance_id", "onset_us", F.col("k").alias("pos"), "measure_idx")
+    w = M.bar_window_notes(n, M.bar_window_span(m, P, 2, 4), P, 2, 4, release_us=500_000)
+    return w.select("performance_id", "note_id", "new_onset_us", F.round("new_duration_us", 3).alias(
+        "new_duration_us"))
