@@ -21,7 +21,7 @@ from ritardo.operators import blocksolve as B
 from ritardo.operators.ordered import asof, chunk_of, scan
 from ritardo.operators.phrases import beat_map
 from ritardo.operators.quantiles import exact_quantiles
-from ritardo.operators.sequences import detect_pauses
+from ritardo.operators.sequences import detect_pauses, interpolate
 from ritardo.session import cut_lineage
 
 MAD = 1.4826  # of a normal sample: deviation over median absolute deviation
@@ -582,3 +582,38 @@ def references_on_target(curves: DataFrame, targets: DataFrame, offsets: DataFra
     ref = curves.select(*keys, item, F.col("pos").alias("ref_pos"), "value").where(
         F.col("value").isNotNull())
     return m.join(ref, [*keys, "ref_pos"]).select(*keys, item, "pos", "value")
+
+
+def tempo_flatten(at: DataFrame, notes: DataFrame, keys: Sequence[str], alpha: float, width: int, *,
+                  least_us: float = 20_000.0) -> DataFrame:
+    """``notes`` with ``new_onset_us`` and ``new_duration_us``: time warped towards a constant tempo.
+
+    ``alpha`` 0 leaves them as they are, 1 gives every beat the same time between the first and
+    the last position. Onsets and releases go from time to beat along the smooth curve of ``at``
+    (its running maximum, so that it never turns back; end tempos go on beyond it) and are mixed
+    with the even time of that beat. Durations are no shorter than ``least_us``; notes of performances
+    without a curve of some length are left out.
+    """
+    keys = list(keys)
+    up = scan(at.select(*keys, "beat", (F.col("smooth") * MICRO).alias("__s")), keys, ["beat"],
+              chunk_of(F.col("beat"), WIDTH), kt=("max", "__s"))
+    knots = cut_lineage(up.groupBy(*keys, "kt").agg(F.max("beat").alias("kb")))
+    ends = at.groupBy(*keys).agg(
+        F.min("beat").alias("__b0"), F.max("beat").alias("__b1"),
+        F.min_by("period", "beat").alias("__p0"), F.max_by("period", "beat").alias("__p1")).join(
+        knots.groupBy(*keys).agg(F.min("kt").alias("__t0"), F.max("kt").alias("__t1")), keys).where(
+        "__b1 > __b0 and __p0 > 0 and __p1 > 0")
+    out = notes.join(ends, keys).withColumn("__on", F.col("onset_us").cast("double")).withColumn(
+        "__off", F.col("__on") + F.col("duration_us"))
+    even = (F.col("__t1") - F.col("__t0")) / (F.col("__b1") - F.col("__b0"))
+    for x in ("__on", "__off"):
+        out = interpolate(out, knots, keys, x, "kt", "kb", width, f"{x}_b", extrapolate=False)
+        t = F.col(x)
+        b = F.when(t < F.col("__t0"), F.col("__b0") + (t - F.col("__t0")) / (F.col("__p0") * MICRO)).when(
+            t > F.col("__t1"), F.col("__b1") + (t - F.col("__t1")) / (F.col("__p1") * MICRO)).otherwise(
+            F.col(f"{x}_b"))
+        out = out.withColumn(f"{x}_n", (1 - alpha) * t + alpha * (F.col("__t0") + (
+            b - F.col("__b0")) * even))
+    return out.select(
+        *notes.columns, F.greatest(F.lit(0.0), F.col("__on_n")).alias("new_onset_us"),
+        F.greatest(F.lit(least_us), F.col("__off_n") - F.col("__on_n")).alias("new_duration_us"))

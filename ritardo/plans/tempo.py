@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ritardo.operators import tempo as T
 from ritardo.plans.registry import query
-from ritardo.plans.standins import MICRO, notes, sql
+from ritardo.plans.standins import MICRO, NOTE_CHUNK, notes, sql
 from ritardo.session import cut_lineage
 
 P = ["performance_id"]
@@ -351,3 +351,33 @@ def grid_curves(spark, sf):
     g = T.grid_curves(T.tempo_beats(maps, at), at, n, grid, P, 4.0)
     return g.select(*P, "beat", F.round("tempo", 4).alias("tempo"), F.round("velocity", 6).alias(
         "velocity"))
+
+
+@query("tempo_flattened", sql("notes", FIT_SQL + _eval("(SELECT * FROM pt WHERE NOT shared)") + """
+, ku AS (SELECT performance_id, x, max(smooth * 1e6) OVER (PARTITION BY performance_id ORDER BY x) AS t
+  FROM ev),
+kn AS (SELECT performance_id, t, max(x) AS b FROM ku GROUP BY 1, 2),
+kl AS (SELECT *, lead(t) OVER w AS t2, lead(b) OVER w AS b2 FROM kn WINDOW w AS (
+  PARTITION BY performance_id ORDER BY t)),
+en2 AS (SELECT performance_id, min(x) AS b0, max(x) AS b1, arg_min(period, x) AS p0, arg_max(period, x)
+  AS p1 FROM ev GROUP BY 1),
+et AS (SELECT e.*, t0, t1 FROM en2 e JOIN (SELECT performance_id, min(t) AS t0, max(t) AS t1 FROM kn
+  GROUP BY 1) USING (performance_id) WHERE b1 > b0 AND p0 > 0 AND p1 > 0),
+tt AS (SELECT performance_id, note_id, 0 AS z, onset_us::DOUBLE AS t FROM notes
+  UNION ALL SELECT performance_id, note_id, 1, onset_us + duration_us::DOUBLE FROM notes),
+tb AS (SELECT tt.*, e.* EXCLUDE (performance_id), k.t AS ka, k.b AS kb, t2, b2 FROM tt
+  JOIN et e USING (performance_id) ASOF LEFT JOIN kl k
+  ON k.performance_id = tt.performance_id AND tt.t >= k.t),
+tv AS (SELECT performance_id, note_id, z, t, t0, t1, b0, b1, CASE WHEN t < t0 THEN b0 + (t - t0) / (p0 * 1e6)
+  WHEN t > t1 THEN b1 + (t - t1) / (p1 * 1e6) WHEN t2 IS NULL THEN kb
+  ELSE kb + (t - ka) * (b2 - kb) / greatest(t2 - ka, 1e-3) END AS b FROM tb),
+tw AS (SELECT performance_id, note_id, z, 0.4 * t + 0.6 * (t0 + (b - b0) * (t1 - t0) / (b1 - b0)) AS w FROM tv)
+SELECT a.performance_id, a.note_id, round(greatest(0.0, a.w), 1) AS new_onset_us,
+  round(greatest(20000.0, c.w - a.w), 1) AS new_duration_us FROM tw a JOIN tw c
+  ON a.performance_id = c.performance_id AND a.note_id = c.note_id AND a.z = 0 AND c.z = 1"""))
+def tempo_flattened(spark, sf):
+    """Every performance with three fifths of its tempo changes taken out."""
+    _, at, _ = _fit(spark, sf)
+    f = T.tempo_flatten(cut_lineage(at), notes(spark, sf), P, 0.6, NOTE_CHUNK)
+    return f.select(*P, "note_id", F.round("new_onset_us", 1).alias("new_onset_us"),
+                    F.round("new_duration_us", 1).alias("new_duration_us"))

@@ -218,3 +218,26 @@ def test_references_only_where_the_map_holds(spark):
     got = sorted((r.pos, r.ref, r.value) for r in T.references_on_target(
         curves, target, offs, ["k"], "ref", 100).collect())
     assert got == [(0, "r", 5.0), (5, "r", 10.0), (10, "r", 15.0), (20, "r", 29.0)]
+
+
+def test_flattened_tempo_is_even(spark):
+    beat = np.arange(41) * 0.5
+    smooth = 1 + 0.5 * beat + 0.4 * np.sin(beat / 3)
+    period = 0.5 + 0.4 / 3 * np.cos(beat / 3)
+    at = spark.createDataFrame([("p", float(b), float(t), float(s)) for b, t, s in zip(
+        beat, smooth, period, strict=True)], "perf string, beat double, smooth double, period double")
+    on = np.concatenate([smooth[:-1] * 1e6, [0.0, 14e6]])
+    off = np.concatenate([smooth[1:] * 1e6, [0.5e6, 15e6]])
+    notes = spark.createDataFrame([("p", i, float(a), float(b - a)) for i, (a, b) in enumerate(zip(
+        on, off, strict=True))] + [("none", 99, 0.0, 1.0)], "perf string, id long, onset_us double, "
+                                                            "duration_us double")
+    for alpha in (0.0, 0.6, 1.0):
+        got = {r.id: r for r in T.tempo_flatten(at, notes, ["perf"], alpha, 10**6).collect()}
+        assert set(got) == set(range(42))
+        even = smooth[0] + beat * (smooth[-1] - smooth[0]) / 20
+        want = ((1 - alpha) * smooth + alpha * even) * 1e6
+        assert [got[i].new_onset_us for i in range(40)] == pytest.approx(want[:-1], abs=0.01)
+        assert [got[i].new_duration_us for i in range(40)] == pytest.approx(np.diff(want), abs=0.01)
+        if alpha == 0:
+            assert got[40].new_onset_us == pytest.approx(0, abs=0.01)
+            assert got[41].new_duration_us == pytest.approx(1e6, abs=0.01)
