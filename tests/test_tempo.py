@@ -241,3 +241,22 @@ def test_flattened_tempo_is_even(spark):
         if alpha == 0:
             assert got[40].new_onset_us == pytest.approx(0, abs=0.01)
             assert got[41].new_duration_us == pytest.approx(1e6, abs=0.01)
+
+
+def test_one_performance_with_most_of_the_notes(spark):
+    rnd = random.Random(11)
+    rows, want = [], {}
+    for perf, n in (("hot", 6000), ("x", 300), ("y", 200)):
+        x, y = planted(n, rnd, noise=0.02)
+        rows += [(perf, 0, float(a), float(b), 1.0, True) for a, b in zip(x, y, strict=True)]
+        want[perf] = (x, *dense_fit(x, y, spacing(x), 6.0))
+    df = spark.createDataFrame(rows, "perf string, seg long, beat double, time double, rw double, "
+                                     "use boolean")
+    maps = T.fit_weighted(df, ["perf"], 6.0)
+    assert maps.coefs.where("perf = 'hot'").count() > 5  # many spans, no one array
+    edf = {r.perf: r.edf for r in maps.segments.collect()}
+    got = {(r.perf, r.beat): r for r in T.evaluate(maps, df).collect()}
+    for perf, (x, f, rate, e) in want.items():
+        assert edf[perf] == pytest.approx(e, rel=1e-8)
+        assert np.abs(np.array([got[perf, b].smooth for b in x]) - f(x)).max() < 1e-6
+        assert np.abs(np.array([got[perf, b].period for b in x]) - rate(x)).max() < 1e-6
