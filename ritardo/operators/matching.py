@@ -237,7 +237,7 @@ def boundary_prf(
 
 def false_extras(
     ref: DataFrame, est: DataFrame, keys: Sequence[str], width: int, tol_us: int = 50_000,
-    first_tol_us: int = 400_000,
+    first_tol_us: int = 200_000,
 ) -> DataFrame:
     """``false_extra`` of every estimated note: 1 if no reference note of its pitch is matched
     within ``tol_us`` once the median offset of the clocks is taken off."""

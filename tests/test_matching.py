@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -104,3 +105,14 @@ def test_range_join_is_complete(spark):
     want = {(i, j) for (i, x), (j, y) in itertools.product(
         enumerate((0, 5, 9, 30)), enumerate((-4, 4, 12, 33))) if x - 4 <= y <= x + 3}
     assert got == want
+
+
+def test_false_extras_with_clocks_apart(spark):
+    rnd = random.Random(21)
+    schema = "performance_id bigint, onset_us bigint, note_id bigint, pitch bigint"
+    ref = [(1, i * 500_000, i, 60 + i % 5) for i in range(80)]
+    est = [(p, t + 130_000 + rnd.randrange(-20_000, 20_000), 1000 + i, q) for p, t, i, q in ref]
+    extra = [(1, 500_000 * i + 330_000, 2000 + i, 90) for i in range(6)]
+    ref, est = (spark.createDataFrame(x, schema) for x in (ref, est + extra))
+    got = {r.note_id: r.false_extra for r in M.false_extras(ref, est, ["performance_id"], 8_000_000).collect()}
+    assert {i for i, x in got.items() if x} == {2000 + i for i in range(6)}
