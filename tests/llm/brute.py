@@ -37,6 +37,32 @@ def brute_groups(ids, fps):
     return [least.get(find(i)) for i in range(len(ids))]
 
 
+def brute_shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i:i + n]) for i in range(max(len(words) - n + 1, 1))}
+
+
+def brute_similar(a, b):
+    return len(a & b) / len(a | b)
+
+
+def brute_similar_groups(texts, least=0.8):
+    """Root index of every text: first of those linked at ``least`` or more."""
+    sets, up = [brute_shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if brute_similar(sets[i], sets[j]) >= least:
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
 ASSIGN = re.compile(
     r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|"""
     r"""[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?"""

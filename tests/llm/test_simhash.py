@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from brute import brute_fp, brute_groups
+from brute import brute_fp, brute_groups, brute_shingles, brute_similar, brute_similar_groups
 from pyspark.sql import functions as F
 
 from ritardo.llm import simhash
@@ -41,3 +41,56 @@ def test_links_of_close_fingerprints(spark, small):
 def test_empty_table(docs_of):
     assert simhash.near_duplicates(docs_of([])).count() == 0
     assert simhash.keep_one(docs_of([])).count() == 0
+    assert simhash.similar_groups(docs_of([])).count() == 0
+    assert simhash.keep_one_similar(docs_of([])).count() == 0
+
+
+def changed(rnd, text, share):
+    words = text.split()
+    for _ in range(int(len(words) * share) + 1):
+        words[rnd.randrange(len(words))] = f"zq{rnd.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_similar_groups_against_brute_force(spark, docs_of, sf_rows):
+    extra = [(None, "A b C d"), (900001, None), (900002, ""), (900003, " \t"), (900004, "É b"),
+             (900005, "a B c D"), (900005, "a B c D"), (900006, "x " * 30000)]
+    rows = [(r[0], r[1]) for r in sf_rows] + extra
+    want = brute_similar_groups([t for _, t in rows])
+    df = docs_of(rows, key=F.lit(1), node=F.lit("clash"), root=F.lit(None).cast("string"))
+    got = simhash.similar_groups(df).collect()
+    assert len(got) == len(rows)
+    root = {r.doc_id: r.root for r in got}
+    groups = {}
+    for (i, _), c in zip(rows, want, strict=True):
+        groups.setdefault(c, set()).add(root[i])
+    assert all(len(g) == 1 for g in groups.values())
+    assert len({r.root for r in got}) == len(groups)
+    left = simhash.keep_one_similar(df)
+    assert left.columns == df.columns and left.count() == len(groups)
+
+
+def test_recall_on_planted_copies(spark, docs_of, sf_rows):
+    rnd = random.Random(3)
+    base = [r for r in sf_rows if r[1] and 120 <= len(r[1].split()) <= 2000]
+    rows, planted, hub = [(r[0], r[1]) for r in sf_rows], [], []
+    for k in range(300):  # copies of many texts
+        i, t = rnd.choice(base)[:2]
+        rows.append((10**6 + k, changed(rnd, t, rnd.choice([.01, .015, .02, .024]))))
+        planted.append((i, t, *rows[-1]))
+    i, t = base[0][:2]
+    for k in range(400):  # many copies of one text, most of them farther from each other than 0.8
+        rows.append((2 * 10**6 + k, changed(rnd, t, .018)))
+        hub.append((i, t, *rows[-1]))
+    root = {r.doc_id: r.root for r in simhash.similar_groups(docs_of(rows)).collect()}
+    for group in (planted, hub):
+        near = [(a, b) for a, t, b, u in group
+                if brute_similar(brute_shingles(t), brute_shingles(u)) >= 0.8]
+        assert len(near) > 50
+        assert sum(root[a] == root[b] for a, b in near) >= 0.97 * len(near)
+    size = {}
+    for i, t in rows[:len(sf_rows)]:  # clean texts stay apart
+        size.setdefault(root[i], []).append(t)
+    for texts in size.values():
+        assert all(max(brute_similar(brute_shingles(t), brute_shingles(u)) for u in texts[:1] + [
+            x[3] for x in planted + hub]) >= 0.8 for t in texts[1:])
