@@ -21,8 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document of the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document of
+    the smallest id stays."""
+    return simhash.keep_one_similar(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
