@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -161,25 +162,43 @@ def _least_of_groups(docs: DataFrame, near: DataFrame, id_col: str, text_col: st
 def _hashes(data: bytes | None, shingle: int, seed: int = 42) -> np.ndarray:
     """Distinct XXH64 values of the word shingles; no words are one empty shingle."""
     words = data.lower().split() if data else []
-    n = max(len(words) - shingle + 1, 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i:i + shingle]), seed)
-                                  for i in range(n)), np.uint64, n))
+    text, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
+    first = [0, *(ends[:max(len(words) - shingle, 0)] + 1).tolist()]
+    last = ends[min(shingle, len(words)) - 1:].tolist() if words else [0]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(text[a:b], seed) for a, b in zip(
+        first, last, strict=True)], np.uint64))
 
 
-def _band_keys(h: np.ndarray) -> np.ndarray:
-    """One key a band, of the least values of its ROWS permutations of the hashes."""
+def _majority(h: np.ndarray) -> int:
+    """Signed SimHash of distinct hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 15):  # bounded memory for any length
+        ones += np.unpackbits(h[at:at + (1 << 15)].astype(">u8").view(np.uint8).reshape(
+            -1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h)).view(">i8")[0])
+
+
+@lru_cache
+def _permutations() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors and shifts of the permutations, and the factors that mix a band's values."""
     rng = np.random.default_rng(11)
     odd, plus = rng.integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
-    odd, least = odd * 2 + 1, np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    return odd * 2 + 1, plus, rng.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * 2 + 1
+
+
+def _band_keys(h: np.ndarray) -> np.ndarray:
+    """One key a band, of the least values of its ROWS permutations of the hashes."""
+    odd, plus, mix = _permutations()
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(h), 1024):  # bounded memory for any length
         v = h[at:at + 1024, None] * odd + plus
         least = np.minimum(least, v.min(axis=0))
-    mix = rng.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * 2 + 1
     return (least.reshape(BANDS, ROWS) * mix).sum(axis=1, dtype=np.uint64)
 
 
 def _sketches(text: Column, shingle: int) -> Column:
-    """Per text: fingerprint, number of distinct shingles, band keys, as one array."""
+    """Per text: fingerprint of its distinct shingles, their number, band keys, as one array."""
 
     @F.pandas_udf("array<bigint>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -187,8 +206,8 @@ def _sketches(text: Column, shingle: int) -> Column:
             out = []
             for x in p:
                 h = _hashes(x, shingle)
-                out.append(np.concatenate([[fingerprint(x, shingle), len(h)],
-                                           _band_keys(h).view(np.int64)]).astype(np.int64))
+                out.append(np.concatenate([np.array([_majority(h), len(h)], np.int64),
+                                           _band_keys(h).view(np.int64)]))
             yield pd.Series(out, dtype=object)
 
     return run(text.cast("binary"))
