@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ritardo.functions.stats import geometric_mean
 from ritardo.operators import sequences as S
 from ritardo.operators.ordered import chunk_of, scan
 from ritardo.plans.registry import query
@@ -318,7 +319,7 @@ def bar_jitter_table(spark, sf):
     out = S.metric_profile(n, P, "slot", "value")
     return out.groupBy("performance_id", "measure_idx").agg(
         F.count("*").alias("n"),
-        F.round(F.exp(F.avg(F.ln("value"))), 6).alias("geo_period"),
+        F.round(geometric_mean(F.col("value")), 6).alias("geo_period"),
         F.round(F.sqrt(F.avg(F.col("jitter") * F.col("jitter"))), 6).alias("rms_jitter"),
         F.round(F.max(F.abs("jitter")), 6).alias("max_abs_jitter"),
     )

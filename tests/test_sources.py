@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ritardo.functions import keys as K
+from ritardo.functions.stats import geometric_mean
 from ritardo.sources import catalog as C
 from ritardo.sources import readers as R
 
@@ -111,6 +112,12 @@ def test_entities_end_in_a_semicolon(spark):
     assert got == ["a & b", "a &amp", "x &ampfoo; A &AMP", "&lt;"]
 
 
+def test_geometric_mean_with_a_zero(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 8.0), (2, 0.0), (2, 5.0), (3, None)], "k int, v double")
+    got = {r.k: r.g for r in df.groupBy("k").agg(geometric_mean(F.col("v")).alias("g")).collect()}
+    assert got[1] == pytest.approx(4.0) and got[2] == 0.0 and got[3] is None
+
+
 def test_listing_of_files(spark, tmp_path):
     for name in ("train/Anna_Op1.mid", "test/Ben_Op2.mid", "readme.txt"):
         f = tmp_path / name
