@@ -190,6 +190,29 @@ def test_rows_of_two_annotators(spark):
     assert sorted((r.page, r.a, r.b, round(r.score, 9), r.why) for r in got) == brute_rows(a, b)
 
 
+def test_overlaps_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 16)
+    monkeypatch.setattr(R, "MATCHES", 50)
+    monkeypatch.setattr(R, "PAIRS", 3)
+    rnd = random.Random(8)
+    sides = []
+    for _ in "ab":
+        sides.append({i: (i % 2, {f"w{min(int(rnd.expovariate(0.2)), 30)}" for _ in range(rnd.randint(0, 12))})
+                      for i in range(90)})
+    want = {(x[0], i, j): len(x[1] & y[1]) / len(x[1] | y[1]) for i, x in sides[0].items()
+            for j, y in sides[1].items() if x[0] == y[0] and x[1] and y[1]}
+    want = {k: v for k, v in want.items() if v >= 0.5}
+    df = [spark.createDataFrame([(p, i, sorted(t)) for i, (p, t) in s.items()],
+                                "page int, row bigint, t array<string>") for s in sides]
+    o = R.overlapping(*df, ["page"], "row", "t")
+    got = {(r.page, r.a, r.b): r.score for r in o.collect()}
+    assert got == want and len(want) > 50
+    assert o.count() == len(want)
+    # no pair of rows goes through a shuffle: only rows, once for each block of the other side
+    plan = o._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "array_intersect" not in plan
+
+
 def test_kappas(spark):
     rows = [("x", 0, 0)] * 5 + [("x", 1, 2)] * 2 + [("x", 2, 2)] * 3 + [("y", 1, 1)] * 4
     got = {r.k: r for r in R.kappas(spark.createDataFrame(rows, "k string, a long, b long"), ["k"],
