@@ -6,8 +6,9 @@ spreads over many tasks and no pair outside the tolerance is built.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from ritardo.operators.ordered import asof, chunk_of, islands, scan
 from ritardo.operators.quantiles import exact_quantiles, join_on, loo_quantiles
 from ritardo.session import cut_lineage
 
+IN_ORDER = 1 << 18  # candidates of one key that a single task runs through
+
 
 def range_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_pos: str, right_pos: str,
@@ -37,22 +40,55 @@ def range_join(
     ).drop("__b")
 
 
+def _greedy_in_order(cands: DataFrame, keys: list[str], ends: Sequence[tuple[str, str]]) -> DataFrame:
+    """Sequential greedy choice, key by key as sorted rows stream by; a task holds the ends used in
+    one key."""
+    domains = [d for d, _ in ends]
+    names = [f"__e{i}" for i in range(len(ends))]
+    rows = cands.withColumns({n: F.col(c).cast("string") for n, (_, c) in zip(names, ends, strict=True)})
+    rows = rows.withColumn("__k", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, used = None, set()
+        for b in batches:
+            keep = []
+            for k, *ids in zip(*(b.column(n).to_pylist() for n in ("__k", *names)), strict=True):
+                if k != key:
+                    key, used = k, set()
+                own = set(zip(domains, ids, strict=True))
+                free = used.isdisjoint(own)
+                keep.append(free)
+                if free:
+                    used |= own
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    spread = rows.repartition(*keys).sortWithinPartitions(*keys, "__o")
+    return spread.mapInArrow(run, spread.schema).drop("__k", *names)
+
+
 def greedy_one_to_one(
     cands: DataFrame, keys: Sequence[str], ends: Sequence[tuple[str, str]], order: Sequence[str]
 ) -> DataFrame:
-    """Greedy selection in the strict total order ``order``; every end is used once.
+    """Greedy selection in the total order ``order``; every end is used once.
 
-    ``ends`` are ``(domain, column)``; two columns may share a domain. Taking, in every round, the
+    ``ends`` are ``(domain, column)``; two columns may share a domain. Candidates that agree in order
+    go by their ends; of candidates that agree in these too one stays. Keys of up to ``IN_ORDER``
+    candidates, and null ones, run past in order, each in one task. In larger ones, taking, in every round, the
     candidates that come first at all their ends gives the sequential result; rounds go on until
     no candidate is left, each with a checkpoint, so the plan stays flat.
     """
     keys, order = list(keys), list(order)
-    slots = F.array(*[F.struct(F.lit(d).alias("d"), F.col(c).cast("string").alias("id"))
-                      for d, c in ends])
-    rest = cut_lineage(cands.withColumns({
-        "__o": F.struct(*order), "__n": F.size(F.array_distinct(slots)),
-        "__slots": F.array_distinct(slots)}))
-    kept = rest.limit(0)
+    slots = F.array_sort(F.array_distinct(F.array(*[F.struct(F.lit(d).alias("d"), F.col(c).cast(
+        "string").alias("id")) for d, c in ends])))
+    every = cands.withColumns({"__n": F.size(slots), "__slots": slots}).withColumn(
+        "__o", F.struct(*order, "__slots"))
+    every = cut_lineage(every)
+    large = every.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("__c")).where(F.col("__c") > IN_ORDER)
+    large = cut_lineage(large.select(*keys))
+    if large.isEmpty():
+        return _greedy_in_order(every, keys, ends).drop("__o", "__n", "__slots")
+    kept = _greedy_in_order(every.join(large, keys, "left_anti"), keys, ends)
+    rest = cut_lineage(every.join(large, keys, "left_semi").dropDuplicates([*keys, "__o"]))
     while not rest.isEmpty():
         ex = rest.select(*keys, "__o", "__n", F.explode("__slots").alias("__s"))
         first = ex.groupBy(*keys, "__s").agg(F.min("__o").alias("__o"))

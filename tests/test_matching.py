@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ritardo.operators import matching as M
 from ritardo.operators.phrases import greedy_peaks
@@ -116,3 +117,19 @@ def test_false_extras_with_clocks_apart(spark):
     ref, est = (spark.createDataFrame(x, schema) for x in (ref, est + extra))
     got = {r.note_id: r.false_extra for r in M.false_extras(ref, est, ["performance_id"], 8_000_000).collect()}
     assert {i for i, x in got.items() if x} == {2000 + i for i in range(6)}
+
+
+@pytest.mark.parametrize("limit", [1 << 18, 20])
+def test_greedy_with_equal_candidates(spark, monkeypatch, limit):
+    """Two boundaries of one time give equal candidates; the choice ends and takes one of them."""
+    monkeypatch.setattr(M, "IN_ORDER", limit)
+    rnd = random.Random(4)
+    rows = [(k, rnd.randint(0, 9), rnd.randint(0, 9)) for k in (1, 2, None) for _ in range(60 if k == 1 else 15)]
+    df = spark.createDataFrame(rows, "k int, p bigint, t bigint").withColumn("d", F.abs(F.expr("p - t")))
+    want, used = set(), set()
+    for k, d, p, t in sorted(((k, abs(p - t), p, t) for k, p, t in rows), key=lambda x: (str(x[0]), *x[1:])):
+        if {(k, "p", p), (k, "t", t)}.isdisjoint(used):
+            used |= {(k, "p", p), (k, "t", t)}
+            want.add((k, p, t))
+    got = [(r.k, r.p, r.t) for r in M.greedy_one_to_one(df, ["k"], [("p", "p"), ("t", "t")], ["d", "p", "t"]).collect()]
+    assert set(got) == want and len(got) == len(want)
