@@ -14,20 +14,25 @@ from ritardo.operators.ordered import chunk_of, scan
 from ritardo.session import cut_lineage
 
 BLOCK = 4096  # positions of one pitch that a task correlates with as many of the other score
+SPAN = 64  # chunks of positions whose notes of one pitch are put in order together
+FEW = 4096  # pairs of positions that are built rather than correlated
 CHUNK = 4096  # source positions of a stretch of the path
 UNIT = 1_000_000  # rewards are whole millionths, so that sums do not depend on their order
 FAR = -(1 << 60)
 
 
 def _blocks(notes: DataFrame, keys: Sequence[str], name: str, width: int) -> DataFrame:
-    """keys, pitch and, for at most ``BLOCK`` positions in order, these and how often each is there."""
+    """keys, pitch and, for at most ``BLOCK`` positions in order, these and how often each is there.
+
+    Notes are shuffled once, by stretches of ``SPAN`` chunks; counts, order and blocks follow in place.
+    """
     k = [*keys, "pitch"]
-    n = notes.groupBy(*k, "pos").agg(F.count("*").alias("n"))
-    i = scan(n.withColumn("__one", F.lit(1).cast("bigint")), k, ["pos"], chunk_of("pos", width),
-             __i=("sum", "__one"))
-    g = i.groupBy(*k, F.expr(f"(__i - 1) div {BLOCK}").alias(f"b_{name}")).agg(
+    parts = notes.select(*k, "pos", chunk_of("pos", width * SPAN).alias("__c")).repartition(*k, "__c")
+    n = parts.groupBy(*k, "__c", "pos").agg(F.count("*").alias("n"))
+    i = F.row_number().over(W.partitionBy(*k, "__c").orderBy("pos"))
+    g = n.withColumn("__b", F.floor((i - 1) / BLOCK)).groupBy(*k, "__c", "__b").agg(
         F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("a"))
-    return g.select(*k, f"b_{name}", F.col("a.pos").alias(f"p_{name}"), F.col("a.n").alias(f"n_{name}"))
+    return g.select(*k, F.col("a.pos").alias(f"p_{name}"), F.col("a.n").alias(f"n_{name}"))
 
 
 def correlate(ps: np.ndarray, ns: np.ndarray, pr: np.ndarray, nr: np.ndarray
@@ -64,17 +69,32 @@ def offset_votes(source: DataFrame, reference: DataFrame, keys: Sequence[str], w
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [correlate(*[np.asarray(x, dtype=np.int64) for x in row]) for row in zip(
-                *[pdf[c] for c in ("p_s", "n_s", "p_r", "n_r")], strict=True)]
-            out = pdf[keys].loc[pdf.index.repeat([len(at) for at, _ in found])]
-            yield out.assign(offset=np.concatenate([at for at, _ in found] or [[]]).astype(np.int64),
-                             votes=np.concatenate([v for _, v in found] or [[]]).astype(np.int64))
+            size = pdf["p_s"].map(len).to_numpy() * pdf["p_r"].map(len).to_numpy()
+            for i in np.flatnonzero(size > FEW):
+                at, n = correlate(*[np.asarray(pdf[c].iloc[i], dtype=np.int64)
+                                    for c in ("p_s", "n_s", "p_r", "n_r")])
+                yield pdf[keys].iloc[np.full(len(at), i)].assign(offset=at, votes=n)
+            few = pdf[size <= FEW].reset_index(drop=True)
+            if len(few):
+                s, r, row = _meetings(few)
+                d = np.concatenate(few["p_r"].to_numpy())[r] - np.concatenate(few["p_s"].to_numpy())[s]
+                n = np.concatenate(few["n_r"].to_numpy())[r] * np.concatenate(few["n_s"].to_numpy())[s]
+                yield few[keys].iloc[row].assign(offset=d, votes=n)
 
     parts = both.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys)
                              + ", offset bigint, votes bigint")
     return parts.groupBy(*keys, "offset").agg(F.sum("votes").alias("votes"))
 
 
+def _meetings(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all pairs of a source and a reference position of one row, and their row."""
+    ls, lr = (pdf[c].map(len).to_numpy(np.int64) for c in ("p_s", "p_r"))
+    row = np.repeat(np.arange(len(pdf)), ls * lr)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(ls * lr) - ls * lr, ls * lr)
+    s, r = np.divmod(at, lr[row])
+    return s + (np.cumsum(ls) - ls)[row], r + (np.cumsum(lr) - lr)[row], row
+
+
 def candidates(votes: DataFrame, keys: Sequence[str], most: int = 8) -> DataFrame:
     """The ``most`` offsets with the most votes, numbered from 1;
     the smaller offset on ties."""
@@ -82,21 +102,42 @@ def candidates(votes: DataFrame, keys: Sequence[str], most: int = 8) -> DataFram
     return votes.withColumn("cand", F.row_number().over(w)).where(F.col("cand") <= most)
 
 
-def _rewards(source: DataFrame, reference: DataFrame, cands: DataFrame, keys: list[str], most: int
-             ) -> DataFrame:
+def _rewards(source: DataFrame, reference: DataFrame, cands: DataFrame, keys: list[str], most: int,
+             width: int) -> DataFrame:
     """keys, pos, r: of each candidate, the share of the position's notes found there less a half, in
     millionths; last the state of no candidate, 0. Candidates that are not there are out of reach."""
-    hit = source.join(cands.select(*keys, "offset", "cand"), keys).withColumn(
-        "at", F.col("pos") + F.col("offset"))
-    there = reference.select(*keys, "pitch", F.col("pos").alias("at")).distinct().withColumn(
-        "hit", F.lit(1))
-    h = hit.join(there, [*keys, "pitch", "at"], "left").groupBy(*keys, "pos", "cand").agg(
-        F.expr(f"{UNIT} * count(hit) div count(*) - {UNIT // 2}").alias("r"))
-    per = h.groupBy(*keys, "pos").agg(F.map_from_entries(F.collect_list(F.struct(
-        "cand", "r"))).alias("m"))
-    every = source.select(*keys, "pos").distinct().join(per, [*keys, "pos"], "left")
-    states = [F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(FAR)).cast("bigint")
-              for i in range(1, most + 1)]
+    listed = cands.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cand", "offset"))).alias(
+        "__l")).select(*keys, F.col("__l.offset").alias("offsets"))
+    both = _blocks(source, keys, "s", width).join(_blocks(reference, keys, "r", width).drop("n_r"),
+                                                  [*keys, "pitch"]).join(listed, keys)
+    kinds = dict(both.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # only what is found is passed on, not every position for every candidate
+        for pdf in batches:
+            rows, pos, cand, found = [], [], [], []
+            for i, (ps, ns, pr, offs) in enumerate(zip(
+                    pdf["p_s"], pdf["n_s"], pdf["p_r"], pdf["offsets"], strict=True)):
+                at = ps[None, :] + offs[:, None]
+                c, x = np.nonzero(pr[np.minimum(np.searchsorted(pr, at), len(pr) - 1)] == at)
+                rows.append(np.full(len(c), i))
+                pos.append(ps[x])
+                cand.append(c + 1)
+                found.append(ns[x])
+            if rows:
+                yield pdf[keys].iloc[np.concatenate(rows)].assign(
+                    pos=np.concatenate(pos), cand=np.concatenate(cand), found=np.concatenate(found))
+
+    hits = both.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+                            + ", pos bigint, cand bigint, found bigint")
+    per = source.select(*keys, "pos", F.lit(None).cast("bigint").alias("cand"), F.lit(1).cast(
+        "bigint").alias("found")).unionByName(hits).groupBy(*keys, "pos").agg(
+        F.coalesce(F.sum(F.when(F.col("cand").isNull(), F.col("found"))), F.lit(0)).alias("n"),
+        *[F.coalesce(F.sum(F.when(F.col("cand") == i, F.col("found"))), F.lit(0)).alias(f"h{i}")
+          for i in range(1, most + 1)])
+    every = per.join(listed.select(*keys, F.size("offsets").alias("__m")), keys, "left")
+    states = [F.expr(f"case when __m >= {i} then {UNIT} * h{i} div n - {UNIT // 2} else {FAR}L end").cast(
+        "bigint") for i in range(1, most + 1)]
     return every.select(*keys, "pos", F.array(*states, F.lit(0).cast("bigint")).alias("r"))
 
 
@@ -220,6 +261,7 @@ def map_positions(source: DataFrame, reference: DataFrame, keys: Sequence[str],
     """
     keys = list(keys)
     cands = cut_lineage(candidates(offset_votes(source, reference, keys, width), keys, most))
-    path = best_path(_rewards(source, reference, cands, keys, most), keys, most + 1, penalty, width)
+    path = best_path(_rewards(source, reference, cands, keys, most, width), keys, most + 1,
+                     penalty, width)
     return path.withColumn("cand", F.col("state") + 1).join(
         cands.select(*keys, "cand", "offset"), [*keys, "cand"], "left").select(*keys, "pos", "offset")

@@ -75,3 +75,13 @@ def test_correlation_is_the_count_of_pairs(step, span):
             want[int(r - p)] += int(a * b)
     at, votes = O.correlate(ps, ns, pr, nr)
     assert dict(zip(at.tolist(), votes.tolist(), strict=True)) == want
+
+
+def test_blocks_shuffle_notes_once(spark):
+    df = spark.createDataFrame([(1, p * 7 % 50, 60 + p % 2) for p in range(90)], "k int, pos bigint, pitch int")
+    b = O._blocks(df, ["k"], "s", 8)
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = Counter((r.pitch, p, n) for r in b.collect() for p, n in zip(r.p_s, r.n_s, strict=True))
+    want = Counter((60 + p % 2, p * 7 % 50) for p in range(90))
+    assert got == Counter((*k, n) for k, n in want.items())
