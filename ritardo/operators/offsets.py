@@ -17,6 +17,7 @@ BLOCK = 4096  # positions of one pitch that a task correlates with as many of th
 SPAN = 64  # chunks of positions whose notes of one pitch are put in order together
 FEW = 4096  # pairs of positions that are built rather than correlated
 CHUNK = 4096  # source positions of a stretch of the path
+GROUP = 128  # stretches that are walked side by side
 UNIT = 1_000_000  # rewards are whole millionths, so that sums do not depend on their order
 FAR = -(1 << 60)
 
@@ -141,24 +142,26 @@ def _rewards(source: DataFrame, reference: DataFrame, cands: DataFrame, keys: li
     return every.select(*keys, "pos", F.array(*states, F.lit(0).cast("bigint")).alias("r"))
 
 
-def _step(score: np.ndarray, reward: np.ndarray, penalty: int) -> tuple[np.ndarray, np.ndarray]:
-    """One position on: scores (rows, states) and the state each came from. Staying wins ties."""
-    best = score.argmax(axis=1)
-    jump = score[np.arange(len(score)), best][:, None] - penalty
-    went = jump > score
-    back = np.where(went, best[:, None], np.arange(score.shape[1]))
-    return np.where(went, jump, score) + np.maximum(reward, FAR >> 2), back
-
-
-def _through(r: np.ndarray, start: np.ndarray, penalty: int, first: bool
-             ) -> tuple[np.ndarray, np.ndarray]:
-    """Scores at the end of a stretch for each row of ``start``, and back pointers by position."""
-    score, back = start, np.zeros((len(r), *start.shape), dtype=np.int64)
-    for j in range(len(r)):
-        if first and j == 0:
-            score, back[0] = score + np.maximum(r[0], FAR >> 2), np.arange(start.shape[1])
-        else:
-            score, back[j] = _step(score, r[j], penalty)
+def _through(rewards: list[np.ndarray], score: np.ndarray, penalty: int, first: np.ndarray,
+             keep: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Stretches, longest first, walked side by side: scores (stretch, start, state) at their ends,
+    and by position the state that each came from. Staying wins ties; a first position has no change."""
+    length = np.array([len(r) for r in rewards])
+    r = np.zeros((len(rewards), length[0], score.shape[2]), np.int64)
+    for i, one in enumerate(rewards):
+        r[i, :len(one)] = one
+    r, stay, back = np.maximum(r, FAR >> 2), np.arange(score.shape[2]), []
+    for j in range(length[0]):
+        n = int((length > j).sum())
+        now = score[:n]
+        best = now.argmax(axis=2)[..., None]
+        jump = np.take_along_axis(now, best, 2) - penalty
+        went = jump > now
+        if j == 0:
+            went[first] = False
+        score[:n] = np.where(went, jump, now) + r[:n, j][:, None]
+        if keep:
+            back.append(np.where(went, best, stay)[:, 0].astype(np.int16))
     return score, back
 
 
@@ -183,18 +186,21 @@ def best_path(rewards: DataFrame, keys: Sequence[str], states: int, penalty: int
     def each(make):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for k in range(len(pdf)):
-                    row = pdf.iloc[k]
-                    r = np.asarray(row["r"], dtype=np.int64).reshape(-1, states)
-                    yield pd.DataFrame({c: [row[c]] for c in (*keys, "chunk")} | make(row, r))
+                order = np.argsort(-pdf["r"].map(len).to_numpy(), kind="stable")
+                for at in range(0, len(order), GROUP):
+                    some = pdf.iloc[order[at:at + GROUP]]
+                    r = [np.asarray(x, dtype=np.int64).reshape(-1, states) for x in some["r"]]
+                    yield some[[*keys, "chunk"]].assign(**make(some, r, some["chunk"].to_numpy() == 0))
         return run
 
-    def matrix(row, r):
-        start = np.full((states, states), FAR >> 1, dtype=np.int64)
-        np.fill_diagonal(start, 0)
-        if row["chunk"] == 0:
-            start[:] = 0
-        return {"m": [_through(r, start, penalty, row["chunk"] == 0)[0].ravel()]}
+    def begin(some):
+        return np.stack([np.asarray(x, dtype=np.int64) for x in some["start"]])[:, None]
+
+    def matrix(some, r, first):
+        start = np.full((len(r), states, states), FAR >> 1, dtype=np.int64)
+        start[:, np.arange(states), np.arange(states)] = 0
+        start[first] = 0
+        return {"m": list(_through(r, start, penalty, first, keep=False)[0].reshape(len(r), -1))}
 
     def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, score = None, np.zeros(states, dtype=np.int64)
@@ -210,13 +216,12 @@ def best_path(rewards: DataFrame, keys: Sequence[str], states: int, penalty: int
                 score = np.maximum(score - score.max(), FAR >> 1)
             yield pdf[[*keys, "chunk"]].assign(start=starts)
 
-    def traced(row, r):
-        score, back = _through(r, np.asarray(row["start"], dtype=np.int64)[None], penalty,
-                               row["chunk"] == 0)
-        came = np.arange(states)
+    def traced(some, r, first):
+        score, back = _through(r, begin(some), penalty, first)
+        came = np.tile(np.arange(states), (len(r), 1))
         for b in back[::-1]:
-            came = b[0][came]
-        return {"came": [came], "last": [int(score[0].argmax())]}
+            came[:len(b)] = np.take_along_axis(b, came[:len(b)], 1)
+        return {"came": list(came), "last": score[:, 0].argmax(axis=1)}
 
     def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, 0
@@ -230,14 +235,14 @@ def best_path(rewards: DataFrame, keys: Sequence[str], states: int, penalty: int
                 state = int(row.came[state])
             yield pdf[[*keys, "chunk"]].assign(end=ends)
 
-    def walked(row, r):
-        _, back = _through(r, np.asarray(row["start"], dtype=np.int64)[None], penalty,
-                           row["chunk"] == 0)
-        state, out = int(row["end"]), []
-        for b in back[::-1]:
-            out.append(state)
-            state = int(b[0][state])
-        return {"pos": [np.asarray(row["pos"])], "state": [np.array(out[::-1])]}
+    def walked(some, r, first):
+        _, back = _through(r, begin(some), penalty, first)
+        state, out = some["end"].to_numpy().copy(), np.zeros((len(r), len(back)), np.int64)
+        for j in range(len(back) - 1, -1, -1):
+            n = len(back[j])
+            out[:n, j] = state[:n]
+            state[:n] = back[j][np.arange(n), state[:n]]
+        return {"pos": list(some["pos"]), "state": [o[:len(x)] for o, x in zip(out, r, strict=True)]}
 
     k = [*keys, "chunk"]
     m = rows.mapInPandas(each(matrix), f"{head}, m array<bigint>")
