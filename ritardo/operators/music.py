@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ritardo.functions.stats import steady_mean
 from ritardo.operators.matching import range_join
 from ritardo.operators.ordered import CHUNK, asof, chunk_of, scan, with_halo
 from ritardo.operators.quantiles import exact_quantiles, robust_sd
@@ -271,9 +272,9 @@ def voicing_summary(onsets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Means, medians, share of louder melodies, and correlation of lead and loudness per key."""
     keys = list(keys)
     s = onsets.groupBy(*keys).agg(
-        F.count("*").alias("n_onsets"), F.avg("vel_diff").alias("vel_diff_mean"),
+        F.count("*").alias("n_onsets"), steady_mean(F.col("vel_diff")).alias("vel_diff_mean"),
         F.avg((F.col("vel_diff") > 0).cast("double")).alias("share_louder"),
-        F.avg("lead_ms").alias("lead_mean_ms"), F.corr("lead_ms", "vel_diff").alias("lead_vel_corr"))
+        steady_mean(F.col("lead_ms")).alias("lead_mean_ms"), F.corr("lead_ms", "vel_diff").alias("lead_vel_corr"))
     for col, name in (("vel_diff", "vel_diff_median"), ("lead_ms", "lead_median_ms")):
         s = s.join(exact_quantiles(onsets, keys, col, {name: 0.5}), keys)
     return s
