@@ -19,6 +19,7 @@ BLOCKS = 32  # two bits each
 GROUPS = 4  # of eight blocks
 SMALL_BUCKET = 64  # candidates of a bucket are paired up to here; larger ones meet at midpoints
 BANDS, ROWS = 18, 7  # keys of least hashes, and hashes a key
+PART = 1024  # members of a large bucket that meet the others in one task
 RADIUS = 20  # bits in which texts at 0.8 may differ: 9.7 are expected, deviation 2.9
 
 
@@ -225,10 +226,11 @@ def _shingle_sets(text: Column, shingle: int) -> Column:
     return run(text.cast("binary"))
 
 
-def _band_pairs(nodes: DataFrame, small_bucket: int) -> DataFrame:
+def _band_pairs(nodes: DataFrame, small_bucket: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a < b) of nodes that share a band's key: all pairs of a bucket of up to
     ``small_bucket``; the members of a larger one with its centre, the member whose buckets hold
-    most members in all (the text that the others were copied from meets most of them)."""
+    most members in all (the text that the others were copied from meets most of them). Also the
+    members of the larger ones, whose other pairs are ``_pairs_apart``."""
     keys = stored(nodes.select("node", F.posexplode("bands").alias("band", "bucket")), "bands")
     sizes = keys.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     held = stored(keys.join(sizes, ["band", "bucket"]), "held")
@@ -243,34 +245,71 @@ def _band_pairs(nodes: DataFrame, small_bucket: int) -> DataFrame:
         "band", "bucket", F.col("top.node").alias("centre"))
     stars = big.join(centre, ["band", "bucket"]).where("node <> centre").select(
         F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    return pairs.unionByName(stars).distinct(), big.select("band", "bucket", "node")
+
+
+def _pairs_apart(big: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a < b) of members of one large bucket that no links join yet.
+
+    Members of the root that most of a bucket has meet only those of other roots, so a bucket that
+    is one group gives none. The other side comes in parts of about ``PART`` members.
+    """
+    k = ["band", "bucket"]
+    m = big.join(roots, "node", "left").select(*k, "node", F.coalesce("root", "node").alias("root"))
+    m = stored(m, "members")
+    size = m.groupBy(*k, "root").agg(F.count("*").alias("n")).groupBy(*k).agg(
+        F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).where(
+        F.col("all") > F.col("top.n")).select(
+        *k, F.col("top.root").alias("most"), F.ceil(F.col("all") / PART).alias("parts"))
+    held = stored(m.join(size, k), "apart")
+    a = held.where("root <> most").select(*k, F.col("node").alias("x"), F.col("root").alias(
+        "rx"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    b = held.select(*k, F.col("node").alias("y"), F.col("root").alias("ry"), (
+        F.col("root") == F.col("most")).alias("main"), F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    return a.join(b, [*k, "part"]).where("rx <> ry and (main or x < y)").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float,
                   radius: int, small_bucket: int, text_col: str) -> DataFrame:
-    """Links (a, b) of different texts whose shingle sets have ``similarity`` or more.
+    """Links (a, b) that join all different texts whose shingle sets have ``similarity`` or more
+    and that share a band's key.
 
-    Pairs come from shared band keys; those of sizes too far apart, whose pivot coordinates differ
-    by more than ``radius`` or whose fingerprints do, are discarded; survivors are verified on
-    their sets of shingles.
+    Pairs of small buckets and of the members of large ones with their centre come first; then those
+    pairs of large buckets that these links have not joined. Those of sizes too far apart, whose pivot
+    coordinates differ by more than ``radius`` or whose fingerprints do, are discarded; survivors
+    are verified on their sets of shingles.
     """
     t = pivot_table(nodes.select("node", "fp", "n"))
     side = {x: t.select(F.col("node").alias(x), F.col("fp").alias(f"f{x}"), F.col("n").alias(
         f"n{x}"), F.col("pivots").alias(f"p{x}")) for x in "ab"}
     apart = F.array_max(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)))
-    met = _band_pairs(nodes, small_bucket).join(side["a"], "a").join(side["b"], "b").where(
-        F.least("na", "nb") >= similarity * F.greatest("na", "nb")).where(apart <= radius).where(
-        F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius)
-    met = stored(met.select("a", "b"), "survivors")
-    need = stored(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "verify")
-    texts = docs.select(text_key(text_col).alias("node"), F.col(text_col).alias("text"))
-    texts = texts.join(need, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = stored(texts.select("node", _shingle_sets(F.col("text"), shingle).alias("s")), "sets")
-    both = met.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"),
-                       (F.size("sa") + F.size("sb")).alias("n"))
-    return both.where(F.col("i") >= similarity * (F.col("n") - F.col("i"))).select("a", "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(side["a"], "a").join(side["b"], "b").where(
+            F.least("na", "nb") >= similarity * F.greatest("na", "nb")).where(
+            apart <= radius).where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius)
+        met = stored(met.select("a", "b"), "survivors")
+        need = stored(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "verify")
+        texts = docs.select(text_key(text_col).alias("node"), F.col(text_col).alias("text"))
+        texts = texts.join(need, "node", "left_semi").groupBy("node").agg(
+            F.first("text").alias("text"))
+        sets = stored(texts.select("node", _shingle_sets(F.col("text"), shingle).alias("s")), "sets")
+        both = met.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(
+            sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"),
+                           (F.size("sa") + F.size("sb")).alias("n"))
+        return both.where(F.col("i") >= similarity * (F.col("n") - F.col("i"))).select("a", "b")
+
+    pairs, big = _band_pairs(nodes, small_bucket)
+    links = stored(verified(pairs), "links")
+    big = stored(big, "large")
+    if big.isEmpty():
+        return links
+    rest = stored(_pairs_apart(big, components(links, "a", "b")), "rest")
+    if rest.isEmpty():
+        return links
+    return links.unionByName(verified(rest))
 
 
 def text_key(text_col: str) -> Column:

@@ -94,3 +94,28 @@ def test_recall_on_planted_copies(spark, docs_of, sf_rows):
     for texts in size.values():
         assert all(max(brute_similar(brute_shingles(t), brute_shingles(u)) for u in texts[:1] + [
             x[3] for x in planted + hub]) >= 0.8 for t in texts[1:])
+
+
+def test_large_buckets_lose_no_link(spark, docs_of):
+    """All texts share every bucket; two groups are similar within and not to the bucket's centre."""
+    words = [[f"{g}{i}" for i in range(60)] for g in "abc"]
+    texts = [" ".join([*w, *[f"tail{j}"] * (j > 0)]) for w in words[:2] for j in range(4)] + [
+        " ".join(words[2])]
+    docs = docs_of(list(enumerate(texts)))
+    nodes = docs.select(simhash.text_key("text").alias("node"), simhash._sketches(
+        F.col("text"), 5).alias("x")).select(
+        "node", F.lit(0).cast("bigint").alias("fp"), F.col("x")[1].alias("n"),
+        F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")).alias("bands"))
+    key = {r.node: r.doc_id for r in docs.select("doc_id", simhash.text_key("text").alias("node")).collect()}
+    for part in (2, 1024):
+        simhash.PART, kept = part, simhash.PART
+        try:
+            links = simhash.similar_links(docs, nodes, 5, 0.8, 20, 2, "text").collect()
+        finally:
+            simhash.PART = kept
+        group = list(range(9))
+        for _ in group:
+            for r in links:
+                x, y = key[r.a], key[r.b]
+                group[x] = group[y] = min(group[x], group[y])
+        assert group == [0] * 4 + [4] * 4 + [8]
