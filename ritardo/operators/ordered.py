@@ -64,6 +64,7 @@ def scan(
     keys: Sequence[str],
     order: Sequence[str],
     chunk: Column,
+    combine: bool = False,
     **outputs: tuple[str, str],
 ) -> DataFrame:
     """Running values in ``order`` inside ``keys``.
@@ -71,7 +72,8 @@ def scan(
     Each output is ``name=(kind, column)``. Kinds: ``sum`` / ``max`` / ``min`` (rows up to and
     including this one), ``last`` (last non-null up to and including this one), ``next``
     (first non-null from this row on), ``prev`` (value of the row before, null at the start),
-    ``lead`` (value of the row after).
+    ``lead`` (value of the row after). With ``combine``, chunks are summarised before the shuffle:
+    rows with columns that no output uses would be shuffled again, without them, to be summarised.
     """
     keys, order = list(keys), list(order)
     parts = _parts(df, keys, chunk)
@@ -96,8 +98,9 @@ def scan(
         local.append(f"{inside} as {x}")
         final.append(f"{both} as `{name}`")
     key_list = [f"`{k}`" for k in [*keys, CHUNK]]
+    whole = df.withColumn(CHUNK, chunk) if combine else parts
     carries = (
-        parts.groupBy(*keys, CHUNK).agg(*[F.expr(e) for e in summary])
+        whole.groupBy(*keys, CHUNK).agg(*[F.expr(e) for e in summary])
         .selectExpr(*key_list, *carry)
     )
     joined = _join_carry(parts.selectExpr("*", *local), carries, keys)
@@ -207,6 +210,7 @@ def asof(
         keys,
         ["__pos", "__side", "__tie"],
         chunk_of("__pos", width),
+        combine=True,
         __hit=(kind, "__right"),
     ).where("__left is not null")
     return hit.selectExpr(

@@ -66,16 +66,15 @@ def beat_map(
     points: DataFrame, segments: DataFrame, keys: Sequence[str], pos: str, width: int
 ) -> DataFrame:
     """Reference beat of a source beat: exact positions take their offset, a beat between two
-    positions only if both have the same offset."""
+    positions only if both have the same offset. ``segments`` has a position once."""
     keys = list(keys)
-    s = segments.select(*keys, F.col("pos").alias("__p"), "offset")
-    lo = asof(points, s, keys, pos, "__p", ["offset"], width).withColumnsRenamed(
-        {"hit___p": "__p0", "offset": "__o0"})
-    hi = asof(lo, s, keys, pos, "__p", ["offset"], width, direction="forward", strict=True
-              ).withColumnsRenamed({"hit___p": "__p1", "offset": "__o1"})
-    return hi.withColumn("ref_pos", F.expr(
-        f"case when __p0 = `{pos}` or __o0 = __o1 then `{pos}` + __o0 end")).drop(
-        "__p0", "__p1", "__o0", "__o1")
+    # the next position lies at its segment, so that points are shuffled once, with their rows
+    s = scan(segments.select(*keys, F.col("pos").alias("__p"), F.col("offset").alias("__o0")), keys,
+             ["__p"], chunk_of("__p", width), __o1=("lead", "__o0"))
+    hit = asof(points, s, keys, pos, "__p", ["__o0", "__o1"], width)
+    return hit.withColumn("ref_pos", F.expr(
+        f"case when hit___p = `{pos}` or __o0 = __o1 then `{pos}` + __o0 end")).drop(
+        "hit___p", "__o0", "__o1")
 
 
 def accent_excess(
