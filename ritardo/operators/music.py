@@ -112,24 +112,34 @@ def spurious_rule(
         & (F.col("vel_rel_local") <= max_vel_rel) & (F.col("pitch_spike") >= min_spike))
 
 
+WINDOWS = 1024  # windows of a key whose notes lie in one task
+
+
 def harmony_windows(
     score: DataFrame, keys: Sequence[str], window: int, min_weight: float = 0.15
 ) -> DataFrame:
     """Pitch content of fixed windows: bass, pitch-class mask, first onset in the window.
 
-    Twelve conditional sums per window: one shuffle with map-side combine.
+    Notes are shuffled once, to their chunk of windows (to both where they reach over); twelve
+    conditional sums per window follow in place.
     """
     keys = list(keys)
+    k = [f"`{x}`" for x in keys]
+    first, last = (f"cast(floor({x} / {float(window)!r}D) as bigint)" for x in (
+        "onset_uq", "(onset_uq + duration_uq - 1)"))
     s = score.where("duration_uq > 0").selectExpr(
-        *[f"`{k}`" for k in keys], "onset_uq", "onset_uq + duration_uq as off",
-        "cast(pitch as int) as pitch", f"explode(sequence(cast(floor(onset_uq / {float(window)!r}D)"
-        f" as bigint), cast(floor((onset_uq + duration_uq - 1) / {float(window)!r}D) as bigint)))"
-        " as w")
+        *k, "onset_uq", "duration_uq", "cast(pitch as int) as pitch",
+        f"explode(sequence({first} div {WINDOWS} - cast({first} % {WINDOWS} < 0 as int),"
+        f" {last} div {WINDOWS} - cast({last} % {WINDOWS} < 0 as int))) as __c")
+    s = s.repartition(*keys, "__c").selectExpr(
+        *k, "__c", "onset_uq", "onset_uq + duration_uq as off", "pitch",
+        f"explode(sequence(greatest({first}, __c * {WINDOWS}),"
+        f" least({last}, __c * {WINDOWS} + {WINDOWS - 1}))) as w")
     s = s.selectExpr(
-        *[f"`{k}`" for k in keys], "w", "pitch", "pitch % 12 as pc",
+        *k, "__c", "w", "pitch", "pitch % 12 as pc",
         f"least(off, (w + 1) * {window}L) - greatest(onset_uq, w * {window}L) as ov",
         f"case when onset_uq >= w * {window}L then onset_uq end as first")
-    g = s.groupBy(*keys, "w").agg(
+    g = s.groupBy(*keys, "__c", "w").agg(
         *[F.expr(f"sum(case when pc = {i} then ov else 0 end) as s{i}") for i in range(12)],
         F.expr("sum(ov) as tot"), F.expr("min(pitch) % 12 as bass"),
         F.expr("min(first) as first_onset"))
@@ -146,7 +156,7 @@ def harmony_changes(
 ) -> DataFrame:
     """A window starts a new harmony when its bass differs from the previous non-empty window and
     their joint pitch classes fit no chord template."""
-    w = scan(windows, keys, ["w"], chunk_of("w", 4096), prev_bass=("prev", "bass"),
+    w = scan(windows, keys, ["w"], chunk_of("w", 4096), combine=True, prev_bass=("prev", "bass"),
              __pp=("prev", "pcs"))
     masks = F.array(*[F.lit(m).cast("bigint") for m in chord_masks(templates)])
     union = F.col("pcs").bitwiseOR(F.col("__pp"))
