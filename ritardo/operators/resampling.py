@@ -130,6 +130,9 @@ def assign_split(
         val, work, "left").select(work, F.coalesce("__f", "__v", F.lit("train")).alias("split"))
 
 
+DRAWS = 8  # replicates that a row asks draws of
+
+
 def cluster_index(stats: DataFrame, cluster: str, seed: int = 0) -> DataFrame:
     """Number the clusters 0 .. K-1 (hash order) and attach K."""
     d = hash_order(stats, [], seed, cluster, "__r").withColumn("idx", F.col("__r") - 1)
@@ -141,12 +144,17 @@ def bootstrap_weights(indexed: DataFrame, n_boot: int, seed: int) -> DataFrame:
     """How often each replicate draws each cluster: ``b``, ``idx``, ``w``.
 
     Every cluster contributes one draw to every replicate: draw ``(b, i)`` picks cluster
-    ``floor(u * K)``. Counts are combined map side, so the shuffle carries weights only.
+    ``floor(u * K)``. Clusters are dealt over tasks with a few replicates each before draws are
+    made, and draws are counted after their shuffle: hardly two of one task are the same, so a task
+    that counted its own would hold them all.
     """
-    slots = indexed.select("k", "idx", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias(
-        "b"))
+    few = indexed.select("k", "idx", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(
+        DRAWS))).alias("__b")).repartition("idx", "__b")
+    slots = few.select("k", "idx", F.explode(F.sequence("__b", F.least(
+        F.col("__b") + (DRAWS - 1), F.lit(n_boot - 1)))).alias("b"))
     pick = F.floor(uniform(seed, F.col("b"), F.col("idx")) * F.col("k")).cast("bigint")
-    return slots.select("b", pick.alias("idx")).groupBy("b", "idx").agg(F.count("*").alias("w"))
+    return slots.select("b", pick.alias("idx")).repartition("b", "idx").groupBy("b", "idx").agg(
+        F.count("*").alias("w"))
 
 
 def bootstrap_ci(
