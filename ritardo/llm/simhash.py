@@ -19,7 +19,8 @@ BLOCKS = 32  # two bits each
 GROUPS = 4  # of eight blocks
 SMALL_BUCKET = 64  # candidates of a bucket are paired up to here; larger ones meet at midpoints
 BANDS, ROWS = 18, 7  # keys of least hashes, and hashes a key
-PART = 1024  # members of a large bucket that meet the others in one task
+PART = 1024  # members of a large bucket that meet the others, or their centre, in one task
+ROUNDS = 4  # centres of a large bucket, one after the other; at the last one all that is left meets
 RADIUS = 20  # bits in which texts at 0.8 may differ: 9.7 are expected, deviation 2.9
 
 
@@ -245,29 +246,93 @@ def _band_pairs(nodes: DataFrame, small_bucket: int) -> tuple[DataFrame, DataFra
         "band", "bucket", F.col("top.node").alias("centre"))
     stars = big.join(centre, ["band", "bucket"]).where("node <> centre").select(
         F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    return pairs.unionByName(stars).distinct(), big.select("band", "bucket", "node")
+    return pairs.unionByName(stars).distinct(), ranked.select("band", "bucket", "node", "score")
 
 
-def _pairs_apart(big: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a < b) of members of one large bucket that no links join yet.
+def _across(rows: DataFrame, k: list[str]) -> DataFrame:
+    """Pairs (x, y) of rows of one key but different roots, at least one of them near, each once.
 
-    Members of the root that most of a bucket has meet only those of other roots, so a bucket that
-    is one group gives none. The other side comes in parts of about ``PART`` members.
+    Members of the root that most of a key has meet only those of other roots. The other side comes
+    in parts of about ``PART`` rows.
     """
-    k = ["band", "bucket"]
-    m = big.join(roots, "node", "left").select(*k, "node", F.coalesce("root", "node").alias("root"))
-    m = stored(m, "members")
-    size = m.groupBy(*k, "root").agg(F.count("*").alias("n")).groupBy(*k).agg(
-        F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).where(
-        F.col("all") > F.col("top.n")).select(
+    size = rows.groupBy(*k, "root").agg(F.count("*").alias("m"), F.max("near").alias("near")).groupBy(
+        *k).agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("all"), F.max(
+            "near").alias("any")).where((F.col("all") > F.col("top.m")) & F.col("any")).select(
         *k, F.col("top.root").alias("most"), F.ceil(F.col("all") / PART).alias("parts"))
-    held = stored(m.join(size, k), "apart")
-    a = held.where("root <> most").select(*k, F.col("node").alias("x"), F.col("root").alias(
-        "rx"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
-    b = held.select(*k, F.col("node").alias("y"), F.col("root").alias("ry"), (
-        F.col("root") == F.col("most")).alias("main"), F.pmod(F.xxhash64("node"), "parts").alias("part"))
-    return a.join(b, [*k, "part"]).where("rx <> ry and (main or x < y)").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    held = stored(rows.join(size, k), "apart")
+    one = F.struct("node", "root", "n", "inside", "near")
+    x = held.where("root <> most").select(*k, one.alias("x"), F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    y = held.select(*k, one.alias("y"), (F.col("root") == F.col("most")).alias("main"),
+                    F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    return x.join(y, [*k, "part"]).where("x.root <> y.root and (x.near or y.near) and "
+                                         "(main or x.node < y.node)").drop("main", "part")
+
+
+def _beside_centres(left: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with the centre of their bucket (the best text that most of them meet in any bucket, so
+    that the buckets of one group have one), and per (centre, node) the size ``n`` of its set, how much
+    of it lies ``inside`` what a quarter of some 64 members hold, and what lies ``outside``."""
+    k = ["band", "bucket"]
+    top = left.groupBy(*k).agg(F.max(F.struct("score", "node")).alias("top"))
+    top = stored(left.join(top, k), "tops")
+    hub = top.groupBy("node").agg(F.max("top").alias("hub"))
+    centre = top.join(hub, "node").groupBy(*k, "hub").count().groupBy(*k).agg(
+        F.max_by("hub.node", F.struct("count", "hub")).alias("centre"))
+    left = stored(left.join(centre, k), "left")
+    met = left.select("centre", "node").distinct()
+    size = met.groupBy("centre").agg(F.count("*").alias("m"))
+    x = stored(met.join(size, "centre").join(sets, "node"), "beside")
+    # any reference set gives right bounds, so a few members will do
+    some = x.where(F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / 64)) == 0)
+    held = some.select("centre", F.explode("s").alias("member")).groupBy("centre", "member").count()
+    common = held.join(some.groupBy("centre").agg(F.count("*").alias("of")), "centre").where(
+        "4 * count > of").groupBy("centre").agg(F.collect_list("member").alias("sc"))
+    parts = size.join(common, "centre", "left").select(
+        "centre", F.coalesce("sc", F.array().cast("array<int>")).alias("sc"), F.explode(F.sequence(
+            F.lit(0).cast("bigint"), F.ceil(F.col("m") / PART) - 1)).alias("part"))
+    out = x.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / PART))).join(
+        parts, ["centre", "part"]).select(
+        "centre", "node", F.size("s").alias("n"), F.array_except("s", "sc").alias("outside"))
+    return left, stored(out.withColumn("inside", F.col("n") - F.size("outside")), "outside")
+
+
+def _pairs_apart(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a < b) of rows of one centre that no links join yet and that may be similar.
+
+    Two sets share no more than the lesser of what each has inside a reference set, and what they share
+    outside of it. So pairs either share a member outside, or each lies inside with as much as the two
+    must share; which bounds the other's size. Nothing similar is left out.
+    """
+    def may(share: Column) -> Column:
+        return share >= similarity * (F.col("x.n") + F.col("y.n") - share)
+
+    least = F.least("x.inside", "y.inside")
+    ends = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    shared = _across(rows.select("*", F.explode("outside").alias("member")).drop("outside"),
+                     ["centre", "member"])
+    # which of two is x may differ by member
+    shared = shared.groupBy("centre", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("m")).where(
+        may(least + F.col("m"))).select(*ends)
+    # the other's size: from similarity * n up to this
+    most = F.col("inside") * ((1 + similarity) / similarity) - F.col("n") + 1e-6
+    able = rows.drop("outside").withColumn("most_n", most).where(
+        F.col("most_n") >= similarity * F.col("n"))
+    top = rows.groupBy("centre", "root").agg(F.count("*").alias("m")).groupBy("centre").agg(
+        F.max_by("root", F.struct("m", "root")).alias("main"))
+    able = stored(able.join(top, "centre"), "able")
+
+    def step(size: Column) -> Column:
+        return F.floor(F.log(size) * 100)
+
+    one = F.struct("node", "root", "n", "inside", "near")
+    x = able.where("root <> main").select("centre", one.alias("x"), F.explode(F.sequence(
+        step(similarity * F.col("n") - 1e-6), step(F.col("most_n")))).alias("step"))
+    y = able.select("centre", one.alias("y"), (F.col("root") == F.col("main")).alias("main"),
+                    step(F.col("n")).alias("step"))
+    inside = x.join(y, ["centre", "step"]).where(
+        may(least) & F.expr("x.root <> y.root and (x.near or y.near) and (main or x.node < y.node)"))
+    return shared.unionByName(inside.select(*ends)).distinct()
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float,
@@ -285,31 +350,58 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: f
         f"n{x}"), F.col("pivots").alias(f"p{x}")) for x in "ab"}
     apart = F.array_max(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)))
 
+    def sets_of(need: DataFrame) -> DataFrame:
+        need = stored(need.distinct(), "verify")
+        texts = docs.select(text_key(text_col).alias("node"), F.col(text_col).alias("text"))
+        texts = texts.join(need, "node", "left_semi").groupBy("node").agg(
+            F.first("text").alias("text"))
+        return stored(texts.select("node", _shingle_sets(F.col("text"), shingle).alias("s")), "sets")
+
     def verified(pairs: DataFrame) -> DataFrame:
         met = pairs.join(side["a"], "a").join(side["b"], "b").where(
             F.least("na", "nb") >= similarity * F.greatest("na", "nb")).where(
             apart <= radius).where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius)
         met = stored(met.select("a", "b"), "survivors")
-        need = stored(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "verify")
-        texts = docs.select(text_key(text_col).alias("node"), F.col(text_col).alias("text"))
-        texts = texts.join(need, "node", "left_semi").groupBy("node").agg(
-            F.first("text").alias("text"))
-        sets = stored(texts.select("node", _shingle_sets(F.col("text"), shingle).alias("s")), "sets")
+        sets = sets_of(met.select(F.explode(F.array("a", "b")).alias("node")))
         both = met.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"),
                            (F.size("sa") + F.size("sb")).alias("n"))
         return both.where(F.col("i") >= similarity * (F.col("n") - F.col("i"))).select("a", "b")
 
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
     pairs, big = _band_pairs(nodes, small_bucket)
-    links = stored(verified(pairs), "links")
-    big = stored(big, "large")
+    links, big = stored(verified(pairs), "links"), stored(big, "large")
     if big.isEmpty():
         return links
-    rest = stored(_pairs_apart(big, components(links, "a", "b")), "rest")
-    if rest.isEmpty():
+    roots = components(links, "a", "b")
+    k = ["band", "bucket"]
+    split = rooted(big, roots).groupBy(*k).agg(
+        F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*k)
+    left = stored(big.join(split, k), "split")
+    if left.isEmpty():
         return links
-    return links.unionByName(verified(rest))
+    sets = sets_of(left.select("node"))
+    for r in range(ROUNDS):
+        left, rows = _beside_centres(left, sets)
+        if r:  # the first centres' links are there already
+            star = rows.where("node <> centre").select(
+                F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+            links = stored(links.unionByName(verified(star.distinct())), "links")
+            roots = components(links, "a", "b")
+        far = 2 * F.col("inside") < F.col("n")
+        many = rows.where(far).groupBy("centre").agg(F.count("*").alias("many")).where(
+            F.col("many") > (8 * small_bucket if r + 1 < ROUNDS else 1 << 62))
+        rows = rows.join(many, "centre", "left").withColumn("near", ~far | F.isnull("many"))
+        rows = stored(rooted(rows.drop("many"), roots), "rows")
+        links = stored(links.unionByName(verified(_pairs_apart(rows, similarity))), "links")
+        left = left.join(rows.where("not near").select("centre", "node"), ["centre", "node"]).drop("centre")
+        left = stored(left.join(left.groupBy(*k).count().where("count > 1").select(*k), k), "split")
+        if left.isEmpty():
+            break
+    return links
 
 
 def text_key(text_col: str) -> Column:

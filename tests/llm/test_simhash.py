@@ -119,3 +119,33 @@ def test_large_buckets_lose_no_link(spark, docs_of):
                 x, y = key[r.a], key[r.b]
                 group[x] = group[y] = min(group[x], group[y])
         assert group == [0] * 4 + [4] * 4 + [8]
+
+
+def test_large_buckets_compare_no_square(spark, docs_of, monkeypatch):
+    """300 texts of one bucket, each at 0.74 to the first and less to each other, and two pairs of
+    them that are similar: few pairs are verified, and those two are found."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(150)]
+    texts = [" ".join(words)]
+    for k in range(300):
+        at = rnd.sample(range(5, 145, 7), 5)
+        texts.append(" ".join(f"x{k}_{i}" if i in at else w for i, w in enumerate(words)))
+    texts += [f"{texts[7]} end", f"{texts[90]} end"]
+    docs = docs_of(list(enumerate(texts)))
+    nodes = docs.select(simhash.text_key("text").alias("node"), simhash._sketches(
+        F.col("text"), 5).alias("x")).select(
+        "node", F.lit(0).cast("bigint").alias("fp"), F.col("x")[1].alias("n"),
+        F.array(F.lit(1).cast("bigint")).alias("bands"))
+    key = {r.node: r.doc_id for r in docs.select("doc_id", simhash.text_key("text").alias("node")).collect()}
+    kept, rows = simhash.stored, []
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "survivors":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    links = simhash.similar_links(docs, nodes, 5, 0.8, 20, 2, "text").collect()
+    assert {frozenset((key[r.a], key[r.b])) for r in links} == {frozenset((7, 301)), frozenset((90, 302))}
+    assert sum(rows) < 5 * len(texts)
