@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ritardo.functions.draws import normal, uniform
@@ -93,18 +94,24 @@ def velocity_components(
     at = notes.groupBy(*keys, pos).agg(
         F.count(F.when(m, 1)).alias("n1"), F.sum(F.when(m, v)).alias("v1"),
         F.count(F.when(~m, 1)).alias("n0"), F.sum(F.when(~m, v)).alias("v0"))
-    d = at.withColumn("__i", F.struct(F.col(pos).alias("q"), "n1", F.coalesce(
-        "v1", F.lit(0.0)).alias("v1"), "n0", F.coalesce("v0", F.lit(0.0)).alias("v0")))
-    halo = with_halo(d.select(*keys, pos, "__i"), pos, width, r, r)
-    w = W.partitionBy(*keys, CHUNK).orderBy(pos).rangeBetween(-r, r)
-    g = halo.withColumn("__l", F.collect_list("__i").over(w)).where("__home")
-    kern = f"exp(-0.5D * pow((x.q - `{pos}`) / {float(bandwidth)!r}D, 2))"
-
-    def total(what: str) -> str:
-        return f"aggregate(__l, 0D, (a, x) -> a + {kern} * x.{what})"
-
-    g = g.selectExpr(*[f"`{k}`" for k in keys], f"`{pos}`", f"{total('n1')} as __sm",
-                     f"{total('n0')} as __sa", f"{total('v1')} as __vm", f"{total('v0')} as __va")
+    d = at.na.fill(0.0, ["v1", "v0"]).select(*keys, pos, "n1", "n0", "v1", "v0")
+    halo = with_halo(d, pos, width, r, r)
+    sums = ["__sm", "__sa", "__vm", "__va"]
+
+    def smooth(p: pd.DataFrame) -> pd.DataFrame:
+        home = p[p["__home"].astype(bool)]
+        q, x = p[pos].to_numpy(), p[["n1", "n0", "v1", "v0"]].to_numpy(float)
+        out = home[[*keys, pos]].copy()
+        got = np.zeros((len(home), 4))
+        for i in range(0, len(home), 256):  # a bounded part of the kernel at a time
+            z = (q[None] - home[pos].to_numpy()[i:i + 256, None]) / float(bandwidth)
+            got[i:i + 256] = np.exp(-0.5 * z * z) @ x
+        out[sums] = got
+        return out
+
+    types = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in [*keys, pos])
+    g = halo.groupBy(*keys, CHUNK).applyInPandas(
+        smooth, types + "".join(f", {c} double" for c in sums))
     mean = notes.groupBy(*keys).agg(F.avg(velocity).alias("mean"))
     both = "__sm > 1e-3 and __sa > 1e-3"
     g = notes.join(g, [*keys, pos]).join(mean, keys).selectExpr(
