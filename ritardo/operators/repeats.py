@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ritardo.session import cut_lineage
 
+SMALL = 512  # bars of one key that a task compares with each other
+CELLS = 1 << 21  # bar pairs that are held at a time
+
 
 def bar_fingerprints(notes: DataFrame, keys: Sequence[str], bar: str, content: Sequence[str],
                      min_notes: int = 4) -> DataFrame:
@@ -24,18 +29,85 @@ def _joined(a: DataFrame, b: DataFrame, keys: list[str], by: int) -> DataFrame:
     return a.join(nxt, [*keys, "bar"]).select(*keys, "bar", F.xxhash64("fp", "__n").alias("fp"))
 
 
+def _diagonals(bar: np.ndarray, fp: np.ndarray, there: np.ndarray, min_bars: int
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, places of both begins and length of the runs of several scores, one to a row of bars."""
+    n = bar.shape[1]
+    eq = (fp[:, :, None] == fp[:, None, :]) & there[:, :, None] & there[:, None, :]
+    eq &= np.arange(n)[:, None] < np.arange(n)
+    go = np.zeros(bar.shape, bool)  # the next bar follows
+    go[:, :-1] = there[:, 1:] & (bar[:, 1:] == bar[:, :-1] + 1)
+    size = np.zeros((len(bar), n + 1, n + 1), np.int16)
+    for i in range(n - 1, -1, -1):
+        on = go & go[:, i, None]
+        size[:, i, :-1] = eq[:, i] * (1 + on * size[:, i + 1, 1:])
+    begin = eq.copy()
+    begin[:, 1:, 1:] &= ~(eq[:, :-1, :-1] & go[:, :-1, None] & go[:, None, :-1])
+    row, a, b = np.nonzero(begin & (size[:, :-1, :-1] >= min_bars))
+    length = np.minimum(size[row, a, b], bar[row, b] - bar[row, a])
+    keep = length >= min_bars
+    return row[keep], a[keep], b[keep], length[keep]
+
+
+def _short_runs(bars: DataFrame, keys: list[str], min_bars: int) -> DataFrame:
+    """The runs of keys of at most ``SMALL`` bars: all bars of a key are compared in its task."""
+    a = bars.dropna().repartition(*keys).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("bar", "fp"))).alias("a"))
+    rows = a.select(*keys, F.col("a.bar").alias("bar"), F.col("a.fp").alias("fp"))
+    kinds = dict(bars.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.select(keys)
+            count = b.column("bar").value_lengths().to_numpy(zero_copy_only=False)
+            start = np.cumsum(count) - count
+            bar, fp = (b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                       for c in ("bar", "fp"))
+            order, at = np.argsort(-count, kind="stable"), 0
+            while at < len(order):
+                n = int(count[order[at]])
+                some = order[at:at + max(1, CELLS // (n * n))]
+                at += len(some)
+                there = np.arange(n) < count[some, None]
+                place = np.where(there, start[some, None] + np.arange(n), 0)
+                row, x, y, length = _diagonals(bar[place], fp[place], there, min_bars)
+                k = own.take(pa.array(some[row]))
+                place = place[row]
+                r = np.arange(len(row))
+                yield pa.RecordBatch.from_arrays(
+                    [*k.columns, *[pa.array(v.astype(np.int64)) for v in (
+                        bar[place[r, x]], bar[place[r, y]], length)]],
+                    [*keys, "first", "again", "n_bars"])
+
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    out = rows.mapInArrow(run, f"{head}, first bigint, again bigint, n_bars bigint")
+    return out.select(*keys, *[F.col(c).cast(kinds["bar"]).alias(c) for c in ("first", "again")], "n_bars")
+
+
 def repeat_runs(bars: DataFrame, keys: Sequence[str], min_bars: int = 1) -> DataFrame:
     """keys, first, again, n_bars: all longest runs of equal bars that do not reach into each other.
 
     ``bars``: keys, bar, fp. A run (a, b, n) has equal bars a + i and b + i for i < n <= b - a, and
-    cannot begin a bar earlier. Blocks of 1, 2, 4, ... bars get one number each from the two halves
+    cannot begin a bar earlier. Keys of up to ``SMALL`` bars are compared each in one task. For larger
+    ones, blocks of 1, 2, 4, ... bars get one number each from the two halves
     before; runs begin where blocks of ``min_bars`` are equal and the bars before are not, and grow
     by the largest block that still fits, then smaller ones. Begins are found between groups of
     blocks with different bars before, so a bar that stands a thousand times in a row gives a
     thousand begins, not a million pairs.
     """
     keys = list(keys)
-    levels = [cut_lineage(bars.select(*keys, "bar", "fp"))]
+    every = cut_lineage(bars.select(*keys, "bar", "fp"))
+    large = every.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > SMALL)
+    large = cut_lineage(large.select(*keys))
+    if large.isEmpty():
+        return _short_runs(every, keys, min_bars)
+    return _short_runs(every.join(large, keys, "left_anti"), keys, min_bars).unionByName(
+        _long_runs(every.join(large, keys, "left_semi"), keys, min_bars))
+
+
+def _long_runs(bars: DataFrame, keys: list[str], min_bars: int) -> DataFrame:
+    """The runs by prefix doubling, of any number of bars."""
+    levels = [cut_lineage(bars)]
     # blocks of min_bars from the binary digits of the number
     seed, size, left = None, 0, min_bars
     j = 0

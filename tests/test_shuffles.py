@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ritardo.operators import music as M
 from ritardo.operators import phrases as H
+from ritardo.operators import repeats as P
 from ritardo.operators import resampling as R
 from ritardo.operators.ordered import asof
 
@@ -68,3 +69,10 @@ def test_draws_are_counted_after_their_shuffle(spark):
     assert "HashAggregate" not in below
     per = w.groupBy("b").agg(F.sum("w").alias("n")).collect()
     assert sorted((r.b, r.n) for r in per) == [(b, 500) for b in range(20)]
+
+
+def test_runs_and_their_notes_are_shuffled_once(spark):
+    fp = spark.range(400).select((F.col("id") % 4).alias("s"), (F.col("id") / 4).cast("long").alias("bar"),
+                                 (F.col("id") * 7919 % 3).alias("fp"))
+    runs = P.repeat_runs(fp, ["s"], 2)
+    assert steps(runs).count("Exchange") == 1
