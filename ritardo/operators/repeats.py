@@ -6,13 +6,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ritardo.session import cut_lineage
 
 SMALL = 512  # bars of one key that a task compares with each other
 CELLS = 1 << 21  # bar pairs that are held at a time
+BLOCK = 256  # bars whose notes lie together
+PAIRS = 1 << 20  # note pairs that are held at a time
 
 
 def bar_fingerprints(notes: DataFrame, keys: Sequence[str], bar: str, content: Sequence[str],
@@ -159,36 +161,135 @@ def _long_runs(bars: DataFrame, keys: list[str], min_bars: int) -> DataFrame:
     return cut_lineage(runs.withColumn("n_bars", F.least("n_bars", F.col("again") - F.col("first"))))
 
 
+def _met_notes(meet: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, first, again, n_bars, and of the notes paired in each piece: n, means and centred sums.
+
+    ``meet``: keys, ``runs`` (pieces of runs: first, again, n_bars, and their bars from ``lo`` to ``hi``)
+    and both sides' notes in order of bar and content.
+    """
+    kinds = dict(meet.dtypes)
+    sums = ("ma", "mb", "saa", "sbb", "sab", "sdd")
+
+    def measured(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        flat = b.column("runs").flatten()
+        first, again, n_bars, lo, hi = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+        row = np.repeat(np.arange(b.num_rows), b.column("runs").value_lengths().to_numpy(zero_copy_only=False))
+        side = []
+        for c in ("x", "y"):
+            notes, size = b.column(c), b.column(c).value_lengths().fill_null(0)
+            size, notes = size.to_numpy(zero_copy_only=False), notes.flatten()
+            side.append([np.repeat(np.arange(b.num_rows), size), *[notes.field(i).to_numpy(
+                zero_copy_only=False) for i in range(3)]])
+        # one number for the place of a bar in its row, and one for a note in its bar
+        (rx, bx, cx, vx), (ry, by, cy, vy) = side
+        ends = np.concatenate([bx, by, first + lo, again + lo])
+        low = int(ends.min()) if len(ends) else 0
+        wide = int(ends.max()) - low + int((hi - lo).max(initial=0)) + 2 if len(ends) else 1
+        px = rx * wide + bx - low
+        names, ids = np.unique(np.concatenate([cx, cy]), return_inverse=True)
+        ny = (ry * wide + by - low) * max(len(names), 1) + ids[len(cx):]
+        turn = np.argsort(ny, kind="stable")
+        ny, vy = ny[turn], vy[turn]
+        at = row * wide + first + lo - low
+        begin, end = np.searchsorted(px, at), np.searchsorted(px, at + hi - lo)
+        size = end - begin
+        upto, done = np.cumsum(size), 0
+        while done < len(row):
+            top = max(done + 1, int(np.searchsorted(upto, upto[done] - size[done] + PAIRS, "right")))
+            s = size[done:top]
+            run = np.repeat(np.arange(top - done), s)
+            note = np.arange(len(run)) - np.repeat(np.cumsum(s) - s, s) + begin[done:top][run]
+            to = (px[note] + (again - first)[done:top][run]) * max(len(names), 1) + ids[:len(cx)][note]
+            hit = np.searchsorted(ny, to)
+            found = np.zeros(len(to), bool)
+            if len(ny):
+                hit = np.minimum(hit, len(ny) - 1)
+                found = ny[hit] == to
+            run, u, v = run[found], vx[note[found]], vy[hit[found]]
+            n = np.bincount(run, minlength=top - done)
+            some = np.maximum(n, 1)
+
+            def total(w, run=run, k=top - done):
+                return np.bincount(run, weights=w, minlength=k)
+
+            mu, mv = total(u) / some, total(v) / some
+            du, dv = u - mu[run], v - mv[run]
+            yield pa.RecordBatch.from_arrays([
+                *b.select(keys).take(pa.array(row[done:top])).columns,
+                *[pa.array(w[done:top]) for w in (first, again, n_bars)], pa.array(n.astype(np.int64)),
+                *[pa.array(w) for w in (mu, mv, total(du * du), total(dv * dv), total(du * dv),
+                                        total((v - u) ** 2))]],
+                [*keys, "first", "again", "n_bars", "n", *sums])
+            done = top
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                yield from measured(b.slice(i, 64))
+
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return meet.mapInArrow(run, f"{head}, first bigint, again bigint, n_bars bigint, n bigint, "
+                           + ", ".join(f"{c} double" for c in sums))
+
+
 def repeat_agreement(runs: DataFrame, notes: DataFrame, keys: Sequence[str], bar: str,
                      content: Sequence[str], value: str) -> DataFrame:
     """How alike the two passes of each run are in ``value``: n, r, ccc, mean_diff, rms_diff.
 
     Notes of equal ``content`` (distinct in a bar) are paired; null values take no part. ``r`` and
-    ``ccc`` need three pairs, and ``r`` some spread on both sides.
+    ``ccc`` need three pairs, and ``r`` some spread on both sides. Notes lie in blocks of ``BLOCK`` bars;
+    runs are cut where a block ends, and the pieces of a run meet both blocks in a task.
     """
     keys = list(keys)
-    x = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bars") - 1)).alias("i")
-    pairs = runs.select(*keys, "first", "again", "n_bars", x)
-    n = notes.where(F.col(value).isNotNull()).groupBy(*keys, bar, *content).agg(
+    n = notes.dropna(subset=[*keys, bar, *content, value]).groupBy(*keys, bar, *content).agg(
         F.min(value).cast("double").alias("v"))
+    blocks = cut_lineage(n.groupBy(*keys, F.expr(f"cast(floor(`{bar}` / {BLOCK}) as bigint)").alias("__x")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(bar).cast("bigint").alias("b"), F.xxhash64(
+            *content).alias("c"), "v"))).alias("x")))
+    pieces = runs.select(*keys, *[F.col(c).cast("bigint").alias(c) for c in ("first", "again", "n_bars")])
+
+    def block(c: str) -> Column:
+        return F.floor(F.expr(c) / BLOCK).cast("bigint")
 
-    def side(c: str) -> DataFrame:
-        return n.select(*keys, *content, F.col(bar).alias(f"__{c}"), F.col("v").alias(f"v_{c}"))
-
-    p = pairs.withColumn("__first", F.col("first") + F.col("i")).withColumn(
-        "__again", F.col("again") + F.col("i"))
-    p = p.join(side("first"), [*keys, "__first"]).join(side("again"), [*keys, *content, "__again"])
-    a, b = F.col("v_first"), F.col("v_again")
-    g = p.groupBy(*keys, "first", "again", "n_bars").agg(
-        F.count("*").alias("n"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_pop(a).alias("va"),
-        F.var_pop(b).alias("vb"), F.covar_pop(a, b).alias("cab"), F.avg(b - a).alias("mean_diff"),
-        F.sqrt(F.avg((b - a) * (b - a))).alias("rms_diff"))
-    spread = (F.col("n") >= 3) & (F.col("va") > 1e-24) & (F.col("vb") > 1e-24)
-    den = F.col("va") + F.col("vb") + (F.col("ma") - F.col("mb")) ** 2
-    out = g.select(*keys, "first", "again", "n_bars", "n", F.when(spread, F.col("cab") / F.sqrt(F.col(
-        "va") * F.col("vb"))).alias("r"), F.when(F.col("n") >= 3, F.when(
-            den > 0, 2 * F.col("cab") / den).otherwise(1.0)).alias("ccc"), "mean_diff", "rms_diff")
-    return runs.join(out, [*keys, "first", "again", "n_bars"], "left").na.fill(0, ["n"])
+    inside = (block("first") == block("first + n_bars - 1")) & (block("again") == block("again + n_bars - 1"))
+    piece = F.struct("first", "again", "n_bars", "lo", "hi")
+    whole = pieces.where(inside & (block("first") == block("again"))).withColumns({
+        "lo": F.lit(0).cast("bigint"), "hi": F.col("n_bars"), "__x": block("first")})
+    meet = whole.groupBy(*keys, "__x").agg(F.collect_list(piece).alias("runs")).join(
+        blocks, [*keys, "__x"], "left").withColumn("y", F.col("x"))
+    g = _met_notes(meet.select(*keys, "runs", "x", "y"), keys)
+    if blocks.select("__x").distinct().limit(2).count() > 1:
+        # runs that reach over the end of a block, or from one block to another
+        cut = pieces.where(~(inside & (block("first") == block("again"))))
+        cuts = F.expr(f"array_sort(array_distinct(concat(array(0L), "
+                      f"transform(sequence(1L, (n_bars div {BLOCK}) + 1), i -> i * {BLOCK} - pmod(first, {BLOCK})), "
+                      f"transform(sequence(1L, (n_bars div {BLOCK}) + 1), i -> i * {BLOCK} - pmod(again, {BLOCK})))))")
+        cut = cut.withColumn("lo", F.explode(F.filter(cuts, lambda i: i < F.col("n_bars")))).withColumns({
+            "hi": F.least("n_bars", F.col("lo") + BLOCK - F.greatest(F.expr(
+                f"pmod(first + lo, {BLOCK})"), F.expr(f"pmod(again + lo, {BLOCK})"))),
+            "__x": block("first + lo"), "__y": block("again + lo")})
+        far = cut.groupBy(*keys, "__x", "__y").agg(F.collect_list(piece).alias("runs")).join(
+            blocks, [*keys, "__x"], "left").join(blocks.withColumnsRenamed({"x": "y", "__x": "__y"}),
+                                                 [*keys, "__y"], "left")
+        parts = _met_notes(far.select(*keys, "runs", "x", "y"), keys).groupBy(
+            *keys, "first", "again", "n_bars").agg(F.collect_list(F.struct(
+                "n", "ma", "mb", "saa", "sbb", "sab", "sdd")).alias("p"))
+        g = g.unionByName(parts.withColumn("__s", F.expr("""aggregate(p, struct(0L as n, 0D as ma, 0D as mb,
+            0D as saa, 0D as sbb, 0D as sab, 0D as sdd), (s, p) -> struct(s.n + p.n as n,
+            s.ma + (p.ma - s.ma) * p.n / greatest(s.n + p.n, 1) as ma,
+            s.mb + (p.mb - s.mb) * p.n / greatest(s.n + p.n, 1) as mb,
+            s.saa + p.saa + (p.ma - s.ma) * (p.ma - s.ma) * s.n * p.n / greatest(s.n + p.n, 1) as saa,
+            s.sbb + p.sbb + (p.mb - s.mb) * (p.mb - s.mb) * s.n * p.n / greatest(s.n + p.n, 1) as sbb,
+            s.sab + p.sab + (p.ma - s.ma) * (p.mb - s.mb) * s.n * p.n / greatest(s.n + p.n, 1) as sab,
+            s.sdd + p.sdd as sdd))""")).select(*keys, "first", "again", "n_bars", "__s.*"))
+    any_ = F.col("n") > 0
+    va, vb, cab = (F.when(any_, F.col(c) / F.col("n")) for c in ("saa", "sbb", "sab"))
+    spread = (F.col("n") >= 3) & (va > 1e-24) & (vb > 1e-24)
+    den = va + vb + (F.col("ma") - F.col("mb")) ** 2
+    return g.select(*keys, "first", "again", "n_bars", "n", F.when(spread, cab / F.sqrt(va * vb)).alias("r"),
+                    F.when(F.col("n") >= 3, F.when(den > 0, 2 * cab / den).otherwise(1.0)).alias("ccc"),
+                    F.when(any_, F.col("mb") - F.col("ma")).alias("mean_diff"),
+                    F.when(any_, F.sqrt(F.col("sdd") / F.col("n"))).alias("rms_diff"))
 
 
 def repeat_summary(agreement: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -76,3 +76,6 @@ def test_runs_and_their_notes_are_shuffled_once(spark):
                                  (F.col("id") * 7919 % 3).alias("fp"))
     runs = P.repeat_runs(fp, ["s"], 2)
     assert steps(runs).count("Exchange") == 1
+    a = P.repeat_agreement(runs, fp.withColumn("v", F.col("bar") * 1.0), ["s"], "bar", ["fp"], "v")
+    names = steps(a)
+    assert names.count("Exchange") <= 3 and "Generate" not in names
