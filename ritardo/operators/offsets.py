@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ SPAN = 64  # chunks of positions whose notes of one pitch are put in order toget
 FEW = 4096  # pairs of positions that are built rather than correlated
 CHUNK = 4096  # source positions of a stretch of the path
 GROUP = 128  # stretches that are walked side by side
+SMALL = 2048  # notes of both readings of one key that a task maps by itself
+PAIRS = 1 << 20  # pairs of notes that it holds at a time
 UNIT = 1_000_000  # rewards are whole millionths, so that sums do not depend on their order
 FAR = -(1 << 60)
 
@@ -257,14 +260,157 @@ def best_path(rewards: DataFrame, keys: Sequence[str], states: int, penalty: int
     return out.select(*keys, F.inline(F.arrays_zip("pos", "state")))
 
 
+def _counted(*cols: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different rows of some columns in order, and how often each is there."""
+    order = np.lexsort(cols[::-1])
+    cols = [c[order] for c in cols]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    at = np.flatnonzero(new)
+    return [c[at] for c in cols], np.diff(np.append(at, len(order)))
+
+
+def _ranges(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which range each item lies in, and its place there, of ranges one after the other."""
+    row = np.repeat(np.arange(len(size)), size)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _mapped(src: list[np.ndarray], ref: list[np.ndarray], rows: int, most: int, penalty: int
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position, offset and whether there is one, of some keys' notes (row, pitch, pos)."""
+    (row, pitch, pos), n = _counted(*src)
+    (r_row, r_pitch, r_pos), r_n = _counted(*ref)
+    # notes of one row and pitch
+    names, both = np.unique(np.concatenate([pitch, r_pitch]), return_inverse=True)
+    tone, r_tone = row * len(names) + both[:len(row)], r_row * len(names) + both[len(row):]
+    begin = np.searchsorted(r_tone, tone)
+    i, j = _ranges(np.searchsorted(r_tone, tone, "right") - begin)
+    j += begin[i]
+    d, w = r_pos[j] - pos[i], n[i] * r_n[j]
+    order = np.lexsort((d, row[i]))
+    v_row, d, w = row[i][order], d[order], w[order]
+    first = np.ones(len(d), bool)
+    first[1:] = (v_row[1:] != v_row[:-1]) | (d[1:] != d[:-1])
+    at = np.flatnonzero(first)
+    v_row, d, w = v_row[at], d[at], np.add.reduceat(w, at) if len(at) else w
+    order = np.lexsort((d, -w, v_row))
+    v_row, d = v_row[order], d[order]
+    _, rank = _ranges(np.bincount(v_row, minlength=rows))
+    offs, has = np.zeros((rows, most), np.int64), np.zeros((rows, most), bool)
+    top = rank < most
+    offs[v_row[top], rank[top]] = d[top]
+    has[v_row[top], rank[top]] = True
+    # what each candidate finds at the places of a row
+    (p_row, p_pos), _ = _counted(row, pos)
+    turn = np.lexsort((pos, row))
+    place = np.empty(len(row), np.int64)
+    place[turn] = np.cumsum(np.append(0, (row[turn][1:] != row[turn][:-1]) | (pos[turn][1:] != pos[turn][:-1]))
+                            ) if len(row) else turn
+    total = np.bincount(place, weights=n, minlength=len(p_row)).astype(np.int64)
+    known = np.unique(r_pos)
+    code = r_tone * len(known) + np.searchsorted(known, r_pos)
+    reward = np.zeros((len(p_row), most + 1), np.int64)
+    for c in range(most):
+        found = np.zeros(len(row), bool)
+        if len(code):
+            to = pos + offs[row, c]
+            near = np.minimum(np.searchsorted(known, to), len(known) - 1)
+            own = tone * len(known) + near
+            found = (known[near] == to) & (code[np.minimum(np.searchsorted(code, own), len(code) - 1)] == own)
+        h = np.bincount(place, weights=n * found, minlength=len(p_row)).astype(np.int64)
+        reward[:, c] = np.where(has[p_row, c], UNIT * h // total - UNIT // 2, FAR)
+    # the path through each row's places, longest first
+    size = np.bincount(p_row, minlength=rows)
+    start = np.cumsum(size) - size
+    order = np.argsort(-size, kind="stable")
+    order = order[size[order] > 0]
+    state = np.zeros(len(p_row), np.int64)
+    for g in range(0, len(order), GROUP):
+        some = order[g:g + GROUP]
+        score, back = _through([reward[start[x]:start[x] + size[x]] for x in some], np.zeros(
+            (len(some), 1, most + 1), np.int64), penalty, np.ones(len(some), bool))
+        now = score[:, 0].argmax(axis=1)
+        for k in range(len(back) - 1, -1, -1):
+            m = len(back[k])
+            state[start[some[:m]] + k] = now[:m]
+            now[:m] = back[k][np.arange(m), now[:m]]
+    at = np.minimum(state, most - 1)
+    there = (state < most) & has[p_row, at]
+    return p_row, p_pos, offs[p_row, at], there
+
+
+def _pairs(row: np.ndarray, side: np.ndarray, pitch: np.ndarray, rows: int) -> np.ndarray:
+    """How many pairs of notes of one pitch each row has."""
+    names, tone = np.unique(pitch, return_inverse=True)
+    code = row * len(names) + tone
+    (a, n), (b, m) = (np.unique(code[side == i], return_counts=True) for i in (0, 1))
+    both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return np.bincount(both // max(len(names), 1), weights=n[i] * m[j], minlength=rows)
+
+
+def _map_small(notes: DataFrame, keys: list[str], most: int, penalty: int) -> DataFrame:
+    """The map of keys of few notes (keys, side, pitch, pos): all notes of a key come to one task."""
+    kinds = dict(notes.dtypes)
+    rows = notes.repartition(*keys).groupBy(*keys).agg(F.collect_list(F.struct("side", "pitch", "pos")).alias("a"))
+
+    def part(b: pa.RecordBatch, cols: list[np.ndarray]) -> pa.RecordBatch:
+        row, side, pitch, pos = cols
+        src, ref = ([x[side == i] for x in (row, pitch, pos)] for i in (0, 1))
+        at, p, o, there = _mapped(src, ref, b.num_rows, most, penalty)
+        return pa.RecordBatch.from_arrays([*b.select(keys).take(pa.array(at)).columns, pa.array(p),
+                                           pa.array(o, mask=~there)], [*keys, "pos", "offset"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count = b.column("a").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = b.column("a").flatten()
+            side, pitch, pos = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            ends = np.cumsum(count)
+            for at in range(0, len(count), GROUP):
+                size = count[at:at + GROUP]
+                own = slice(ends[at] - size[0], ends[at + len(size) - 1])
+                row = np.repeat(np.arange(len(size)), size)
+                upto = np.cumsum(_pairs(row, side[own], pitch[own], len(size)))
+                begin = 0
+                while begin < len(size):
+                    top = int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, "right"))
+                    top = max(top, begin + 1)
+                    here = (row >= begin) & (row < top)
+                    yield part(b.slice(at + begin, top - begin), [row[here] - begin, *[
+                        x[own][here] for x in (side, pitch, pos)]])
+                    begin = top
+
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return rows.mapInArrow(run, f"{head}, pos bigint, offset bigint")
+
+
 def map_positions(source: DataFrame, reference: DataFrame, keys: Sequence[str], width: int, *,
                   most: int = 8, penalty: int = 3 * UNIT) -> DataFrame:
     """keys, pos, offset: where each source position lies in the reference, null where it does not.
 
     ``source``, ``reference``: keys, ``pos``, ``pitch``, one row for each note. The commonest offsets
-    stand for election; a path picks one or none at every position.
+    stand for election; a path picks one or none at every position. Keys of at most ``SMALL`` notes
+    are mapped each in a task; notes of larger ones, or with nulls, are dealt by pitch and stretch.
     """
     keys = list(keys)
+    cols = [*keys, *[F.col(c).cast("bigint").alias(c) for c in ("pitch", "pos")]]
+    every = source.select(*cols, F.lit(0).cast("bigint").alias("side")).unionByName(
+        reference.select(*cols, F.lit(1).cast("bigint").alias("side")))
+    odd = F.count(F.when(F.col("pitch").isNull() | F.col("pos").isNull(), 1))
+    sizes = every.groupBy(*keys).agg(F.count("*").alias("__n"), odd.alias("__odd"))
+    large = cut_lineage(sizes.where((F.col("__n") > SMALL) | (F.col("__odd") > 0)).select(*keys))
+    if large.isEmpty():
+        return _map_small(every, keys, most, penalty)
+    few = _map_small(every.join(large, keys, "left_anti"), keys, most, penalty)
+    many = _map_large(source.join(large, keys, "left_semi"), reference.join(large, keys, "left_semi"), keys,
+                      width, most, penalty)
+    return few.unionByName(many)
+
+
+def _map_large(source: DataFrame, reference: DataFrame, keys: list[str], width: int, most: int,
+               penalty: int) -> DataFrame:
     cands = cut_lineage(candidates(offset_votes(source, reference, keys, width), keys, most))
     path = best_path(_rewards(source, reference, cands, keys, most, width), keys, most + 1,
                      penalty, width)

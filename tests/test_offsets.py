@@ -85,3 +85,27 @@ def test_blocks_shuffle_notes_once(spark):
     got = Counter((r.pitch, p, n) for r in b.collect() for p, n in zip(r.p_s, r.n_s, strict=True))
     want = Counter((60 + p % 2, p * 7 % 50) for p in range(90))
     assert got == Counter((*k, n) for k, n in want.items())
+
+
+@pytest.mark.parametrize("small,pairs", [(0, 99), (150, 99), (5000, 1 << 20)])
+def test_scores_of_any_size_are_mapped_alike(spark, monkeypatch, small, pairs):
+    monkeypatch.setattr(O, "SMALL", small)
+    monkeypatch.setattr(O, "PAIRS", pairs)
+    rnd = random.Random(3)
+    read = {str(n): reading(rnd, n) for n in (3, 30, 60, 90)}
+    read["odd"] = ([(-5, 60), (-5, 60), (7, None)], [(2, 60), (9, 60), (9, 60)])
+    frames = [spark.createDataFrame([(k, p, q) for k, v in read.items() for p, q in v[i]], SCHEMA)
+              for i in (0, 1)]
+    got = {}
+    for r in O.map_positions(*frames, ["piece"], 4000).collect():
+        got.setdefault(r.piece, {})[r.pos] = r.offset
+    assert got.keys() == read.keys()
+    for k, (src, ref) in read.items():
+        assert got[k] == brute_path(src, ref), k
+
+
+def test_small_scores_are_shuffled_once(spark):
+    df = spark.createDataFrame([(1, p * 7 % 50, 60 + p % 2) for p in range(90)], "k int, pos bigint, pitch int")
+    m = O.map_positions(df, df, ["k"], 8)
+    assert m._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert all(r.offset == 0 for r in m.collect())
