@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ritardo.operators.folds import blocks_of, carried_fold
 from ritardo.operators.ordered import asof, chunk_of, islands, scan
-from ritardo.operators.quantiles import exact_quantiles, join_on, loo_quantiles
+from ritardo.operators.quantiles import (
+    exact_quantiles, group_values, join_on, loo_median_sql, loo_quantiles, median_sql,
+)
 from ritardo.session import cut_lineage
 
 IN_ORDER = 1 << 18  # candidates of one key that a single task runs through
@@ -307,6 +309,20 @@ def set_prf(pred: DataFrame, true: DataFrame, keys: Sequence[str], on: Sequence[
                           "f1": F.when(pr + rc > 0, 2 * pr * rc / (pr + rc)).otherwise(0.0)})
 
 
+def _mates_of_large(points: DataFrame, matched: DataFrame, med: DataFrame, keys: list[str], note: str
+                    ) -> DataFrame:
+    """Points with their own onset and their chord mates' median, for positions of any number of notes."""
+    at = [*keys, "pos_uq"]
+    own = matched.select(*keys, note, F.col("onset_us").cast("double").alias("__own"))
+    pts = points.select(*keys, note, "pos_uq").join(own, [*keys, note], "left")
+    # the group of a note is its own position's matches; a note without a match sees all of them
+    others = points.select(*keys, note, "pos_uq").join(own, [*keys, note], "left_anti")
+    grp = matched.select(*keys, note, "pos_uq", F.col("onset_us").cast("double").alias("__own"))
+    mates = loo_quantiles(grp, at, "__own", {"__mate": 0.5}).select(*keys, note, "__mate")
+    whole = others.join(med, at, "left").select(*keys, note, F.col("__m").alias("__mate"))
+    return pts.join(mates.unionByName(whole), [*keys, note], "left")
+
+
 def loo_expected_onsets(
     points: DataFrame, matched: DataFrame, keys: Sequence[str], note: str, width: int
 ) -> DataFrame:
@@ -318,17 +334,22 @@ def loo_expected_onsets(
     """
     keys = list(keys)
     at = [*keys, "pos_uq"]
-    med = cut_lineage(exact_quantiles(matched, at, "onset_us", {"__m": 0.5}))
+    values = group_values(matched, at, "onset_us", "__v")
+    med = cut_lineage(exact_quantiles(matched, at, "onset_us", {"__m": 0.5}) if values is None else
+                      values.withColumn("__m", F.expr(median_sql("__v"))))
     knots = scan(med, keys, ["pos_uq"], chunk_of("pos_uq", width), __k=("max", "__m")).select(
         *keys, F.col("pos_uq").alias("__kp"), "__k")
-    own = matched.select(*keys, note, F.col("onset_us").cast("double").alias("__own"))
-    pts = points.select(*keys, note, "pos_uq").join(own, [*keys, note], "left")
-    # the group of a note is its own position's matches; a note without a match sees all of them
-    others = points.select(*keys, note, "pos_uq").join(own, [*keys, note], "left_anti")
-    grp = matched.select(*keys, note, "pos_uq", F.col("onset_us").cast("double").alias("__own"))
-    mates = loo_quantiles(grp, at, "__own", {"__mate": 0.5}).select(*keys, note, "__mate")
-    whole = others.join(med, at, "left").select(*keys, note, F.col("__m").alias("__mate"))
-    pts = cut_lineage(pts.join(mates.unionByName(whole), [*keys, note], "left"))
+    if values is None:
+        pts = _mates_of_large(points, matched, med, keys, note)
+    else:
+        own = matched.select(*keys, note, F.col("onset_us").cast("double").alias("__own"),
+                             F.col("pos_uq").alias("__at"))
+        mates = med.select(*keys, F.col("pos_uq").alias("__at"), "__v", "__m")
+        pts = points.select(*keys, note, "pos_uq").join(own, [*keys, note], "left").withColumn(
+            "__at", F.coalesce("__at", "pos_uq")).join(mates, [*keys, "__at"], "left").select(
+            *keys, note, "pos_uq", "__own", F.expr(
+                f"if(__own is null, __m, {loo_median_sql('__v', '__own')})").alias("__mate"))
+    pts = cut_lineage(pts)
     lo = asof(pts, knots, keys, "pos_uq", "__kp", ["__k"], width, strict=True)
     lo = lo.withColumnsRenamed({"hit___kp": "__p0", "__k": "__k0"})
     hi = asof(lo, knots, keys, "pos_uq", "__kp", ["__k"], width, direction="forward",

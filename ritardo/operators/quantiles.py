@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS_PER_E = 512.0
+SMALL = 4096  # values of a group that one array holds
 
 
 def value_bucket_sql(v: str) -> str:
@@ -106,6 +107,32 @@ def exact_quantiles(
     return out.selectExpr(*_list(keys), *cols)
 
 
+def group_values(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame | None:
+    """keys and the sorted values of each group, as doubles, in one shuffle; None if a group has more
+    than ``SMALL`` of them. Nulls and NaN are ignored; a group with no value gives no row."""
+    keys = list(keys)
+    v = df.selectExpr(*_list(keys), f"cast(`{value}` as double) as __v").where(
+        "__v is not null and not isnan(__v)")
+    if not v.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > SMALL).isEmpty():
+        return None
+    return v.repartition(*keys).groupBy(*keys).agg(F.expr(f"array_sort(collect_list(__v)) as `{name}`"))
+
+
+def median_sql(values: str) -> str:
+    """The median of an array of :func:`group_values`."""
+    h = f"((size({values}) - 1) * 0.5D)"
+    lo, hi = (f"{values}[cast({r}({h}) as int)]" for r in ("floor", "ceil"))
+    return f"({lo} + ({hi} - {lo}) * ({h} - floor({h})))"
+
+
+def loo_median_sql(values: str, own: str) -> str:
+    """The median of such an array without one value of its own; null if there is no other."""
+    n, h = f"size({values})", f"((size({values}) - 2) * 0.5D)"
+    lo, hi = (f"if({own} > {values}[cast({r}({h}) as int)], {values}[cast({r}({h}) as int)],"
+              f" {values}[cast(least({r}({h}) + 1, {n} - 1) as int)])" for r in ("floor", "ceil"))
+    return f"(case when {n} >= 2 then {lo} + ({hi} - {lo}) * ({h} - floor({h})) end)"
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi join, or a one-row cross join when there is no key."""
     return left.join(right, list(keys), how) if keys else left.crossJoin(F.broadcast(right))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ritardo.operators.folds import blocks_of, carried_fold
 from ritardo.operators.ordered import CHUNK, asof, chunk_of, islands, scan, with_halo
-from ritardo.operators.quantiles import exact_quantiles
+from ritardo.operators.quantiles import exact_quantiles, group_values, median_sql
 from ritardo.session import cut_lineage
 
 INDEX_WIDTH = 4096
@@ -147,8 +147,10 @@ def local_ioi(
 
 def expected_onsets(matched: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     """Monotone score-position -> time knots: median onset per position, then running maximum."""
-    med = exact_quantiles(matched, [*keys, "pos_uq"], "onset_us", {"median_us": 0.5})
-    med = cut_lineage(med)
+    at = [*keys, "pos_uq"]
+    values = group_values(matched, at, "onset_us", "__v")
+    med = cut_lineage(exact_quantiles(matched, at, "onset_us", {"median_us": 0.5}) if values is None else
+                      values.select(*at, F.expr(median_sql("__v")).alias("median_us")))
     return scan(
         med, keys, ["pos_uq"], chunk_of("pos_uq", width), knot_us=("max", "median_us")
     )

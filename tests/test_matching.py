@@ -133,3 +133,30 @@ def test_greedy_with_equal_candidates(spark, monkeypatch, limit):
             want.add((k, p, t))
     got = [(r.k, r.p, r.t) for r in M.greedy_one_to_one(df, ["k"], [("p", "p"), ("t", "t")], ["d", "p", "t"]).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("small", [1, 4096])
+def test_expected_onsets_of_small_and_large_positions(spark, monkeypatch, small):
+    from ritardo.operators import quantiles as Q
+    from ritardo.operators import sequences as S
+
+    monkeypatch.setattr(Q, "SMALL", small, raising=False)
+    if small > 1:  # positions of few notes take one shuffle
+        for module in (M, S):
+            monkeypatch.setattr(module, "exact_quantiles", None)
+    notes = [(1, i, i * 7 % 5 * 10, 1000 * (i * 7 % 5) + i * 37 % 90) for i in range(14)] + [(2, 0, 5, 77)]
+    df = spark.createDataFrame(notes, "k long, n long, pos_uq long, onset_us long")
+    more = spark.createDataFrame([(1, 90, 15), (1, 91, 20), (1, 92, -3), (3, 9, 1)], "k long, n long, pos_uq long")
+    points = df.select("k", "n", "pos_uq").unionByName(more)
+    got = {(r.k, r.n): r.expected_us for r in M.loo_expected_onsets(points, df, ["k"], "n", 20).collect()}
+    at = {}
+    for k, n, p, t in notes:
+        at.setdefault((k, p), {})[n] = t
+    knots = {p: float(np.median(list(v.values()))) for (k, p), v in at.items() if k == 1}
+    for k, n, p, _ in notes:
+        others = [t for m, t in at[k, p].items() if m != n]
+        assert got[k, n] == (float(np.median(others)) if others else None)
+    assert got[1, 90] == (knots[10] + knots[20]) / 2 and got[1, 91] == knots[20]
+    assert got[1, 92] == knots[0] and got[3, 9] is None and len(got) == len(notes) + 4
+    kn = {(r.k, r.pos_uq): r.median_us for r in S.expected_onsets(df, ["k"], 20).collect()}
+    assert {p: m for (k, p), m in kn.items() if k == 1} == knots
