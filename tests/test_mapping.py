@@ -223,3 +223,53 @@ def test_kappas(spark):
     assert got["x"].weighted_kappa == pytest.approx(1 - 2 * 0.5 / exp)
     assert got["y"].kappa is None and got["y"].weighted_kappa is None
     assert not math.isnan(got["x"].kappa)
+
+
+def test_overlaps_go_to_few_tasks(spark, monkeypatch):
+    """Rows were sent to as many tasks as the other side had blocks of 8,192 rows."""
+    monkeypatch.setattr(R, "BLOCK", 4)
+    tasks, real = spark.sparkContext.accumulator(0), R._similar
+
+    def counted(*x):
+        tasks.add(1)
+        return real(*x)
+
+    monkeypatch.setattr(R, "_similar", counted)
+    df = spark.range(200).selectExpr("1 as page", "id as row", "array(concat('w', id), concat('v', id)) as t")
+    o = R.overlapping(df, df, ["page"], "row", "t")
+    assert sorted((r.a, r.b, r.score) for r in o.collect()) == [(i, i, 1.0) for i in range(200)]
+    assert 0 < tasks.value <= 16
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.8, 1.0])
+def test_similar_sets_against_brute_force(monkeypatch, least):
+    monkeypatch.setattr(R, "MATCHES", 300)
+    monkeypatch.setattr(R, "PAIRS", 3)
+    rnd = random.Random(9)
+    base = [rnd.sample(range(400), rnd.choice([1, 2, 5, 20, 60, 150])) for _ in range(12)]
+
+    def near():
+        t = set(rnd.choice(base))
+        gone = set(rnd.sample(sorted(t), rnd.randint(0, len(t) // 2)))
+        return sorted(t - gone | set(rnd.sample(range(400), rnd.randint(0, len(gone)))))
+
+    a, b = ([near() for _ in range(80)] for _ in "ab")
+
+    def flat(sets):
+        return np.array([len(t) for t in sets]), np.array([v for t in sets for v in t], np.int32)
+
+    i, j, score = R._similar(*flat(a), *flat(b), least)
+    got = dict(zip(zip(i.tolist(), j.tolist(), strict=True), score.tolist(), strict=True))
+    want = {(i, j): len(set(x) & set(y)) / len(set(x) | set(y)) for i, x in enumerate(a)
+            for j, y in enumerate(b)}
+    assert got == {k: v for k, v in want.items() if v >= least} and len(got) == len(i) > 5
+
+
+def test_numbers_of_tokens_that_share_a_half(spark, monkeypatch):
+    t = [(1 << 32) + 1, (1 << 32) + 2, (2 << 32) + 1, -5, -6, (2 ** 31 - 1 << 32) + 7, 2 ** 62]
+    n = R._numbers([spark.createDataFrame([(t,)], "t array<bigint>")] * 2)
+    out = n.of(np.array(t, np.int64))
+    assert out.dtype == np.int32 and len(set(out.tolist())) == len(t)
+    assert n.often.sum() == 2 * len(t)
+    monkeypatch.setattr(R, "ODD", 2)
+    assert n.of(np.array(t, np.int64)).tolist() == t
